@@ -40,3 +40,179 @@ def monthly_trends(spark, sf_dir):
 
 def registry() -> dict[str, Query]:
     return dict(_REGISTRY)
+
+
+# ---- scans and enrichment -------------------------------------------------------
+
+from anomalytics.functions.columns import decimals_to_double as _d2d  # noqa: E402
+from anomalytics.operators import quality, stats as stats_op  # noqa: E402
+from anomalytics.sources import readers  # noqa: E402
+
+
+@query("scan_orders")
+def scan_orders(spark, sf_dir):
+    return Workspace(spark, sf_dir).tables["orders"]
+
+
+@query("table_row_counts")
+def table_row_counts(spark, sf_dir):
+    return readers.table_row_counts(Workspace(spark, sf_dir).tables)
+
+
+@query("items_by_order")
+def items_by_order(spark, sf_dir):
+    return _d2d(enrich.items_by_order(Workspace(spark, sf_dir).tables["order_items"]))
+
+
+@query("payments_by_order")
+def payments_by_order(spark, sf_dir):
+    return _d2d(enrich.payments_by_order(Workspace(spark, sf_dir).tables["order_payments"]))
+
+
+@query("time_dimensions")
+def time_dimensions(spark, sf_dir):
+    return enrich.time_dimensions(Workspace(spark, sf_dir).tables["orders"])
+
+
+@query("orders_enriched")
+def orders_enriched(spark, sf_dir):
+    return _d2d(Workspace(spark, sf_dir).enriched)
+
+
+@query("orders_enriched_price_only")
+def orders_enriched_price_only(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return _d2d(enrich.enriched_orders(ws.tables, enrich.PRICE_ONLY, enrich.LOADER_COLUMNS))
+
+
+@query("orders_features")
+def orders_features(spark, sf_dir):
+    return _d2d(Workspace(spark, sf_dir).features)
+
+
+# ---- data quality ---------------------------------------------------------------
+
+@query("null_audit")
+def null_audit(spark, sf_dir):
+    return quality.null_audit(Workspace(spark, sf_dir).enriched)
+
+
+@query("duplicate_orders")
+def duplicate_orders(spark, sf_dir):
+    return quality.duplicate_keys(Workspace(spark, sf_dir).enriched, "order_id")
+
+
+@query("duplicate_item_keys")
+def duplicate_item_keys(spark, sf_dir):
+    return quality.duplicate_keys(Workspace(spark, sf_dir).tables["order_items"], "order_id", "order_item_id")
+
+
+@query("amount_summary")
+def amount_summary(spark, sf_dir):
+    return round6(stats_op.amount_summary(Workspace(spark, sf_dir).enriched),
+                  "std_order_amount", "q1_amount", "median_amount", "q3_amount", "p99_amount")
+
+
+# ---- statistics and flags -------------------------------------------------------
+
+@query("global_stats")
+def global_stats(spark, sf_dir):
+    return round6(Workspace(spark, sf_dir).stats.as_frame(spark),
+                  "std_amount", "q1", "q3", "std_items", "std_installments")
+
+
+@query("zscores")
+def zscores(spark, sf_dir):
+    f = Workspace(spark, sf_dir).flags
+    return round6(f.select("order_id", "amount_zscore", "items_zscore"), "amount_zscore", "items_zscore")
+
+
+@query("anomaly_flags")
+def anomaly_flags(spark, sf_dir):
+    f = Workspace(spark, sf_dir).flags
+    return round6(_d2d(f), "std_amount", "q1", "q3", "amount_zscore", "items_zscore")
+
+
+@query("anomaly_summary")
+def anomaly_summary(spark, sf_dir):
+    return reports.anomaly_summary(Workspace(spark, sf_dir).flags)
+
+
+@query("high_risk_transactions")
+def high_risk_transactions(spark, sf_dir):
+    return round6(reports.high_risk_transactions(Workspace(spark, sf_dir).flags), "amount_zscore")
+
+
+def _detector_stats(ws: Workspace) -> stats_op.ColumnStats:
+    return stats_op.column_stats(ws.features, "total_amount")
+
+
+@query("amount_zscore")
+def amount_zscore(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    df = stats_op.with_amount_zscore(ws.features, stats=_detector_stats(ws))
+    return round6(_d2d(df.select("order_id", "total_amount", "amount_zscore")), "amount_zscore")
+
+
+@query("iqr_outliers")
+def iqr_outliers(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    df = stats_op.with_iqr_flag(ws.features, stats=_detector_stats(ws))
+    return _d2d(df.select("order_id", "total_amount", "is_anomaly_iqr"))
+
+
+@query("zscore_outliers")
+def zscore_outliers(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    df = stats_op.with_amount_zscore(ws.features, stats=_detector_stats(ws))
+    out = df.where(stats_op.zscore_flag("amount_zscore")).select("order_id", "total_amount", "amount_zscore")
+    return round6(_d2d(out), "amount_zscore")
+
+
+# ---- reports ----------------------------------------------------------------------
+
+@query("flag_share")
+def flag_share(spark, sf_dir):
+    return reports.flag_share(Workspace(spark, sf_dir).flags)
+
+
+@query("regional_distribution")
+def regional_distribution(spark, sf_dir):
+    return reports.regional_distribution(Workspace(spark, sf_dir).flags)
+
+
+@query("hourly_distribution")
+def hourly_distribution(spark, sf_dir):
+    return reports.hourly_distribution(Workspace(spark, sf_dir).flags)
+
+
+@query("day_of_week_analysis")
+def day_of_week_analysis(spark, sf_dir):
+    return reports.day_of_week_analysis(Workspace(spark, sf_dir).flags)
+
+
+@query("payment_method_analysis")
+def payment_method_analysis(spark, sf_dir):
+    return reports.payment_method_analysis(Workspace(spark, sf_dir).flags)
+
+
+@query("zscore_buckets")
+def zscore_buckets(spark, sf_dir):
+    return reports.zscore_buckets(Workspace(spark, sf_dir).flags)
+
+
+@query("top_anomalous")
+def top_anomalous(spark, sf_dir):
+    return round6(reports.top_anomalous(Workspace(spark, sf_dir).flags), "amount_zscore")
+
+
+@query("product_categories")
+def product_categories(spark, sf_dir):
+    t = Workspace(spark, sf_dir).tables
+    return reports.product_categories(t["order_items"], t["products"])
+
+
+@query("seller_performance")
+def seller_performance(spark, sf_dir):
+    t = Workspace(spark, sf_dir).tables
+    return reports.seller_performance(t["order_items"], t["sellers"])
