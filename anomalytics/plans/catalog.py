@@ -109,7 +109,7 @@ def duplicate_item_keys(spark, sf_dir):
 
 @query("amount_summary")
 def amount_summary(spark, sf_dir):
-    return round6(stats_op.amount_summary(Workspace(spark, sf_dir).enriched),
+    return round6(stats_op.amount_summary(Workspace(spark, sf_dir).enriched_table),
                   "std_order_amount", "q1_amount", "median_amount", "q3_amount", "p99_amount")
 
 
@@ -216,3 +216,202 @@ def product_categories(spark, sf_dir):
 def seller_performance(spark, sf_dir):
     t = Workspace(spark, sf_dir).tables
     return reports.seller_performance(t["order_items"], t["sellers"])
+
+
+# ---- detector: features, forest, statistical flags ----------------------------------
+
+import datetime as _dt  # noqa: E402
+
+from anomalytics.operators import dashboard, detector, iforest  # noqa: E402
+from anomalytics.plans.workspace import Z_FLAG  # noqa: E402
+from anomalytics import config as _cfg  # noqa: E402
+
+_FEATURES = list(_cfg.FEATURE_COLUMNS)
+
+
+@query("feature_table")
+def feature_table(spark, sf_dir):
+    return iforest.feature_table(Workspace(spark, sf_dir).features)
+
+
+@query("standardized_features")
+def standardized_features(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    return round6(iforest.standardize(iforest.feature_table(ws.features)), *_FEATURES)
+
+
+@query("iforest_model_summary")
+def iforest_model_summary(spark, sf_dir):
+    m = Workspace(spark, sf_dir).forest.model
+    return m.groupBy("tree").agg(
+        F.count(F.lit(1)).alias("n_nodes"),
+        F.count_if("leaf").alias("n_leaves"),
+        F.max("depth").alias("max_depth"),
+        F.sum(F.when(F.col("leaf"), F.col("size"))).alias("n_sampled"),
+    ).orderBy("tree")
+
+
+@query("iforest_scores")
+def iforest_scores(spark, sf_dir):
+    s = Workspace(spark, sf_dir).forest.scored
+    return s.select("order_id", "anomaly_probability", "anomaly_score", "is_anomaly_ml")
+
+
+@query("iforest_anomaly_types")
+def iforest_anomaly_types(spark, sf_dir):
+    return dashboard.type_breakdown(Workspace(spark, sf_dir).detector_ml)
+
+
+@query("iforest_summary_stats")
+def iforest_summary_stats(spark, sf_dir):
+    return detector.summary_stats(Workspace(spark, sf_dir).detector_ml)
+
+
+@query("score_histogram")
+def score_histogram(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    rows = ws.detector_ml
+    return dashboard.histogram(dashboard.filter_orders(rows, **dashboard.default_filters(rows)),
+                               "anomaly_probability", "anomaly_type")
+
+
+@query("anomaly_types")
+def anomaly_types(spark, sf_dir):
+    d = Workspace(spark, sf_dir).detector_z
+    return round6(_d2d(d.select("order_id", "total_amount", "amount_zscore", "is_anomaly_iqr", Z_FLAG, "anomaly_type")),
+                  "amount_zscore")
+
+
+@query("summary_stats")
+def summary_stats(spark, sf_dir):
+    return detector.summary_stats(Workspace(spark, sf_dir).detector_z, Z_FLAG)
+
+
+@query("anomalies_by_state")
+def anomalies_by_state(spark, sf_dir):
+    return detector.anomalies_by_state(Workspace(spark, sf_dir).detector_z, Z_FLAG)
+
+
+@query("detector_monthly_trends")
+def detector_monthly_trends(spark, sf_dir):
+    return detector.monthly_trends(Workspace(spark, sf_dir).detector_z, Z_FLAG)
+
+
+# ---- dashboard tables ------------------------------------------------------------------
+
+def _filtered(ws: Workspace):
+    rows = ws.detector_z
+    return dashboard.filter_orders(rows, **dashboard.default_filters(rows))
+
+
+@query("kpi_metrics")
+def kpi_metrics(spark, sf_dir):
+    return dashboard.kpi_metrics(Workspace(spark, sf_dir).detector_z, Z_FLAG)
+
+
+@query("filter_bounds")
+def filter_bounds(spark, sf_dir):
+    return round6(dashboard.filter_bounds(Workspace(spark, sf_dir).detector_z), "p99_amount")
+
+
+@query("state_options")
+def state_options(spark, sf_dir):
+    return dashboard.state_options(Workspace(spark, sf_dir).detector_z)
+
+
+@query("filtered_orders")
+def filtered_orders(spark, sf_dir):
+    f = _filtered(Workspace(spark, sf_dir))
+    return _d2d(f.select("order_id", "customer_state", "order_purchase_timestamp", "total_amount", "anomaly_type"))
+
+
+@query("filtered_orders_by_state_type")
+def filtered_orders_by_state_type(spark, sf_dir):
+    ws = Workspace(spark, sf_dir)
+    rows = ws.detector_z
+    first_state = dashboard.state_options(rows).first()["customer_state"]
+    f = dashboard.filter_orders(rows, state=first_state, anomaly_type=_cfg.TYPE_NORMAL,
+                                amount=(0.0, 10_000_000.0), dates=(_dt.date(1990, 1, 1), _dt.date(2100, 1, 1)))
+    return _d2d(f.select("order_id", "customer_state", "total_amount", "anomaly_type"))
+
+
+@query("filter_counts")
+def filter_counts(spark, sf_dir):
+    rows = Workspace(spark, sf_dir).detector_z
+    return dashboard.filter_counts(rows, **dashboard.default_filters(rows))
+
+
+@query("amount_histogram")
+def amount_histogram(spark, sf_dir):
+    f = _filtered(Workspace(spark, sf_dir))
+    return round6(dashboard.histogram(f, "total_amount", Z_FLAG), "bin_start", "bin_end")
+
+
+@query("filtered_monthly")
+def filtered_monthly(spark, sf_dir):
+    return detector.monthly_trends(_filtered(Workspace(spark, sf_dir)), Z_FLAG).drop("total_revenue")
+
+
+@query("top_states")
+def top_states(spark, sf_dir):
+    return dashboard.top_states(detector.anomalies_by_state(Workspace(spark, sf_dir).detector_z, Z_FLAG))
+
+
+@query("hourly_rate")
+def hourly_rate(spark, sf_dir):
+    return dashboard.hourly_rate(_filtered(Workspace(spark, sf_dir)), Z_FLAG)
+
+
+@query("type_breakdown")
+def type_breakdown(spark, sf_dir):
+    return dashboard.type_breakdown(_filtered(Workspace(spark, sf_dir)))
+
+
+@query("flagged_detail")
+def flagged_detail(spark, sf_dir):
+    # the z > 3 rows all lie above the default p99 amount bound, so the IQR flag marks the rows here
+    return dashboard.flagged_detail(_filtered(Workspace(spark, sf_dir)), detector.IQR, "amount_zscore")
+
+
+@query("csv_export_roundtrip")
+def csv_export_roundtrip(spark, sf_dir):
+    from anomalytics.session import scratch_path
+    from anomalytics.sources import sinks
+
+    rows = Workspace(spark, sf_dir).detector_z.where(F.col(Z_FLAG))
+    out = _d2d(rows.select("order_id", "customer_state", "total_amount", "amount_zscore", "anomaly_type"))
+    path = sinks.write_csv(out, scratch_path(spark, "export"), sort_by="amount_zscore")
+    return round6(sinks.read_csv_back(out, path), "amount_zscore")
+
+
+# ---- roadmap operators -------------------------------------------------------------------
+
+@query("category_anomalies")
+def category_anomalies(spark, sf_dir):
+    from anomalytics.operators import roadmap
+
+    ws = Workspace(spark, sf_dir)
+    return roadmap.category_anomalies(ws.flags, ws.tables["order_items"], ws.tables["products"])
+
+
+@query("seller_anomalies")
+def seller_anomalies(spark, sf_dir):
+    from anomalytics.operators import roadmap
+
+    t = Workspace(spark, sf_dir).tables
+    perf = reports.seller_performance(t["order_items"], t["sellers"])
+    return round6(roadmap.seller_anomalies(perf), "revenue_zscore")
+
+
+@query("stream_flags")
+def stream_flags(spark, sf_dir):
+    from anomalytics.streaming import detection
+
+    return detection.stream_flags(spark, sf_dir).output
+
+
+@query("stream_window_rates")
+def stream_window_rates(spark, sf_dir):
+    from anomalytics.streaming import detection
+
+    return detection.stream_window_rates(spark, sf_dir).output

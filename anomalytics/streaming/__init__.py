@@ -1,0 +1,7 @@
+from anomalytics.streaming.detection import (  # noqa: F401
+    event_stream,
+    flag_events,
+    stream_flags,
+    stream_window_rates,
+    windowed_rates,
+)
