@@ -20,8 +20,21 @@ RAW_TABLES = (
 )
 
 
+_RAW: dict[tuple[int, str, str], DataFrame] = {}
+
+
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+    """The raw table as a lazy DataFrame; the definition (not the data) is reused per session.
+
+    The input folders are read-only, so resolving a file's schema once per
+    session is enough; every query still scans the files when it runs.
+    """
+    key = (id(spark), os.path.abspath(sf_dir), name)
+    df = _RAW.get(key)
+    if df is None:
+        df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
+        _RAW[key] = df
+    return df
 
 
 def _price() -> F.Column:
