@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from anomalytics import config
 from anomalytics.operators.quantiles import exact_percentiles
-from anomalytics.session import materialize
+from anomalytics.session import materialize, ship_package
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 EULER_GAMMA = 0.5772156649015329
@@ -128,6 +128,7 @@ def fit(df: DataFrame, features=config.FEATURE_COLUMNS, id_col: str = "order_id"
         seed: int = config.FOREST_SEED, n: int | None = None) -> DataFrame:
     """D3: the forest as a node table (tree, node, feature, threshold, left, right, size, depth, leaf)."""
     features = tuple(features)
+    ship_package(df.sparkSession)
     n = df.count() if n is None else n
     if n == 0:
         raise ValueError("cannot fit an isolation forest on no rows")
@@ -135,20 +136,20 @@ def fit(df: DataFrame, features=config.FEATURE_COLUMNS, id_col: str = "order_id"
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     data = df.select(id_col, *features)
     pool_frac = min(1.0, 4.0 * n_trees * psi / n)
-    while True:
-        pool = data if pool_frac >= 1.0 else data.where(_h(id_col, F.lit(-1), seed) < F.lit(int(pool_frac * _BITS)))
-        pool = materialize(pool)          # about 4 * T * psi rows
+    pool, pool_n = data, n
+    while pool_frac < 1.0:
+        cut = F.lit(int(pool_frac * _BITS))
+        pool = materialize(data.where(_h(id_col, F.lit(-1), seed) < cut))   # about 4 * T * psi rows
         pool_n = pool.count()
-        if pool_n >= psi or pool_frac >= 1.0:
+        if pool_n >= psi:
             break
         pool_frac = min(1.0, pool_frac * 2)
+        pool, pool_n = data, n
     frac = min(1.0, 4.0 * psi / max(pool_n, 1))
     while True:
-        sample = _sample(pool, id_col, n_trees, psi, seed, frac)
-        if frac >= 1.0:
-            break
-        full = sample.groupBy("tree").count().where(F.col("count") >= psi).count()
-        if full == n_trees:
+        # the written sample holds at most T * psi rows; it is full exactly when every tree drew psi rows
+        sample = materialize(_sample(pool, id_col, n_trees, psi, seed, frac))
+        if frac >= 1.0 or sample.count() == n_trees * psi:
             break
         frac = min(1.0, frac * 2)   # a tree drew fewer than psi candidates: widen and redraw
     return sample.groupBy("tree").applyInPandas(
@@ -206,6 +207,7 @@ def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COL
           id_col: str = "order_id", out: str = "anomaly_probability") -> DataFrame:
     """Append the anomaly score s in (0, 1] to every row of ``df`` (all columns kept)."""
     features = tuple(features)
+    ship_package(df.sparkSession)
     nodes = model.toPandas()   # bounded: at most n_trees * (2 * psi - 1) rows
     forest = ForestArrays(nodes, psi)
     out_schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType(), True)])

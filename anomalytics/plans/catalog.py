@@ -35,7 +35,7 @@ def round6(df: DataFrame, *cols: str) -> DataFrame:
 
 @query("monthly_trends")
 def monthly_trends(spark, sf_dir):
-    return reports.monthly_trends(Workspace(spark, sf_dir).flags)
+    return reports.monthly_trends(Workspace.get(spark, sf_dir).flags)
 
 
 def registry() -> dict[str, Query]:
@@ -51,65 +51,65 @@ from anomalytics.sources import readers  # noqa: E402
 
 @query("scan_orders")
 def scan_orders(spark, sf_dir):
-    return Workspace(spark, sf_dir).tables["orders"]
+    return Workspace.get(spark, sf_dir).tables["orders"]
 
 
 @query("table_row_counts")
 def table_row_counts(spark, sf_dir):
-    return readers.table_row_counts(Workspace(spark, sf_dir).tables)
+    return readers.table_row_counts(Workspace.get(spark, sf_dir).tables)
 
 
 @query("items_by_order")
 def items_by_order(spark, sf_dir):
-    return _d2d(enrich.items_by_order(Workspace(spark, sf_dir).tables["order_items"]))
+    return _d2d(enrich.items_by_order(Workspace.get(spark, sf_dir).tables["order_items"]))
 
 
 @query("payments_by_order")
 def payments_by_order(spark, sf_dir):
-    return _d2d(enrich.payments_by_order(Workspace(spark, sf_dir).tables["order_payments"]))
+    return _d2d(enrich.payments_by_order(Workspace.get(spark, sf_dir).tables["order_payments"]))
 
 
 @query("time_dimensions")
 def time_dimensions(spark, sf_dir):
-    return enrich.time_dimensions(Workspace(spark, sf_dir).tables["orders"])
+    return enrich.time_dimensions(Workspace.get(spark, sf_dir).tables["orders"])
 
 
 @query("orders_enriched")
 def orders_enriched(spark, sf_dir):
-    return _d2d(Workspace(spark, sf_dir).enriched)
+    return _d2d(Workspace.get(spark, sf_dir).enriched)
 
 
 @query("orders_enriched_price_only")
 def orders_enriched_price_only(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     return _d2d(enrich.enriched_orders(ws.tables, enrich.PRICE_ONLY, enrich.LOADER_COLUMNS))
 
 
 @query("orders_features")
 def orders_features(spark, sf_dir):
-    return _d2d(Workspace(spark, sf_dir).features)
+    return _d2d(Workspace.get(spark, sf_dir).features)
 
 
 # ---- data quality ---------------------------------------------------------------
 
 @query("null_audit")
 def null_audit(spark, sf_dir):
-    return quality.null_audit(Workspace(spark, sf_dir).enriched)
+    return quality.null_audit(Workspace.get(spark, sf_dir).enriched)
 
 
 @query("duplicate_orders")
 def duplicate_orders(spark, sf_dir):
-    return quality.duplicate_keys(Workspace(spark, sf_dir).enriched, "order_id")
+    return quality.duplicate_keys(Workspace.get(spark, sf_dir).enriched, "order_id")
 
 
 @query("duplicate_item_keys")
 def duplicate_item_keys(spark, sf_dir):
-    return quality.duplicate_keys(Workspace(spark, sf_dir).tables["order_items"], "order_id", "order_item_id")
+    return quality.duplicate_keys(Workspace.get(spark, sf_dir).tables["order_items"], "order_id", "order_item_id")
 
 
 @query("amount_summary")
 def amount_summary(spark, sf_dir):
-    return round6(stats_op.amount_summary(Workspace(spark, sf_dir).enriched_table),
+    return round6(stats_op.amount_summary(Workspace.get(spark, sf_dir).enriched_table),
                   "std_order_amount", "q1_amount", "median_amount", "q3_amount", "p99_amount")
 
 
@@ -117,30 +117,30 @@ def amount_summary(spark, sf_dir):
 
 @query("global_stats")
 def global_stats(spark, sf_dir):
-    return round6(Workspace(spark, sf_dir).stats.as_frame(spark),
+    return round6(Workspace.get(spark, sf_dir).stats.as_frame(spark),
                   "std_amount", "q1", "q3", "std_items", "std_installments")
 
 
 @query("zscores")
 def zscores(spark, sf_dir):
-    f = Workspace(spark, sf_dir).flags
+    f = Workspace.get(spark, sf_dir).flags
     return round6(f.select("order_id", "amount_zscore", "items_zscore"), "amount_zscore", "items_zscore")
 
 
 @query("anomaly_flags")
 def anomaly_flags(spark, sf_dir):
-    f = Workspace(spark, sf_dir).flags
+    f = Workspace.get(spark, sf_dir).flags
     return round6(_d2d(f), "std_amount", "q1", "q3", "amount_zscore", "items_zscore")
 
 
 @query("anomaly_summary")
 def anomaly_summary(spark, sf_dir):
-    return reports.anomaly_summary(Workspace(spark, sf_dir).flags)
+    return reports.anomaly_summary(Workspace.get(spark, sf_dir).flags)
 
 
 @query("high_risk_transactions")
 def high_risk_transactions(spark, sf_dir):
-    return round6(reports.high_risk_transactions(Workspace(spark, sf_dir).flags), "amount_zscore")
+    return round6(reports.high_risk_transactions(Workspace.get(spark, sf_dir).flags), "amount_zscore")
 
 
 def _detector_stats(ws: Workspace) -> stats_op.ColumnStats:
@@ -149,21 +149,21 @@ def _detector_stats(ws: Workspace) -> stats_op.ColumnStats:
 
 @query("amount_zscore")
 def amount_zscore(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     df = stats_op.with_amount_zscore(ws.features, stats=_detector_stats(ws))
     return round6(_d2d(df.select("order_id", "total_amount", "amount_zscore")), "amount_zscore")
 
 
 @query("iqr_outliers")
 def iqr_outliers(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     df = stats_op.with_iqr_flag(ws.features, stats=_detector_stats(ws))
     return _d2d(df.select("order_id", "total_amount", "is_anomaly_iqr"))
 
 
 @query("zscore_outliers")
 def zscore_outliers(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     df = stats_op.with_amount_zscore(ws.features, stats=_detector_stats(ws))
     out = df.where(stats_op.zscore_flag("amount_zscore")).select("order_id", "total_amount", "amount_zscore")
     return round6(_d2d(out), "amount_zscore")
@@ -173,48 +173,48 @@ def zscore_outliers(spark, sf_dir):
 
 @query("flag_share")
 def flag_share(spark, sf_dir):
-    return reports.flag_share(Workspace(spark, sf_dir).flags)
+    return reports.flag_share(Workspace.get(spark, sf_dir).flags)
 
 
 @query("regional_distribution")
 def regional_distribution(spark, sf_dir):
-    return reports.regional_distribution(Workspace(spark, sf_dir).flags)
+    return reports.regional_distribution(Workspace.get(spark, sf_dir).flags)
 
 
 @query("hourly_distribution")
 def hourly_distribution(spark, sf_dir):
-    return reports.hourly_distribution(Workspace(spark, sf_dir).flags)
+    return reports.hourly_distribution(Workspace.get(spark, sf_dir).flags)
 
 
 @query("day_of_week_analysis")
 def day_of_week_analysis(spark, sf_dir):
-    return reports.day_of_week_analysis(Workspace(spark, sf_dir).flags)
+    return reports.day_of_week_analysis(Workspace.get(spark, sf_dir).flags)
 
 
 @query("payment_method_analysis")
 def payment_method_analysis(spark, sf_dir):
-    return reports.payment_method_analysis(Workspace(spark, sf_dir).flags)
+    return reports.payment_method_analysis(Workspace.get(spark, sf_dir).flags)
 
 
 @query("zscore_buckets")
 def zscore_buckets(spark, sf_dir):
-    return reports.zscore_buckets(Workspace(spark, sf_dir).flags)
+    return reports.zscore_buckets(Workspace.get(spark, sf_dir).flags)
 
 
 @query("top_anomalous")
 def top_anomalous(spark, sf_dir):
-    return round6(reports.top_anomalous(Workspace(spark, sf_dir).flags), "amount_zscore")
+    return round6(reports.top_anomalous(Workspace.get(spark, sf_dir).flags), "amount_zscore")
 
 
 @query("product_categories")
 def product_categories(spark, sf_dir):
-    t = Workspace(spark, sf_dir).tables
+    t = Workspace.get(spark, sf_dir).tables
     return reports.product_categories(t["order_items"], t["products"])
 
 
 @query("seller_performance")
 def seller_performance(spark, sf_dir):
-    t = Workspace(spark, sf_dir).tables
+    t = Workspace.get(spark, sf_dir).tables
     return reports.seller_performance(t["order_items"], t["sellers"])
 
 
@@ -231,18 +231,18 @@ _FEATURES = list(_cfg.FEATURE_COLUMNS)
 
 @query("feature_table")
 def feature_table(spark, sf_dir):
-    return iforest.feature_table(Workspace(spark, sf_dir).features)
+    return iforest.feature_table(Workspace.get(spark, sf_dir).features)
 
 
 @query("standardized_features")
 def standardized_features(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     return round6(iforest.standardize(iforest.feature_table(ws.features)), *_FEATURES)
 
 
 @query("iforest_model_summary")
 def iforest_model_summary(spark, sf_dir):
-    m = Workspace(spark, sf_dir).forest.model
+    m = Workspace.get(spark, sf_dir).forest.model
     return m.groupBy("tree").agg(
         F.count(F.lit(1)).alias("n_nodes"),
         F.count_if("leaf").alias("n_leaves"),
@@ -253,23 +253,23 @@ def iforest_model_summary(spark, sf_dir):
 
 @query("iforest_scores")
 def iforest_scores(spark, sf_dir):
-    s = Workspace(spark, sf_dir).forest.scored
+    s = Workspace.get(spark, sf_dir).forest.scored
     return s.select("order_id", "anomaly_probability", "anomaly_score", "is_anomaly_ml")
 
 
 @query("iforest_anomaly_types")
 def iforest_anomaly_types(spark, sf_dir):
-    return dashboard.type_breakdown(Workspace(spark, sf_dir).detector_ml)
+    return dashboard.type_breakdown(Workspace.get(spark, sf_dir).detector_ml)
 
 
 @query("iforest_summary_stats")
 def iforest_summary_stats(spark, sf_dir):
-    return detector.summary_stats(Workspace(spark, sf_dir).detector_ml)
+    return detector.summary_stats(Workspace.get(spark, sf_dir).detector_ml)
 
 
 @query("score_histogram")
 def score_histogram(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     rows = ws.detector_ml
     return dashboard.histogram(dashboard.filter_orders(rows, **dashboard.default_filters(rows)),
                                "anomaly_probability", "anomaly_type")
@@ -277,24 +277,24 @@ def score_histogram(spark, sf_dir):
 
 @query("anomaly_types")
 def anomaly_types(spark, sf_dir):
-    d = Workspace(spark, sf_dir).detector_z
+    d = Workspace.get(spark, sf_dir).detector_z
     return round6(_d2d(d.select("order_id", "total_amount", "amount_zscore", "is_anomaly_iqr", Z_FLAG, "anomaly_type")),
                   "amount_zscore")
 
 
 @query("summary_stats")
 def summary_stats(spark, sf_dir):
-    return detector.summary_stats(Workspace(spark, sf_dir).detector_z, Z_FLAG)
+    return detector.summary_stats(Workspace.get(spark, sf_dir).detector_z, Z_FLAG)
 
 
 @query("anomalies_by_state")
 def anomalies_by_state(spark, sf_dir):
-    return detector.anomalies_by_state(Workspace(spark, sf_dir).detector_z, Z_FLAG)
+    return detector.anomalies_by_state(Workspace.get(spark, sf_dir).detector_z, Z_FLAG)
 
 
 @query("detector_monthly_trends")
 def detector_monthly_trends(spark, sf_dir):
-    return detector.monthly_trends(Workspace(spark, sf_dir).detector_z, Z_FLAG)
+    return detector.monthly_trends(Workspace.get(spark, sf_dir).detector_z, Z_FLAG)
 
 
 # ---- dashboard tables ------------------------------------------------------------------
@@ -306,28 +306,28 @@ def _filtered(ws: Workspace):
 
 @query("kpi_metrics")
 def kpi_metrics(spark, sf_dir):
-    return dashboard.kpi_metrics(Workspace(spark, sf_dir).detector_z, Z_FLAG)
+    return dashboard.kpi_metrics(Workspace.get(spark, sf_dir).detector_z, Z_FLAG)
 
 
 @query("filter_bounds")
 def filter_bounds(spark, sf_dir):
-    return round6(dashboard.filter_bounds(Workspace(spark, sf_dir).detector_z), "p99_amount")
+    return round6(dashboard.filter_bounds(Workspace.get(spark, sf_dir).detector_z), "p99_amount")
 
 
 @query("state_options")
 def state_options(spark, sf_dir):
-    return dashboard.state_options(Workspace(spark, sf_dir).detector_z)
+    return dashboard.state_options(Workspace.get(spark, sf_dir).detector_z)
 
 
 @query("filtered_orders")
 def filtered_orders(spark, sf_dir):
-    f = _filtered(Workspace(spark, sf_dir))
+    f = _filtered(Workspace.get(spark, sf_dir))
     return _d2d(f.select("order_id", "customer_state", "order_purchase_timestamp", "total_amount", "anomaly_type"))
 
 
 @query("filtered_orders_by_state_type")
 def filtered_orders_by_state_type(spark, sf_dir):
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     rows = ws.detector_z
     first_state = dashboard.state_options(rows).first()["customer_state"]
     f = dashboard.filter_orders(rows, state=first_state, anomaly_type=_cfg.TYPE_NORMAL,
@@ -337,40 +337,40 @@ def filtered_orders_by_state_type(spark, sf_dir):
 
 @query("filter_counts")
 def filter_counts(spark, sf_dir):
-    rows = Workspace(spark, sf_dir).detector_z
+    rows = Workspace.get(spark, sf_dir).detector_z
     return dashboard.filter_counts(rows, **dashboard.default_filters(rows))
 
 
 @query("amount_histogram")
 def amount_histogram(spark, sf_dir):
-    f = _filtered(Workspace(spark, sf_dir))
+    f = _filtered(Workspace.get(spark, sf_dir))
     return round6(dashboard.histogram(f, "total_amount", Z_FLAG), "bin_start", "bin_end")
 
 
 @query("filtered_monthly")
 def filtered_monthly(spark, sf_dir):
-    return detector.monthly_trends(_filtered(Workspace(spark, sf_dir)), Z_FLAG).drop("total_revenue")
+    return detector.monthly_trends(_filtered(Workspace.get(spark, sf_dir)), Z_FLAG).drop("total_revenue")
 
 
 @query("top_states")
 def top_states(spark, sf_dir):
-    return dashboard.top_states(detector.anomalies_by_state(Workspace(spark, sf_dir).detector_z, Z_FLAG))
+    return dashboard.top_states(detector.anomalies_by_state(Workspace.get(spark, sf_dir).detector_z, Z_FLAG))
 
 
 @query("hourly_rate")
 def hourly_rate(spark, sf_dir):
-    return dashboard.hourly_rate(_filtered(Workspace(spark, sf_dir)), Z_FLAG)
+    return dashboard.hourly_rate(_filtered(Workspace.get(spark, sf_dir)), Z_FLAG)
 
 
 @query("type_breakdown")
 def type_breakdown(spark, sf_dir):
-    return dashboard.type_breakdown(_filtered(Workspace(spark, sf_dir)))
+    return dashboard.type_breakdown(_filtered(Workspace.get(spark, sf_dir)))
 
 
 @query("flagged_detail")
 def flagged_detail(spark, sf_dir):
     # the z > 3 rows all lie above the default p99 amount bound, so the IQR flag marks the rows here
-    return dashboard.flagged_detail(_filtered(Workspace(spark, sf_dir)), detector.IQR, "amount_zscore")
+    return dashboard.flagged_detail(_filtered(Workspace.get(spark, sf_dir)), detector.IQR, "amount_zscore")
 
 
 @query("csv_export_roundtrip")
@@ -378,7 +378,7 @@ def csv_export_roundtrip(spark, sf_dir):
     from anomalytics.session import scratch_path
     from anomalytics.sources import sinks
 
-    rows = Workspace(spark, sf_dir).detector_z.where(F.col(Z_FLAG))
+    rows = Workspace.get(spark, sf_dir).detector_z.where(F.col(Z_FLAG))
     out = _d2d(rows.select("order_id", "customer_state", "total_amount", "amount_zscore", "anomaly_type"))
     path = sinks.write_csv(out, scratch_path(spark, "export"), sort_by="amount_zscore")
     return round6(sinks.read_csv_back(out, path), "amount_zscore")
@@ -390,7 +390,7 @@ def csv_export_roundtrip(spark, sf_dir):
 def category_anomalies(spark, sf_dir):
     from anomalytics.operators import roadmap
 
-    ws = Workspace(spark, sf_dir)
+    ws = Workspace.get(spark, sf_dir)
     return roadmap.category_anomalies(ws.flags, ws.tables["order_items"], ws.tables["products"])
 
 
@@ -398,7 +398,7 @@ def category_anomalies(spark, sf_dir):
 def seller_anomalies(spark, sf_dir):
     from anomalytics.operators import roadmap
 
-    t = Workspace(spark, sf_dir).tables
+    t = Workspace.get(spark, sf_dir).tables
     perf = reports.seller_performance(t["order_items"], t["sellers"])
     return round6(roadmap.seller_anomalies(perf), "revenue_zscore")
 

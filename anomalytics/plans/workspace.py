@@ -16,11 +16,43 @@ from anomalytics.session import materialize
 from anomalytics.sources.adapters import read_raw, testdata_tables
 
 
+RESULT_TTL_SECONDS = 3600   # S8: processed results are kept for one hour
+
+
 class Workspace:
+    """Shared state of one input folder in one session.
+
+    ``Workspace.get`` returns the same workspace for the same (session, folder)
+    for ``RESULT_TTL_SECONDS`` (S8: the reference dashboard keeps its processed
+    detector for an hour), so the written enriched table, the statistics and
+    the fitted forest are computed once and every report reuses them. The
+    inputs are read-only; ``Workspace(spark, folder)`` always starts fresh.
+    """
+
+    _kept: dict[tuple[int, str], tuple[float, "Workspace"]] = {}
+
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
+    @classmethod
+    def get(cls, spark: SparkSession, sf_dir: str, ttl: float = RESULT_TTL_SECONDS) -> "Workspace":
+        import os
+        import time
+
+        key = (id(spark), os.path.abspath(sf_dir))
+        hit = cls._kept.get(key)
+        now = time.monotonic()
+        if hit is not None and now - hit[0] < ttl:
+            return hit[1]
+        ws = cls(spark, sf_dir)
+        cls._kept[key] = (now, ws)
+        return ws
+
+    @classmethod
+    def forget(cls) -> None:
+        cls._kept.clear()
+
     def raw(self, name: str) -> DataFrame:
         return read_raw(self.spark, self.sf_dir, name)
 
