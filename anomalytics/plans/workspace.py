@@ -29,7 +29,7 @@ class Workspace:
     inputs are read-only; ``Workspace(spark, folder)`` always starts fresh.
     """
 
-    _kept: dict[tuple[int, str], tuple[float, "Workspace"]] = {}
+    _kept: dict[tuple[str, int, str], tuple[float, "Workspace"]] = {}
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
@@ -40,7 +40,7 @@ class Workspace:
         import os
         import time
 
-        key = (id(spark), os.path.abspath(sf_dir))
+        key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir))
         hit = cls._kept.get(key)
         now = time.monotonic()
         if hit is not None and now - hit[0] < ttl:

@@ -20,7 +20,7 @@ RAW_TABLES = (
 )
 
 
-_RAW: dict[tuple[int, str, str], DataFrame] = {}
+_RAW: dict[tuple[str, int, str, str], DataFrame] = {}
 
 
 def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,7 +29,7 @@ def read_raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     The input folders are read-only, so resolving a file's schema once per
     session is enough; every query still scans the files when it runs.
     """
-    key = (id(spark), os.path.abspath(sf_dir), name)
+    key = (spark.sparkContext.applicationId, id(spark), os.path.abspath(sf_dir), name)
     df = _RAW.get(key)
     if df is None:
         df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
