@@ -54,14 +54,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint into the shared checkpoint folder.
-
-    Used where one derived table feeds several passes (statistics, then flags),
-    so a lost executor re-reads the checkpoint instead of recomputing joins.
+def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` once as parquet under the shared checkpoint folder and read it back.
+
+    Used where one derived table feeds several passes (statistics, flags,
+    reports, forest). Like ``checkpoint()`` it cuts the lineage and survives a
+    lost executor (the files are on shared storage), and unlike a row
+    checkpoint the result is columnar: later passes read only the columns they
+    use, with filters pushed into the scan.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def use_utc(spark: SparkSession) -> None:
