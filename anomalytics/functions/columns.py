@@ -61,12 +61,9 @@ def mean_decimal(col) -> Column:
 
 
 def decimals_to_double(df: DataFrame) -> DataFrame:
-    """Cast every DECIMAL column to DOUBLE for the final output."""
-    cols = [
-        F.col(f.name).cast("double").alias(f.name) if isinstance(f.dataType, DecimalType) else F.col(f.name)
-        for f in df.schema.fields
-    ]
-    return df.select(*cols)
+    """Cast every DECIMAL column to DOUBLE for the final output (column order kept)."""
+    casts = {f.name: F.col(f.name).cast("double") for f in df.schema.fields if isinstance(f.dataType, DecimalType)}
+    return df.withColumns(casts) if casts else df
 
 
 def zscore_bucket(z) -> Column:

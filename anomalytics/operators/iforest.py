@@ -5,10 +5,11 @@
   aggregation pass, then literals.
 * D3 fit: every tree t draws psi = min(256, n) rows. One hash per row picks a
   uniform pool of about 4*T*psi rows (a filter over the data, no shuffle);
-  the pool is written once. Inside the pool each row emits only the trees
-  whose hash ``xxhash64(id, t, seed)`` falls under a cut set for about 4*psi
-  candidates per tree — no n x T blow-up — and ``row_number`` per tree keeps
-  the psi smallest. The sample depends on ids only, not on partitioning. Trees are grown in
+  the pool is written once. Inside the pool each row is paired with the trees
+  and kept where ``xxhash64(id, t, seed)`` is under a cut set for about 4*psi
+  candidates per tree — the pairing is bounded by the pool, never n x T — and
+  ``row_number`` per tree keeps the psi smallest. The sample depends on ids
+  only, not on partitioning. Trees are grown in
   ``groupBy("tree").applyInPandas`` (one group = psi rows), NumPy seeded with
   (seed, tree): random non-constant feature, threshold uniform in (min, max),
   depth limit ceil(log2 psi). The model is a node table of at most
@@ -79,15 +80,20 @@ def _h(id_col: str, t, seed: int):
     return F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed)), F.lit(_BITS))
 
 
-def _sample(df: DataFrame, id_col: str, n_trees: int, psi: int, seed: int, frac: float) -> DataFrame:
-    """Per tree, the psi rows with the smallest hash (ties by id)."""
-    cut = int(frac * _BITS)
+def _sample(pool: DataFrame, id_col: str, n_trees: int, psi: int, seed: int, frac: float) -> DataFrame:
+    """Per tree, the psi pool rows with the smallest hash (ties by id).
 
-    def h(t):
-        return _h(id_col, t, seed)
-
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda t: h(t) < F.lit(cut))
-    cand = df.select("*", F.explode(trees).alias("tree")).withColumn("h", h(F.col("tree")))
+    Each pool row is paired with every tree and kept where its per-tree hash is
+    under the cut (about 4*psi rows per tree survive). The pairing is bounded by
+    the pool, not the data: at most about 4*T*psi * T rows, and it runs inside
+    whole-stage codegen (explode + filter), unlike a per-row lambda.
+    """
+    cut = F.lit(int(frac * _BITS))
+    cand = (
+        pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+        .withColumn("h", _h(id_col, F.col("tree"), seed))
+        .where(F.col("h") < cut)
+    )
     w = Window.partitionBy("tree").orderBy("h", id_col)
     return cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= psi).drop("rk")
 
