@@ -214,7 +214,11 @@ def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COL
     """Append the anomaly score s in (0, 1] to every row of ``df`` (all columns kept)."""
     features = tuple(features)
     ship_package(df.sparkSession)
-    nodes = model.toPandas()   # bounded: at most n_trees * (2 * psi - 1) rows
+    trees = model.select(F.max("tree").alias("t"), F.count(F.lit(1)).alias("n")).first()
+    bound = (int(trees["t"]) + 1) * (2 * psi - 1)
+    if trees["n"] > bound:   # a tree of psi leaves has at most 2 * psi - 1 nodes
+        raise ValueError(f"forest has {trees['n']} nodes, more than the bound {bound}")
+    nodes = model.toPandas()   # checked above: at most n_trees * (2 * psi - 1) rows
     forest = ForestArrays(nodes, psi)
     out_schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType(), True)])
 

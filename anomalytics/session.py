@@ -82,31 +82,16 @@ def env_int(name: str, default: int) -> int:
         return default
 
 
-_SHIPPED: set[str] = set()
-
-
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in Python workers (like ``--py-files``).
+    """Make this package's functions usable in Python workers.
 
-    pandas functions run on executors and import ``anomalytics`` there. The
-    package is zipped once per application and handed to ``addPyFile``, which
-    distributes it with the job; nothing depends on the executors' disks.
+    pandas functions run on executors. The package is registered with
+    PySpark's cloudpickle to be pickled by value, so the functions travel
+    inside the task closure: nothing is written to any disk and executors need
+    no copy of the package.
     """
-    sc = spark.sparkContext
-    if sc.applicationId in _SHIPPED:
-        return
-    import zipfile
-
-    import anomalytics
-
-    root = os.path.dirname(os.path.abspath(anomalytics.__file__))
-    base = os.path.dirname(root)
-    target = os.path.join(tempfile.mkdtemp(prefix="anomalytics-pyfiles-"), "anomalytics.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for dirpath, _, files in os.walk(root):
-            for name in files:
-                if name.endswith(".py"):
-                    full = os.path.join(dirpath, name)
-                    z.write(full, os.path.relpath(full, base))
-    sc.addPyFile(target)
-    _SHIPPED.add(sc.applicationId)
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules["anomalytics"])
