@@ -25,9 +25,9 @@ def _n() -> Column:
     return F.count(F.lit(1))
 
 
-def anomaly_summary(flags: DataFrame) -> DataFrame:
+def anomaly_summary(flags: DataFrame, money_as_double: bool = True) -> DataFrame:
     """A5: per (amount_flag, time_flag, installment_flag)."""
-    return decimals_to_double(
+    out = (
         flags.groupBy("amount_flag", "time_flag", "installment_flag")
         .agg(
             _n().alias("order_count"),
@@ -38,6 +38,7 @@ def anomaly_summary(flags: DataFrame) -> DataFrame:
         )
         .orderBy(F.desc("order_count"))
     )
+    return decimals_to_double(out) if money_as_double else out
 
 
 HIGH_RISK_COLUMNS = (
@@ -47,13 +48,14 @@ HIGH_RISK_COLUMNS = (
 )
 
 
-def high_risk_transactions(flags: DataFrame, min_flags: int = 2) -> DataFrame:
+def high_risk_transactions(flags: DataFrame, min_flags: int = 2, money_as_double: bool = True) -> DataFrame:
     """Orders with at least ``min_flags`` flags, most flags and largest amount first."""
-    return decimals_to_double(
+    out = (
         flags.where(F.col("anomaly_flag_count") >= F.lit(min_flags))
         .select(*HIGH_RISK_COLUMNS)
         .orderBy(F.desc("anomaly_flag_count"), F.desc_nulls_last("total_amount"), F.asc("order_id"))
     )
+    return decimals_to_double(out) if money_as_double else out
 
 
 def flag_share(flags: DataFrame) -> DataFrame:
