@@ -76,7 +76,7 @@ def time_dimensions(spark, sf_dir):
 
 @query("orders_enriched")
 def orders_enriched(spark, sf_dir):
-    return _d2d(Workspace.get(spark, sf_dir).enriched)
+    return _d2d(Workspace.get(spark, sf_dir).enriched_table)
 
 
 @query("orders_enriched_price_only")
@@ -94,12 +94,12 @@ def orders_features(spark, sf_dir):
 
 @query("null_audit")
 def null_audit(spark, sf_dir):
-    return quality.null_audit(Workspace.get(spark, sf_dir).enriched)
+    return quality.null_audit(Workspace.get(spark, sf_dir).enriched_table)
 
 
 @query("duplicate_orders")
 def duplicate_orders(spark, sf_dir):
-    return quality.duplicate_keys(Workspace.get(spark, sf_dir).enriched, "order_id")
+    return quality.duplicate_keys(Workspace.get(spark, sf_dir).enriched_table, "order_id")
 
 
 @query("duplicate_item_keys")

@@ -139,3 +139,40 @@ def test_detector_guard(spark):
         detector.RetailDetector().get_summary_stats()
     with pytest.raises(ValueError):
         detector.RetailDetector(spark.range(3)).get_monthly_trends()
+
+
+def test_zero_denominators_do_not_raise(spark):
+    from anomalytics.functions.columns import pct, safe_div
+
+    df = spark.createDataFrame([(1, 0), (0, 0), (3, None)], "a int, b int")
+    rows = df.select(safe_div("a", "b").alias("d"), pct("a", "b").alias("p")).collect()
+    assert all(r["d"] is None and r["p"] is None for r in rows)
+
+
+def test_installments_default_only_in_detector(spark):
+    t = tables(spark, [order("o1")], [item("o1", 10)])   # no payments
+    e = enrich.enriched_orders(t).first()
+    f = enrich.orders_features(t).first()
+    assert e["payment_installments"] is None and f["payment_installments"] == 1
+
+
+def test_amount_modes(spark):
+    t = tables(spark, [order("o1")], [item("o1", "10.00", "2.50"), item("o1", "5.00", "1.00", n=2)])
+    with_freight = enrich.enriched_orders(t).first()["total_amount"]
+    price_only = enrich.enriched_orders(t, enrich.PRICE_ONLY, enrich.LOADER_COLUMNS).first()["total_amount"]
+    assert float(with_freight) == 18.5 and float(price_only) == 15.0
+
+
+def test_detector_facade_end_to_end(spark):
+    orders = [order(f"o{i:03d}", ts=BASE + dt.timedelta(hours=i)) for i in range(300)]
+    items = [item(f"o{i:03d}", 10 + (i % 7)) for i in range(297)] + [item(f"o{i:03d}", 5000) for i in range(297, 300)]
+    d = detector.RetailDetector(enrich.orders_features(tables(spark, orders, items)), contamination=0.05)
+    d = d.fit_isolation_forest().add_statistical_flags()
+    s = d.get_summary_stats().first()
+    assert s["total_orders"] == 300 and s["anomaly_count_ml"] <= 15
+    assert d.get_anomalies_by_state().count() == 1
+    assert d.get_monthly_trends().count() >= 1
+    types = {r["anomaly_type"] for r in d.df.select("anomaly_type").distinct().collect()}
+    assert types <= {config.TYPE_NORMAL, config.TYPE_ML, config.TYPE_STATISTICAL, config.TYPE_HIGH_CONFIDENCE}
+    big = d.df.where(F.col("total_amount") >= 5000).select("is_anomaly_iqr").collect()
+    assert all(r[0] for r in big)
