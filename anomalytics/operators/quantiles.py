@@ -95,7 +95,9 @@ def _select_ranks(x: DataFrame, n: int, ranks: list[int], max_collect: int, accu
                 F.count_if(inside & (col < F.lit(c))).alias(f"lt_b{i}"),
                 F.count_if(inside & (col <= F.lit(c))).alias(f"le_b{i}"),
             ]
-        cnt = x.agg(*counts).first()
+        cnt = x.agg(*counts, F.count(F.lit(1)).alias("n_all")).first()
+        if cnt["n_all"] != n:
+            raise ValueError(f"n={n} but the column has {cnt['n_all']} non-null values")
         still = []
         for i, b in enumerate(open_):
             a, c = approx[f"a{i}"]
@@ -118,7 +120,11 @@ def _select_ranks(x: DataFrame, n: int, ranks: list[int], max_collect: int, accu
 def exact_percentiles(df: DataFrame, column: str, probs, *, n: int | None = None,
                       small_n: int = SMALL_N, max_collect: int = MAX_COLLECT,
                       accuracy: int = ACCURACY) -> list[float | None]:
-    """Exact PERCENTILE_CONT of ``column`` (cast to DOUBLE, nulls ignored) for each p."""
+    """Exact PERCENTILE_CONT of ``column`` (cast to DOUBLE, nulls ignored) for each p.
+
+    ``n``, when given, must be the number of non-null values (it picks the path
+    and the ranks; the bracket path checks it in its first counting pass).
+    """
     probs = [float(p) for p in probs]
     x = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
     if n is None:

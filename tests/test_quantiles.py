@@ -47,3 +47,12 @@ def test_nulls_ignored_and_empty(spark):
     df = spark.createDataFrame([(None,), (1.0,), (3.0,)], "x double")
     assert exact_percentiles(df, "x", [0.5]) == [2.0]
     assert exact_percentiles(df.where("x > 10"), "x", [0.5]) == [None]
+
+
+def test_wrong_n_is_rejected(spark):
+    df = spark.createDataFrame([(float(i),) for i in range(100)] + [(None,)] * 5, "x double")
+    import pytest as _pytest
+
+    with _pytest.raises(ValueError):
+        exact_percentiles(df, "x", [0.5], n=105, small_n=0, max_collect=10, accuracy=100)
+    assert exact_percentiles(df, "x", [0.5], n=100, small_n=0, max_collect=10, accuracy=100) == [49.5]
