@@ -150,3 +150,18 @@ def orders_features(tables: dict[str, DataFrame]) -> DataFrame:
             "customer_state",
         )
     )
+
+
+def features_from_enriched(enriched: DataFrame) -> DataFrame:
+    """E7 derived from E1: the same rows and values as ``orders_features``.
+
+    E1 already holds the item count, the amount with freight, the maximum
+    installments and the state per delivered order, so the detector rows are a
+    filter and projection of it — no second aggregation of the items.
+    """
+    return enriched.where(F.col("total_amount").isNotNull()).select(
+        "order_id", "customer_id", "order_purchase_timestamp", "hour_of_day", "day_of_week",
+        "total_items", "total_amount",
+        F.coalesce(F.col("payment_installments"), F.lit(1)).alias("payment_installments"),
+        "customer_state",
+    )

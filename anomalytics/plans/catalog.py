@@ -87,7 +87,8 @@ def orders_enriched_price_only(spark, sf_dir):
 
 @query("orders_features")
 def orders_features(spark, sf_dir):
-    return _d2d(Workspace.get(spark, sf_dir).features)
+    # the standalone E7 operator (the detector rows of the workspace are derived from E1)
+    return _d2d(enrich.orders_features(Workspace.get(spark, sf_dir).tables))
 
 
 # ---- data quality ---------------------------------------------------------------

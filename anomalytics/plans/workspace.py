@@ -84,8 +84,8 @@ class Workspace:
 
     @cached_property
     def features(self) -> DataFrame:
-        """E7 detector rows, written once (statistics, forest and reports all read them)."""
-        return materialize(enrich.orders_features(self.tables))
+        """E7 detector rows: a filter and projection of the kept enriched table (no second pipeline)."""
+        return enrich.features_from_enriched(self.enriched_table)
 
     @cached_property
     def detector_stats(self) -> stats_op.ColumnStats:

@@ -46,3 +46,12 @@ def test_type_breakdown_shares(spark):
     t = dashboard.type_breakdown(rows).collect()
     assert abs(sum(r["percent"] for r in t) - 100) < 1e-9
     assert sum(r["count"] for r in t) == rows.count()
+
+
+def test_detector_rows_from_enriched_equal_standalone_e7(spark):
+    from anomalytics.operators import enrich
+
+    ws = Workspace.get(spark, SF)
+    a = sorted(map(tuple, ws.features.collect()))
+    b = sorted(map(tuple, enrich.orders_features(ws.tables).collect()))
+    assert a == b and len(a) > 0
