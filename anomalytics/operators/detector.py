@@ -74,13 +74,13 @@ def with_isolation_forest(df: DataFrame, contamination: float = config.CONTAMINA
 
     require_columns(df, id_col, *features, step="fit_isolation_forest")
     feats = iforest.feature_table(df, features, id_col)
-    z = materialize(iforest.standardize(feats, features, id_col))
-    n = z.count()
-    psi = min(max_samples, n)
-    model = materialize(iforest.fit(z, features, id_col, n_trees, max_samples, seed, n=n))
-    scores = iforest.score(z, model, psi, features, id_col).select(id_col, "anomaly_probability")
-    joined = materialize(df.join(scores, id_col, "left"))
-    labelled, cut = iforest.label(joined, contamination)
+    scaler = iforest.fit_scaler(feats, features)
+    z = iforest.standardize(feats, features, id_col, scaler=scaler)     # lazy projection
+    psi = min(max_samples, scaler.n)
+    model = materialize(iforest.fit(z, features, id_col, n_trees, max_samples, seed, n=scaler.n))
+    # score every input row in place (map-only, no join back), written once for the cut and the reports
+    scored = materialize(iforest.score(df, model, psi, features, id_col, scaler=scaler))
+    labelled, cut = iforest.label(scored, contamination)
     return ForestResult(labelled, model, cut, psi)
 
 

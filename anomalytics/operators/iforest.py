@@ -23,6 +23,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -56,20 +57,35 @@ def feature_table(df: DataFrame, features=config.FEATURE_COLUMNS, id_col: str =
     return df.select(id_col, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in features])
 
 
-def standardize(df: DataFrame, features=config.FEATURE_COLUMNS, id_col: str = "order_id",
-                keep: tuple[str, ...] = ()) -> DataFrame:
-    """(x - mean) / population std per feature; a constant feature is divided by 1."""
-    aggs = []
+@dataclass(frozen=True)
+class Scaler:
+    """D2 fitted: per-feature mean and scale (population std; 1 for a constant feature)."""
+    features: tuple[str, ...]
+    means: tuple[float, ...]
+    scales: tuple[float, ...]
+    n: int
+
+    def columns(self) -> list:
+        return [((F.col(c) - F.lit(m)) / F.lit(s)).alias(c) for c, m, s in zip(self.features, self.means, self.scales)]
+
+
+def fit_scaler(df: DataFrame, features=config.FEATURE_COLUMNS) -> Scaler:
+    """One aggregation pass: count, mean and population std of every feature."""
+    features = tuple(features)
+    aggs = [F.count(F.lit(1)).alias("n")]
     for c in features:
         aggs += [F.avg(c).alias(f"m_{c}"), F.stddev_pop(c).alias(f"s_{c}")]
     m = df.agg(*aggs).first()
-    cols = []
-    for c in features:
-        std = m[f"s_{c}"]
-        scale = std if std and std > 0 else 1.0
-        mean = m[f"m_{c}"] or 0.0
-        cols.append(((F.col(c) - F.lit(mean)) / F.lit(scale)).alias(c))
-    return df.select(id_col, *keep, *cols)
+    means = tuple(float(m[f"m_{c}"] or 0.0) for c in features)
+    scales = tuple(float(m[f"s_{c}"]) if m[f"s_{c}"] and m[f"s_{c}"] > 0 else 1.0 for c in features)
+    return Scaler(features, means, scales, int(m["n"]))
+
+
+def standardize(df: DataFrame, features=config.FEATURE_COLUMNS, id_col: str = "order_id",
+                keep: tuple[str, ...] = (), scaler: Scaler | None = None) -> DataFrame:
+    """(x - mean) / population std per feature; a constant feature is divided by 1."""
+    sc = scaler or fit_scaler(df, features)
+    return df.select(id_col, *keep, *sc.columns())
 
 
 _BITS = 1 << 62
@@ -210,8 +226,14 @@ class ForestArrays:
 
 
 def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COLUMNS,
-          id_col: str = "order_id", out: str = "anomaly_probability") -> DataFrame:
-    """Append the anomaly score s in (0, 1] to every row of ``df`` (all columns kept)."""
+          id_col: str = "order_id", out: str = "anomaly_probability",
+          scaler: Scaler | None = None) -> DataFrame:
+    """Append the anomaly score s in (0, 1] to every row of ``df`` (all columns kept).
+
+    A map-only step: with a ``scaler``, rows are taken as raw features (nulls
+    -> 0, as D1) and standardised inside the task with the scaler's scalars,
+    so scoring needs no join back to the input.
+    """
     features = tuple(features)
     ship_package(df.sparkSession)
     trees = model.select(F.max("tree").alias("t"), F.count(F.lit(1)).alias("n")).first()
@@ -220,15 +242,25 @@ def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COL
         raise ValueError(f"forest has {trees['n']} nodes, more than the bound {bound}")
     nodes = model.toPandas()   # checked above: at most n_trees * (2 * psi - 1) rows
     forest = ForestArrays(nodes, psi)
+    tmp = [f"_x{i}" for i in range(len(features))]
+    if scaler is None:
+        inputs = [F.col(c).cast("double").alias(t) for c, t in zip(features, tmp)]
+    else:
+        inputs = [
+            ((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s)).alias(t)
+            for c, m, s, t in zip(features, scaler.means, scaler.scales, tmp)
+        ]
+    wide = df.select("*", *inputs)
     out_schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType(), True)])
 
     def run(batches):
         for pdf in batches:
-            X = pdf[list(features)].to_numpy(dtype=float)
+            X = pdf[tmp].to_numpy(dtype=float)
+            pdf = pdf.drop(columns=tmp)
             pdf[out] = forest.scores(X) if len(pdf) else np.zeros(0)
             yield pdf
 
-    return df.mapInPandas(run, schema=out_schema)
+    return wide.mapInPandas(run, schema=out_schema)
 
 
 def label(scored: DataFrame, contamination: float = config.CONTAMINATION,

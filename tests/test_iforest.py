@@ -87,3 +87,15 @@ def test_affine_change_keeps_ranking(planted):
     a = z1.orderBy("order_id").toPandas()
     b = z2.orderBy("order_id").toPandas()
     assert np.allclose(a[list(FEATS)].to_numpy(), b[list(FEATS)].to_numpy(), atol=1e-9)
+
+
+def test_in_task_scaling_equals_spark_scaling(planted):
+    df, _ = planted
+    scaler = iforest.fit_scaler(df, FEATS)
+    z = iforest.standardize(df, FEATS, scaler=scaler)
+    model = iforest.fit(z, FEATS, n_trees=20, seed=7)
+    a = iforest.score(z, model, 256, FEATS).select("order_id", "anomaly_probability").toPandas()
+    b = iforest.score(df, model, 256, FEATS, scaler=scaler).select("order_id", "anomaly_probability").toPandas()
+    a = a.sort_values("order_id").reset_index(drop=True)
+    b = b.sort_values("order_id").reset_index(drop=True)
+    assert np.array_equal(a["anomaly_probability"].to_numpy(), b["anomaly_probability"].to_numpy())
