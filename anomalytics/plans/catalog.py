@@ -399,8 +399,11 @@ def category_anomalies(spark, sf_dir):
 def seller_anomalies(spark, sf_dir):
     from anomalytics.operators import roadmap
 
+    from anomalytics.session import materialize
+
     t = Workspace.get(spark, sf_dir).tables
-    perf = reports.seller_performance(t["order_items"], t["sellers"])
+    # one row per seller, written once: statistics (two passes) and the output read it, not the line items
+    perf = materialize(reports.seller_performance(t["order_items"], t["sellers"]), "sellers")
     return round6(roadmap.seller_anomalies(perf), "revenue_zscore")
 
 
