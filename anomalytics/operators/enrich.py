@@ -4,10 +4,13 @@ Shape of the plan: items and payments are pre-aggregated per ``order_id``
 (partial + final hash aggregation, so a hot order is combined map-side before
 the shuffle), then joined 1:1 to the filtered orders. Both aggregates come out
 hash-partitioned on ``order_id``, so the two order joins share one partitioning
-and only ``orders`` is shuffled to meet them. The customer lookup is a plain
-left join; Spark broadcasts it only when its measured size is under the
-broadcast threshold (AQE re-checks at run time) and otherwise sort-merges,
-with AQE splitting a skewed customer partition.
+and only ``orders`` is shuffled to meet them. The per-order aggregates have one
+row per order, so they grow with the data: they carry a sort-merge hint and are
+never broadcast, whatever the size estimate says (the static estimate of an
+aggregate is a guess; a broadcast of it would run through the driver). The
+customer lookup is a plain left join; Spark broadcasts it only when its
+measured size is under the broadcast threshold (AQE re-checks at run time) and
+otherwise sort-merges, with AQE splitting a skewed customer partition.
 """
 
 from __future__ import annotations
@@ -69,6 +72,11 @@ def payments_by_order(order_payments: DataFrame) -> DataFrame:
     )
 
 
+def per_order(df: DataFrame) -> DataFrame:
+    """A per-order aggregate as a join side: shuffled on ``order_id`` (sort-merge), never broadcast."""
+    return df.hint("merge")
+
+
 def delivered(orders: DataFrame) -> DataFrame:
     """status filter; pushed into the scan by Catalyst."""
     return orders.where(F.col("order_status") == F.lit(config.DELIVERED_STATUS))
@@ -106,8 +114,8 @@ def enriched_orders(tables: dict[str, DataFrame], amount_mode: str = WITH_FREIGH
         F.hour(t).alias("hour_of_day"),
         F.weekofyear(t).alias("week_of_year"),
     )
-    items = items_by_order(tables["order_items"], amount_mode)
-    payments = payments_by_order(tables["order_payments"])
+    items = per_order(items_by_order(tables["order_items"], amount_mode))
+    payments = per_order(payments_by_order(tables["order_payments"]))
     customers = tables["customers"].select(
         "customer_id", "customer_city", "customer_state", "customer_zip_code_prefix"
     )
@@ -130,13 +138,13 @@ def orders_features(tables: dict[str, DataFrame]) -> DataFrame:
         "order_id", "customer_id", "order_purchase_timestamp",
         F.hour(t).alias("hour_of_day"), day_of_week0(t).alias("day_of_week"),
     )
-    items = tables["order_items"].groupBy("order_id").agg(
+    items = per_order(tables["order_items"].groupBy("order_id").agg(
         F.count(F.lit(1)).alias("total_items"),
         F.sum(F.col("price") + F.col("freight_value")).alias("total_amount"),
-    )
-    payments = tables["order_payments"].groupBy("order_id").agg(
+    ))
+    payments = per_order(tables["order_payments"].groupBy("order_id").agg(
         F.max("payment_installments").alias("payment_installments")
-    )
+    ))
     customers = tables["customers"].select("customer_id", "customer_state")
     return (
         orders.join(items, "order_id", "left")

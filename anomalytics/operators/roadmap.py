@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from anomalytics import config
 from anomalytics.functions.columns import count_when, pct
 from anomalytics.operators import stats as stats_op
+from anomalytics.operators.enrich import per_order
 
 
 def category_anomalies(flags: DataFrame, order_items: DataFrame, products: DataFrame) -> DataFrame:
@@ -15,7 +16,8 @@ def category_anomalies(flags: DataFrame, order_items: DataFrame, products: DataF
 
     Items are reduced to distinct (order, category) pairs before meeting the
     flag table, so an order with many items in one category counts once and
-    the join input shrinks first.
+    the join input shrinks first. Both sides grow with the orders, so the join
+    is a sort-merge join on ``order_id`` (never a broadcast).
     """
     p = products.select(F.col("product_id").alias("p_id"), "product_category_name")
     pairs = (
@@ -25,7 +27,7 @@ def category_anomalies(flags: DataFrame, order_items: DataFrame, products: DataF
         .distinct()
     )
     f = flags.select("order_id", (F.col("amount_flag") != F.lit(config.LABEL_NORMAL)).alias("_anom"))
-    g = pairs.join(f, "order_id").groupBy("product_category_name").agg(
+    g = pairs.join(per_order(f), "order_id").groupBy("product_category_name").agg(
         F.count(F.lit(1)).alias("order_count"),
         count_when(F.col("_anom")).alias("anomaly_count"),
     )

@@ -62,3 +62,14 @@ def test_column_pruning_reaches_scan(spark, tmp_dir):
     plan = _plan(enrich.items_by_order(tables["order_items"]))
     scan = [l for l in plan.split("\n") if "ReadSchema" in l][0]
     assert "product_id" not in scan and "seller_id" not in scan
+
+
+def test_per_order_aggregates_never_broadcast_under_aqe(spark):
+    # default threshold and AQE on: the aggregates are small here, yet they grow with the data, so they are shuffled
+    e = enrich.enriched_orders(adapters.testdata_tables(spark, SF))
+    e.collect()
+    full = e._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in full
+    plan = full.split("== Initial Plan ==")[0]
+    assert plan.count("SortMergeJoin [order_id") == 2
+    assert plan.count("BroadcastExchange") == plan.count("BroadcastHashJoin [c_nationkey") + plan.count("BroadcastHashJoin [customer_id")
