@@ -264,9 +264,12 @@ def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COL
 
 
 def label(scored: DataFrame, contamination: float = config.CONTAMINATION,
-          col: str = "anomaly_probability") -> tuple[DataFrame, float]:
-    """Cut at the exact (1 - contamination) quantile: label -1 (anomaly) / 1 and a boolean."""
-    (cut,) = exact_percentiles(scored, col, [1.0 - contamination])
+          col: str = "anomaly_probability", n: int | None = None) -> tuple[DataFrame, float]:
+    """Cut at the exact (1 - contamination) quantile: label -1 (anomaly) / 1 and a boolean.
+
+    ``n``, when known, is the number of scored rows (every row gets a score), which saves a count.
+    """
+    (cut,) = exact_percentiles(scored, col, [1.0 - contamination], n=n)
     is_anom = F.col(col) > F.lit(cut)
     return scored.select(
         "*",

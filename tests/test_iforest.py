@@ -99,3 +99,16 @@ def test_in_task_scaling_equals_spark_scaling(planted):
     a = a.sort_values("order_id").reset_index(drop=True)
     b = b.sort_values("order_id").reset_index(drop=True)
     assert np.array_equal(a["anomaly_probability"].to_numpy(), b["anomaly_probability"].to_numpy())
+
+
+def test_pool_path_full_samples_and_partition_free(planted):
+    # 4 * T * psi = 384 < n = 2020, so the uniform pool is drawn and written before the per-tree samples
+    df, _ = planted
+    fits = []
+    for parts in (1, 5):
+        nodes = iforest.fit(df.repartition(parts), FEATS, n_trees=3, max_samples=32, seed=11).toPandas()
+        fits.append(nodes.sort_values(["tree", "node"]).reset_index(drop=True))
+    pd.testing.assert_frame_equal(fits[0], fits[1])
+    leaves = fits[0][fits[0]["leaf"]]
+    assert leaves.groupby("tree")["size"].sum().tolist() == [32, 32, 32]
+    assert fits[0].groupby("tree").size().max() <= 2 * 32 - 1
