@@ -79,7 +79,7 @@ def with_isolation_forest(df: DataFrame, contamination: float = config.CONTAMINA
     psi = min(max_samples, scaler.n)
     model = materialize(iforest.fit(z, features, id_col, n_trees, max_samples, seed, n=scaler.n))
     # score every input row in place (map-only, no join back), written once for the cut and the reports
-    scored = materialize(iforest.score(df, model, psi, features, id_col, scaler=scaler))
+    scored = materialize(iforest.score(df, model, psi, features, id_col, scaler=scaler, n_trees=n_trees))
     labelled, cut = iforest.label(scored, contamination, n=scaler.n)
     return ForestResult(labelled, model, cut, psi)
 

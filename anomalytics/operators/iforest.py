@@ -227,7 +227,7 @@ class ForestArrays:
 
 def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COLUMNS,
           id_col: str = "order_id", out: str = "anomaly_probability",
-          scaler: Scaler | None = None) -> DataFrame:
+          scaler: Scaler | None = None, n_trees: int = config.N_TREES) -> DataFrame:
     """Append the anomaly score s in (0, 1] to every row of ``df`` (all columns kept).
 
     A map-only step: with a ``scaler``, rows are taken as raw features (nulls
@@ -236,11 +236,12 @@ def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COL
     """
     features = tuple(features)
     ship_package(df.sparkSession)
-    trees = model.select(F.max("tree").alias("t"), F.count(F.lit(1)).alias("n")).first()
-    bound = (int(trees["t"]) + 1) * (2 * psi - 1)
-    if trees["n"] > bound:   # a tree of psi leaves has at most 2 * psi - 1 nodes
-        raise ValueError(f"forest has {trees['n']} nodes, more than the bound {bound}")
-    nodes = model.toPandas()   # checked above: at most n_trees * (2 * psi - 1) rows
+    # a tree of psi leaves has at most 2 * psi - 1 nodes, and tree ids are 0 .. n_trees - 1: fetch at most
+    # one row past the bound, so a malformed model is refused without ever being collected whole
+    bound = n_trees * (2 * psi - 1)
+    nodes = model.limit(bound + 1).toPandas()
+    if len(nodes) > bound or (len(nodes) and int(nodes["tree"].max()) >= n_trees):
+        raise ValueError(f"forest has more than {n_trees} trees or {bound} nodes")
     forest = ForestArrays(nodes, psi)
     tmp = [f"_x{i}" for i in range(len(features))]
     if scaler is None:

@@ -411,14 +411,14 @@ def seller_anomalies(spark, sf_dir):
 def stream_flags(spark, sf_dir):
     from anomalytics.streaming import detection
 
-    return detection.stream_flags(spark, sf_dir).output
+    return detection.stream_flags(spark, sf_dir, Workspace.get(spark, sf_dir).event_stats).output
 
 
 @query("stream_window_rates")
 def stream_window_rates(spark, sf_dir):
     from anomalytics.streaming import detection
 
-    return detection.stream_window_rates(spark, sf_dir).output
+    return detection.stream_window_rates(spark, sf_dir, Workspace.get(spark, sf_dir).event_stats).output
 
 
 # ---- SQL surface: report SQL over the registered analysis views ---------------------------

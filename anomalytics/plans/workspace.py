@@ -102,6 +102,11 @@ class Workspace:
         df = df.withColumn(Z_FLAG, stats_op.zscore_flag("amount_zscore"))
         return detector.with_anomaly_type(df, Z_FLAG, detector.IQR)
 
+    @cached_property
+    def event_stats(self) -> stats_op.ColumnStats:
+        """Statistics of the events' value, computed in batch once; the streams flag against them."""
+        return stats_op.column_stats(self.raw("events"), "value")
+
     @cached_property
     def forest(self) -> detector.ForestResult:
         return detector.with_isolation_forest(self.features)

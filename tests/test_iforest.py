@@ -112,3 +112,15 @@ def test_pool_path_full_samples_and_partition_free(planted):
     leaves = fits[0][fits[0]["leaf"]]
     assert leaves.groupby("tree")["size"].sum().tolist() == [32, 32, 32]
     assert fits[0].groupby("tree").size().max() <= 2 * 32 - 1
+
+
+def test_oversized_model_is_refused(spark, planted):
+    df, _ = planted
+    # psi = 2 and one tree allow at most 3 nodes; a 4-node table is refused before it is used
+    rows = [(0, k, -1, 0.0, -1, -1, 1, 0, True) for k in range(4)]
+    model = spark.createDataFrame(rows, iforest.NODE_SCHEMA)
+    with pytest.raises(ValueError):
+        iforest.score(df, model, 2, FEATS, n_trees=1)
+    with pytest.raises(ValueError):   # a tree id beyond n_trees
+        iforest.score(df, model.where("node = 0").selectExpr("1 AS tree", "node", "feature", "threshold", "left",
+                                                             "right", "size", "depth", "leaf"), 2, FEATS, n_trees=1)
