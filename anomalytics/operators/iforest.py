@@ -174,7 +174,11 @@ def fit(df: DataFrame, features=config.FEATURE_COLUMNS, id_col: str = "order_id"
         if frac >= 1.0 or sample.count() == n_trees * psi:
             break
         frac = min(1.0, frac * 2)   # a tree drew fewer than psi candidates: widen and redraw
-    return sample.groupBy("tree").applyInPandas(
+    # The sample is small in bytes (T * psi rows at any data size), so AQE would coalesce its shuffle into one
+    # task and grow every tree in one Python worker. A repartition to a fixed number of partitions is not
+    # coalesced: the trees are spread over up to T tasks, and groupBy("tree") reuses that partitioning.
+    parts = max(1, min(n_trees, df.sparkSession.sparkContext.defaultParallelism))
+    return sample.repartition(parts, "tree").groupBy("tree").applyInPandas(
         lambda pdf: _grow(pdf, features, seed, max_depth, id_col), schema=NODE_SCHEMA
     )
 
