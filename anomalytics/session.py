@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -79,10 +80,24 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
-def use_utc(spark: SparkSession) -> None:
-    """All timestamps are wall-clock times; streaming windows need the UTC session zone."""
-    if spark.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z"):
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+@contextmanager
+def utc_session(spark: SparkSession):
+    """Run a block with the session time zone set to UTC, then restore the caller's zone.
+
+    Event times are wall-clock TIMESTAMP_NTZ values, but a stream's watermark
+    needs TIMESTAMP, and NTZ -> TIMESTAMP casts and 1-day windows follow the
+    session zone. Inside the block the cast is exact (no daylight-saving gaps or
+    overlaps). A started stream runs on its own clone of the session, and the
+    time zone of a cast is fixed when the plan is analysed, so restoring the
+    zone afterwards changes neither a running stream nor a built DataFrame.
+    """
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "UTC")
+    try:
+        yield spark
+    finally:
+        spark.conf.set(key, before)
 
 
 def env_int(name: str, default: int) -> int:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from anomalytics import config
 from anomalytics.operators.stats import ColumnStats, column_stats, iqr_flag, unguarded_zscore
-from anomalytics.session import scratch_path, use_utc
+from anomalytics.session import scratch_path, utc_session
 
 HIGH_VALUE = "HIGH_VALUE"
 LOW_VALUE = "LOW_VALUE"
@@ -35,7 +35,6 @@ class StreamRun:
 def event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
                  max_files_per_trigger: int | None = None) -> DataFrame:
     """Events as a stream of parquet files (schema taken from the existing files)."""
-    use_utc(spark)
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
     reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:
@@ -75,12 +74,17 @@ def stream_flags(spark: SparkSession, folder: str, stats: ColumnStats | None = N
     if stats is None:
         batch = spark.read.option("pathGlobFilter", "events.parquet").parquet(folder)
         stats = column_stats(batch, "value")
-    return _run(flag_events(event_stream(spark, folder), stats), "stream-flags")
+    with utc_session(spark):
+        return _run(flag_events(event_stream(spark, folder), stats), "stream-flags")
 
 
 def windowed_rates(events: DataFrame, stats: ColumnStats, window: str = "1 day",
                    delay: str = "1 hour") -> DataFrame:
-    """R3 logic: per (event-time window, event_type): events, outliers, outlier rate."""
+    """R3 logic: per (event-time window, event_type): events, outliers, outlier rate.
+
+    Build it inside ``utc_session`` (as ``stream_window_rates`` does) so that
+    windows are wall-clock days whatever the caller's session zone is.
+    """
     k = config.IQR_MULTIPLIER
     t = events.withColumn("event_time", F.col("ts").cast("timestamp"))
     out = F.coalesce(iqr_flag("value", stats.q1, stats.q3, k), F.lit(False))
@@ -103,4 +107,5 @@ def stream_window_rates(spark: SparkSession, folder: str, stats: ColumnStats | N
     if stats is None:
         batch = spark.read.option("pathGlobFilter", "events.parquet").parquet(folder)
         stats = column_stats(batch, "value")
-    return _run(windowed_rates(event_stream(spark, folder), stats, window, delay), "stream-windows")
+    with utc_session(spark):   # windows are wall-clock days; see utc_session
+        return _run(windowed_rates(event_stream(spark, folder), stats, window, delay), "stream-windows")

@@ -49,3 +49,15 @@ def test_late_rows_beyond_watermark_are_dropped(spark, tmp_dir):
     rows = spark.sql("SELECT * FROM late_test").collect()
     day1 = [r for r in rows if r["window_start"] == day]
     assert len(day1) == 1 and day1[0]["n_events"] == 2   # the late row did not reopen day 1
+
+
+def test_window_rates_independent_of_caller_zone_and_zone_restored(spark):
+    key = "spark.sql.session.timeZone"
+    base = sorted(map(tuple, detection.stream_window_rates(spark, SF).output.collect()))
+    spark.conf.set(key, "America/Sao_Paulo")
+    try:
+        other = sorted(map(tuple, detection.stream_window_rates(spark, SF).output.collect()))
+        assert spark.conf.get(key) == "America/Sao_Paulo"   # the caller's zone is back
+    finally:
+        spark.conf.set(key, "UTC")
+    assert other == base and base
