@@ -44,7 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the session.
 
     On a cluster ``spark.checkpoint.dir`` names a shared folder; it is only
-    set here when the session has none (local tests).
+    set here when the session has none, and only in local mode (tests): a
+    machine-local temporary folder would leave written tables on whichever
+    executor wrote them, so a cluster session without the setting is refused.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -52,11 +54,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not is_local(spark):
+            raise ValueError(
+                "set spark.checkpoint.dir to a folder every executor can reach (written tables and stream "
+                "checkpoints are kept there); a machine-local temporary folder does not work on a cluster"
+            )
         conf_dir = tempfile.mkdtemp(prefix="anomalytics-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
 
 
+def is_local(spark: SparkSession) -> bool:
+    """True for a single-JVM session (master ``local``, ``local[n]``, ``local[*]``, ``local[n,m]``)."""
+    return spark.sparkContext.master.startswith("local")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint folder (for sinks and stream state)."""
     base = ensure_checkpoint_dir(spark)

@@ -37,3 +37,26 @@ def test_kept_enriched_table_is_read_from_written_files(spark):
     assert files and all(f.startswith(folder.rstrip("/") + "/") for f in files)
     plan = ws.flags._jdf.queryExecution().executedPlan().toString()
     assert "lineitem" not in plan            # lineage is cut: reports never go back to the raw tables
+
+
+def test_cluster_session_without_shared_folder_is_refused():
+    import pytest
+
+    from anomalytics import session as sess
+
+    class FakeContext:
+        master = "spark://cluster:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class FakeConf:
+        def get(self, key, default=None):
+            return default
+
+    class FakeSession:
+        sparkContext = FakeContext()
+        conf = FakeConf()
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        sess.ensure_checkpoint_dir(FakeSession())
