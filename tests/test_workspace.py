@@ -60,3 +60,11 @@ def test_cluster_session_without_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         sess.ensure_checkpoint_dir(FakeSession())
+
+
+def test_detector_statistics_equal_a_direct_pass(spark):
+    from anomalytics.operators import stats as stats_op
+
+    for folder in (SF, "/root/testdata/sf0.01"):
+        ws = Workspace(spark, folder)
+        assert ws.detector_stats == stats_op.column_stats(ws.features, "total_amount")
