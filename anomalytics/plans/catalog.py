@@ -272,7 +272,7 @@ def iforest_summary_stats(spark, sf_dir):
 def score_histogram(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
     rows = ws.detector_ml
-    return dashboard.histogram(dashboard.filter_orders(rows, **dashboard.default_filters(rows)),
+    return dashboard.histogram(dashboard.filter_orders(rows, **ws.default_filters),
                                "anomaly_probability", "anomaly_type")
 
 
@@ -302,7 +302,7 @@ def detector_monthly_trends(spark, sf_dir):
 
 def _filtered(ws: Workspace):
     rows = ws.detector_z
-    return dashboard.filter_orders(rows, **dashboard.default_filters(rows))
+    return dashboard.filter_orders(rows, **ws.default_filters)
 
 
 @query("kpi_metrics")
@@ -338,8 +338,8 @@ def filtered_orders_by_state_type(spark, sf_dir):
 
 @query("filter_counts")
 def filter_counts(spark, sf_dir):
-    rows = Workspace.get(spark, sf_dir).detector_z
-    return dashboard.filter_counts(rows, **dashboard.default_filters(rows))
+    ws = Workspace.get(spark, sf_dir)
+    return dashboard.filter_counts(ws.detector_z, **ws.default_filters)
 
 
 @query("amount_histogram")

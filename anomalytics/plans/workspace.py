@@ -110,6 +110,17 @@ class Workspace:
         df = df.withColumn(Z_FLAG, stats_op.zscore_flag("amount_zscore"))
         return detector.with_anomaly_type(df, Z_FLAG, detector.IQR)
 
+    @cached_property
+    def default_filters(self) -> dict:
+        """The dashboard's initial filter values (amount [min, p99], all dates), computed once.
+
+        They depend only on the amount and the purchase time of the detector
+        rows, which every detector variant (z-score or forest flag) shares.
+        """
+        from anomalytics.operators import dashboard
+
+        return dashboard.default_filters(self.features)
+
     @cached_property
     def event_stats(self) -> stats_op.ColumnStats:
         """Statistics of the events' value, computed in batch once; the streams flag against them."""

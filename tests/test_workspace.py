@@ -68,3 +68,10 @@ def test_detector_statistics_equal_a_direct_pass(spark):
     for folder in (SF, "/root/testdata/sf0.01"):
         ws = Workspace(spark, folder)
         assert ws.detector_stats == stats_op.column_stats(ws.features, "total_amount")
+
+
+def test_kept_dashboard_bounds_equal_bounds_of_the_detector_rows(spark):
+    from anomalytics.operators import dashboard
+
+    ws = Workspace(spark, SF)
+    assert ws.default_filters == dashboard.default_filters(ws.detector_z)
