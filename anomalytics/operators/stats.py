@@ -20,7 +20,7 @@ from anomalytics.operators.quantiles import exact_percentiles
 
 @dataclass(frozen=True)
 class GlobalStats:
-    """A1: statistics of the rows that have an amount."""
+    """A1: statistics of the rows that have an amount (Q3's min, max, median and p99 come from the same passes)."""
     n: int
     mean_amount: float | None
     std_amount: float | None
@@ -30,30 +30,49 @@ class GlobalStats:
     std_items: float | None
     mean_installments: float | None
     std_installments: float | None
+    min_amount: float | None = None
+    max_amount: float | None = None
+    median_amount: float | None = None
+    p99_amount: float | None = None
+
+    A1_FIELDS = ("mean_amount", "std_amount", "q1", "q3", "mean_items", "std_items",
+                 "mean_installments", "std_installments")
 
     def as_frame(self, spark: SparkSession) -> DataFrame:
-        d = asdict(self)
-        d.pop("n")
-        schema = ", ".join(f"{k} double" for k in d)
-        return spark.createDataFrame([tuple(d.values())], schema)
+        """A1 as one row (the v_global_stats columns)."""
+        schema = ", ".join(f"{k} double" for k in self.A1_FIELDS)
+        return spark.createDataFrame([tuple(getattr(self, k) for k in self.A1_FIELDS)], schema)
+
+    def amount_summary(self, spark: SparkSession) -> DataFrame:
+        """Q3 as one row."""
+        return spark.createDataFrame(
+            [(self.n, self.mean_amount, self.std_amount, self.min_amount, self.max_amount,
+              self.q1, self.median_amount, self.q3, self.p99_amount)],
+            "total_orders bigint, avg_order_amount double, std_order_amount double, min_order_amount double, "
+            "max_order_amount double, q1_amount double, median_amount double, q3_amount double, p99_amount double",
+        )
 
 
 def global_stats(enriched: DataFrame, amount: str = "total_amount") -> GlobalStats:
+    """A1 (and Q3) in two distributed passes: moments and extremes, then the exact quantiles."""
     rows = enriched.where(F.col(amount).isNotNull())
     m = rows.agg(
         F.count(F.lit(1)).alias("n"),
         mean_decimal(amount).alias("mean_amount"),
         F.stddev_samp(F.col(amount).cast("double")).alias("std_amount"),
+        F.min(amount).cast("double").alias("min_amount"),
+        F.max(amount).cast("double").alias("max_amount"),
         mean_decimal("total_items").alias("mean_items"),
         F.stddev_samp(F.col("total_items").cast("double")).alias("std_items"),
         mean_decimal("payment_installments").alias("mean_installments"),
         F.stddev_samp(F.col("payment_installments").cast("double")).alias("std_installments"),
     ).first()
-    q1, q3 = exact_percentiles(rows, amount, [0.25, 0.75], n=m["n"])
+    q1, median, q3, p99 = exact_percentiles(rows, amount, [0.25, 0.5, 0.75, 0.99], n=m["n"])
     return GlobalStats(
         n=m["n"], mean_amount=m["mean_amount"], std_amount=m["std_amount"], q1=q1, q3=q3,
         mean_items=m["mean_items"], std_items=m["std_items"],
         mean_installments=m["mean_installments"], std_installments=m["std_installments"],
+        min_amount=m["min_amount"], max_amount=m["max_amount"], median_amount=median, p99_amount=p99,
     )
 
 
@@ -136,20 +155,5 @@ def zscore_flag(z, limit: float = config.ZSCORE_OUTLIER) -> Column:
 
 
 def amount_summary(enriched: DataFrame, amount: str = "total_amount") -> DataFrame:
-    """Q3: count, mean, sample std, min, max, q1, median, q3, p99 of the amount."""
-    rows = enriched.where(F.col(amount).isNotNull())
-    m = rows.agg(
-        F.count(F.lit(1)).alias("total_orders"),
-        mean_decimal(amount).alias("avg_order_amount"),
-        F.stddev_samp(F.col(amount).cast("double")).alias("std_order_amount"),
-        F.min(amount).cast("double").alias("min_order_amount"),
-        F.max(amount).cast("double").alias("max_order_amount"),
-    ).first()
-    qs = exact_percentiles(rows, amount, [0.25, 0.5, 0.75, 0.99], n=m["total_orders"])
-    spark = enriched.sparkSession
-    return spark.createDataFrame(
-        [(m["total_orders"], m["avg_order_amount"], m["std_order_amount"], m["min_order_amount"],
-          m["max_order_amount"], *qs)],
-        "total_orders bigint, avg_order_amount double, std_order_amount double, min_order_amount double, "
-        "max_order_amount double, q1_amount double, median_amount double, q3_amount double, p99_amount double",
-    )
+    """Q3: count, mean, sample std, min, max, q1, median, q3, p99 of the amount (the passes of A1)."""
+    return global_stats(enriched, amount).amount_summary(enriched.sparkSession)

@@ -75,3 +75,18 @@ def test_kept_dashboard_bounds_equal_bounds_of_the_detector_rows(spark):
 
     ws = Workspace(spark, SF)
     assert ws.default_filters == dashboard.default_filters(ws.detector_z)
+
+
+def test_amount_summary_matches_numpy(spark):
+    import numpy as np
+
+    from anomalytics.operators import stats as stats_op
+
+    amounts = [100.0, 101.5, 102.0, 250.0, 1.0, 500.25, 103.0, None]
+    rows = [(i, a, i % 3 + 1, i % 5 + 1) for i, a in enumerate(amounts)]
+    df = spark.createDataFrame(rows, "order_id int, total_amount double, total_items int, payment_installments int")
+    got = stats_op.amount_summary(df).first()
+    x = np.array([a for a in amounts if a is not None])
+    want = [len(x), x.mean(), x.std(ddof=1), x.min(), x.max(), *np.percentile(x, [25, 50, 75, 99])]
+    assert got[0] == len(x)
+    assert np.allclose(list(got)[1:], want[1:], rtol=1e-12, atol=0)
