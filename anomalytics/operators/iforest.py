@@ -208,22 +208,40 @@ class ForestArrays:
         self.max_depth = int(nodes["depth"].max())
         self.c_psi = float(average_path_length(np.array([psi]))[0]) or 1.0
 
-    def path_lengths(self, X: np.ndarray) -> np.ndarray:
-        """Mean path length of each row over all trees (vectorised walk)."""
-        rows = np.arange(X.shape[0])
-        total = np.zeros(X.shape[0])
-        for t in range(self.n_trees):
-            node = np.zeros(X.shape[0], dtype=np.int64)
+    def path_lengths(self, X: np.ndarray, chunk: int = 4096) -> np.ndarray:
+        """Mean path length of each row over all trees.
+
+        All trees are walked together, one level per step, on (rows x trees)
+        arrays of flat indices into the node table (``np.take`` on raveled
+        arrays), in chunks of ``chunk`` rows so memory stays bounded. Leaf
+        lengths are added tree by tree, so results are bit-identical to a
+        per-tree walk.
+        """
+        width = self.feature.shape[1]
+        feature, threshold = self.feature.ravel(), self.threshold.ravel()
+        left, right, leaf, leaf_len = self.left.ravel(), self.right.ravel(), self.leaf.ravel(), self.leaf_len.ravel()
+        base = (np.arange(self.n_trees) * width)[None, :]
+        out = np.empty(X.shape[0])
+        for start in range(0, X.shape[0], chunk):
+            x = np.ascontiguousarray(X[start:start + chunk])
+            n, n_features = x.shape
+            cells = x.ravel()
+            row_base = (np.arange(n) * n_features)[:, None]
+            node = np.zeros((n, self.n_trees), dtype=np.int64)
             for _ in range(self.max_depth):
-                feat = self.feature[t, node]
-                inner = ~self.leaf[t, node]
+                at = base + node
+                inner = ~np.take(leaf, at)
                 if not inner.any():
                     break
-                val = X[rows, np.where(inner, feat, 0)]
-                nxt = np.where(val < self.threshold[t, node], self.left[t, node], self.right[t, node])
+                val = np.take(cells, row_base + np.where(inner, np.take(feature, at), 0))
+                nxt = np.where(val < np.take(threshold, at), np.take(left, at), np.take(right, at))
                 node = np.where(inner, nxt, node)
-            total += self.leaf_len[t, node]
-        return total / self.n_trees
+            lengths = np.take(leaf_len, base + node)
+            total = np.zeros(n)
+            for t in range(self.n_trees):
+                total += lengths[:, t]
+            out[start:start + chunk] = total / self.n_trees
+        return out
 
     def scores(self, X: np.ndarray) -> np.ndarray:
         return np.power(2.0, -self.path_lengths(X) / self.c_psi)
