@@ -119,7 +119,8 @@ class Workspace:
         """
         from anomalytics.operators import dashboard
 
-        return dashboard.default_filters(self.features)
+        # the detector rows are the rows A1 counts (enriched rows with an amount)
+        return dashboard.default_filters(self.features, n=self.stats.n)
 
     @cached_property
     def event_stats(self) -> stats_op.ColumnStats:
