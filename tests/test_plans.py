@@ -66,10 +66,13 @@ def test_column_pruning_reaches_scan(spark, tmp_dir):
 
 def test_per_order_aggregates_never_broadcast_under_aqe(spark):
     # default threshold and AQE on: the aggregates are small here, yet they grow with the data, so they are shuffled
-    e = enrich.enriched_orders(adapters.testdata_tables(spark, SF))
-    e.collect()
-    full = e._jdf.queryExecution().executedPlan().toString()
-    assert "isFinalPlan=true" in full
-    plan = full.split("== Initial Plan ==")[0]
-    assert plan.count("SortMergeJoin [order_id") == 2
-    assert plan.count("BroadcastExchange") == plan.count("BroadcastHashJoin [c_nationkey") + plan.count("BroadcastHashJoin [customer_id")
+    tables = adapters.testdata_tables(spark, SF)
+    for e in (enrich.enriched_orders(tables), enrich.orders_features(tables)):
+        e.collect()
+        full = e._jdf.queryExecution().executedPlan().toString()
+        assert "isFinalPlan=true" in full
+        plan = full.split("== Initial Plan ==")[0]
+        assert plan.count("SortMergeJoin [order_id") == 2
+        # the only broadcasts left are the dimension lookups (nation into customers, customers into orders)
+        assert plan.count("BroadcastExchange") == (plan.count("BroadcastHashJoin [c_nationkey")
+                                                   + plan.count("BroadcastHashJoin [customer_id"))
