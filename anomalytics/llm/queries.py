@@ -7,13 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomalytics.llm import bpe, line_dedup, secret_scan, topk, url_filter, warc
-from anomalytics.llm.common import read_table
+from anomalytics.llm import bpe, decontaminate, language_id, line_dedup, lm_score, secret_scan, topk, url_filter, warc
+from anomalytics.llm.common import held_out, read_table
 from anomalytics.llm.list_history import captures_of, changes_of
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    model = language_id.fit(docs.where(~held_out("doc_id", 5)))
+    return language_id.identify(docs, model).select(
+        F.col("id").alias("doc_id"), held_out("id", 5).alias("held_out"), "lang_pred", "score")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -24,6 +31,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(captures_of(pages), changes_of(pages))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secret_scan(read_table(spark, sf_dir, "documents"))
     of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
@@ -43,6 +55,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_encode(docs, path, public_tokenizers.PATTERN, with_ids=False).withColumnRenamed("id", "doc_id")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_score.lm_score(read_table(spark, sf_dir, "documents"), ~held_out("doc_id", 10))
+    return scored.select(F.col("id").alias("doc_id"), held_out("id", 10).alias("held_out"), "n_tokens", "n_known",
+                         "train_tokens", "base_score", "score")
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.warc_round_trip(read_table(spark, sf_dir, "pages")).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -55,4 +73,6 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op3_topk, op4_url_filter, op6_secret_scan, op7_bpe, op9_warc, op10_line_dedup)}
+    return {f.__name__: f for f in (
+        op1_language_id, op3_topk, op4_url_filter, op5_decontaminate, op6_secret_scan, op7_bpe, op8_lm_score, op9_warc,
+        op10_line_dedup)}
