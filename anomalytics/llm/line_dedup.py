@@ -1,9 +1,7 @@
 """Line dedup with two Bloom filters: hashes seen once and hashes seen twice.
 
 1. Every task hashes the keys of its lines (each key once per document) and marks them in a once-seen and a
-   twice-seen filter. Filters are cut into segments, and a segment's parts are folded with
-   ``twice |= twice' | (once & once')``, ``once |= once'`` - any order of parts gives the same bits, and a key that
-   occurs twice anywhere always has all its bits in the folded twice-seen filter (no false negative).
+   twice-seen filter, which are folded over all tasks (``seen_twice``).
 2. Only lines that hit the twice-seen filter are shuffled, as (id, SHA-256 of the key).
 3. The suspects are counted exactly (distinct documents per key) and the keeper is chosen; documents then drop
    their lines of confirmed keys.
@@ -22,8 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from anomalytics.llm.common import ASCII_SPACE, lower_ascii, materialize, prepare
-
-SEGMENTS = 64
+from anomalytics.llm.seen_twice import collect_bits, fold, hits, marks
 
 
 def _line_keys(text: str | None, min_chars: int) -> list[bytes]:
@@ -39,82 +36,19 @@ def _hash64(keys: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join([hashlib.sha256(k).digest()[:8] for k in keys]), dtype="<u8")
 
 
-def _positions(hashes: np.ndarray, segment_bits: int) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The segment of each hash and its two bit positions in that segment."""
-    segment = (hashes >> np.uint64(58)).astype(np.int64)
-    mask = np.uint64(segment_bits - 1)
-    return segment, [(hashes & mask).astype(np.int64), ((hashes >> np.uint64(29)) & mask).astype(np.int64)]
-
-
-def _pack(positions: np.ndarray, segment_bits: int) -> bytes:
-    """Sorted positions while that is shorter than the bitmap, which then begins at its full length."""
-    positions = np.unique(positions)
-    if positions.size * 4 < segment_bits // 8:
-        return positions.astype("<u4").tobytes()
-    bits = np.zeros(segment_bits, dtype=np.uint8)
-    bits[positions] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def _unpack(data: bytes, segment_bits: int) -> np.ndarray:
-    if len(data) == segment_bits // 8:
-        return np.frombuffer(data, dtype=np.uint8)
-    bits = np.zeros(segment_bits, dtype=np.uint8)
-    bits[np.frombuffer(data, dtype="<u4")] = 1
-    return np.packbits(bits, bitorder="little")
-
-
-def twice_seen_filter(docs: DataFrame, id_col: str, text_col: str, min_chars: int, filter_bits: int) -> bytes:
-    """The folded twice-seen filter (``filter_bits / 8`` bytes)."""
-    segment_bits = filter_bits // SEGMENTS
-
+def twice_seen_filter(docs: DataFrame, text_col: str, min_chars: int, filter_bits: int) -> bytes:
+    """The folded twice-seen filter of all line keys (``filter_bits / 8`` bytes)."""
     def mark(batches):
-        found = []
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                keys = set(_line_keys(text, min_chars))
-                if keys:
-                    found.append(_hash64(list(keys)))
-        if not found:
-            return
-        hashes, counts = np.unique(np.concatenate(found), return_counts=True)
-        segment, bits = _positions(hashes, segment_bits)
-        for s in np.unique(segment):
-            here = segment == s
-            again = here & (counts > 1)
-            yield pa.RecordBatch.from_pydict({
-                "seg": pa.array([int(s)], pa.int32()),
-                "once": pa.array([_pack(np.concatenate([b[here] for b in bits]), segment_bits)], pa.binary()),
-                "twice": pa.array([_pack(np.concatenate([b[again] for b in bits]), segment_bits)], pa.binary())})
-
-    def fold(batches):
-        once, twice = {}, {}
-        for batch in batches:
-            for s, o, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                o, t = _unpack(o, segment_bits), _unpack(t, segment_bits)
-                if s in once:
-                    twice[s] |= t | (once[s] & o)
-                    once[s] |= o
-                else:
-                    once[s], twice[s] = o.copy(), t.copy()
-        for s in once:
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()),
-                                              "twice": pa.array([twice[s].tobytes()], pa.binary())})
-
-    parts = docs.select(text_col).mapInArrow(mark, "seg int, once binary, twice binary")
-    folded = parts.repartition(SEGMENTS, "seg").mapInArrow(fold, "seg int, twice binary")
-    bits = np.zeros(filter_bits // 8, dtype=np.uint8)
-    for row in folded.collect():                      # at most filter_bits / 8 bytes
-        at = row.seg * segment_bits // 8
-        bits[at:at + segment_bits // 8] = np.frombuffer(bytes(row.twice), dtype=np.uint8)
-    return bits.tobytes()
+        found = [_hash64(list(keys)) for batch in batches for text in batch.column(0).to_pylist()
+                 if (keys := set(_line_keys(text, min_chars)))]
+        yield from marks(np.concatenate(found) if found else np.empty(0, np.uint64), filter_bits)
+
+    return collect_bits(fold(docs.select(text_col), mark, filter_bits), filter_bits)
 
 
 def suspected_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int, filter_bits: int) -> DataFrame:
     """(id, key SHA-256) of each distinct key of a document that hits the twice-seen filter."""
-    segment_bits = filter_bits // SEGMENTS
-    shared = docs.sparkSession.sparkContext.broadcast(
-        twice_seen_filter(docs, id_col, text_col, min_chars, filter_bits))
+    shared = docs.sparkSession.sparkContext.broadcast(twice_seen_filter(docs, text_col, min_chars, filter_bits))
 
     def probe(batches):
         seen = np.frombuffer(shared.value, dtype=np.uint8)
@@ -124,13 +58,7 @@ def suspected_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
                 keys = list(set(_line_keys(text, min_chars)))
                 if not keys:
                     continue
-                hashes = _hash64(keys)
-                segment, bits = _positions(hashes, segment_bits)
-                hit = np.ones(len(keys), dtype=bool)
-                for b in bits:
-                    at = segment * segment_bits + b
-                    hit &= (seen[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                for k in np.flatnonzero(hit):
+                for k in np.flatnonzero(hits(_hash64(keys), seen, filter_bits)):
                     out_row.append(row)
                     out_key.append(hashlib.sha256(keys[k]).digest())
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(out_row, pa.int64())),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomalytics.llm import bpe, decontaminate, language_id, line_dedup, lm_score, secret_scan, topk, url_filter, warc
+from anomalytics.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_score, secret_scan, topk, url_filter, warc
 from anomalytics.llm.common import held_out, read_table
 from anomalytics.llm.list_history import captures_of, changes_of
 
@@ -21,6 +21,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"), held_out("id", 5).alias("held_out"), "lang_pred", "score")
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(read_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = read_table(spark, sf_dir, "embeddings")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5)
@@ -74,5 +78,5 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
-        op1_language_id, op3_topk, op4_url_filter, op5_decontaminate, op6_secret_scan, op7_bpe, op8_lm_score, op9_warc,
-        op10_line_dedup)}
+        op1_language_id, op2_jaccard_join, op3_topk, op4_url_filter, op5_decontaminate, op6_secret_scan, op7_bpe,
+        op8_lm_score, op9_warc, op10_line_dedup)}
