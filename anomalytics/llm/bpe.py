@@ -26,6 +26,7 @@ from anomalytics.llm.common import prepare
 #: a transition is (state << TOKEN_BITS | token)
 TOKEN_BITS = 24
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
+ROWS = 1024                    # texts that a task hands on at a time
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -197,7 +198,7 @@ class _Packed(dict):
 class Encoder:
     """Text -> ids packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 200_000):
         import re
 
         import regex
@@ -258,11 +259,12 @@ def decode(vocabulary: list[bytes], ids, piece: int = 65_536):
 
 
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
-               with_ids: bool = True) -> DataFrame:
-    """(id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>, decoded string]) of every whole text.
+               outputs: tuple[str, ...] = ()) -> DataFrame:
+    """(id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>][, decoded string]) of every whole text.
 
     Each match of ``pattern`` is encoded separately by the ranks of the file at ``ranks_path`` (read on the driver,
-    its size is the vocabulary's), without special tokens; the ids are decoded again.
+    its size is the vocabulary's), without special tokens; the ids are decoded again. ``outputs`` names the results
+    that are wanted besides the hashes: ``ids`` and ``decoded``.
 
     * A null or empty text has no tokens: n_tokens 0, the hashes are those of no bytes.
     * Very long texts and matches are encoded in time linear in their bytes. Repeated rows and null ids stay, a row
@@ -278,23 +280,37 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
         vocabulary = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             vocabulary[rank] = token
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
+
+        def rows(ids_column, texts):
+            sizes, ids_hash, back_hash, packed_all, decoded = [0], [], [], [], []
+            for text in texts:
                 packed = encoder.encode(text or "")
                 ids = memoryview(packed).cast("I")
-                back, pieces = hashlib.sha256(), []
+                back, parts = hashlib.sha256(), []
                 for data, part in decode(vocabulary, ids):
                     back.update(data)
-                    if with_ids:
-                        pieces.append(part)
-                out.append((len(ids), hashlib.sha256(packed).hexdigest(), back.hexdigest(),
-                            *((list(ids), "".join(pieces)) if with_ids else ())))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()][:5 if with_ids else 3]
-            columns = zip(*out, strict=True) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                                             names=["id", "n_tokens", "ids_sha256", "decoded_sha256", "ids", "decoded"][:len(kinds) + 1])
+                    parts.append(part)
+                sizes.append(sizes[-1] + len(ids))
+                ids_hash.append(hashlib.sha256(packed).hexdigest())
+                back_hash.append(back.hexdigest())
+                if "ids" in outputs:
+                    packed_all.append(packed)
+                if "decoded" in outputs:
+                    decoded.append("".join(parts))
+            columns = {"id": ids_column, "n_tokens": pa.array([b - a for a, b in zip(sizes, sizes[1:], strict=False)], pa.int64()),
+                       "ids_sha256": pa.array(ids_hash, pa.string()), "decoded_sha256": pa.array(back_hash, pa.string())}
+            if "ids" in outputs:
+                whole = pa.Array.from_buffers(pa.int32(), sizes[-1], [None, pa.py_buffer(b"".join(packed_all))])
+                columns["ids"] = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), whole)
+            if "decoded" in outputs:
+                columns["decoded"] = pa.array(decoded, pa.string())
+            return pa.RecordBatch.from_pydict(columns)
+
+        for batch in batches:
+            for at in range(0, len(batch), ROWS):
+                yield rows(batch.column(0).slice(at, ROWS), batch.column(1).slice(at, ROWS).to_pylist())
 
     id_type = docs.schema[id_col].dataType.simpleString()
+    extra = {"ids": ", ids array<int>", "decoded": ", decoded string"}
     schema = f"id {id_type}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return docs.select(id_col, text_col).mapInArrow(run, schema + (", ids array<int>, decoded string" if with_ids else ""))
+    return docs.select(id_col, text_col).mapInArrow(run, schema + "".join(x for k, x in extra.items() if k in outputs))

@@ -56,7 +56,7 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = read_table(spark, sf_dir, "documents")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    return bpe.bpe_encode(docs, path, public_tokenizers.PATTERN, with_ids=False).withColumnRenamed("id", "doc_id")
+    return bpe.bpe_encode(docs, path, public_tokenizers.PATTERN).withColumnRenamed("id", "doc_id")
 
 
 def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
