@@ -24,7 +24,8 @@ from pyspark.sql import functions as F
 from anomalytics.llm.common import materialize, prepare
 
 PROBES = 4
-FLUSH_WORDS, FLUSH_TOKENS = 500_000, 4_000_000
+FLUSH_WORDS, FLUSH_TOKENS = 400_000, 2_000_000
+CHUNK_CHARS = 2_000_000
 START, END = 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03          # hashes that stand for the two ends of a text
 
 
@@ -39,9 +40,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def bigram_hashes(tokens: np.ndarray) -> np.ndarray:
-    """Hash of (previous token, token) for every token; the first follows the start mark."""
-    before = np.concatenate([np.array([START], np.uint64), tokens[:-1]])
+def bigram_hashes(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """Hash of (previous token, token) for every token."""
     return _mix(before * np.uint64(0xA0761D6478BD642F) + tokens)
 
 
@@ -51,7 +51,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) >= 4 * FLUSH_WORDS:
+        if len(self) >= FLUSH_WORDS:
             self.clear()
         self[word] = made = xxhash.xxh64_intdigest(word)
         return made
@@ -117,7 +117,7 @@ def build_filter(texts: DataFrame, text_col: str, n_tokens: int, filter_bits: in
         for batch in batches:
             for text in batch.column(0).to_pylist():
                 tokens = np.array([*map(known.__getitem__, words_of(text)), END], dtype=np.uint64)
-                held += [_mix(tokens), bigram_hashes(tokens)]
+                held += [_mix(tokens), bigram_hashes(np.concatenate([[np.uint64(START)], tokens[:-1]]), tokens)]
                 size += 2 * len(tokens)
                 if size >= FLUSH_TOKENS:
                     yield flush()
@@ -148,12 +148,12 @@ def build_filter(texts: DataFrame, text_col: str, n_tokens: int, filter_bits: in
                 "least": pa.array([least], pa.int32())})
 
     packed = texts.select(text_col).mapInArrow(count, "part int, once binary, more binary, counts binary")
-    slices = packed.repartition(1 << part_bits, "part").mapInArrow(fill, "part int, bits binary, least int")
-    bits = np.zeros(filter_bits >> 3, dtype=np.uint8)
-    for row in slices.collect():                                # filter_bits / 8 bytes in all
+    slices = materialize(packed.repartition(1 << part_bits, "part").mapInArrow(fill, "part int, bits binary, least int"), "lm-filter")
+    bits = bytearray(filter_bits >> 3)
+    for row in slices.toLocalIterator():                        # filter_bits / 8 bytes in all, one file at a time
         at = row.part * slice_bits >> 3
-        bits[at:at + (slice_bits >> 3)] = np.frombuffer(bytes(row.bits), dtype=np.uint8)
-    return {"bits": bits, "part_bits": part_bits, "slice_bits": slice_bits}
+        bits[at:at + (slice_bits >> 3)] = row.bits
+    return {"bits": bytes(bits), "part_bits": part_bits, "slice_bits": slice_bits}
 
 
 def probe_counts(model: dict, hashes: np.ndarray) -> np.ndarray:
@@ -170,8 +170,23 @@ def probe_counts(model: dict, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
+def _commonest(counts: DataFrame, most: int) -> dict[bytes, int]:
+    """The commonest words with their counts, at most ``most``: all words over a count found from a histogram."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    histogram = sorted(counts.groupBy(step.alias("step")).count().collect(), reverse=True)      # 16 rows a power of two
+    least, size = None, 0
+    for row in histogram:
+        size += row["count"]
+        if size > most:
+            break
+        least = row.step
+    if least is None:
+        return {}
+    return {row.word.encode("utf-8", "surrogatepass"): row.n for row in counts.where(step >= least).collect()}
+
+
 def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text",
-             head_words: int = 200_000, filter_bits: int = 1 << 29, bits_per_entry: float = 6.0,
+             head_words: int = 200_000, filter_bits: int = 1 << 28, bits_per_entry: float = 6.0,
              weight: float = 10.0) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score) of every whole text.
 
@@ -191,45 +206,59 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     n_train = train.count()
     words, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = words + n_train, vocabulary + (n_train > 0)
-    head = {row.word.encode("utf-8", "surrogatepass"): row.n
-            for row in counts.orderBy(F.desc("n"), "word").limit(head_words).collect()}       # bounded by head_words
     model = build_filter(train, text_col, n, filter_bits, bits_per_entry)
-    shared = spark.sparkContext.broadcast({**model, "bits": model["bits"].tobytes(), "head": head})
+    bits = spark.sparkContext.broadcast(model.pop("bits"))
+    head, shape = spark.sparkContext.broadcast(_commonest(counts, head_words)), model
     below = n + 0.1 * (v + 1)
 
     def run(batches):
         from pyspark import TaskContext
 
-        model = {**shared.value, "bits": np.frombuffer(shared.value["bits"], dtype=np.uint8)}
-        head, known, row = model["head"], WordHashes(), TaskContext.get().partitionId() << 36
-        at_head = head.get
+        filled, at_head, known = {**shape, "bits": np.frombuffer(bits.value, np.uint8)}, head.value.get, WordHashes()
+        row = TaskContext.get().partitionId() << 36
+
+        def score(texts):
+            """Rows of some texts, whose tokens are worked on together."""
+            words = [words_of(t) for t in texts]
+            sizes = np.array([len(w) + 1 for w in words])
+            last = np.cumsum(sizes) - 1
+            first = last - sizes + 1
+            owner = np.repeat(np.arange(len(texts)), sizes)
+            flat = [w for own in words for w in (*own, None)]
+            exact = np.array([at_head(w, 0) for w in flat], dtype=np.float64)
+            exact[last] = n_train
+            tokens = np.array([END if w is None else known[w] for w in flat], dtype=np.uint64)
+            before = np.concatenate([tokens[:1], tokens[:-1]])
+            before[first] = START
+            missing = np.flatnonzero(exact == 0)
+            uni = exact.copy()
+            uni[missing] = probe_counts(filled, _mix(tokens[missing]))
+            prior = np.concatenate([uni[:1], uni[:-1]])
+            prior[first] = n_train
+            both = np.minimum(probe_counts(filled, bigram_hashes(before, tokens)), np.minimum(uni, prior))
+            share = (both + weight * (uni + 0.1) / below) / (prior + weight) if n_train else np.ones(len(tokens))
+            seen = exact > 0
+            tails: list[dict[bytes, int]] = [{} for _ in texts]
+            for i, own in zip(missing.tolist(), owner[missing].tolist(), strict=True):
+                if flat[i] is not None:
+                    tails[own][flat[i]] = tails[own].get(flat[i], 0) + 1
+            total = lambda values: np.bincount(owner, weights=values, minlength=len(texts))
+            return [sizes, total(seen).astype(np.int64), total(np.where(seen, np.log10((exact + 0.1) / below), 0.0)),
+                    total(np.log10(np.minimum(share, 1.0))),
+                    [[w.decode("utf-8", "surrogatepass") for w in t] for t in tails], [list(t.values()) for t in tails]]
+
         for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                words = words_of(text)
-                exact = np.array([at_head(w, 0) for w in words] + [n_train], dtype=np.float64)
-                tokens = np.array([*map(known.__getitem__, words), END], dtype=np.uint64)
-                tail: dict[bytes, int] = {}
-                for i in np.flatnonzero(exact == 0):
-                    if i < len(words):
-                        tail[words[i]] = tail.get(words[i], 0) + 1
-                uni = exact.copy()
-                missing = exact == 0
-                uni[missing] = probe_counts(model, _mix(tokens[missing]))
-                before = np.concatenate([[float(n_train)], uni[:-1]])
-                both = np.minimum(probe_counts(model, bigram_hashes(tokens)), np.minimum(uni, before))
-                share = (both + weight * (uni + 0.1) / below) / (before + weight) if n_train else np.ones(len(tokens))
-                seen = exact > 0
-                out.append((row, len(tokens), int(seen.sum()),
-                            float(np.log10((exact[seen] + 0.1) / below).sum()),
-                            float(np.log10(np.minimum(share, 1.0)).sum()),
-                            [w.decode("utf-8", "surrogatepass") for w in tail], list(tail.values())))
-                row += 1
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())]
-            columns = zip(*out, strict=True) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                names=["id", "row", "n_tokens", "known", "base", "score", "words", "times"])
+            texts, start = batch.column(1).to_pylist(), 0
+            while start < len(texts):
+                stop, size = start, 0
+                while stop < len(texts) and size < CHUNK_CHARS:
+                    size += len(texts[stop] or "")
+                    stop += 1
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())]
+                columns = [np.arange(row, row + stop - start), *score(texts[start:stop])]
+                row, ids, start = row + stop - start, batch.column(0).slice(start, stop - start), stop
+                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                                                 names=["id", "row", "n_tokens", "known", "base", "score", "words", "times"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     scored = materialize(docs.select(id_col, text_col).mapInArrow(
