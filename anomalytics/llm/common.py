@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anomalytics.session import ensure_checkpoint_dir, materialize, scratch_path, ship_package
 
 __all__ = ["ASCII_SPACE", "ensure_checkpoint_dir", "held_out", "lower_ascii", "materialize", "prepare",
-           "read_table", "scratch_path"]
+           "read_table", "release", "scratch_path"]
 
+BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
 #: the white space of the query contracts: \x20 and \x09-\x0D
 ASCII_SPACE = " \t\n\x0b\x0c\r"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Ready the session for an operator: the shared folder is set, functions travel inside the task closures."""
+    """Ready the session for an operator: the shared folder is set, functions travel inside the task closures.
+
+    Texts and shingle sets are long, so the Arrow batches that tasks exchange with Python are kept to BATCH_ROWS rows;
+    with the default of 10,000 a few batches in flight take hundreds of MB of an executor.
+    """
     ensure_checkpoint_dir(spark)
+    if int(spark.conf.get(BATCH_SETTING)) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
     ship_package(spark)
     return spark
 
@@ -25,6 +34,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now: it does so when the driver collects its garbage, which
+    a long job on a driver with memory to spare may put off until the executors' disks are full."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(id_col: str | Column, folds: int) -> Column:
     """True where crc32 of the id as text leaves no remainder; a null id is never held out."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import materialize, prepare
+from anomalytics.llm.common import materialize, prepare, release
 from anomalytics.llm.components import components
 from anomalytics.llm.seen_twice import collect_bits, fold, hits, marks
 
 WIDTH = 5
 NEAR = 75                      # per cent of the union
-COUNTERS = 1 << 22             # of the sketch that tells common shingles
+COUNTERS = 1 << 20             # of the sketch that tells common shingles
 SKETCH_BITS = 1 << 16          # most bits of a set's parity sketch
 
 
@@ -131,22 +131,22 @@ def shingle_counters(sets: DataFrame, segments: int = 64) -> tuple[np.ndarray, i
             part = total[s * size:(s + 1) * size]
             at = np.flatnonzero(part)
             if at.size:
-                dense = at.size * 4 > size * 2
+                dense, kind = at.size * 4 > size, "<u2" if part.max() < 1 << 16 else "<u4"
                 yield pa.RecordBatch.from_pydict({
-                    "seg": pa.array([s], pa.int32()),
+                    "seg": pa.array([s], pa.int32()), "kind": pa.array([kind], pa.string()),
                     "at": pa.array([b"" if dense else at.astype("<u4").tobytes()], pa.binary()),
-                    "n": pa.array([(part if dense else part[at]).astype("<u4").tobytes()], pa.binary())})
+                    "n": pa.array([(part if dense else part[at]).astype(kind).tobytes()], pa.binary())})
 
     def add(batches):
         total: dict[int, np.ndarray] = {}
         for batch in batches:
-            for s, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for s, kind, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 part = total.setdefault(s, np.zeros(size, dtype=np.uint64))
-                part[np.frombuffer(at, "<u4") if at else slice(None)] += np.frombuffer(n, "<u4")
+                part[np.frombuffer(at, "<u4") if at else slice(None)] += np.frombuffer(n, kind)
         for s, part in total.items():
             yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "n": pa.array([part.tobytes()], pa.binary())})
 
-    parts = sets.select("shingles").mapInArrow(count, "seg int, at binary, n binary")
+    parts = sets.select("shingles").mapInArrow(count, "seg int, kind string, at binary, n binary")
     out = np.zeros(COUNTERS, dtype=np.uint64)
     for row in parts.repartition(segments, "seg").mapInArrow(add, "seg int, n binary").collect():   # 8 * COUNTERS bytes
         out[row.seg * size:(row.seg + 1) * size] = np.frombuffer(bytes(row.n), np.uint64)
@@ -158,6 +158,7 @@ def cells(sets: DataFrame, filter_bits: int) -> DataFrame:
     """(s, node, n): the cells of every set that may hold another set as well (two Bloom filters leave most out)."""
     counters, threshold = shingle_counters(sets)
     spark = sets.sparkSession
+    release(spark)
     shared = spark.sparkContext.broadcast(counters.tobytes())
 
     def mark(batches):
@@ -167,6 +168,8 @@ def cells(sets: DataFrame, filter_bits: int) -> DataFrame:
 
     twice = spark.sparkContext.broadcast(collect_bits(fold(sets.select("shingles"), mark, filter_bits), filter_bits))
 
+    release(spark)
+
     def probe(batches):
         told, seen = np.frombuffer(shared.value, np.uint32), np.frombuffer(twice.value, np.uint8)
         for batch in batches:
@@ -180,7 +183,8 @@ def cells(sets: DataFrame, filter_bits: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict({k: np.concatenate(v) if v else np.empty(0, np.int64)
                                               for k, v in (("s", s), ("node", node), ("n", n))})
 
-    return sets.select("node", "shingles").mapInArrow(probe, "s bigint, node bigint, n bigint").distinct()
+    held = sets.select("node", "shingles").mapInArrow(probe, "s bigint, node bigint, n bigint")
+    return held.groupBy("s", "node").agg(F.first("n").alias("n"))
 
 
 def sizes_near(a: Column, b: Column) -> Column:
@@ -265,6 +269,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError("two sets share a 63-bit node number")
     held = rows.where("shingles is not null")
     found = materialize(cells(held, filter_bits), "jaccard-cells")
+    release(spark)
     sketches = materialize(held.groupBy("node").agg(F.first("sketch").alias("sketch")), "jaccard-sketches")
 
     regions = found.withColumn("comp", F.col("node"))
@@ -284,6 +289,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if open_cells.isEmpty():
             break
         regions = materialize(regions.join(open_cells, "s"), "jaccard-regions")
+        del largest, open_cells
+        release(spark)
         asked = (regions.groupBy("node", "n", "comp").agg(F.collect_set("pivots").alias("all"))      # at most its own cells
                  .select("node", "n", "comp", F.explode(F.array_distinct(F.flatten("all"))).alias("p")))
         pairs = (asked.where((F.col("comp") != F.col("p.pc")) & sizes_near(F.col("n"), F.col("p.pn")))
@@ -291,6 +298,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                          F.when(F.col("node") < F.col("p.p"), F.col("n")).otherwise(F.col("p.pn")).alias("an"),
                          F.when(F.col("node") < F.col("p.p"), F.col("p.pn")).otherwise(F.col("n")).alias("bn")).distinct())
         links = materialize(links.unionByName(measured(materialize(pairs, "jaccard-asked"), held, sketches)), "jaccard-edges")
+        del asked, pairs
+        release(spark)
         label = materialize(components(links), "jaccard-labels")
         # settled pivots leave their cell; the others take their new component
         regions = materialize(
