@@ -186,34 +186,50 @@ def top_anomalous(flags: DataFrame, limit: int = config.TOP_ANOMALOUS_LIMIT) ->
 
 
 def product_categories(order_items: DataFrame, products: DataFrame) -> DataFrame:
-    """Per product category: distinct products and orders, revenue, mean item price."""
+    """Per product category: distinct products and orders, revenue, mean item price.
+
+    Items are added up per product before they meet the product table; orders are counted from distinct
+    (category, order) pairs. The two small results meet null-safely (unknown products form the null category).
+    """
     p = products.select(F.col("product_id").alias("p_product_id"), "product_category_name")
-    j = order_items.select("order_id", "product_id", "price").join(
-        p, F.col("product_id") == F.col("p_product_id"), "left"
-    )
+    known = F.col("product_id") == F.col("p_product_id")
+    per_product = order_items.groupBy("product_id").agg(F.sum("price").alias("_sum"), F.count("price").alias("_n"))
+    money = per_product.join(p, known, "left").groupBy("product_category_name").agg(
+        F.countDistinct("product_id").alias("product_count"), F.sum("_sum").alias("total_revenue"), F.sum("_n").alias("_n"))
+    orders = (
+        order_items.select("product_id", "order_id").distinct().join(p, known, "left")
+        .groupBy("product_category_name", "order_id").agg(F.lit(1).alias("_one"))
+        .groupBy(F.col("product_category_name").alias("_category")).agg(F.count("order_id").alias("order_count")))
     return decimals_to_double(
-        j.groupBy("product_category_name")
-        .agg(
-            F.countDistinct("product_id").alias("product_count"),
-            F.countDistinct("order_id").alias("order_count"),
-            F.sum("price").alias("total_revenue"),
-            mean_decimal("price").alias("avg_price"),
-        )
+        money.join(orders, F.col("product_category_name").eqNullSafe(F.col("_category")))
+        .select("product_category_name", "product_count", "order_count", "total_revenue",
+                (F.col("total_revenue").cast("double") / F.col("_n")).alias("avg_price"))
         .orderBy(F.desc_nulls_last("total_revenue"))
     )
 
 
 def seller_performance(order_items: DataFrame, sellers: DataFrame) -> DataFrame:
-    """Per seller: distinct orders, revenue, mean item price (named avg_order_value)."""
+    """Per seller: distinct orders, revenue, mean item price (named avg_order_value).
+
+    Items are added up per (seller, order), then per seller, and only then meet the sellers. Items of unknown sellers
+    form one null group, whose orders are counted anew: an order may hold items of several unknown sellers.
+    """
     s = sellers.select("seller_id", "seller_city", "seller_state")
-    i = order_items.select("order_id", F.col("seller_id").alias("i_seller_id"), "price")
-    j = i.join(s, F.col("i_seller_id") == F.col("seller_id"), "left")
+    per_order = (order_items.groupBy(F.col("seller_id").alias("_seller"), "order_id")
+                 .agg(F.sum("price").alias("_sum"), F.count("price").alias("_n")))
+    per_seller = per_order.groupBy("_seller").agg(
+        F.count("order_id").alias("order_count"), F.sum("_sum").alias("total_revenue"), F.sum("_n").alias("_n"))
+    same = F.col("_seller") == F.col("seller_id")
+    known = per_seller.join(s, same).select("seller_id", "seller_city", "seller_state", "order_count", "total_revenue", "_n")
+    strangers = per_seller.join(s, same, "left_anti").select("_seller")
+    unknown = (
+        per_order.alias("o").join(strangers.alias("u"), F.col("o._seller").eqNullSafe(F.col("u._seller")), "left_semi")
+        .agg(F.countDistinct("order_id").alias("order_count"), F.sum("_sum").alias("total_revenue"), F.sum("_n").alias("_n"),
+             F.count(F.lit(1)).alias("_rows")).where("_rows > 0")
+        .select(*[F.lit(None).cast(s.schema[c].dataType).alias(c) for c in s.columns], "order_count", "total_revenue", "_n"))
     return decimals_to_double(
-        j.groupBy("seller_id", "seller_city", "seller_state")
-        .agg(
-            F.countDistinct("order_id").alias("order_count"),
-            F.sum("price").alias("total_revenue"),
-            mean_decimal("price").alias("avg_order_value"),
-        )
+        known.unionByName(unknown)
+        .select("seller_id", "seller_city", "seller_state", "order_count", "total_revenue",
+                (F.col("total_revenue").cast("double") / F.col("_n")).alias("avg_order_value"))
         .orderBy(F.desc_nulls_last("total_revenue"))
     )

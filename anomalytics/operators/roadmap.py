@@ -14,20 +14,16 @@ from anomalytics.operators.enrich import per_order
 def category_anomalies(flags: DataFrame, order_items: DataFrame, products: DataFrame) -> DataFrame:
     """Per product category, distinct delivered orders, anomalous ones (amount flag) and the rate.
 
-    Items are reduced to distinct (order, category) pairs before meeting the
-    flag table, so an order with many items in one category counts once and
-    the join input shrinks first. Both sides grow with the orders, so the join
-    is a sort-merge join on ``order_id`` (never a broadcast).
+    Items meet the flagged orders first, on ``order_id``: that drops the items of other orders, and the same
+    partitioning serves the distinct (order, product) and (order, category) pairs. Both sides grow with the orders, so
+    the join is a sort-merge join (never a broadcast).
     """
     p = products.select(F.col("product_id").alias("p_id"), "product_category_name")
-    pairs = (
-        order_items.select("order_id", "product_id")
-        .join(p, F.col("product_id") == F.col("p_id"), "left")
-        .select("order_id", "product_category_name")
-        .distinct()
-    )
     f = flags.select("order_id", (F.col("amount_flag") != F.lit(config.LABEL_NORMAL)).alias("_anom"))
-    g = pairs.join(per_order(f), "order_id").groupBy("product_category_name").agg(
+    bought = order_items.select("order_id", "product_id").join(per_order(f), "order_id").distinct()
+    pairs = (bought.join(p, F.col("product_id") == F.col("p_id"), "left")
+             .select("order_id", "_anom", "product_category_name").distinct())
+    g = pairs.groupBy("product_category_name").agg(
         F.count(F.lit(1)).alias("order_count"),
         count_when(F.col("_anom")).alias("anomaly_count"),
     )

@@ -1,6 +1,6 @@
 """Read the logical tables from CSV or parquet into lazy DataFrames.
 
-CSV is read with a header and a fixed schema (no inference pass over the data).
+CSV is read by header name with fixed types (no inference pass over the data).
 Reading is lazy: nothing is scanned until a query runs, and Catalyst prunes
 columns and pushes filters into the scan.
 """
@@ -29,7 +29,8 @@ KNOWN_TABLES = (
 )
 # -----------------------------------------------------------------------------
 
-TIMESTAMP_FORMAT = "yyyy-MM-dd HH:mm:ss"
+#: tables whose values may hold line breaks
+FREE_TEXT_TABLES = ("order_reviews",)
 
 
 def table_name(file_name: str) -> str:
@@ -49,16 +50,24 @@ def file_name(table: str, fmt: str = "csv") -> str:
 
 
 def read_csv(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
-    """CSV with header; fixed schema for the tables the operators use."""
-    reader = (
-        spark.read.option("header", True)
-        .option("timestampNTZFormat", TIMESTAMP_FORMAT)
-        .option("mode", "FAILFAST")
+    """CSV with header; the known tables' columns are taken by header name and cast to their types.
+
+    Columns may come in any order and others may stand beside them; a missing one is an error. Values may be quoted,
+    with doubled quotes inside; the free-text table may hold line breaks in a value (such a file is not split).
+    """
+    table = table or table_name(path)
+    raw = (
+        spark.read.option("header", True).option("mode", "FAILFAST")
+        .option("quote", '"').option("escape", '"').option("multiLine", table in FREE_TEXT_TABLES).csv(path)
     )
-    schema = SCHEMAS.get(table or table_name(path))
-    if schema is not None:
-        return reader.schema(schema).csv(path)
-    return reader.csv(path)
+    schema = SCHEMAS.get(table)
+    if schema is None:
+        return raw
+    named = {c.strip().lstrip("\ufeff").lower(): c for c in raw.columns}
+    absent = [f.name for f in schema if f.name not in named]
+    if absent:
+        raise ValueError(f"{path}: no column {', '.join(absent)} among {', '.join(raw.columns)}")
+    return raw.select(*[F.col(f"`{named[f.name]}`").cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read_table(spark: SparkSession, folder: str, table: str, fmt: str = "csv") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql.types import (
     DecimalType,
+    DoubleType,
     IntegerType,
     StringType,
     StructField,
@@ -67,8 +68,24 @@ SELLERS = _s(
     ("seller_state", StringType()),
 )
 
-# Tables whose columns the operators read. The other two known tables
-# (order_reviews, geolocation) are read with a header and string columns.
+ORDER_REVIEWS = _s(
+    ("review_id", StringType()),
+    ("order_id", StringType()),
+    ("review_score", IntegerType()),
+    ("review_comment_title", StringType()),
+    ("review_comment_message", StringType()),
+    ("review_creation_date", TimestampNTZType()),
+    ("review_answer_timestamp", TimestampNTZType()),
+)
+
+GEOLOCATION = _s(
+    ("geolocation_zip_code_prefix", StringType()),
+    ("geolocation_lat", DoubleType()),
+    ("geolocation_lng", DoubleType()),
+    ("geolocation_city", StringType()),
+    ("geolocation_state", StringType()),
+)
+
 SCHEMAS: dict[str, StructType] = {
     "orders": ORDERS,
     "order_items": ORDER_ITEMS,
@@ -76,4 +93,6 @@ SCHEMAS: dict[str, StructType] = {
     "order_payments": ORDER_PAYMENTS,
     "products": PRODUCTS,
     "sellers": SELLERS,
+    "order_reviews": ORDER_REVIEWS,
+    "geolocation": GEOLOCATION,
 }

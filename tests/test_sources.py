@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from anomalytics.operators import enrich, flags, reports
@@ -62,3 +64,27 @@ def test_csv_export_roundtrip(spark, tmp_dir):
     assert [r["order_id"] for r in back.collect()] == [2, 1, 3]
     kept = sinks.keep_result(df, os.path.join(tmp_dir, "kept"))
     assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_csv_is_read_by_header_name(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "olist_products_dataset.csv")
+    with open(path, "w") as f:
+        f.write("product_photos_qty,product_category_name,product_name_lenght,product_id,product_weight_g\n"
+                '3,"toys, ""new""",40,p1,100\n,,,p2,\n')
+    got = readers.read_csv(spark, path)
+    assert got.columns == ["product_id", "product_category_name"]
+    assert sorted(map(tuple, got.collect())) == [("p1", 'toys, "new"'), ("p2", None)]
+    with open(path, "w") as f:
+        f.write("product_category_name\ntoys\n")
+    with pytest.raises(ValueError, match="product_id"):
+        readers.read_csv(spark, path)
+
+
+def test_reviews_are_typed_and_may_hold_line_breaks(spark, tmp_dir):
+    path = os.path.join(tmp_dir, "olist_order_reviews_dataset.csv")
+    with open(path, "w") as f:
+        f.write("order_id,review_id,review_score,review_comment_title,review_comment_message,review_creation_date,review_answer_timestamp\n"
+                'o1,r1,4,,"two\nlines, ""quoted""",2018-01-18 00:00:00,2018-01-18 21:46:59\n')
+    row = readers.read_csv(spark, path).first()
+    assert (row.review_id, row.order_id, row.review_score, row.review_comment_message) == ("r1", "o1", 4, 'two\nlines, "quoted"')
+    assert row.review_answer_timestamp.second == 59
