@@ -7,9 +7,11 @@ only driver-side values are the filter bounds and histogram edges (scalars).
 from __future__ import annotations
 
 import datetime as dt
+import decimal
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from anomalytics import config
 from anomalytics.functions.columns import count_when, fixed_text, mean_decimal, money_text, pct, safe_div
@@ -29,34 +31,50 @@ def filter_predicate(state: str | None = None, anomaly_type: str | None = None,
     if amount is not None:
         cond = cond & F.col("total_amount").between(F.lit(amount[0]), F.lit(amount[1]))
     if dates is not None:
-        d = F.to_date(F.col(ts))
-        cond = cond & (d >= F.lit(dates[0])) & (d <= F.lit(dates[1]))
-    return F.coalesce(cond, F.lit(False))
+        day_after = dt.datetime.combine(dates[1], dt.time()) + dt.timedelta(days=1)
+        cond = cond & (F.col(ts) >= F.lit(dt.datetime.combine(dates[0], dt.time())).cast("timestamp_ntz"))
+        cond = cond & (F.col(ts) < F.lit(day_after).cast("timestamp_ntz"))
+    return cond
 
 
 def filter_orders(df: DataFrame, **filters) -> DataFrame:
-    """the rows that pass the dashboard filters."""
+    """the rows that pass the dashboard filters.
+
+    The bounds of a DECIMAL amount are DOUBLEs, so their comparison is not pushed into the scan; the same bounds
+    rounded outwards to the column's type are, and they come first.
+    """
+    kind = df.schema["total_amount"].dataType
+    if filters.get("amount") is not None and isinstance(kind, DecimalType):
+        low, high = filters["amount"]
+        unit = decimal.Decimal(1).scaleb(-kind.scale)
+        outward = lambda v, way: F.lit(decimal.Decimal(v).quantize(unit, way)).cast(kind)
+        df = df.where((F.col("total_amount") >= outward(low, decimal.ROUND_FLOOR))
+                      & (F.col("total_amount") <= outward(high, decimal.ROUND_CEILING)))
     return df.where(filter_predicate(**filters))
 
 
-def filter_bounds(df: DataFrame, ts: str = "order_purchase_timestamp", n: int | None = None) -> DataFrame:
+def filter_bounds(df: DataFrame, ts: str = "order_purchase_timestamp", stats=None) -> DataFrame:
     """V8: amount min / max / p99 and first / last purchase date (one row).
 
-    ``n``, when known, is the number of rows with an amount (saves a count).
+    ``stats``, when known, are the global statistics of the same rows: then only the dates need a pass.
     """
-    (p99,) = exact_percentiles(df, "total_amount", [0.99], n=n)
+    if stats is not None:
+        low, high, p99 = (F.lit(v) for v in (stats.min_amount, stats.max_amount, stats.p99_amount))
+    else:
+        low, high = F.min("total_amount"), F.max("total_amount")
+        p99 = F.lit(exact_percentiles(df, "total_amount", [0.99])[0])
     return df.agg(
-        F.min("total_amount").cast("double").alias("min_amount"),
-        F.max("total_amount").cast("double").alias("max_amount"),
-        F.lit(p99).cast("double").alias("p99_amount"),
+        low.cast("double").alias("min_amount"),
+        high.cast("double").alias("max_amount"),
+        p99.cast("double").alias("p99_amount"),
         F.to_date(F.min(ts)).alias("min_date"),
         F.to_date(F.max(ts)).alias("max_date"),
     )
 
 
-def default_filters(df: DataFrame, ts: str = "order_purchase_timestamp", n: int | None = None) -> dict:
+def default_filters(df: DataFrame, ts: str = "order_purchase_timestamp", stats=None) -> dict:
     """The dashboard's initial filter values: all states and types, amount [min, p99], all dates."""
-    b = filter_bounds(df, ts, n).first()
+    b = filter_bounds(df, ts, stats).first()
     return {"amount": (b["min_amount"], b["p99_amount"]), "dates": (b["min_date"], b["max_date"])}
 
 
@@ -71,7 +89,7 @@ def type_options(df: DataFrame) -> DataFrame:
 
 def filter_counts(df: DataFrame, **filters) -> DataFrame:
     """V9: shown vs total, both from one scan."""
-    return df.agg(count_when(filter_predicate(**filters)).alias("shown_orders"),
+    return df.agg(count_when(F.coalesce(filter_predicate(**filters), F.lit(False))).alias("shown_orders"),
                   F.count(F.lit(1)).alias("total_orders"))
 
 
@@ -82,7 +100,7 @@ def kpi_metrics(df: DataFrame, ml_col: str, amount: str = "total_amount") -> Dat
         F.count(F.lit(1)).alias("total_orders"),
         count_when(ml).alias("anomaly_count"),
         F.sum(amount).alias("_rev"),
-        F.sum(F.when(ml, F.col(amount))).alias("_arev"),
+        F.coalesce(F.sum(F.when(ml, F.col(amount))), F.lit(0)).alias("_arev"),
         mean_decimal(F.when(ml, F.col(amount))).alias("avg_anomaly_order"),
         mean_decimal(F.when(~ml, F.col(amount))).alias("avg_normal_order"),
     )

@@ -93,7 +93,7 @@ def summary_stats(df: DataFrame, ml_col: str = ML, iqr_col: str = IQR, amount: s
         count_when(ml).alias("anomaly_count_ml"),
         count_when(F.col(iqr_col)).alias("anomaly_count_iqr"),
         pct(count_when(ml), F.count(ml)).alias("anomaly_rate_ml"),
-        F.sum(F.when(ml, F.col(amount))).cast("double").alias("anomaly_revenue"),
+        F.coalesce(F.sum(F.when(ml, F.col(amount))).cast("double"), F.lit(0.0)).alias("anomaly_revenue"),
         mean_decimal(F.when(~ml, F.col(amount))).alias("avg_normal_order"),
         mean_decimal(F.when(ml, F.col(amount))).alias("avg_anomaly_order"),
     )

@@ -3,11 +3,10 @@
 * D1 features: five numeric columns, nulls -> 0, as DOUBLE.
 * D2 standardise: mean 0, population std 1 (std 0 -> divide by 1); one
   aggregation pass, then literals.
-* D3 fit: every tree t draws psi = min(256, n) rows. One hash per row picks a
-  uniform pool of about 4*T*psi rows (a filter over the data, no shuffle);
-  the pool is written once. Inside the pool each row is paired with the trees
-  and kept where ``xxhash64(id, t, seed)`` is under a cut set for about 4*psi
-  candidates per tree — the pairing is bounded by the pool, never n x T — and
+* D3 fit: every tree t draws psi = min(256, n) rows. Each row is paired with
+  the trees and kept where ``xxhash64(id, t, seed)`` is under a cut set for
+  about 4*psi candidates per tree (explode and filter inside whole-stage
+  codegen over all rows; only the candidates are shuffled), and
   ``row_number`` per tree keeps the psi smallest. The sample depends on ids
   only, not on partitioning. Trees are grown in
   ``groupBy("tree").applyInPandas`` (one group = psi rows), NumPy seeded with
@@ -15,8 +14,8 @@
   depth limit ceil(log2 psi). The model is a node table of at most
   T * (2*psi - 1) rows — its size bound is fixed by T and psi, not by the data.
 * D4 score: the node table is collected (bounded, see above) and shipped with
-  the task closure; ``mapInPandas`` walks all trees on Arrow batches with
-  vectorised NumPy. s = 2^(-E[h(x)] / c(psi)); higher = more anomalous. Rows
+  the task closure; a scalar pandas function of the features walks all trees
+  on Arrow batches with vectorised NumPy, the other columns stay in the JVM. s = 2^(-E[h(x)] / c(psi)); higher = more anomalous. Rows
   are anomalies when s is above the exact (1 - contamination) quantile of s.
 """
 
@@ -33,7 +32,6 @@ from pyspark.sql import functions as F
 from anomalytics import config
 from anomalytics.operators.quantiles import exact_percentiles
 from anomalytics.session import materialize, ship_package
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 EULER_GAMMA = 0.5772156649015329
 
@@ -96,17 +94,15 @@ def _h(id_col: str, t, seed: int):
     return F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed)), F.lit(_BITS))
 
 
-def _sample(pool: DataFrame, id_col: str, n_trees: int, psi: int, seed: int, frac: float) -> DataFrame:
-    """Per tree, the psi pool rows with the smallest hash (ties by id).
+def _sample(data: DataFrame, id_col: str, n_trees: int, psi: int, seed: int, frac: float) -> DataFrame:
+    """Per tree, the psi rows with the smallest hash (ties by id); one rule at every size.
 
-    Each pool row is paired with every tree and kept where its per-tree hash is
-    under the cut (about 4*psi rows per tree survive). The pairing is bounded by
-    the pool, not the data: at most about 4*T*psi * T rows, and it runs inside
-    whole-stage codegen (explode + filter), unlike a per-row lambda.
+    Every row is tested against every tree's cut inside whole-stage codegen (explode + filter); about 4*psi rows per
+    tree survive, and only they are shuffled and ranked.
     """
     cut = F.lit(int(frac * _BITS))
     cand = (
-        pool.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
+        data.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
         .withColumn("h", _h(id_col, F.col("tree"), seed))
         .where(F.col("h") < cut)
     )
@@ -157,20 +153,10 @@ def fit(df: DataFrame, features=config.FEATURE_COLUMNS, id_col: str = "order_id"
     psi = min(max_samples, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
     data = df.select(id_col, *features)
-    pool_frac = min(1.0, 4.0 * n_trees * psi / n)
-    pool, pool_n = data, n
-    while pool_frac < 1.0:
-        cut = F.lit(int(pool_frac * _BITS))
-        pool = materialize(data.where(_h(id_col, F.lit(-1), seed) < cut))   # about 4 * T * psi rows
-        pool_n = pool.count()
-        if pool_n >= psi:
-            break
-        pool_frac = min(1.0, pool_frac * 2)
-        pool, pool_n = data, n
-    frac = min(1.0, 4.0 * psi / max(pool_n, 1))
+    frac = min(1.0, 4.0 * psi / n)
     while True:
         # the written sample holds at most T * psi rows; it is full exactly when every tree drew psi rows
-        sample = materialize(_sample(pool, id_col, n_trees, psi, seed, frac))
+        sample = materialize(_sample(data, id_col, n_trees, psi, seed, frac))
         if frac >= 1.0 or sample.count() == n_trees * psi:
             break
         frac = min(1.0, frac * 2)   # a tree drew fewer than psi candidates: widen and redraw
@@ -265,25 +251,19 @@ def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COL
     if len(nodes) > bound or (len(nodes) and int(nodes["tree"].max()) >= n_trees):
         raise ValueError(f"forest has more than {n_trees} trees or {bound} nodes")
     forest = ForestArrays(nodes, psi)
-    tmp = [f"_x{i}" for i in range(len(features))]
     if scaler is None:
-        inputs = [F.col(c).cast("double").alias(t) for c, t in zip(features, tmp)]
+        inputs = [F.col(c).cast("double") for c in features]
     else:
         inputs = [
-            ((F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s)).alias(t)
-            for c, m, s, t in zip(features, scaler.means, scaler.scales, tmp)
+            (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s)
+            for c, m, s in zip(features, scaler.means, scaler.scales)
         ]
-    wide = df.select("*", *inputs)
-    out_schema = StructType(list(df.schema.fields) + [StructField(out, DoubleType(), True)])
 
-    def run(batches):
-        for pdf in batches:
-            X = pdf[tmp].to_numpy(dtype=float)
-            pdf = pdf.drop(columns=tmp)
-            pdf[out] = forest.scores(X) if len(pdf) else np.zeros(0)
-            yield pdf
+    @F.pandas_udf("double")
+    def score_of(*columns: pd.Series) -> pd.Series:
+        return pd.Series(forest.scores(np.column_stack([c.to_numpy(dtype=float) for c in columns])))
 
-    return wide.mapInPandas(run, schema=out_schema)
+    return df.withColumn(out, score_of(*inputs))
 
 
 def label(scored: DataFrame, contamination: float = config.CONTAMINATION,

@@ -1,24 +1,20 @@
-"""Exact quantiles (linear interpolation, as PERCENTILE_CONT) that scale.
-
-Spark's exact ``percentile`` merges a value->count map of the whole column into
-one reducer, so its memory grows with the number of distinct values. That is
-fine for a bounded input and unsafe for a global statistic over billions of
-rows. Here:
-
-* ``n <= small_n``: one pass with the exact ``percentile`` aggregate (its map
-  holds at most ``small_n`` entries — a proven bound).
-* otherwise: rank selection by bracket refinement. Each round is two
-  distributed aggregations: ``percentile_approx`` (a mergeable sketch with
-  rank error <= cnt/accuracy) proposes a bracket (a, b) around every wanted
-  rank, and one counting pass locates the rank exactly — at ``a``, at ``b``,
-  or strictly inside (a, b), which holds about 2*margin*cnt rows. Ties at the
-  bracket ends are settled by counts, so a value repeated a third of all rows
-  costs nothing extra. Once a bracket holds <= ``max_collect`` rows, those
-  rows (a bounded set) are fetched and the rank is read off directly.
-
-The result is the exact interpolated quantile
-``v[k] + (pos - k) * (v[k+1] - v[k])`` with ``pos = p * (n - 1)``, written in
-Spark's interpolation form so both paths agree bit for bit.
+"""Exact quantiles (linear interpolation, as PERCENTILE_CONT) by rank selection, one method at every size.
+
+Spark's exact ``percentile`` merges a value->count map of the whole column into one reducer, so its memory grows with
+the number of distinct values. Here a wanted rank is found by rounds of two distributed aggregations:
+
+* ``percentile_approx`` (a mergeable sketch of bounded size, rank error <= count / accuracy) proposes a value for the
+  rank and a bracket around it;
+* one counting pass tells how many values lie below and up to each proposal, which settles the rank exactly when it
+  falls on a proposed value, and otherwise leaves an open bracket of about ``2 * MARGIN / accuracy`` of the values.
+
+The next round works inside the brackets that are left. A bracket with fewer values than ``accuracy`` is held by the
+sketch without error, so it is settled in its round; every round shrinks a bracket by a factor of about a thousand.
+Ties are settled by counts, so a value repeated on a third of all rows costs nothing extra. Only proposals and counts
+reach the driver.
+
+Nulls are ignored. NaN counts as the largest value, as in Spark's and DuckDB's order. The result is
+``v[k] + (pos - k) * (v[k+1] - v[k])`` with ``pos = p * (n - 1)``, written in Spark's interpolation form.
 """
 
 from __future__ import annotations
@@ -29,28 +25,25 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SMALL_N = 2_000_000
-MAX_COLLECT = 200_000
-ACCURACY = 10_000
+ACCURACY = 50_000
+MARGIN = 3.0
 
 
-@dataclass
+@dataclass(frozen=True)
 class _Bracket:
-    rank: int          # wanted rank among all values, 0-based
-    lo: float | None   # open lower bound (None = -inf)
-    hi: float | None   # open upper bound (None = +inf)
-    offset: int        # number of values <= lo
-    count: int         # number of values strictly inside (lo, hi)
-    value: float | None = None
-
+    """Values strictly between lo and hi (None: open end); ``below`` values are <= lo, ``count`` lie inside."""
+    lo: float | None
+    hi: float | None
+    below: int
+    count: int
 
-def _inside(x, b: _Bracket):
-    cond = F.lit(True)
-    if b.lo is not None:
-        cond = cond & (x > F.lit(b.lo))
-    if b.hi is not None:
-        cond = cond & (x < F.lit(b.hi))
-    return cond
+    def inside(self, x):
+        cond = F.lit(True)
+        if self.lo is not None:
+            cond = cond & (x > F.lit(self.lo))
+        if self.hi is not None:
+            cond = cond & (x < F.lit(self.hi))
+        return cond
 
 
 def _interpolate(pos: float, lower: float, upper: float) -> float:
@@ -60,70 +53,49 @@ def _interpolate(pos: float, lower: float, upper: float) -> float:
     return (hi_i - pos) * lower + (pos - lo_i) * upper
 
 
-def _select_ranks(x: DataFrame, n: int, ranks: list[int], max_collect: int, accuracy: int) -> dict[int, float]:
+def _select_ranks(x: DataFrame, n: int, ranks: list[int], accuracy: int) -> dict[int, float]:
     col = F.col("x")
-    margin = 3.0 / accuracy
-    open_ = [_Bracket(rank=r, lo=None, hi=None, offset=0, count=n) for r in sorted(set(ranks))]
+    open_: dict[_Bracket, list[int]] = {_Bracket(None, None, 0, n): sorted(set(ranks))}
     done: dict[int, float] = {}
     while open_:
-        small = [b for b in open_ if b.count <= max_collect]
-        if small:
-            cond = None
-            for b in small:
-                cond = _inside(col, b) if cond is None else (cond | _inside(col, b))
-            rows = [r[0] for r in x.where(cond).collect()]  # bounded: <= len(small) * max_collect
-            for b in small:
-                vals = sorted(v for v in rows if (b.lo is None or v > b.lo) and (b.hi is None or v < b.hi))
-                done[b.rank] = vals[b.rank - b.offset]
-            open_ = [b for b in open_ if b.count > max_collect]
-            if not open_:
-                break
-        # round: approximate bracket inside each open interval
         aggs = []
-        for i, b in enumerate(open_):
-            f = (b.rank - b.offset) / max(b.count - 1, 1)
-            probs = [min(max(f - margin, 0.0), 1.0), min(max(f + margin, 0.0), 1.0)]
-            aggs.append(F.percentile_approx(F.when(_inside(col, b), col), probs, accuracy).alias(f"a{i}"))
-        approx = x.agg(*aggs).first()
-        counts = []
-        for i, b in enumerate(open_):
-            a, c = approx[f"a{i}"]
-            inside = _inside(col, b)
-            counts += [
-                F.count_if(inside & (col < F.lit(a))).alias(f"lt_a{i}"),
-                F.count_if(inside & (col <= F.lit(a))).alias(f"le_a{i}"),
-                F.count_if(inside & (col < F.lit(c))).alias(f"lt_b{i}"),
-                F.count_if(inside & (col <= F.lit(c))).alias(f"le_b{i}"),
-            ]
-        cnt = x.agg(*counts, F.count(F.lit(1)).alias("n_all")).first()
-        if cnt["n_all"] != n:
-            raise ValueError(f"n={n} but the column has {cnt['n_all']} non-null values")
-        still = []
-        for i, b in enumerate(open_):
-            a, c = approx[f"a{i}"]
-            r = b.rank - b.offset
-            lt_a, le_a, lt_b, le_b = cnt[f"lt_a{i}"], cnt[f"le_a{i}"], cnt[f"lt_b{i}"], cnt[f"le_b{i}"]
-            if lt_a <= r < le_a:
-                done[b.rank] = a
-            elif lt_b <= r < le_b:
-                done[b.rank] = c
-            elif le_a <= r < lt_b:
-                still.append(_Bracket(b.rank, a, c, b.offset + le_a, lt_b - le_a))
-            elif r < lt_a:
-                still.append(_Bracket(b.rank, b.lo, a, b.offset, lt_a))
-            else:
-                still.append(_Bracket(b.rank, c, b.hi, b.offset + le_b, b.count - le_b))
+        for i, (b, wanted) in enumerate(open_.items()):
+            at = [(r - b.below + 0.5) / b.count for r in wanted]
+            probs = sorted({min(max(f + d, 0.0), 1.0) for f in at for d in (-MARGIN / accuracy, 0.0, MARGIN / accuracy)})
+            aggs.append(F.percentile_approx(F.when(b.inside(col), col), probs, accuracy).alias(f"b{i}"))
+        proposed = [sorted(set(values), key=lambda v: (v != v, v)) for values in x.agg(*aggs).first()]
+        counts = [F.count(F.lit(1)).alias("n_all")]
+        for i, values in enumerate(proposed):
+            for j, v in enumerate(values):
+                counts += [F.count_if(col < F.lit(v)).alias(f"lt{i}_{j}"), F.count_if(col <= F.lit(v)).alias(f"le{i}_{j}")]
+        found = x.agg(*counts).first()
+        if found["n_all"] != n:
+            raise ValueError(f"n={n} but the column has {found['n_all']} non-null values")
+        still: dict[_Bracket, list[int]] = {}
+        for i, ((b, wanted), values) in enumerate(zip(list(open_.items()), proposed, strict=True)):
+            for r in wanted:
+                lo, hi, below, end = b.lo, b.hi, b.below, b.below + b.count
+                for j, v in enumerate(values):
+                    lt, le = found[f"lt{i}_{j}"], found[f"le{i}_{j}"]
+                    if lt <= r < le:
+                        done[r] = float(v)
+                        break
+                    if le <= r:
+                        lo, below = v, le
+                    else:
+                        hi, end = v, lt
+                        break
+                if r not in done:
+                    still.setdefault(_Bracket(lo, hi, below, end - below), []).append(r)
         open_ = still
     return done
 
 
 def exact_percentiles(df: DataFrame, column: str, probs, *, n: int | None = None,
-                      small_n: int = SMALL_N, max_collect: int = MAX_COLLECT,
                       accuracy: int = ACCURACY) -> list[float | None]:
     """Exact PERCENTILE_CONT of ``column`` (cast to DOUBLE, nulls ignored) for each p.
 
-    ``n``, when given, must be the number of non-null values (it picks the path
-    and the ranks; the bracket path checks it in its first counting pass).
+    ``n``, when given, must be the number of non-null values (the first counting pass checks it).
     """
     probs = [float(p) for p in probs]
     x = df.select(F.col(column).cast("double").alias("x")).where(F.col("x").isNotNull())
@@ -131,16 +103,6 @@ def exact_percentiles(df: DataFrame, column: str, probs, *, n: int | None = None
         n = x.count()
     if n == 0:
         return [None] * len(probs)
-    if n <= small_n:
-        row = x.agg(F.percentile("x", F.array(*[F.lit(p) for p in probs])).alias("q")).first()
-        return [float(v) for v in row["q"]]
-    wanted = []
-    for p in probs:
-        pos = p * (n - 1)
-        wanted += [math.floor(pos), math.ceil(pos)]
-    values = _select_ranks(x, n, wanted, max_collect, accuracy)
-    out = []
-    for p in probs:
-        pos = p * (n - 1)
-        out.append(_interpolate(pos, values[math.floor(pos)], values[math.ceil(pos)]))
-    return out
+    positions = [p * (n - 1) for p in probs]
+    values = _select_ranks(x, n, [r for pos in positions for r in (math.floor(pos), math.ceil(pos))], accuracy)
+    return [_interpolate(pos, values[math.floor(pos)], values[math.ceil(pos)]) for pos in positions]

@@ -11,7 +11,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomalytics.functions.columns import decimals_to_double
 from anomalytics.operators import enrich, reports
 from anomalytics.plans.workspace import Workspace
 
@@ -145,28 +144,24 @@ def high_risk_transactions(spark, sf_dir):
     return round6(reports.high_risk_transactions(Workspace.get(spark, sf_dir).flags), "amount_zscore")
 
 
-def _detector_stats(ws: Workspace) -> stats_op.ColumnStats:
-    return stats_op.column_stats(ws.features, "total_amount")
-
-
 @query("amount_zscore")
 def amount_zscore(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    df = stats_op.with_amount_zscore(ws.features, stats=_detector_stats(ws))
+    df = stats_op.with_amount_zscore(ws.features, stats=ws.detector_stats)
     return round6(_d2d(df.select("order_id", "total_amount", "amount_zscore")), "amount_zscore")
 
 
 @query("iqr_outliers")
 def iqr_outliers(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    df = stats_op.with_iqr_flag(ws.features, stats=_detector_stats(ws))
+    df = stats_op.with_iqr_flag(ws.features, stats=ws.detector_stats)
     return _d2d(df.select("order_id", "total_amount", "is_anomaly_iqr"))
 
 
 @query("zscore_outliers")
 def zscore_outliers(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
-    df = stats_op.with_amount_zscore(ws.features, stats=_detector_stats(ws))
+    df = stats_op.with_amount_zscore(ws.features, stats=ws.detector_stats)
     out = df.where(stats_op.zscore_flag("amount_zscore")).select("order_id", "total_amount", "amount_zscore")
     return round6(_d2d(out), "amount_zscore")
 
@@ -222,8 +217,6 @@ def seller_performance(spark, sf_dir):
 
 # ---- detector: features, forest, statistical flags ----------------------------------
 
-import datetime as _dt  # noqa: E402
-
 from anomalytics.operators import dashboard, detector, iforest  # noqa: E402
 from anomalytics.plans.workspace import Z_FLAG  # noqa: E402
 from anomalytics import config as _cfg  # noqa: E402
@@ -313,7 +306,8 @@ def kpi_metrics(spark, sf_dir):
 
 @query("filter_bounds")
 def filter_bounds(spark, sf_dir):
-    return round6(dashboard.filter_bounds(Workspace.get(spark, sf_dir).detector_z), "p99_amount")
+    ws = Workspace.get(spark, sf_dir)
+    return round6(dashboard.filter_bounds(ws.detector_z, stats=ws.stats), "p99_amount")
 
 
 @query("state_options")
@@ -321,6 +315,11 @@ def state_options(spark, sf_dir):
     return dashboard.state_options(Workspace.get(spark, sf_dir).detector_z)
 
 
+@query("type_options")
+def type_options(spark, sf_dir):
+    return dashboard.type_options(Workspace.get(spark, sf_dir).detector_z)
+
+
 @query("filtered_orders")
 def filtered_orders(spark, sf_dir):
     f = _filtered(Workspace.get(spark, sf_dir))
@@ -332,8 +331,7 @@ def filtered_orders_by_state_type(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
     rows = ws.detector_z
     first_state = dashboard.state_options(rows).first()["customer_state"]
-    f = dashboard.filter_orders(rows, state=first_state, anomaly_type=_cfg.TYPE_NORMAL,
-                                amount=(0.0, 10_000_000.0), dates=(_dt.date(1990, 1, 1), _dt.date(2100, 1, 1)))
+    f = dashboard.filter_orders(rows, state=first_state, anomaly_type=_cfg.TYPE_NORMAL)
     return _d2d(f.select("order_id", "customer_state", "total_amount", "anomaly_type"))
 
 
@@ -400,12 +398,7 @@ def category_anomalies(spark, sf_dir):
 def seller_anomalies(spark, sf_dir):
     from anomalytics.operators import roadmap
 
-    from anomalytics.session import materialize
-
-    t = Workspace.get(spark, sf_dir).tables
-    # one row per seller, written once: statistics (two passes) and the output read it, not the line items
-    perf = materialize(reports.seller_performance(t["order_items"], t["sellers"]), "sellers")
-    return round6(roadmap.seller_anomalies(perf), "revenue_zscore")
+    return round6(roadmap.seller_anomalies(Workspace.get(spark, sf_dir).seller_table), "revenue_zscore")
 
 
 @query("stream_flags")
@@ -425,13 +418,14 @@ def stream_window_rates(spark, sf_dir):
 # ---- SQL surface: report SQL over the registered analysis views ---------------------------
 
 SQL_REGIONAL = """
-SELECT customer_state, COUNT(*) AS total_orders,
-       CAST(SUM(CASE WHEN amount_flag != 'NORMAL' THEN 1 ELSE 0 END) AS BIGINT) AS anomaly_count,
-       CAST(SUM(CASE WHEN amount_flag != 'NORMAL' THEN 1 ELSE 0 END) AS DOUBLE) * 100.0 / COUNT(*) AS anomaly_rate,
-       CAST(SUM(total_amount) AS DOUBLE) AS total_revenue,
-       CAST(SUM(CASE WHEN amount_flag = 'HIGH_AMOUNT' THEN total_amount ELSE 0 END) AS DOUBLE) AS high_amount_revenue,
-       CAST(SUM(total_amount) AS DOUBLE) / COUNT(total_amount) AS avg_order_value
-FROM v_anomaly_stats GROUP BY customer_state ORDER BY anomaly_count DESC"""
+WITH judged AS (
+  SELECT customer_state, total_amount, amount_flag <> 'NORMAL' AS odd, amount_flag = 'HIGH_AMOUNT' AS high
+  FROM v_anomaly_stats)
+SELECT customer_state, count(*) AS total_orders, count_if(odd) AS anomaly_count,
+       100.0D * count_if(odd) / count(*) AS anomaly_rate, double(sum(total_amount)) AS total_revenue,
+       double(coalesce(sum(total_amount) FILTER (WHERE high), 0)) AS high_amount_revenue,
+       double(sum(total_amount)) / count(total_amount) AS avg_order_value
+FROM judged GROUP BY customer_state"""
 
 SQL_HIGH_RISK_BY_STATE = """
 SELECT customer_state, COUNT(*) AS high_risk_orders, MAX(anomaly_flag_count) AS max_flags,

@@ -120,7 +120,14 @@ class Workspace:
         from anomalytics.operators import dashboard
 
         # the detector rows are the rows A1 counts (enriched rows with an amount)
-        return dashboard.default_filters(self.features, n=self.stats.n)
+        return dashboard.default_filters(self.features, stats=self.stats)
+
+    @cached_property
+    def seller_table(self) -> DataFrame:
+        """One row per seller (G10), written once: the seller statistics and their output read it."""
+        from anomalytics.operators import reports
+
+        return materialize(reports.seller_performance(self.tables["order_items"], self.tables["sellers"]), "sellers")
 
     @cached_property
     def event_stats(self) -> stats_op.ColumnStats:

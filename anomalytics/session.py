@@ -112,13 +112,6 @@ def utc_session(spark: SparkSession):
         spark.conf.set(key, before)
 
 
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default
-
-
 def ship_package(spark: SparkSession) -> None:
     """Make this package's functions usable in Python workers.
 

@@ -32,14 +32,18 @@ class StreamRun:
     path: str
 
 
-def event_stream(spark: SparkSession, folder: str, file_glob: str = "events.parquet",
+def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
                  max_files_per_trigger: int | None = None) -> DataFrame:
-    """Events as a stream of parquet files (schema taken from the existing files)."""
-    schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
+    """Events as a stream: ``name`` under ``folder`` is a parquet file or a folder of part files."""
+    path = f"{folder.rstrip('/')}/{name}"
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(folder)
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.getFileStatus(jpath).isDirectory():
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", name).parquet(folder)       # a single file: its folder, that name only
 
 
 def flag_events(events: DataFrame, stats: ColumnStats) -> DataFrame:
@@ -72,8 +76,7 @@ def _run(df: DataFrame, name: str, mode: str = "append") -> StreamRun:
 def stream_flags(spark: SparkSession, folder: str, stats: ColumnStats | None = None) -> StreamRun:
     """R2: every event flagged against batch statistics, written by an availableNow stream."""
     if stats is None:
-        batch = spark.read.option("pathGlobFilter", "events.parquet").parquet(folder)
-        stats = column_stats(batch, "value")
+        stats = column_stats(spark.read.parquet(f"{folder}/events.parquet"), "value")
     with utc_session(spark):
         return _run(flag_events(event_stream(spark, folder), stats), "stream-flags")
 
@@ -103,9 +106,22 @@ def windowed_rates(events: DataFrame, stats: ColumnStats, window: str = "1 day",
 
 def stream_window_rates(spark: SparkSession, folder: str, stats: ColumnStats | None = None,
                         window: str = "1 day", delay: str = "1 hour") -> StreamRun:
-    """Closed windows only (append mode emits a window once the watermark passes its end)."""
+    """Every window of the finite input.
+
+    The stream (append mode) writes the windows that the watermark has closed. When the input ends, the windows that
+    are still open are read in batch, from their own events only, and added.
+    """
+    batch = spark.read.parquet(f"{folder}/events.parquet")
     if stats is None:
-        batch = spark.read.option("pathGlobFilter", "events.parquet").parquet(folder)
         stats = column_stats(batch, "value")
     with utc_session(spark):   # windows are wall-clock days; see utc_session
-        return _run(windowed_rates(event_stream(spark, folder), stats, window, delay), "stream-windows")
+        closed = _run(windowed_rates(event_stream(spark, folder), stats, window, delay), "stream-windows")
+        last = batch.agg(F.max("ts")).first()[0]
+        if last is None:
+            return closed
+        border = F.lit(last) - F.expr(f"INTERVAL {delay}")
+        late = batch.where(F.col("ts") > border - F.expr(f"INTERVAL {window}"))
+        still_open = windowed_rates(late, stats, window, delay).where(F.col("window_end") > border)
+        path = scratch_path(spark, "open-windows")
+        still_open.write.parquet(path)
+    return StreamRun(closed.output.unionByName(spark.read.parquet(path)), closed.path)

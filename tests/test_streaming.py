@@ -61,3 +61,13 @@ def test_window_rates_independent_of_caller_zone_and_zone_restored(spark):
     finally:
         spark.conf.set(key, "UTC")
     assert other == base and base
+
+
+def test_every_window_is_reported_also_from_a_folder_of_parts(spark, tmp_dir):
+    events = spark.read.parquet(os.path.join(SF, "events.parquet"))
+    one = detection.stream_window_rates(spark, SF).output
+    assert one.agg(F.sum("n_events")).first()[0] == events.count()
+    events.repartition(3).write.parquet(os.path.join(tmp_dir, "events.parquet"))
+    parts = detection.stream_window_rates(spark, tmp_dir).output
+    assert sorted(map(tuple, parts.collect())) == sorted(map(tuple, one.collect()))
+    assert detection.stream_flags(spark, tmp_dir).output.count() == events.count()
