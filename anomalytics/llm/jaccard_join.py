@@ -7,7 +7,7 @@ The points are the distinct shingle sets, the metric is the Jaccard distance; tw
    of its first shingle, and a set within the radius of it holds one of its first |x| - ceil(3/4 |x|) + 1 shingles; a
    boundary set is replicated to the cells of all of these. So any two linked sets meet in a cell. (Random texts share
    no shingle and are at distance 1 from each other, so document pivots alone would leave them in one region.)
-2. Inside a cell, documents are pivots. Each round takes up to ``pivots`` sets per cell, measures their distance from
+2. Inside a cell, documents are pivots. Each round takes up to ``pivots`` sets per cell (twice as many the next round), measures their distance from
    the other sets of the cell, links those within the radius, and settles the pivots. The sets that a pivot reaches
    are one component, so pairs inside a component are not looked at again; cells whose sets are all of one component
    are finished, and the others go into the next round.
@@ -306,6 +306,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             regions.where(~F.exists("pivots", lambda p: p["p"] == F.col("node"))).select("s", "node", "n")
             .join(label, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("comp")),
             "jaccard-regions")
+        pivots *= 2                                   # cells that are still open have many sets apart: fewer rounds
 
     if label is None:
         label = spark.createDataFrame([], "node bigint, component bigint")
