@@ -23,9 +23,10 @@ from pyspark.sql import DataFrame
 from anomalytics.llm.common import prepare
 
 
-#: a transition is (state << TOKEN_BITS | token)
+#: a transition is (state << 8 + TOKEN_BITS | token): without the token, the state is in place for the next byte
 TOKEN_BITS = 24
 TOKEN_MASK = (1 << TOKEN_BITS) - 1
+LOOKAHEAD = 256                # bytes of a longer match between two looks for what is settled
 ROWS = 1024                    # texts that a task hands on at a time
 
 
@@ -50,6 +51,18 @@ def merge(ranks: dict[bytes, int], data: bytes, below: int = 1 << 62) -> list[in
     return [ranks[p] for p in parts]
 
 
+class _Steps(dict):
+    """(state, byte) -> next state and the token that ends there, made when it is first asked for."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: int) -> int:
+        made = self[key] = self.make(key >> 8, key & 255)
+        return made
+
+
 class Transducer:
     """Lazily determinised BPE transducer; ``encode`` takes the bytes of one pre-token.
 
@@ -82,7 +95,7 @@ class Transducer:
     def _restart(self) -> None:
         self.states = [((-1, 0),)]
         self.ids = {self.states[0]: 0}
-        self.next: dict[int, int] = {}             # state * 256 + byte -> state and token that ends there
+        self.next = _Steps(self._step)             # state * 256 + byte -> (next state * 256, token that ends there)
         self.pairs: dict[int, bool] = {}
 
     def _split(self, token: int) -> tuple[int, int] | None:
@@ -141,8 +154,7 @@ class Transducer:
         if target is None:
             target = self.ids[reached] = len(self.states)
             self.states.append(reached)
-        made = self.next[state << 8 | byte] = target << TOKEN_BITS | border
-        return made
+        return target << 8 + TOKEN_BITS | border
 
     def encode(self, data: bytes) -> list[int]:
         """Tokens of a pre-token. What lies before a state with one hypothesis is settled and is emitted there."""
@@ -150,16 +162,15 @@ class Transducer:
             self._restart()
         out: list[int] = []
         borders: list[int] = []
-        step, get, push = 0, self.next.get, borders.append
-        for byte in data:
-            at = step >> TOKEN_BITS << 8 | byte
-            step = get(at)
-            if step is None:
-                step = self._step(at >> 8, byte)
-            push(step)
-            if len(borders) > 255 and len(self.states[step >> TOKEN_BITS]) == 1:
-                out += self._settled(borders)
-                borders.clear()
+        step, following = 0, self.next
+        for at in range(0, len(data), LOOKAHEAD):
+            borders += [step := following[step >> TOKEN_BITS | byte] for byte in data[at:at + LOOKAHEAD]]
+            if len(data) > LOOKAHEAD:
+                sure = len(borders)
+                while sure and len(self.states[borders[sure - 1] >> 8 + TOKEN_BITS]) > 1:
+                    sure -= 1
+                out += self._settled(borders[:sure])
+                del borders[:sure]
         return out + self._settled(borders) if out else self._settled(borders)
 
     def _settled(self, borders: list[int]) -> list[int]:
@@ -198,7 +209,7 @@ class _Packed(dict):
 class Encoder:
     """Text -> ids packed as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most: int = 300_000):
         import re
 
         import regex
@@ -208,8 +219,9 @@ class Encoder:
         # A space between two characters that are not white space always begins a match of the pattern, so the text
         # may be cut there and a piece looked up on its own.
         self.uneven = re.compile(r"\s | \s|^ | $").search
+        self.letters_join = all(self.findall(x) == [x] for x in (" aZ", " z\u00e9\u024f", " \u00aax"))
         self.matches = _Packed(self._match, most)
-        self.pieces = _Packed(lambda p: self._slow(" " + p), 2 * most)
+        self.pieces = _Packed(self._piece, 2 * most)
 
     def _match(self, text: str) -> bytes:
         data = text.encode("utf-8", "surrogatepass")
@@ -221,6 +233,13 @@ class Encoder:
         matches = self.matches
         return b"".join([matches[m] for m in self.findall(text)])
 
+    def _piece(self, piece: str) -> bytes:
+        """A space and what follows it. Letters are one match; only those that all Unicode versions agree on are taken
+        without asking the pattern."""
+        if piece.isalpha() and max(piece) < "\u0250" and self.letters_join:
+            return self._match(" " + piece)
+        return self._slow(" " + piece)
+
     def encode(self, text: str) -> bytes:
         if not text or self.uneven(text):
             return self._slow(text)
