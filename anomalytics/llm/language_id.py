@@ -147,7 +147,8 @@ def fit(labelled: DataFrame, lang_col: str = "lang", text_col: str = "text", sam
         F.col(lang_col).alias("lang"), F.xxhash64(text_col).alias("h"), F.col(text_col).alias("text"))
     chosen = (usable.select("lang", "h").distinct().withColumn("n", F.row_number().over(order))
               .where(F.col("n") <= sample_docs).select("lang", "h"))       # the limit is applied before the shuffle too
-    rows = (usable.join(chosen, ["lang", "h"], "left_semi").groupBy("lang", "h")
+    # at most sample_docs rows a language, so that texts are filtered where they are read and only the sample is shuffled
+    rows = (usable.join(F.broadcast(chosen), ["lang", "h"], "left_semi").groupBy("lang", "h")
             .agg(F.min(F.substring("text", 1, sample_chars)).alias("text")).orderBy("lang", "h").collect())
     samples: dict[str, list[str]] = {}
     for row in rows:
