@@ -7,10 +7,12 @@ The points are the distinct shingle sets, the metric is the Jaccard distance; tw
    of its first shingle, and a set within the radius of it holds one of its first |x| - ceil(3/4 |x|) + 1 shingles; a
    boundary set is replicated to the cells of all of these. So any two linked sets meet in a cell. (Random texts share
    no shingle and are at distance 1 from each other, so document pivots alone would leave them in one region.)
-2. Inside a cell, documents are pivots. Each round takes up to ``pivots`` sets per cell (twice as many the next round), measures their distance from
-   the other sets of the cell, links those within the radius, and settles the pivots. The sets that a pivot reaches
-   are one component, so pairs inside a component are not looked at again; cells whose sets are all of one component
-   are finished, and the others go into the next round.
+2. Inside a cell, documents are pivots. Each round takes up to ``pivots`` sets per cell (eight times as many the next
+   round), measures their distance from the other sets of the cell, links those within the radius, and settles the
+   pivots. The sets that a pivot reaches are one component, so pairs inside a component are not looked at again; cells
+   whose sets are all of one component are finished, and the others go into the next round. Few pivots are enough for
+   a group of near copies; cells that stay open hold many sets apart. The links of a round are links between the
+   components of the rounds before, so that only these are merged.
 3. A distance is bounded from below first: by the sizes, and by the parity sketch of a set, a fixed point of a Hamming
    space to which the symmetric difference only contracts. By the triangle inequality a pair whose bound is beyond the
    radius cannot link. Only the other pairs are measured on the full sets.
@@ -192,7 +194,7 @@ def sizes_near(a: Column, b: Column) -> Column:
 
 
 def measured(pairs: DataFrame, sets: DataFrame, sketch: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``pairs`` (a, an, b, bn) that link."""
+    """(a, b): the components ``ca`` and ``cb`` of the pairs of ``pairs`` (a, an, ca, b, bn, cb) that link."""
     def bounded(batches):
         for batch in batches:
             keep = []
@@ -200,7 +202,8 @@ def measured(pairs: DataFrame, sets: DataFrame, sketch: DataFrame) -> DataFrame:
                 differ = least_difference(x, y)               # links need 100 (an + bn - d) >= NEAR (an + bn + d)
                 keep.append(100 * (an + bn - differ) >= NEAR * (an + bn + differ))
             at = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(at), batch.column("b").filter(at)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(at) for c in ("a", "b", "ca", "cb")],
+                                             names=["a", "b", "ca", "cb"])
 
     def exact(batches):
         for batch in batches:
@@ -210,18 +213,19 @@ def measured(pairs: DataFrame, sets: DataFrame, sketch: DataFrame) -> DataFrame:
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 keep.append(100 * common >= NEAR * (len(x) + len(y) - common))
             at = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(at), batch.column("b").filter(at)], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([batch.column("ca").filter(at), batch.column("cb").filter(at)], names=["a", "b"])
 
     left = materialize(
         pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("x")), "a")
         .join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
-        .select("a", "b", "an", "bn", "x", "y").mapInArrow(bounded, "a bigint, b bigint"), "jaccard-pairs")
+        .select("a", "b", "ca", "cb", "an", "bn", "x", "y")
+        .mapInArrow(bounded, "a bigint, b bigint, ca bigint, cb bigint"), "jaccard-pairs")
     wanted = _only_wanted(sets.select("node", "shingles"), left.select(F.explode(F.array("a", "b")).alias("node")))
     wanted = wanted.groupBy("node").agg(F.first("shingles").alias("shingles"))         # several tasks may have kept it
-    return materialize(
+    return (
         left.join(wanted.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .join(wanted.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
-        .select("a", "b", "x", "y").mapInArrow(exact, "a bigint, b bigint"), "jaccard-links")
+        .select("ca", "cb", "x", "y").mapInArrow(exact, "a bigint, b bigint"))
 
 
 def _only_wanted(sets: DataFrame, nodes: DataFrame, bits: int = 1 << 24) -> DataFrame:
@@ -249,7 +253,13 @@ def _bucket_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(at > 0, 1 + (at - 1) // 32768, 0), np.where(at > 0, (at - 1) % 32768, 0)
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pivots: int = 32,
+def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """``rows`` with the component that their ``comp`` went into."""
+    found = merged.select(F.col("node").alias("comp"), "component")
+    return rows.join(found, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pivots: int = 16,
                  filter_bits: int = 1 << 28) -> DataFrame:
     """(id, n_shingles, component_id) of every row: the least id that is reachable over links, its own included.
 
@@ -273,8 +283,7 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sketches = materialize(held.groupBy("node").agg(F.first("sketch").alias("sketch")), "jaccard-sketches")
 
     regions = found.withColumn("comp", F.col("node"))
-    links = spark.createDataFrame([], "a bigint, b bigint")
-    label = None
+    merged = []                                       # of each round: the components before -> after
     while True:
         # sets outside the largest component of their cell are still to be compared with the rest of the cell
         largest = (regions.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s")
@@ -296,21 +305,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         pairs = (asked.where((F.col("comp") != F.col("p.pc")) & sizes_near(F.col("n"), F.col("p.pn")))
                  .select(F.least("node", "p.p").alias("a"), F.greatest("node", "p.p").alias("b"),
                          F.when(F.col("node") < F.col("p.p"), F.col("n")).otherwise(F.col("p.pn")).alias("an"),
-                         F.when(F.col("node") < F.col("p.p"), F.col("p.pn")).otherwise(F.col("n")).alias("bn")).distinct())
-        links = materialize(links.unionByName(measured(materialize(pairs, "jaccard-asked"), held, sketches)), "jaccard-edges")
-        del asked, pairs
+                         F.when(F.col("node") < F.col("p.p"), F.col("p.pn")).otherwise(F.col("n")).alias("bn"),
+                         F.when(F.col("node") < F.col("p.p"), F.col("comp")).otherwise(F.col("p.pc")).alias("ca"),
+                         F.when(F.col("node") < F.col("p.p"), F.col("p.pc")).otherwise(F.col("comp")).alias("cb")).distinct())
+        links = measured(materialize(pairs, "jaccard-asked"), held, sketches)
+        merged.append(materialize(components(links), "jaccard-labels"))
+        del asked, pairs, links
         release(spark)
-        label = materialize(components(links), "jaccard-labels")
         # settled pivots leave their cell; the others take their new component
         regions = materialize(
-            regions.where(~F.exists("pivots", lambda p: p["p"] == F.col("node"))).select("s", "node", "n")
-            .join(label, "node", "left").select("s", "node", "n", F.coalesce("component", "node").alias("comp")),
-            "jaccard-regions")
-        pivots *= 2                                   # cells that are still open have many sets apart: fewer rounds
-
-    if label is None:
-        label = spark.createDataFrame([], "node bigint, component bigint")
-    named = classes.select("node", "first_id").join(label, "node", "left").withColumn("comp", F.coalesce("component", "node"))
+            _relabelled(regions.where(~F.exists("pivots", lambda p: p["p"] == F.col("node"))).select("s", "node", "n", "comp"),
+                        merged[-1]), "jaccard-regions")
+        pivots *= 8
+
+    named = classes.select("node", "first_id", F.col("node").alias("comp"))
+    for step in merged:
+        named = _relabelled(named, step)
+    named = materialize(named, "jaccard-named")
     least = materialize(named.groupBy("comp").agg(F.min("first_id").alias("component_id")), "jaccard-components")
     names = materialize(named.select("node", "comp").join(least, "comp").select("node", "component_id"), "jaccard-names")
     empty = F.col("n") == 0

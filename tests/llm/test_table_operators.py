@@ -20,7 +20,9 @@ DOCS = "doc_id bigint, text string, node string"
 
 def test_components_chain_star_and_pair(spark):
     edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1100)] + [(7000, 6000), (7000, 6000), (5, 5)]
-    got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
+    table = spark.createDataFrame(edges, "a bigint, b bigint")
+    got = {r.node: r.component for r in components.components(table).collect()}
+    assert got == {r.node: r.component for r in components.components(table, block=7).collect()}      # several blocks
     assert all(got[i] == 0 for i in range(61)) and all(got[i] == 1000 for i in range(1000, 1100))
     assert got[6000] == got[7000] == 6000
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
