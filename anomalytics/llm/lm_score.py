@@ -7,21 +7,26 @@ one after the other until a probe fails; the last level that was found stands fo
 
 * Counting: every task counts its own n-grams and sends them, sorted and packed, to the part of the hash range they
   belong to; a part adds the counts up. The number of parts grows with the number of tokens.
-* Filter: each part owns a slice of the filter, so slices need no merging. ``filter_bits`` is fixed, so what is
-  collected and broadcast is bounded. A slice takes its n-grams by falling count and stops at the count at which
-  fewer than ``bits_per_entry`` bits an entry would be left.
+* Filter: each part owns a slice of the filter, so slices need no merging. A slice has ``bits_per_entry`` bits for
+  every entry that was counted in its part, so it holds all of them and the filter grows with the corpus.
+* Probing: a filter of at most ``filter_bits`` is collected and broadcast. A larger one stays in its slices: the
+  texts are kept in chunks, the distinct n-gram hashes of a chunk are sent to the slices of their parts, and the levels
+  found there come back to the chunk. Both ways read the same bits and give the same scores.
 * The exact base score needs exact counts: the ``head_words`` commonest words are broadcast with theirs, the other
   words of a document are joined with the counts table.
 """
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import materialize, prepare
+from anomalytics.llm.common import materialize, prepare, release
 
 PROBES = 4
 FLUSH_WORDS, FLUSH_TOKENS = 400_000, 2_000_000
@@ -48,9 +53,11 @@ def bigram_hashes(before: np.ndarray, tokens: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """word -> 64-bit hash; emptied when it holds too many words."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | None) -> int:
         import xxhash
 
+        if word is None:                                        # the end of a text
+            return END
         if len(self) >= FLUSH_WORDS:
             self.clear()
         self[word] = made = xxhash.xxh64_intdigest(word)
@@ -80,13 +87,19 @@ def count_words(texts: DataFrame, text_col: str) -> DataFrame:
     return texts.select(text_col).mapInArrow(run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _positions(hashes: np.ndarray, level: int, part_bits: int, slice_bits: int) -> list[np.ndarray]:
-    """Bit positions of (hash, level) in the whole filter: one probe after the other, all in the slice of its part."""
-    base = (hashes >> np.uint64(64 - part_bits)).astype(np.int64) * slice_bits
+def _part_of(hashes: np.ndarray, part_bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - part_bits)).astype(np.int64)
+
+
+def _probes(hashes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """First place and step of (hash, level), as shares of 2^32."""
     mixed = _mix(hashes + np.uint64(level * 0x632BE59BD9B4E019 & (1 << 64) - 1))
-    first, step = mixed & np.uint64(0xFFFFFFFF), (mixed >> np.uint64(32)) | np.uint64(1)
-    mask = np.uint64(slice_bits - 1)
-    return [base + ((first + np.uint64(i) * step) & mask).astype(np.int64) for i in range(PROBES)]
+    return mixed & np.uint64(0xFFFFFFFF), (mixed >> np.uint64(32)) | np.uint64(1)
+
+
+def _place(first: np.ndarray, step: np.ndarray, probe: int, size: np.ndarray | np.uint64) -> np.ndarray:
+    """Bit position of a probe in a slice of ``size`` bits (under 2^32)."""
+    return (((first + np.uint64(probe) * step) & np.uint64(0xFFFFFFFF)) * size >> np.uint64(32)).astype(np.int64)
 
 
 def _levels(counts: np.ndarray) -> np.ndarray:
@@ -94,9 +107,9 @@ def _levels(counts: np.ndarray) -> np.ndarray:
 
 
 def build_filter(texts: DataFrame, text_col: str, n_tokens: int, filter_bits: int, bits_per_entry: float) -> dict:
-    """{bits, part_bits, slice_bits}: the filter over the unigrams and bigrams of all texts."""
-    part_bits = min(max(6, int(np.ceil(np.log2(max(1, n_tokens / (1 << 20)))))), int(np.log2(filter_bits)) - 10)
-    slice_bits = filter_bits >> part_bits
+    """The filter over the unigrams and bigrams of all texts: {bits, part_bits, starts, sizes} if it has at most
+    ``filter_bits`` bits, else {slices, part_bits} with the table (part, size, bits) of its slices."""
+    part_bits = max(6, int(np.ceil(np.log2(max(1, n_tokens / (1 << 20))))))
     shift = np.uint64(64 - part_bits)
 
     def count(batches):
@@ -136,38 +149,125 @@ def build_filter(texts: DataFrame, text_col: str, n_tokens: int, filter_bits: in
             hashes, place = np.unique(np.concatenate([h for h, _ in found]), return_inverse=True)
             counts = np.bincount(place, weights=np.concatenate([c for _, c in found])).astype(np.int64)
             levels = _levels(counts)
-            entries = np.array([levels[levels >= least].sum() for least in range(1, 65)])     # if lower levels stay out
-            least = 1 + int(np.argmax(entries * bits_per_entry <= slice_bits))
-            bits = np.zeros(slice_bits, dtype=np.uint8)
+            size = 8 * int(np.ceil(int(levels.sum()) * bits_per_entry / 8))
+            bits = np.zeros(size, dtype=np.uint8)
             for level in range(1, int(levels.max()) + 1):
-                inside = hashes[(levels >= level) & (levels >= least)]
-                for at in _positions(inside, level, part_bits, slice_bits):
-                    bits[at - part * slice_bits] = 1
+                first, step = _probes(hashes[levels >= level], level)
+                for probe in range(PROBES):
+                    bits[_place(first, step, probe, np.uint64(size))] = 1
             yield pa.RecordBatch.from_pydict({
-                "part": pa.array([part], pa.int32()), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary()),
-                "least": pa.array([least], pa.int32())})
+                "part": pa.array([part], pa.int32()), "size": pa.array([size], pa.int64()),
+                "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     packed = texts.select(text_col).mapInArrow(count, "part int, once binary, more binary, counts binary")
-    slices = materialize(packed.repartition(1 << part_bits, "part").mapInArrow(fill, "part int, bits binary, least int"), "lm-filter")
-    bits = bytearray(filter_bits >> 3)
-    for row in slices.toLocalIterator():                        # filter_bits / 8 bytes in all, one file at a time
-        at = row.part * slice_bits >> 3
-        bits[at:at + (slice_bits >> 3)] = row.bits
-    return {"bits": bytes(bits), "part_bits": part_bits, "slice_bits": slice_bits}
+    slices = materialize(packed.repartition(1 << part_bits, "part").mapInArrow(fill, "part int, size bigint, bits binary"), "lm-filter")
+    if (slices.agg(F.sum("size")).first()[0] or 0) > filter_bits:
+        return {"slices": slices, "part_bits": part_bits}
+    sizes = np.zeros(1 << part_bits, dtype=np.uint64)
+    for row in slices.select("part", "size").collect():
+        sizes[row.part] = row.size
+    starts = np.concatenate([[0], np.cumsum(sizes.astype(np.int64))])
+    bits = bytearray(int(starts[-1]) >> 3)
+    for row in slices.toLocalIterator():                        # at most filter_bits / 8 bytes in all, one file at a time
+        bits[starts[row.part] >> 3:starts[row.part + 1] >> 3] = row.bits
+    return {"bits": bytes(bits), "part_bits": part_bits, "starts": starts[:-1], "sizes": sizes}
+
+
+def _found(bits: np.ndarray, hashes: np.ndarray, base: np.ndarray | None, size: np.ndarray | np.uint64) -> np.ndarray:
+    """Levels that are found in the slices of ``size`` bits from ``base`` on: probed until one is missing."""
+    found, left, level = np.zeros(len(hashes), dtype=np.uint8), np.arange(len(hashes)), 1
+    while left.size and level < 64:
+        first, step = _probes(hashes[left], level)
+        for probe in range(PROBES):
+            at = _place(first, step, probe, size if base is None else size[left])
+            if base is not None:
+                at += base[left]
+            hit = (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+            left, first, step = left[hit], first[hit], step[hit]
+        found[left] = level
+        level += 1
+    return found
+
+
+def probe_levels(model: dict, hashes: np.ndarray) -> np.ndarray:
+    found = np.zeros(len(hashes), dtype=np.uint8)
+    part = _part_of(hashes, model["part_bits"])
+    size = model["sizes"][part]
+    here = np.flatnonzero(size)                                 # nothing was counted in the other parts
+    found[here] = _found(model["bits"], hashes[here], model["starts"][part[here]], size[here])
+    return found
+
+
+def counts_of(levels: np.ndarray) -> np.ndarray:
+    """Counts that the levels stand for."""
+    return np.where(levels > 1, 1.5 * 2.0 ** (levels.astype(np.float64) - 1), levels)
 
 
 def probe_counts(model: dict, hashes: np.ndarray) -> np.ndarray:
     """Counts that the filter stands for: levels are probed until one is missing."""
-    bits, found = model["bits"], np.zeros(len(hashes))
-    left, level = np.arange(len(hashes)), 1
-    while left.size and level < 64:
-        hit = np.ones(left.size, dtype=bool)
-        for at in _positions(hashes[left], level, model["part_bits"], model["slice_bits"]):
-            hit &= (bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-        left = left[hit]
-        found[left] = 1.0 if level == 1 else 1.5 * 2.0 ** (level - 1)
-        level += 1
-    return found
+    return counts_of(probe_levels(model, hashes))
+
+
+def _kept_chunks(docs: DataFrame, id_col: str, text_col: str, id_type: str) -> DataFrame:
+    """(chunk, ids, texts): the texts in chunks of about CHUNK_CHARS, written once so that a chunk stays what it is."""
+    def run(batches):
+        from pyspark import TaskContext
+
+        row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for start, stop in _chunks(batch.column(1)):
+                lists = [pa.ListArray.from_arrays(pa.array([0, stop - start], pa.int32()), batch.column(i).slice(start, stop - start)) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array([row], pa.int64()), *lists], names=["chunk", "ids", "texts"])
+                row += stop - start
+
+    return materialize(docs.select(id_col, text_col).mapInArrow(
+        run, f"chunk bigint, ids array<{id_type}>, texts array<string>"), "lm-chunks")
+
+
+def _chunks(texts: pa.Array) -> list[tuple[int, int]]:
+    """Ranges of texts with about CHUNK_CHARS characters."""
+    sizes, cuts, size = pc.fill_null(pc.utf8_length(texts), 0).to_pylist(), [0], 0
+    for i, n in enumerate(sizes):
+        if size >= CHUNK_CHARS:
+            cuts.append(i)
+            size = 0
+        size += n
+    return [*zip(cuts, [*cuts[1:], len(sizes)], strict=True)] if sizes else []
+
+
+def _levels_in_slices(chunks: DataFrame, slices: DataFrame, part_bits: int, hashes_of) -> DataFrame:
+    """(chunk, found: array of (part, levels)): the levels of the distinct hashes of a chunk, in their order by part."""
+    def ask(batches):
+        for batch in batches:
+            for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                hashes = np.unique(hashes_of(texts.as_py()))
+                part = _part_of(hashes, part_bits)
+                parts, starts = np.unique(part, return_index=True)
+                yield pa.RecordBatch.from_pydict({
+                    "part": pa.array(parts, pa.int32()), "chunk": pa.array([chunk] * len(parts), pa.int64()),
+                    "size": pa.array([0] * len(parts), pa.int64()),
+                    "data": pa.array([h.tobytes() for h in np.split(hashes, starts[1:])], pa.binary())})
+
+    def answer(batches):
+        held, size, bits = -1, np.uint64(0), np.zeros(0, np.uint8)
+        for batch in batches:
+            chunks, parts, answers = [], [], []
+            for part, chunk, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if chunk < 0:
+                    held, size, bits = part, np.uint64(n), np.frombuffer(data, np.uint8)
+                    continue
+                hashes = np.frombuffer(data, "<u8")
+                answers.append((_found(bits, hashes, None, size) if part == held else np.zeros(len(hashes), np.uint8)).tobytes())
+                chunks.append(chunk)
+                parts.append(part)
+            yield pa.RecordBatch.from_pydict({"chunk": pa.array(chunks, pa.int64()), "part": pa.array(parts, pa.int32()),
+                                              "levels": pa.array(answers, pa.binary())})
+
+    asked = chunks.select("chunk", "texts").mapInArrow(ask, "part int, chunk bigint, size bigint, data binary")
+    own = slices.select("part", F.lit(-1).cast("long").alias("chunk"), "size", F.col("bits").alias("data"))
+    met = own.unionByName(asked).repartition(1 << part_bits, "part").sortWithinPartitions("part", "chunk")    # the slice first
+    return (met.mapInArrow(answer, "chunk bigint, part int, levels binary")
+            .groupBy("chunk").agg(F.collect_list(F.struct("part", "levels")).alias("found")))
 
 
 def _commonest(counts: DataFrame, most: int) -> dict[bytes, int]:
@@ -193,7 +293,8 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     Tokens are the words and one end. ``base_score`` is the sum of log10((c + 0.1) / (N + 0.1 (V + 1))) with exact
     counts of the rows where ``training`` holds. ``score`` is the model's log10 probability: for each token
     (b + weight * u) / (p + weight), with the filter's counts b of the bigram and p of the token before, and the
-    unigram probability u. ``weight`` is the strength of the smoothing.
+    unigram probability u. ``weight`` is the strength of the smoothing. ``filter_bits`` is the size up to which the
+    filter is broadcast; it decides the cost only.
 
     * A null or empty text is one token, its end. Without training rows every count is 0, and base_score and score
       both come from the smoothing alone (V = N = 0: every token has probability 1).
@@ -207,63 +308,89 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     words, vocabulary = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = words + n_train, vocabulary + (n_train > 0)
     model = build_filter(train, text_col, n, filter_bits, bits_per_entry)
-    bits = spark.sparkContext.broadcast(model.pop("bits"))
-    head, shape = spark.sparkContext.broadcast(_commonest(counts, head_words)), model
+    bits = spark.sparkContext.broadcast(model.pop("bits", b""))
+    slices, part_bits, shape = model.pop("slices", None), model["part_bits"], model
+    head = spark.sparkContext.broadcast(_commonest(counts, head_words))
     below = n + 0.1 * (v + 1)
 
+    def laid_out(texts, known):
+        """The tokens of some texts, which are worked on together, and the hashes to be probed."""
+        at_head = head.value.get
+        words = [words_of(t) for t in texts]
+        sizes = np.array([len(w) + 1 for w in words])
+        last = np.cumsum(sizes) - 1
+        first = last - sizes + 1
+        flat = []
+        for own in words:
+            flat += own
+            flat.append(None)
+        exact = np.fromiter(map(at_head, flat, repeat(0)), np.float64, len(flat))
+        exact[last] = n_train
+        tokens = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
+        before = np.concatenate([tokens[:1], tokens[:-1]])
+        before[first] = START
+        missing = np.flatnonzero(exact == 0)
+        return sizes, first, flat, exact, missing, np.concatenate([_mix(tokens[missing]), bigram_hashes(before, tokens)])
+
+    def score(laid, counted):
+        """Rows of some texts from the counts that the filter stands for."""
+        sizes, first, flat, exact, missing, _ = laid
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        uni = exact.copy()
+        uni[missing] = counted[:missing.size]
+        prior = np.concatenate([uni[:1], uni[:-1]])
+        prior[first] = n_train
+        both = np.minimum(counted[missing.size:], np.minimum(uni, prior))
+        share = (both + weight * (uni + 0.1) / below) / (prior + weight) if n_train else np.ones(len(exact))
+        seen = exact > 0
+        tails: list[dict[bytes, int]] = [{} for _ in sizes]
+        for i, own in zip(missing.tolist(), owner[missing].tolist(), strict=True):
+            if flat[i] is not None:
+                tails[own][flat[i]] = tails[own].get(flat[i], 0) + 1
+        total = lambda values: np.bincount(owner, weights=values, minlength=len(sizes))
+        return [sizes, total(seen).astype(np.int64), total(np.where(seen, np.log10((exact + 0.1) / below), 0.0)),
+                total(np.log10(np.minimum(share, 1.0))),
+                [[w.decode("utf-8", "surrogatepass") for w in t] for t in tails], [list(t.values()) for t in tails]]
+
+    def scored_rows(ids, row, laid, counted):
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())]
+        columns = [np.arange(row, row + len(ids)), *score(laid, counted)]
+        return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                                          names=["id", "row", "n_tokens", "known", "base", "score", "words", "times"])
+
     def run(batches):
         from pyspark import TaskContext
 
-        filled, at_head, known = {**shape, "bits": np.frombuffer(bits.value, np.uint8)}, head.value.get, WordHashes()
+        filled, known = {**shape, "bits": np.frombuffer(bits.value, np.uint8)}, WordHashes()
         row = TaskContext.get().partitionId() << 36
+        for batch in batches:
+            for start, stop in _chunks(batch.column(1)):
+                laid = laid_out(batch.column(1).slice(start, stop - start).to_pylist(), known)
+                yield scored_rows(batch.column(0).slice(start, stop - start), row, laid, probe_counts(filled, laid[-1]))
+                row += stop - start
 
-        def score(texts):
-            """Rows of some texts, whose tokens are worked on together."""
-            words = [words_of(t) for t in texts]
-            sizes = np.array([len(w) + 1 for w in words])
-            last = np.cumsum(sizes) - 1
-            first = last - sizes + 1
-            owner = np.repeat(np.arange(len(texts)), sizes)
-            flat = [w for own in words for w in (*own, None)]
-            exact = np.array([at_head(w, 0) for w in flat], dtype=np.float64)
-            exact[last] = n_train
-            tokens = np.array([END if w is None else known[w] for w in flat], dtype=np.uint64)
-            before = np.concatenate([tokens[:1], tokens[:-1]])
-            before[first] = START
-            missing = np.flatnonzero(exact == 0)
-            uni = exact.copy()
-            uni[missing] = probe_counts(filled, _mix(tokens[missing]))
-            prior = np.concatenate([uni[:1], uni[:-1]])
-            prior[first] = n_train
-            both = np.minimum(probe_counts(filled, bigram_hashes(before, tokens)), np.minimum(uni, prior))
-            share = (both + weight * (uni + 0.1) / below) / (prior + weight) if n_train else np.ones(len(tokens))
-            seen = exact > 0
-            tails: list[dict[bytes, int]] = [{} for _ in texts]
-            for i, own in zip(missing.tolist(), owner[missing].tolist(), strict=True):
-                if flat[i] is not None:
-                    tails[own][flat[i]] = tails[own].get(flat[i], 0) + 1
-            total = lambda values: np.bincount(owner, weights=values, minlength=len(texts))
-            return [sizes, total(seen).astype(np.int64), total(np.where(seen, np.log10((exact + 0.1) / below), 0.0)),
-                    total(np.log10(np.minimum(share, 1.0))),
-                    [[w.decode("utf-8", "surrogatepass") for w in t] for t in tails], [list(t.values()) for t in tails]]
-
+    def run_answered(batches):
+        known = WordHashes()
         for batch in batches:
-            texts, start = batch.column(1).to_pylist(), 0
-            while start < len(texts):
-                stop, size = start, 0
-                while stop < len(texts) and size < CHUNK_CHARS:
-                    size += len(texts[stop] or "")
-                    stop += 1
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.list_(pa.int32())]
-                columns = [np.arange(row, row + stop - start), *score(texts[start:stop])]
-                row, ids, start = row + stop - start, batch.column(0).slice(start, stop - start), stop
-                yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                                                 names=["id", "row", "n_tokens", "known", "base", "score", "words", "times"])
+            for chunk, ids, texts, found in zip(*batch.columns, strict=True):
+                laid = laid_out(texts.as_py(), known)
+                levels = b"".join(f["levels"] for f in sorted(found.as_py(), key=lambda f: f["part"]))
+                _, place = np.unique(laid[-1], return_inverse=True)
+                yield scored_rows(ids.values, chunk.as_py(), laid, counts_of(np.frombuffer(levels, np.uint8))[place])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    scored = materialize(docs.select(id_col, text_col).mapInArrow(
-        run, f"id {id_type}, row bigint, n_tokens bigint, known bigint, base double, score double, "
-             "words array<string>, times array<int>"), "lm-scored")
+    result = (f"id {id_type}, row bigint, n_tokens bigint, known bigint, base double, score double, "
+              "words array<string>, times array<int>")
+    if slices is None:
+        found = docs.select(id_col, text_col).mapInArrow(run, result)
+    else:
+        chunks = _kept_chunks(docs, id_col, text_col, id_type)
+        known_to = WordHashes()
+        release(spark)
+        answers = materialize(_levels_in_slices(chunks, slices, part_bits, lambda texts: laid_out(texts, known_to)[-1]), "lm-answers")
+        release(spark)
+        found = chunks.join(answers, "chunk").mapInArrow(run_answered, result)
+    scored = materialize(found, "lm-scored")
     c = F.coalesce("n", F.lit(0))
     rest = (
         scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("t"))

@@ -189,6 +189,28 @@ def test_lm_filter_holds_every_ngram(spark):
     assert got == [6.0, 1.0, 6.0, 1.0, 0.0]                              # 4 -> level 3, which stands for 1.5 * 4
 
 
+def test_lm_scores_are_the_same_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_CHARS", 5_000)
+    texts = [" ".join(random.Random(i).choices([f"w{n}" for n in range(5_000)], k=300)) for i in range(40)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, None, "w1 nowhere"])], "doc_id bigint, text string")
+    train = F.col("doc_id") < 40
+    broadcast, sliced = ({r.id: r for r in lm_score.lm_score(df, train, head_words=100, filter_bits=bits).collect()} for bits in (1 << 28, 1 << 14))
+    assert sliced == broadcast and len(sliced) == 42
+
+
+def test_lm_slices_hold_every_counted_ngram(spark):
+    texts = [" ".join(random.Random(i).choices([f"w{n}" for n in range(5_000)], k=300)) for i in range(40)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    model = lm_score.build_filter(df, "text", 40 * 301, 1 << 28, 6.0)
+    small = lm_score.build_filter(df, "text", 40 * 301, 1 << 14, 6.0)
+    model["bits"], known = np.frombuffer(model["bits"], np.uint8), lm_score.WordHashes()
+    for t in texts:
+        tokens = np.array([known[w] for w in t.encode().split()], np.uint64)
+        assert (lm_score.probe_counts(model, lm_score._mix(tokens)) > 0).all()
+        assert (lm_score.probe_counts(model, lm_score.bigram_hashes(tokens[:-1], tokens[1:])) > 0).all()
+    assert small["slices"].agg(F.sum("size")).first()[0] == 8 * len(model["bits"]) > 1 << 14
+
+
 def test_lm_empty_and_untrained(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     assert lm_score.lm_score(df.limit(0), F.lit(True), filter_bits=1 << 18).count() == 0
