@@ -34,6 +34,12 @@ def url_keys(url: Column) -> Column:
     return F.when(host_of(url) != "", F.array_distinct(F.concat(suffixes, F.coalesce(paths, F.array().cast("array<string>")))))
 
 
+def lower_host(pattern: Column) -> Column:
+    """The pattern with its host, all before the first slash, in lower case; paths keep their case."""
+    host = F.regexp_extract(pattern, "^[^/]*", 0)
+    return F.concat(F.lower(host), F.substring(pattern, F.length(host) + 1, F.length(pattern)))
+
+
 def validity_intervals(changes: DataFrame, pattern: str = "pattern", category: str = "category",
                        action: str = "action", at: str = "listed_at") -> DataFrame:
     """(pattern, category, valid_from, valid_to): an add holds until the next change of its pattern and category.
@@ -43,7 +49,7 @@ def validity_intervals(changes: DataFrame, pattern: str = "pattern", category: s
     """
     order = Window.partitionBy("pattern", "category").orderBy("valid_from")
     return (
-        changes.select(F.lower(F.col(pattern)).alias("pattern"), F.col(category).alias("category"),
+        changes.select(lower_host(F.col(pattern)).alias("pattern"), F.col(category).alias("category"),
                        (F.col(action) == "add").alias("active"), F.col(at).alias("valid_from"))
         .dropna().groupBy("pattern", "category", "valid_from").agg(F.min("active").alias("active"))
         .withColumn("valid_to", F.lead("valid_from").over(order)).where("active").drop("active")

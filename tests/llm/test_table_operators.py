@@ -146,6 +146,15 @@ def test_url_filter_as_of(spark):
     assert not any(r.blocked for r in url_filter.url_filter(df, lists.limit(0)).collect())
 
 
+def test_url_filter_keeps_the_case_of_paths(spark):
+    lists = spark.createDataFrame([("Ok.Example/Docs/A", "path", "add", day(1)), ("HOST.example", "host", "add", day(1))],
+                                  "pattern string, category string, action string, listed_at timestamp_ntz")
+    urls = ["http://OK.example/Docs/A/b", "http://ok.example/docs/a/b", "http://ok.example/Docs", "http://www.host.EXAMPLE/X"]
+    df = spark.createDataFrame([(i, u, day(2)) for i, u in enumerate(urls)], "page_id bigint, url string, fetched_at timestamp_ntz")
+    got = {r.page_id: (r.blocked, r.patterns) for r in url_filter.url_filter(df, lists).collect()}
+    assert got == {0: (True, "ok.example/Docs/A"), 1: (False, ""), 2: (False, ""), 3: (True, "host.example")}
+
+
 # ---- language-model scores -------------------------------------------------------
 
 def brute_base(texts, training):
