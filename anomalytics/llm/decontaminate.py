@@ -1,9 +1,11 @@
 """Benchmark decontamination by template canonicalisation, in DataFrame functions only.
 
 Numbers, the units behind them and names become typed placeholders, other words are lower-cased, so a benchmark
-question and its copy with other numbers or names have the same template. Windows of ``window`` template tokens are
-hash-joined: items index the window at every offset, documents ask with every ``stride``-th one, which finds every
-shared run of at least ``window + stride - 1`` tokens. Each candidate (document, item, offset) is then aligned in full:
+question and its copy with other numbers or names have the same template. Candidates come from keys of one or two
+template tokens: items index groups that do not overlap, documents ask at every offset. An item of ``n`` tokens that
+agrees with a document but for ``m`` tokens has at most ``m`` groups that differ, and a run that agrees holds all
+groups inside it, so every (document, item, offset) that the rule below accepts shares a known number of groups
+(``needed_groups``); offsets that share fewer go. What is left is aligned in full:
 literal tokens must be equal, and the slots must be consistent - one value of the item always stands for the same
 value of the document, and the other way round. Inconsistent slots count as mismatches.
 """
@@ -20,6 +22,11 @@ END, NUMBER, UNIT, NAME = "\uE000", "\uE001", "\uE002", "\uE003"      # private-
 UNITS = ("%|km/h|kmh|mph|km|cm|mm|nm|kg|mg|ml|kb|mb|gb|tb|hz|khz|mhz|ghz|kw|mw|ft|in|lb|lbs|oz|m|g|l|s|h|"
          "meters?|metres?|kilometers?|kilometres?|miles?|feet|foot|inch(?:es)?|grams?|kilograms?|kilos?|pounds?|"
          "liters?|litres?|seconds?|minutes?|hours?|days?|weeks?|months?|years?|dollars?|euros?|cents?|percent|degrees?")
+#: fixed values: words that are no names where they open a sentence
+OPENERS = ("a|an|the|this|that|these|those|he|she|it|they|we|you|i|his|her|its|their|our|my|your|there|here|if|when|while|"
+           "after|before|since|because|as|at|by|for|from|in|into|of|on|to|with|and|but|or|so|then|how|what|which|who|whom|"
+           "whose|why|where|is|are|was|were|do|does|did|has|have|had|can|could|will|would|should|let|find|each|every|all|"
+           "some|both|one|two|three|no|not|now|given|suppose|assume|calculate|compute|determine|take")
 BROADCAST_ROWS = 500_000
 
 
@@ -27,7 +34,8 @@ def marked(text: Column) -> Column:
     """Lower-cased text in which every slot is written as mark, value, end mark."""
     out = F.regexp_replace(F.coalesce(text, F.lit("")), r"([0-9][0-9.,:/]*[0-9]|[0-9])", f" {NUMBER}$1{END} ")
     out = F.regexp_replace(out, rf"({END} )\s?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2{END} ")
-    out = F.regexp_replace(out, r"(?<=[\p{Ll},;] )(\p{Lu}\p{L}+)", f" {NAME}$1{END} ")
+    out = F.regexp_replace(out, r"(?=\p{Lu})(?:(?<=[\p{Ll},;] )|(?<=^|\n|[.!?:] |[.!?:][\"')] )"
+                                rf"(?!(?i:{OPENERS})(?![\p{{L}}\p{{N}}])))(\p{{Lu}}\p{{L}}+)", f" {NAME}$1{END} ")
     return F.lower(out)
 
 
@@ -46,27 +54,32 @@ def is_slot(token: Column) -> Column:
     return F.substring(token, 1, 1).isin(NUMBER, UNIT, NAME)
 
 
-def windows(tokens: Column, window: int, stride: int) -> Column:
-    """array<struct<pos, hash>> of the template windows; a text with fewer tokens is one window, one without has none."""
-    many = F.transform(
-        F.sequence(F.lit(0), F.size(tokens) - window, F.lit(stride)),
-        lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(tokens, i + 1, window)).alias("hash")))
-    one = F.array(F.struct(F.lit(0).alias("pos"), F.xxhash64(tokens).alias("hash")))
-    return F.when(F.size(tokens) >= window, many).when(F.size(tokens) > 0, one)
+def keys(tokens: Column, width: int) -> Column:
+    """Hashes of the ``width`` (1 or 2) template tokens from every position on."""
+    if width == 1:
+        return F.transform(tokens, lambda x: F.xxhash64(x))
+    return F.transform(F.slice(tokens, F.lit(1), F.greatest(F.size(tokens) - 1, F.lit(0))),
+                       lambda x, i: F.xxhash64(x, F.get(tokens, i + 1)))
 
 
-def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(hash, item_id, item_pos, n_tokens) at every offset; windows in which two literal words or fewer stand are left
-    out unless the item has no other."""
+def needed_groups(n_tokens: Column, width: int, min_run: int, min_share: float) -> Column:
+    """How many of an item's groups of ``width`` tokens agree at least where the item is held."""
+    agreeing = F.greatest(F.ceil(min_share * n_tokens - 1e-9), F.lit(1))
+    by_share = F.floor(n_tokens / width) - (n_tokens - agreeing)
+    return F.when(n_tokens >= min_run, F.least(by_share, F.lit((min_run - width + 1) // width))).otherwise(by_share).cast("int")
+
+
+def item_groups(items: DataFrame, id_col: str, text_col: str, min_run: int, min_share: float) -> DataFrame:
+    """(width, hash, item_id, item_pos, n_tokens, needed) of every item's groups: pairs, or single tokens where pairs could all differ."""
     tokens = (items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), template_tokens(F.col(text_col)).alias("t"))
               .where(F.size("t") > 0))
-    found = tokens.select("item_id", F.size("t").alias("n_tokens"), F.transform(
-        windows(F.col("t"), window, 1),
-        lambda w: F.struct(w["pos"].alias("pos"), w["hash"].alias("hash"), F.size(F.filter(
-            F.slice(F.col("t"), w["pos"] + 1, window), lambda x: ~is_slot(x))).alias("words"))).alias("all"))
-    wordy = F.filter("all", lambda w: w["words"] > 2)
-    return found.select("item_id", "n_tokens", F.explode(F.when(F.size(wordy) > 0, wordy).otherwise(F.col("all"))).alias("w")).select(
-        F.col("w.hash").alias("hash"), "item_id", F.col("w.pos").alias("item_pos"), "n_tokens")
+    by_pairs, by_ones = (needed_groups(F.size("t"), width, min_run, min_share) for width in (2, 1))
+    found = tokens.withColumn("width", F.when(by_pairs >= 1, 2).otherwise(1)).withColumn(
+        "needed", F.when(F.col("width") == 2, by_pairs).otherwise(F.greatest(by_ones, F.lit(1))))
+    return (
+        found.select("item_id", "width", "needed", F.size("t").alias("n_tokens"), F.posexplode(F.when(F.col("width") == 2, keys(F.col("t"), 2)).otherwise(keys(F.col("t"), 1)))
+                     .alias("item_pos", "hash"))
+        .where(F.col("item_pos") % F.col("width") == 0).select("width", "hash", "item_id", "item_pos", "n_tokens", "needed"))
 
 
 def _aligned(rows: DataFrame) -> DataFrame:
@@ -86,7 +99,7 @@ def _aligned(rows: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 item_id_col: str = "item_id", item_text_col: str = "text", window: int = 8, stride: int = 4,
+                 item_id_col: str = "item_id", item_text_col: str = "text",
                  min_run: int = 13, min_share: float = 0.6) -> DataFrame:
     """(id, item_id, n_tokens, n_match, longest_run, kind) of every document that holds a benchmark item.
 
@@ -94,36 +107,43 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     item) or at least ``min_share`` of the item's tokens do. ``kind`` is ``verbatim`` if all agreeing slots have the
     item's values, else ``reparameterised``. One row per document and item, for its best offset.
 
-    The stride shrinks where the shortest item needs it, so that a whole copy of any item is found.
-
     * Null or empty texts hold nothing, null or empty items are held by nothing. Rows with a null document or item id
       are left out. Rows that repeat an id are one document: the best of them counts.
-    * Items with fewer tokens than a window match a document that consists of them alone. Items with equal texts each
-      get a row. Other columns are not read. An empty table on either side gives an empty result.
+    * Items of any length are found anywhere in a document. Items with equal texts each get a row. Other columns are not read. An empty table on either side gives an empty result.
     """
     prepare(docs.sparkSession)
-    index = materialize(item_windows(items, item_id_col, item_text_col, window), "benchmark-windows")
-    n_windows, shortest = index.agg(F.count("*"), F.min(F.when(F.col("n_tokens") >= window, F.col("n_tokens")))).first()
-    step = max(1, min(stride, (shortest or window) - window + 1))
-    asked = (
-        docs.where(F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), template_tokens(F.col(text_col)).alias("t"))
-        .select("id", F.explode(windows(F.col("t"), window, step)).alias("w"))
-        .select("id", F.col("w.pos").alias("pos"), F.col("w.hash").alias("hash")))
-    if n_windows <= BROADCAST_ROWS:                 # about 20 MB; beyond it the planner chooses the join
-        index = F.broadcast(index)
+    index = materialize(item_groups(items, item_id_col, item_text_col, min_run, min_share), "benchmark-groups")
+    n_groups = {row.width: row["count"] for row in index.groupBy("width").count().collect()}
+    tokens = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), template_tokens(F.col(text_col)).alias("t"))
+    shared = None
+    for width in sorted(n_groups) or [2]:
+        own = index.where(F.col("width") == width).drop("width")
+        if n_groups.get(width, 0) <= BROADCAST_ROWS:        # about 20 MB; beyond it the planner chooses the join
+            own = F.broadcast(own)
+        met = (tokens.select("id", F.posexplode(keys(F.col("t"), width)).alias("pos", "hash")).join(own, "hash")
+               .select("id", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset"), "n_tokens", "needed"))
+        shared = met if shared is None else shared.unionByName(met)
     candidates = materialize(
-        asked.join(index, "hash").select("id", "item_id", (F.col("pos") - F.col("item_pos")).alias("offset")).distinct(),
-        "benchmark-candidates")
+        shared.groupBy("id", "item_id", "offset").agg(F.count("*").alias("n"), F.max("needed").alias("needed"), F.max("n_tokens").alias("n_tokens"))
+        .where(F.col("n") >= F.col("needed")).select("id", "item_id", "offset", "n_tokens"), "benchmark-candidates")
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("doc_text"))
     item_texts = items.select(F.col(item_id_col).alias("item_id"), slot_tokens(F.col(item_text_col)).alias("item"))
-    met = candidates.join(item_texts, "item_id").join(texts, "id").withColumn("doc", slot_tokens(F.col("doc_text"))).drop("doc_text")
-    from_item, from_doc = F.greatest(-F.col("offset"), F.lit(0)), F.greatest("offset", F.lit(0))
-    length = F.greatest(F.least(F.size("item") - from_item, F.size("doc") - from_doc), F.lit(0))
+    asked = candidates.groupBy("id").agg(F.collect_list(F.struct("item_id", "offset", "n_tokens")).alias("all"))
+    whole = asked.join(texts, "id").select("id", "all", slot_tokens(F.col("doc_text")).alias("doc"))     # once a document
+    from_item, from_doc = (lambda c: F.greatest(-c, F.lit(0))), (lambda c: F.greatest(c, F.lit(0)))
+    parts = whole.select("id", F.explode(F.transform("all", lambda c: F.struct(
+        c["item_id"].alias("item_id"), c["offset"].alias("offset"), F.slice(
+            F.col("doc"), from_doc(c["offset"]) + 1, F.greatest(F.lit(0), F.least(
+                c["n_tokens"] - from_item(c["offset"]), F.size("doc") - from_doc(c["offset"])))).alias("b")))).alias("c")).select("id", "c.*")
+    alike = lambda x, y: (x == y) | (is_slot(x) & (F.substring(x, 1, 1) == F.substring(y, 1, 1)))
+    met = (
+        parts.join(item_texts, "item_id")
+        .withColumn("a", F.slice("item", from_item(F.col("offset")) + 1, F.size("b")))
+        .where(F.size(F.filter(F.zip_with("a", "b", alike), lambda x: x))
+               >= F.least(F.lit(min_run), F.ceil(min_share * F.size("item") - 1e-9))))
     judged = (
-        _aligned(met.select("id", "item_id", F.size("item").alias("n_tokens"), F.slice("item", from_item + 1, length).alias("a"),
-                            F.slice("doc", from_doc + 1, length).alias("b")))
+        _aligned(met.select("id", "item_id", F.size("item").alias("n_tokens"), "a", "b"))
         .select("id", "item_id", "n_tokens", "verbatim", F.length(F.regexp_replace("flags", "0", "")).alias("n_match"),
                 F.regexp_extract_all("flags", F.lit("1+"), F.lit(0)).alias("runs"))
         .withColumn("longest_run", F.coalesce(F.array_max(F.transform("runs", F.length)), F.lit(0)))

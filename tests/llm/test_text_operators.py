@@ -170,6 +170,30 @@ def test_decontamination_slots_must_be_consistent(spark):
     assert got == {(1, 1): "verbatim", (2, 1): "reparameterised"}
 
 
+def test_decontamination_finds_renamed_copies_at_every_offset(spark):
+    item = "Alice has 3 apples. Bob gives her 4. How many does Alice have?"
+    copy = "Carol has 5 apples. Dan gives her 9. How many does Carol have?"
+    changed = " ".join(w if i % 8 else "other" for i, w in enumerate(ITEM.split(), 1))
+    docs = [(10 * k + j, "word " * k + text) for k in range(8) for j, text in enumerate([copy, changed])]
+    got = find(spark, docs, [(1, item, "a"), (2, ITEM, "b")])
+    assert set(got) == {(10 * k + j, j + 1) for k in range(8) for j in (0, 1)}
+
+
+def test_decontamination_covers_the_whole_share_and_short_items(spark):
+    words = "oak elm ash fir yew bay box fig".split()
+    items, docs = [(0, "what is love", "z")], [(0, "they ask what is love and go on")]
+    for n in range(1, 31):
+        own = [f"{words[i % 8]}{chr(97 + i // 8)}{chr(97 + n // 26)}{chr(97 + n % 26)}" for i in range(n)]
+        items.append((n, " ".join(own), "x"))
+        need = -(-6 * n // 10)
+        spread = {i * n // need for i in range(need)}                  # agreeing tokens as far apart as they can be
+        docs.append((n, "some words " + " ".join(w if i in spread else "no" for i, w in enumerate(own)) + " and more"))
+    numbers = " ".join(str(i) for i in range(13))
+    items.append((40, f"{' '.join(f'q{chr(97 + i)}' for i in range(26))} {numbers}", "x"))
+    docs.append((40, f"so {numbers}"))
+    assert set(find(spark, docs, items)) >= {(d, d) for d, _ in docs}
+
+
 def test_decontamination_empty_tables(spark):
     assert find(spark, [], [(1, ITEM, "a")]) == {} and find(spark, [(1, ITEM)], []) == {}
 
