@@ -97,5 +97,75 @@ SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM rejoined
 """
 
 
+#: a document's words are dealt with in two turns: what of [start, end) of the turn is under the source's target
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, 2 * sum(size) AS cap,
+         [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w,
+         CAST(sum(sum(size)) OVER () AS DOUBLE) * 3 / 2 AS budget
+  FROM d GROUP BY source
+), filled AS (
+  SELECT *, CAST(budget - coalesce(sum(cap) OVER before, 0) AS DOUBLE) AS remaining, CAST(sum(w) OVER onward AS DOUBLE) AS sharing
+  FROM s
+  WINDOW before AS (ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+         onward AS (ORDER BY CAST(cap AS DOUBLE) / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)
+), level AS (
+  SELECT min_by(remaining / sharing, CAST(cap AS DOUBLE) / w) AS level FROM filled WHERE cap * sharing > remaining * w
+), t AS (
+  SELECT source, source_size, CASE WHEN cap * sharing > remaining * w THEN w * level ELSE CAST(cap AS DOUBLE) END AS target
+  FROM filled LEFT JOIN level ON true
+), q AS (
+  SELECT source, doc_id, size, count(*) AS copies, size * count(*) AS words,
+         CAST('0x' || substr(md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || CAST(size AS VARCHAR)), 1, 15) AS BIGINT) AS key
+  FROM d GROUP BY source, doc_id, size
+), placed AS (
+  SELECT *, sum(words) OVER (PARTITION BY source ORDER BY key, doc_id NULLS FIRST, size) - words AS start FROM q
+), dealt AS (
+  SELECT p.source, p.doc_id, p.size, t.source_size, t.target,
+         greatest(0, least(words, CAST(floor(target) AS BIGINT) - start)) // copies
+         + greatest(0, least(words, CAST(floor(target) AS BIGINT) - start - source_size)) // copies AS taken
+  FROM placed p JOIN t ON p.source IS NOT DISTINCT FROM t.source
+)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, source_size, target, CAST(taken AS BIGINT) AS taken
+FROM d JOIN dealt ON d.source IS NOT DISTINCT FROM dealt.source AND d.doc_id IS NOT DISTINCT FROM dealt.doc_id AND d.size = dealt.size
+"""
+
+OP13 = rf"""
+WITH piece AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array({lower_ascii("coalesce(text, '')")}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), split AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM piece
+), counted AS (
+  SELECT lang, sum(len(w)) AS n FROM split GROUP BY lang
+), started AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM split
+), occurring AS (
+  SELECT lang, array_to_string(w[i:i + k - 1], ' ') AS phrase, k AS size
+  FROM started, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE i + k - 1 <= len(w)
+), known AS (
+  SELECT lang, phrase, size, count(*) AS f FROM occurring GROUP BY ALL HAVING count(*) >= 30
+), cut AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+         array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS tail
+  FROM known, (SELECT unnest([1, 2, 3]) AS k) WHERE k < size
+), scored AS (
+  SELECT cut.lang, cut.phrase, a, k, h.f AS l, t.f AS r, CAST(2000000::HUGEINT * a // (h.f + t.f) AS BIGINT) AS score
+  FROM cut JOIN known h ON h.lang = cut.lang AND h.phrase = head JOIN known t ON t.lang = cut.lang AND t.phrase = tail
+), lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS place FROM lowest s
+  WHERE NOT EXISTS (
+    SELECT 1 FROM known o WHERE o.lang = s.lang AND o.size >= 3 AND len(string_split(s.phrase, ' ')) < o.size
+      AND contains(' ' || o.phrase || ' ', ' ' || s.phrase || ' ') AND 100 * o.f >= 80 * s.a)
+)
+SELECT lang, place AS "rank", phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM ranked JOIN counted USING (lang) WHERE place <= 2000
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_topk": OP3, "op4_url_filter": OP4, "op9_warc": OP9, "op10_line_dedup": OP10}
+    return {"op3_topk": OP3, "op4_url_filter": OP4, "op9_warc": OP9, "op10_line_dedup": OP10, "op11_mix": OP11,
+            "op13_collocations": OP13}

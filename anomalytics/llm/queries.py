@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomalytics.llm import bpe, decontaminate, jaccard_join, language_id, line_dedup, lm_score, secret_scan, topk, url_filter, warc
+from anomalytics.llm import (bpe, collocations, decontaminate, jaccard_join, language_id, line_dedup, lm_score, mixing, secret_scan,
+                             topk, url_filter, warc, whitening)
 from anomalytics.llm.common import held_out, read_table
 from anomalytics.llm.list_history import captures_of, changes_of
 
@@ -76,7 +77,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
+def op11_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(read_table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = whitening.whiten(read_table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "component", "n", F.col("deviation").try_cast("long").alias("deviation"),
+                        "whitened", "explained", "identity_error")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {f.__name__: f for f in (
         op1_language_id, op2_jaccard_join, op3_topk, op4_url_filter, op5_decontaminate, op6_secret_scan, op7_bpe,
-        op8_lm_score, op9_warc, op10_line_dedup)}
+        op8_lm_score, op9_warc, op10_line_dedup, op11_mix, op12_whitening, op13_collocations)}
