@@ -69,18 +69,19 @@ def with_isolation_forest(df: DataFrame, contamination: float = config.CONTAMINA
                           n_trees: int = config.N_TREES, seed: int = config.FOREST_SEED,
                           max_samples: int = config.MAX_SAMPLES, id_col: str = "order_id",
                           features=config.FEATURE_COLUMNS) -> ForestResult:
-    """D1–D4 end to end: features -> standardise -> fit -> score -> cut."""
+    """D1–D4 end to end: features -> fit -> score -> cut.
+
+    The trees grow on the raw features: scaling a feature (D2) does not change an isolation tree, see ``iforest``.
+    """
     from anomalytics.session import materialize
 
     require_columns(df, id_col, *features, step="fit_isolation_forest")
-    feats = iforest.feature_table(df, features, id_col)
-    scaler = iforest.fit_scaler(feats, features)
-    z = iforest.standardize(feats, features, id_col, scaler=scaler)     # lazy projection
-    psi = min(max_samples, scaler.n)
-    model = materialize(iforest.fit(z, features, id_col, n_trees, max_samples, seed, n=scaler.n))
+    n = df.count()
+    psi = min(max_samples, n)
+    model = materialize(iforest.fit(df, features, id_col, n_trees, max_samples, seed, n=n))
     # score every input row in place (map-only, no join back), written once for the cut and the reports
-    scored = materialize(iforest.score(df, model, psi, features, id_col, scaler=scaler, n_trees=n_trees))
-    labelled, cut = iforest.label(scored, contamination, n=scaler.n)
+    scored = materialize(iforest.score(df, model, psi, features, id_col, n_trees=n_trees))
+    labelled, cut = iforest.label(scored, contamination, n=n)
     return ForestResult(labelled, model, cut, psi)
 
 

@@ -1,53 +1,68 @@
-"""Isolation Forest as Spark jobs (Liu, Ting, Zhou, ICDM 2008).
+"""Isolation Forest in DataFrame functions (Liu, Ting, Zhou, ICDM 2008).
 
 * D1 features: five numeric columns, nulls -> 0, as DOUBLE.
 * D2 standardise: mean 0, population std 1 (std 0 -> divide by 1); one
   aggregation pass, then literals.
-* D3 fit: every tree t draws psi = min(256, n) rows. Each row is paired with
-  the trees and kept where ``xxhash64(id, t, seed)`` is under a cut set for
-  about 4*psi candidates per tree (explode and filter inside whole-stage
-  codegen over all rows; only the candidates are shuffled), and
-  ``row_number`` per tree keeps the psi smallest. The sample depends on ids
-  only, not on partitioning. Trees are grown in
-  ``groupBy("tree").applyInPandas`` (one group = psi rows), NumPy seeded with
-  (seed, tree): random non-constant feature, threshold uniform in (min, max),
-  depth limit ceil(log2 psi). The model is a node table of at most
-  T * (2*psi - 1) rows — its size bound is fixed by T and psi, not by the data.
-* D4 score: the node table is collected (bounded, see above) and shipped with
-  the task closure; a scalar pandas function of the features walks all trees
-  on Arrow batches with vectorised NumPy, the other columns stay in the JVM. s = 2^(-E[h(x)] / c(psi)); higher = more anomalous. Rows
+* D3 fit: every random choice is a hash, so that any engine grows the same
+  trees. A row's md5 digest gives two whole numbers a and b; tree t draws the
+  psi = min(256, n) rows with the smallest (a + t b) mod p. A cut set for about
+  4 psi candidates a tree keeps all others out of the shuffle (explode and
+  filter inside whole-stage codegen). All trees grow together, one level a job:
+  the bounds of every open node are aggregated over the written sample. The md5
+  digest of (seed, tree, node) picks the feature among those that vary and the
+  threshold in (min, max]; the depth limit is ceil(log2 psi). The model is a
+  node table of at most T (2 psi - 1) rows - its size bound is fixed by T and
+  psi, not by the data.
+* D4 score: the node table is collected (bounded, see above) and becomes
+  literal arrays that expressions walk, so rows never leave the JVM. A leaf's
+  path length, its depth plus c(size), is counted in whole ``UNIT``s: sums are
+  exact in any order. s = 2^(-E[h(x)] / c(psi)); higher = more anomalous. Rows
   are anomalies when s is above the exact (1 - contamination) quantile of s.
+
+An isolation tree asks on which side of a uniform point of (min, max) a value
+lies, which scaling a feature does not change: the detector grows its trees on
+the raw features.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark import SparkContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from anomalytics import config
 from anomalytics.operators.quantiles import exact_percentiles
-from anomalytics.session import materialize, ship_package
+from anomalytics.session import materialize
 
 EULER_GAMMA = 0.5772156649015329
+UNIT = 1_000_000_000           # of a path length
+PRIME = 1_125_899_906_842_597  # of the sampling hash
 
 NODE_SCHEMA = (
     "tree int, node int, feature int, threshold double, left int, right int, size long, depth int, leaf boolean"
 )
 
 
-def average_path_length(n):
-    """c(n): average path length of an unsuccessful BST search over n points."""
-    n = np.asarray(n, dtype=float)
-    out = np.zeros_like(n)
-    big = n > 2
-    out[big] = 2.0 * (np.log(n[big] - 1.0) + EULER_GAMMA) - 2.0 * (n[big] - 1.0) / n[big]
-    out[n == 2] = 1.0
-    return out
+def average_path_units(n: Column) -> Column:
+    """c(n) in units: average path length of an unsuccessful BST search over n points."""
+    x = n.cast("double")
+    c = 2.0 * (F.log(x - 1.0) + EULER_GAMMA) - 2.0 * (x - 1.0) / x
+    return F.when(n <= 1, F.lit(0)).when(n == 2, F.lit(UNIT)).otherwise(F.round(c * float(UNIT))).cast("long")
+
+
+def _hex(digest: Column, start: int, length: int) -> Column:
+    return F.conv(F.substring(digest, start, length), 16, 10).cast("long")
+
+
+def _md5(*parts) -> Column:
+    return F.md5(F.concat_ws(":", *[p.cast("string") for p in parts]).cast("binary"))
 
 
 def feature_table(df: DataFrame, features=config.FEATURE_COLUMNS, id_col: str = "order_id") -> DataFrame:
@@ -86,59 +101,76 @@ def standardize(df: DataFrame, features=config.FEATURE_COLUMNS, id_col: str = "o
     return df.select(id_col, *keep, *sc.columns())
 
 
-_BITS = 1 << 62
-
-
-def _h(id_col: str, t, seed: int):
-    """Uniform hash in [0, 2^62) of (id, t, seed)."""
-    return F.pmod(F.xxhash64(F.col(id_col), t, F.lit(seed)), F.lit(_BITS))
-
-
-def _sample(data: DataFrame, id_col: str, n_trees: int, psi: int, seed: int, frac: float) -> DataFrame:
-    """Per tree, the psi rows with the smallest hash (ties by id); one rule at every size.
+def _sample(data: DataFrame, n_trees: int, psi: int, seed: int, frac: float) -> DataFrame:
+    """Per tree, the psi rows (id, x) with the smallest hash (ties by id, then features); one rule at every size.
 
     Every row is tested against every tree's cut inside whole-stage codegen (explode + filter); about 4*psi rows per
     tree survive, and only they are shuffled and ranked.
     """
-    cut = F.lit(int(frac * _BITS))
+    digest = _md5(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit("")))
     cand = (
-        data.select("*", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree"))
-        .withColumn("h", _h(id_col, F.col("tree"), seed))
-        .where(F.col("h") < cut)
+        data.withColumn("a", _hex(digest, 1, 13) % PRIME).withColumn("b", _hex(digest, 14, 13) % (PRIME - 1) + 1)
+        .withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))))
+        .withColumn("h", (F.col("a") + F.col("tree") * F.col("b")) % F.lit(PRIME))
+        .where(F.col("h") < F.lit(int(frac * PRIME)))
     )
-    w = Window.partitionBy("tree").orderBy("h", id_col)
-    return cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= psi).drop("rk")
-
-
-def _grow(pdf: pd.DataFrame, features: tuple[str, ...], seed: int, max_depth: int, id_col: str) -> pd.DataFrame:
-    tree = int(pdf["tree"].iloc[0])
-    pdf = pdf.sort_values(["h", id_col], kind="mergesort")
-    X = pdf[list(features)].to_numpy(dtype=float)
-    rng = np.random.default_rng([seed, tree])
-    rows = []
-
-    def build(idx: np.ndarray, depth: int) -> int:
-        node_id = len(rows)
-        rows.append(None)
-        sub = X[idx]
-        if depth >= max_depth or len(idx) <= 1:
-            rows[node_id] = (tree, node_id, -1, 0.0, -1, -1, len(idx), depth, True)
-            return node_id
-        lo, hi = sub.min(axis=0), sub.max(axis=0)
-        usable = np.flatnonzero(hi > lo)
-        if usable.size == 0:
-            rows[node_id] = (tree, node_id, -1, 0.0, -1, -1, len(idx), depth, True)
-            return node_id
-        f = int(usable[rng.integers(usable.size)])
-        thr = float(rng.uniform(lo[f], hi[f]))
-        go_left = sub[:, f] < thr
-        left = build(idx[go_left], depth + 1)
-        right = build(idx[~go_left], depth + 1)
-        rows[node_id] = (tree, node_id, f, thr, left, right, len(idx), depth, False)
-        return node_id
-
-    build(np.arange(len(X)), 0)
-    return pd.DataFrame(rows, columns=["tree", "node", "feature", "threshold", "left", "right", "size", "depth", "leaf"])
+    w = Window.partitionBy("tree").orderBy("h", "id", "x")
+    return cand.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= psi).drop("rk", "a", "b")
+
+
+def _split(row, tree: int, node: int, seed: int) -> tuple[int, float]:
+    """(feature, threshold) of a node that holds rows between ``row.lo`` and ``row.hi``; feature -1: nothing varies."""
+    varying = [i for i, (low, high) in enumerate(zip(row.lo, row.hi)) if high > low]
+    if not varying:
+        return -1, 0.0
+    digest = hashlib.md5(f"{seed}:{tree}:{node}".encode()).hexdigest()
+    feature = varying[int(digest[:8], 16) % len(varying)]
+    low, high = row.lo[feature], row.hi[feature]
+    between = low + (int(digest[8:16], 16) + 0.5) / 4294967296.0 * (high - low)
+    return feature, min(between, high) if between > low else high     # both sides get a row where doubles are scarce
+
+
+def _walk(x: Column, start: Column, arrays: dict[str, list], levels: int) -> Column:
+    """The place in the node arrays that the feature array ``x`` comes to from the place ``start``. Siblings are
+    neighbours; ``left`` is the place of the first of them, under 0 where no split is known."""
+    if levels == 0:
+        return start
+    left, feature, threshold = (_literal(arrays[k], kind) for k, kind in (("left", "int"), ("feature", "int"), ("threshold", "double")))
+
+    def down(k: Column, _: Column) -> Column:
+        beyond = F.when(F.get(x, F.get(feature, k)) < F.get(threshold, k), F.lit(0)).otherwise(F.lit(1))
+        return F.when(F.get(left, k) < 0, k).otherwise(F.get(left, k) + beyond)
+
+    return F.aggregate(_literal(list(range(levels)), "int"), start, down)
+
+
+def _grow(sample: DataFrame, n_trees: int, n_features: int, seed: int, max_depth: int) -> list[tuple]:
+    """The rows of the node table, one job a level over the sample (tree, x). Node k's children are 2 k + 1 and 2 k + 2.
+
+    Each job walks the splits that are known, and adds up the rows, least and largest values of every open node; what
+    comes back is a row for each, T 2^depth at most.
+    """
+    nodes, found = [(t, 0, 0) for t in range(n_trees)], {}              # (tree, node, depth) by place
+    arrays = {"left": [-2] * n_trees, "feature": [-1] * n_trees, "threshold": [0.0] * n_trees}
+    for depth in range(max_depth + 1):
+        x = [F.get("x", i) for i in range(n_features)]
+        here = (sample.withColumn("place", _walk(F.col("x"), F.col("tree"), arrays, depth))
+                .where(F.get(_literal(arrays["left"], "int"), F.col("place")) == -2).groupBy("place")
+                .agg(F.count(F.lit(1)).alias("size"), F.array(*[F.min(c) for c in x]).alias("lo"), F.array(*[F.max(c) for c in x]).alias("hi")))
+        for row in sorted(here.collect(), key=lambda r: r.place):
+            tree, node, _ = nodes[row.place]
+            feature, threshold = _split(row, tree, node, seed) if depth < max_depth else (-1, 0.0)
+            found[row.place] = (tree, node, feature, threshold, *((-1, -1) if feature < 0 else (2 * node + 1, 2 * node + 2)),
+                                row["size"], depth, feature < 0)
+            arrays["feature"][row.place], arrays["threshold"][row.place] = feature, threshold
+            arrays["left"][row.place] = -1 if feature < 0 else len(nodes)
+            if feature >= 0:
+                nodes += [(tree, 2 * node + 1, depth + 1), (tree, 2 * node + 2, depth + 1)]
+                for key, empty in (("left", -2), ("feature", -1), ("threshold", 0.0)):
+                    arrays[key] += [empty, empty]
+        if -2 not in arrays["left"]:
+            break
+    return [found[place] for place in sorted(found)]
 
 
 def fit(df: DataFrame, features=config.FEATURE_COLUMNS, id_col: str = "order_id",
@@ -146,91 +178,50 @@ def fit(df: DataFrame, features=config.FEATURE_COLUMNS, id_col: str = "order_id"
         seed: int = config.FOREST_SEED, n: int | None = None) -> DataFrame:
     """D3: the forest as a node table (tree, node, feature, threshold, left, right, size, depth, leaf)."""
     features = tuple(features)
-    ship_package(df.sparkSession)
     n = df.count() if n is None else n
     if n == 0:
         raise ValueError("cannot fit an isolation forest on no rows")
     psi = min(max_samples, n)
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
-    data = df.select(id_col, *features)
+    data = df.select(F.col(id_col).alias("id"), F.array(*[F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]).alias("x"))
     frac = min(1.0, 4.0 * psi / n)
     while True:
         # the written sample holds at most T * psi rows; it is full exactly when every tree drew psi rows
-        sample = materialize(_sample(data, id_col, n_trees, psi, seed, frac))
+        sample = materialize(_sample(data, n_trees, psi, seed, frac))
         if frac >= 1.0 or sample.count() == n_trees * psi:
             break
         frac = min(1.0, frac * 2)   # a tree drew fewer than psi candidates: widen and redraw
-    # The sample is small in bytes (T * psi rows at any data size), so AQE would coalesce its shuffle into one
-    # task and grow every tree in one Python worker. A repartition to a fixed number of partitions is not
-    # coalesced: the trees are spread over up to T tasks, and groupBy("tree") reuses that partitioning.
-    parts = max(1, min(n_trees, df.sparkSession.sparkContext.defaultParallelism))
-    return sample.repartition(parts, "tree").groupBy("tree").applyInPandas(
-        lambda pdf: _grow(pdf, features, seed, max_depth, id_col), schema=NODE_SCHEMA
-    )
+    nodes = _grow(sample.select("tree", "x"), n_trees, len(features), seed, max_depth)
+    columns = [f.name for f in StructType.fromDDL(NODE_SCHEMA)]
+    table = pa.table({c: list(v) for c, v in zip(columns, zip(*nodes))})       # Arrow: one batch, no row by row conversion
+    return df.sparkSession.createDataFrame(table).select(*[F.col(f.name).cast(f.dataType) for f in StructType.fromDDL(NODE_SCHEMA)])
+
 
+def _literal(values: list, kind: str) -> Column:
+    """A literal array. Its bytes go to the JVM at once; ``F.lit`` of a list would send each value on its own and
+    leave an expression of as many literals to the optimiser."""
+    gateway = SparkContext._active_spark_context._gateway
+    code, view, element = {"int": (">i4", "asIntBuffer", gateway.jvm.int), "bigint": (">i8", "asLongBuffer", gateway.jvm.long),
+                           "double": (">f8", "asDoubleBuffer", gateway.jvm.double)}[kind]
+    array = gateway.new_array(element, len(values))
+    getattr(gateway.jvm.java.nio.ByteBuffer.wrap(np.array(values, dtype=code).tobytes()), view)().get(array)
+    return Column(gateway.jvm.org.apache.spark.sql.functions.lit(array))
 
-class ForestArrays:
-    """The node table as padded NumPy arrays (trees x nodes)."""
-
-    def __init__(self, nodes: pd.DataFrame, psi: int):
-        n_trees = int(nodes["tree"].max()) + 1
-        width = int(nodes["node"].max()) + 1
-        shape = (n_trees, width)
-        self.feature = np.full(shape, -1, dtype=np.int64)
-        self.threshold = np.zeros(shape)
-        self.left = np.full(shape, -1, dtype=np.int64)
-        self.right = np.full(shape, -1, dtype=np.int64)
-        self.leaf_len = np.zeros(shape)
-        t, k = nodes["tree"].to_numpy(), nodes["node"].to_numpy()
-        self.feature[t, k] = nodes["feature"].to_numpy()
-        self.threshold[t, k] = nodes["threshold"].to_numpy()
-        self.left[t, k] = nodes["left"].to_numpy()
-        self.right[t, k] = nodes["right"].to_numpy()
-        # path length credited at a leaf: its depth plus c(size)
-        self.leaf_len[t, k] = nodes["depth"].to_numpy() + average_path_length(nodes["size"].to_numpy())
-        self.leaf = np.zeros(shape, dtype=bool)
-        self.leaf[t, k] = nodes["leaf"].to_numpy()
-        self.n_trees = n_trees
-        self.max_depth = int(nodes["depth"].max())
-        self.c_psi = float(average_path_length(np.array([psi]))[0]) or 1.0
-
-    def path_lengths(self, X: np.ndarray, chunk: int = 4096) -> np.ndarray:
-        """Mean path length of each row over all trees.
-
-        All trees are walked together, one level per step, on (rows x trees)
-        arrays of flat indices into the node table (``np.take`` on raveled
-        arrays), in chunks of ``chunk`` rows so memory stays bounded. Leaf
-        lengths are added tree by tree, so results are bit-identical to a
-        per-tree walk.
-        """
-        width = self.feature.shape[1]
-        feature, threshold = self.feature.ravel(), self.threshold.ravel()
-        left, right, leaf, leaf_len = self.left.ravel(), self.right.ravel(), self.leaf.ravel(), self.leaf_len.ravel()
-        base = (np.arange(self.n_trees) * width)[None, :]
-        out = np.empty(X.shape[0])
-        for start in range(0, X.shape[0], chunk):
-            x = np.ascontiguousarray(X[start:start + chunk])
-            n, n_features = x.shape
-            cells = x.ravel()
-            row_base = (np.arange(n) * n_features)[:, None]
-            node = np.zeros((n, self.n_trees), dtype=np.int64)
-            for _ in range(self.max_depth):
-                at = base + node
-                inner = ~np.take(leaf, at)
-                if not inner.any():
-                    break
-                val = np.take(cells, row_base + np.where(inner, np.take(feature, at), 0))
-                nxt = np.where(val < np.take(threshold, at), np.take(left, at), np.take(right, at))
-                node = np.where(inner, nxt, node)
-            lengths = np.take(leaf_len, base + node)
-            total = np.zeros(n)
-            for t in range(self.n_trees):
-                total += lengths[:, t]
-            out[start:start + chunk] = total / self.n_trees
-        return out
-
-    def scores(self, X: np.ndarray) -> np.ndarray:
-        return np.power(2.0, -self.path_lengths(X) / self.c_psi)
+
+def path_units(x: Column, nodes: list, n_trees: int) -> Column:
+    """Sum over the trees of the path length, in units, of the feature array ``x``.
+
+    ``nodes`` are rows of the node table with ``units``, the path length of a leaf. They are numbered through in the
+    order of (tree, node), so that siblings are neighbours; a leaf has no left child (-1).
+    """
+    nodes = sorted(nodes, key=lambda r: (r["tree"], r["node"]))
+    number = {(r["tree"], r["node"]): i for i, r in enumerate(nodes)}
+    arrays = {"left": [-1 if r["leaf"] else number[r["tree"], r["left"]] for r in nodes],
+              "feature": [r["feature"] for r in nodes], "threshold": [r["threshold"] for r in nodes]}
+    units = _literal([r["units"] for r in nodes], "bigint")
+    roots = _literal([number[t, 0] for t in range(n_trees)], "int")
+    levels = max(r["depth"] for r in nodes)
+    return F.aggregate(roots, F.lit(0).cast("bigint"), lambda total, root: total + F.get(units, _walk(x, root, arrays, levels)))
 
 
 def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COLUMNS,
@@ -238,32 +229,23 @@ def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COL
           scaler: Scaler | None = None, n_trees: int = config.N_TREES) -> DataFrame:
     """Append the anomaly score s in (0, 1] to every row of ``df`` (all columns kept).
 
-    A map-only step: with a ``scaler``, rows are taken as raw features (nulls
-    -> 0, as D1) and standardised inside the task with the scaler's scalars,
-    so scoring needs no join back to the input.
+    A map-only step in the JVM. Features are taken as in D1 (nulls -> 0); with a ``scaler`` (of a forest that was
+    grown on standardised features) they are standardised in place.
     """
     features = tuple(features)
-    ship_package(df.sparkSession)
     # a tree of psi leaves has at most 2 * psi - 1 nodes, and tree ids are 0 .. n_trees - 1: fetch at most
     # one row past the bound, so a malformed model is refused without ever being collected whole
     bound = n_trees * (2 * psi - 1)
-    nodes = model.limit(bound + 1).toPandas()
-    if len(nodes) > bound or (len(nodes) and int(nodes["tree"].max()) >= n_trees):
-        raise ValueError(f"forest has more than {n_trees} trees or {bound} nodes")
-    forest = ForestArrays(nodes, psi)
-    if scaler is None:
-        inputs = [F.col(c).cast("double") for c in features]
-    else:
-        inputs = [
-            (F.coalesce(F.col(c).cast("double"), F.lit(0.0)) - F.lit(m)) / F.lit(s)
-            for c, m, s in zip(features, scaler.means, scaler.scales)
-        ]
-
-    @F.pandas_udf("double")
-    def score_of(*columns: pd.Series) -> pd.Series:
-        return pd.Series(forest.scores(np.column_stack([c.to_numpy(dtype=float) for c in columns])))
-
-    return df.withColumn(out, score_of(*inputs))
+    of_leaf = F.when(F.col("leaf"), F.col("depth").cast("long") * UNIT + average_path_units(F.col("size"))).otherwise(F.lit(0))
+    nodes = [r.asDict() for r in model.withColumn("units", of_leaf.cast("long")).limit(bound + 1).collect()]
+    trees = {r["tree"] for r in nodes}
+    if len(nodes) > bound or not trees or max(trees) >= n_trees:
+        raise ValueError(f"forest has no trees, more than {n_trees} trees or {bound} nodes")
+    means, scales = (scaler.means, scaler.scales) if scaler else ([0.0] * len(features), [1.0] * len(features))
+    raw = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]
+    inputs = [(x - F.lit(m)) / F.lit(s) if scaler else x for x, m, s in zip(raw, means, scales)]
+    total = F.get(F.transform(F.array(F.array(*inputs)), lambda x: path_units(x, nodes, len(trees))), 0)   # features once a row
+    return df.withColumn(out, F.pow(F.lit(2.0), -total / (F.lit(len(trees)) * F.greatest(average_path_units(F.lit(psi)), F.lit(1)))))
 
 
 def label(scored: DataFrame, contamination: float = config.CONTAMINATION,

@@ -243,13 +243,15 @@ def iforest_model_summary(spark, sf_dir):
         F.count_if("leaf").alias("n_leaves"),
         F.max("depth").alias("max_depth"),
         F.sum(F.when(F.col("leaf"), F.col("size"))).alias("n_sampled"),
+        F.round(F.sum("threshold"), 4).alias("sum_threshold"),
+        F.sum((F.col("feature") + 1).cast("long") * (F.col("node") + 1)).alias("feature_check"),
     ).orderBy("tree")
 
 
 @query("iforest_scores")
 def iforest_scores(spark, sf_dir):
     s = Workspace.get(spark, sf_dir).forest.scored
-    return s.select("order_id", "anomaly_probability", "anomaly_score", "is_anomaly_ml")
+    return round6(s.select("order_id", "anomaly_probability", "anomaly_score", "is_anomaly_ml"), "anomaly_probability")
 
 
 @query("iforest_anomaly_types")
@@ -266,8 +268,8 @@ def iforest_summary_stats(spark, sf_dir):
 def score_histogram(spark, sf_dir):
     ws = Workspace.get(spark, sf_dir)
     rows = ws.detector_ml
-    return dashboard.histogram(dashboard.filter_orders(rows, **ws.default_filters),
-                               "anomaly_probability", "anomaly_type")
+    return round6(dashboard.histogram(dashboard.filter_orders(rows, **ws.default_filters),
+                                      "anomaly_probability", "anomaly_type"), "bin_start", "bin_end")
 
 
 @query("anomaly_types")

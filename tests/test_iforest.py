@@ -59,13 +59,35 @@ def _walk(nodes, tree, x):
     return t.loc[k, "depth"] + c
 
 
-def test_vectorised_walk_equals_plain_walk(planted):
+def test_score_equals_plain_walk(spark, planted):
     df, _ = planted
     nodes, _ = _fit_score(df, 2)
-    forest = iforest.ForestArrays(nodes, 256)
     X = np.array([[0.1, -0.2], [9.0, 9.0], [-1.5, 2.0]])
-    want = [np.mean([_walk(nodes, t, x) for t in range(forest.n_trees)]) for x in X]
-    assert np.allclose(forest.path_lengths(X), want)
+    c = 2 * (math.log(255) + 0.5772156649015329) - 2 * 255 / 256
+    want = [2 ** (-np.mean([_walk(nodes, t, x) for t in range(30)]) / c) for x in X]
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(X)], "order_id int, a double, b double")
+    got = iforest.score(points, spark.createDataFrame(nodes, iforest.NODE_SCHEMA), 256, FEATS)
+    assert np.allclose([r.anomaly_probability for r in got.orderBy("order_id").collect()], want, atol=1e-8)
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nulls_are_zero_and_one_row_forest(spark):
+    rows = [("x", None, 1.0), ("y", 0.0, 1.0), (None, 5.0, None)]
+    df = spark.createDataFrame(rows, "order_id string, a double, b double")
+    model = iforest.fit(df, FEATS, n_trees=5)
+    got = {r.order_id: r.anomaly_probability for r in iforest.score(df, model, 3, FEATS, n_trees=5).collect()}
+    assert got["x"] == got["y"] < got[None]
+    one = df.where("order_id = 'x'")
+    assert iforest.score(one, iforest.fit(one, FEATS, n_trees=5), 1, FEATS, n_trees=5).first()["anomaly_probability"] == 1.0
+
+
+def test_thresholds_split_every_node(planted):
+    df, _ = planted
+    nodes, _ = _fit_score(df, 3)
+    sizes = {(r.tree, r.node): r.size for r in nodes.itertuples()}
+    for r in nodes[~nodes["leaf"]].itertuples():
+        assert sizes[r.tree, r.left] + sizes[r.tree, r.right] == r.size and r.depth < 8
+    assert all(nodes[nodes["leaf"] & (nodes["depth"] < 8)]["size"] >= 1)
 
 
 def test_contamination_share(planted):
