@@ -449,3 +449,40 @@ def sql_high_risk_by_state(spark, sf_dir):
 
     register_analysis_views(spark, Workspace.get(spark, sf_dir))
     return spark.sql(SQL_HIGH_RISK_BY_STATE)
+
+
+# ---- scale options: sketches kept by month, beside the exact values -------------------------------------------
+
+from anomalytics.operators import sketches  # noqa: E402
+from anomalytics.operators.quantiles import exact_percentiles  # noqa: E402
+
+
+@query("seller_orders_approx")
+def seller_orders_approx(spark, sf_dir):
+    """Distinct orders per seller from monthly HLL sketches; ``within_bound``: at most four standard deviations off."""
+    t = Workspace.get(spark, sf_dir).tables
+    monthly = sketches.item_sketches(t["order_items"], t["orders"], "seller_id")
+    approx = sketches.merged(monthly, ["seller_id"], distinct=["order_count"]).withColumnRenamed("order_count", "estimate")
+    exact = t["order_items"].groupBy("seller_id").agg(F.countDistinct("order_id").alias("order_count"))
+    off = F.abs(F.col("estimate") - F.col("order_count"))
+    return exact.join(approx, "seller_id").select(
+        "seller_id", "order_count", F.col("n_rows").alias("n_items"),
+        (off <= F.greatest(F.lit(1.0), 4 * sketches.distinct_error() * F.col("order_count"))).alias("within_bound"))
+
+
+@query("amount_quantiles_approx")
+def amount_quantiles_approx(spark, sf_dir):
+    """Quantiles of the amount from monthly KLL sketches; ``within_bound``: the rank of the estimate among all amounts
+    is at most twice the sketch's error from the rank that was asked for."""
+    rows = Workspace.get(spark, sf_dir).enriched_table
+    probs = [0.25, 0.5, 0.75, 0.99]
+    found = sketches.merged(sketches.amount_sketches(rows), [], quantiles={"amount": probs}).first()
+    exact = exact_percentiles(rows, "total_amount", probs)
+    amount = F.col("total_amount").cast("double")
+    ranks = rows.agg(F.count("total_amount").alias("n"), *[
+        f(F.when(side(amount, found[sketches.quantile_name("amount", p)]), 1)).alias(f"{kind}{i}")
+        for i, p in enumerate(probs) for kind, f, side in (("lt", F.count, lambda a, b: a < b), ("le", F.count, lambda a, b: a <= b))]).first()
+    slack = 2 * sketches.rank_error() * ranks["n"] + 1
+    return spark.createDataFrame(
+        [(p, round(e, 6), ranks["n"], ranks[f"lt{i}"] - slack <= p * ranks["n"] <= ranks[f"le{i}"] + slack)
+         for i, (p, e) in enumerate(zip(probs, exact))], "p double, exact double, n bigint, within_bound boolean")

@@ -12,6 +12,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from anomalytics.sources.inference import infer_schema, typed
 from anomalytics.sources.schemas import SCHEMAS
 
 # ---- fixed values: file names of the public e-commerce data set --------------
@@ -50,7 +51,8 @@ def file_name(table: str, fmt: str = "csv") -> str:
 
 
 def read_csv(spark: SparkSession, path: str, table: str | None = None) -> DataFrame:
-    """CSV with header; the known tables' columns are taken by header name and cast to their types.
+    """CSV with header; the known tables' columns are taken by header name and cast to their types. An unknown
+    table's types are inferred from all of its rows (one pass, see ``inference``).
 
     Columns may come in any order and others may stand beside them; a missing one is an error. Values may be quoted,
     with doubled quotes inside; the free-text table may hold line breaks in a value (such a file is not split).
@@ -62,7 +64,7 @@ def read_csv(spark: SparkSession, path: str, table: str | None = None) -> DataFr
     )
     schema = SCHEMAS.get(table)
     if schema is None:
-        return raw
+        return typed(raw, infer_schema(raw))
     named = {c.strip().lstrip("\ufeff").lower(): c for c in raw.columns}
     absent = [f.name for f in schema if f.name not in named]
     if absent:
