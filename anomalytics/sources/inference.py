@@ -16,7 +16,7 @@ from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
 #: a leading zero makes a code (a zip code, say) of what would be a number
 _WHOLE = r"^\s*[+-]?(0|[1-9][0-9]*)\s*$"
-_NUMBER = r"^\s*[+-]?((0|[1-9][0-9]*)\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
+_NUMBER = r"^\s*[+-]?((0|[1-9][0-9]*)(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?\s*$"
 _DATE = r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\s*$"
 _TIME = r"^\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}[ T][0-9]{1,2}:[0-9]{2}(:[0-9]{2}(\.[0-9]+)?)?\s*$"
 #: type -> the text that is one of it
