@@ -5,7 +5,8 @@ question and its copy with other numbers or names have the same template. Candid
 template tokens: items index groups that do not overlap, documents ask at every offset. An item of ``n`` tokens that
 agrees with a document but for ``m`` tokens has at most ``m`` groups that differ, and a run that agrees holds all
 groups inside it, so every (document, item, offset) that the rule below accepts shares a known number of groups
-(``needed_groups``); offsets that share fewer go. What is left is aligned in full:
+(``needed_groups``). Half of that number, the commonest groups, are not indexed; offsets that share fewer of the others
+than must be left go. What is left is aligned in full:
 literal tokens must be equal, and the slots must be consistent - one value of the item always stands for the same
 value of the document, and the other way round. Inconsistent slots count as mismatches.
 """
@@ -70,16 +71,28 @@ def needed_groups(n_tokens: Column, width: int, min_run: int, min_share: float)
 
 
 def item_groups(items: DataFrame, id_col: str, text_col: str, min_run: int, min_share: float) -> DataFrame:
-    """(width, hash, item_id, item_pos, n_tokens, needed) of every item's groups: pairs, or single tokens where pairs could all differ."""
+    """(width, hash, item_id, item_pos, n_tokens, needed) of the groups that an item is looked up by: pairs, or single
+    tokens where pairs could all differ.
+
+    An item that must share ``needed`` groups may leave out ``needed // 2`` of them and still shares the rest. Those
+    with the fewest letters are left out: short words make the pairs that most documents hold. (Which ones go decides
+    the cost only.)
+    """
     tokens = (items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), template_tokens(F.col(text_col)).alias("t"))
               .where(F.size("t") > 0))
     by_pairs, by_ones = (needed_groups(F.size("t"), width, min_run, min_share) for width in (2, 1))
     found = tokens.withColumn("width", F.when(by_pairs >= 1, 2).otherwise(1)).withColumn(
-        "needed", F.when(F.col("width") == 2, by_pairs).otherwise(F.greatest(by_ones, F.lit(1))))
+        "shared", F.when(F.col("width") == 2, by_pairs).otherwise(F.greatest(by_ones, F.lit(1))))
+    letters = lambda i: F.length(F.regexp_replace(F.concat(
+        F.get("t", i), F.when(F.col("width") == 2, F.get("t", i + 1)).otherwise("")), f"[{NUMBER}{UNIT}{NAME}]", ""))
+    hashes = F.when(F.col("width") == 2, keys(F.col("t"), 2)).otherwise(keys(F.col("t"), 1))
+    groups = F.filter(F.transform(hashes, lambda h, i: F.struct(letters(i).alias("letters"), i.alias("item_pos"), h.alias("hash"))),
+                      lambda g: g["item_pos"] % F.col("width") == 0)
+    left_out = F.floor(F.col("shared") / 2).cast("int")
     return (
-        found.select("item_id", "width", "needed", F.size("t").alias("n_tokens"), F.posexplode(F.when(F.col("width") == 2, keys(F.col("t"), 2)).otherwise(keys(F.col("t"), 1)))
-                     .alias("item_pos", "hash"))
-        .where(F.col("item_pos") % F.col("width") == 0).select("width", "hash", "item_id", "item_pos", "n_tokens", "needed"))
+        found.select("item_id", "width", (F.col("shared") - left_out).alias("needed"), F.size("t").alias("n_tokens"),
+                     F.explode(F.slice(F.array_sort(groups), left_out + 1, F.size(groups))).alias("g"))
+        .select("width", "g.hash", "item_id", "g.item_pos", "n_tokens", "needed"))
 
 
 def _aligned(rows: DataFrame) -> DataFrame:
