@@ -40,18 +40,23 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Texts without words all stay."""
-    found = jaccard_join.jaccard_join(docs)
-    first = (found.where((F.col("n_shingles") > 0) & (F.col("id") == F.col("component_id"))).select("id").distinct()
-             .select(F.col("id").alias("_pl_id"), F.lit(True).alias("_pl_first")))
+    """One document of each group of near duplicates: the one with the smallest id.
+
+    A document is its id and its text: rows that share an id but hold unlinked texts are judged on their own, and a
+    row goes only if a linked or equal text stays. Null, empty and other texts without words, and rows without an id,
+    all stay; of rows equal in id and text one stays. Very long texts are compared whole. An empty table stays empty.
+    """
+    text_hash = F.xxhash64("text")
+    named = docs.where(F.col("doc_id").isNotNull()).select(
+        F.struct(F.col("doc_id").alias("id"), text_hash.alias("text")).alias("_pl_doc"), F.col("text").alias("_pl_text"))
+    found = jaccard_join.jaccard_join(named, "_pl_doc", "_pl_text")
+    first = (found.where((F.col("n_shingles") > 0) & (F.col("id") == F.col("component_id"))).select("id.id", "id.text").distinct()
+             .select(F.col("id").alias("_pl_id"), F.col("text").alias("_pl_hash"), F.lit(True).alias("_pl_first")))
     alone = F.col("doc_id").isNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    repeated = Window.partitionBy("doc_id", "_pl_alone").orderBy("text")           # rows that repeat an id
-    return (
-        docs.join(first, F.col("doc_id") == F.col("_pl_id"), "left")
-        .withColumn("_pl_alone", F.when(alone, F.xxhash64("text", "source" if "source" in docs.columns else "text")))
-        .where(F.col("_pl_first") | F.col("_pl_alone").isNotNull())
-        .withColumn("_pl_row", F.row_number().over(repeated))
-        .where((F.col("_pl_row") == 1) | F.col("_pl_alone").isNotNull()).select(*docs.columns))
+    repeated = Window.partitionBy("doc_id", text_hash).orderBy("text")
+    judged = docs.join(first, (F.col("doc_id") == F.col("_pl_id")) & (text_hash == F.col("_pl_hash")), "left")
+    rest = judged.where(~alone & F.col("_pl_first")).withColumn("_pl_row", F.row_number().over(repeated)).where("_pl_row = 1")
+    return judged.where(alone).select(*docs.columns).unionByName(rest.select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
