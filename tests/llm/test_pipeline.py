@@ -33,3 +33,20 @@ def test_shared_lines_go_but_documents_stay(spark):
     got = {r.doc_id: (r.text, r.n_chars) for r in kept.collect()}
     assert set(got) == set(range(8)) and got[5][0] == f"own text 5\n{line}" and got[7] == ("clean", 5)
     assert all(got[i] == (f"own text {i}", 10) for i in range(5))
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    b, other = "b " + " ".join(f"w{i}" for i in range(30)), "a z " + " ".join(f"v{i}" for i in range(30))
+    near = b + " more"
+    for rows in ([(3, b), (5, other), (5, b)], [(5, b), (5, other), (3, b)], [(3, near), (5, other), (5, b), (5, other)]):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        left = sorted((r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect())
+        assert left == sorted([(3, near if (3, near) in rows else b), (5, other)])
+
+
+def test_texts_without_words_and_ids_stay(spark):
+    rows = [(1, None), (1, None), (2, " \n"), (None, "one two"), (None, "one two"), (4, "one two"), (7, "ONE two")]
+    docs = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, _pl_note string")
+    left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted((str(i), str(t)) for i, t in rows[:-1])
+    assert corpus_pipeline.drop_near_duplicates(spark, docs.where("false"), "").count() == 0
