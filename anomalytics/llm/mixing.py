@@ -21,7 +21,7 @@ from anomalytics.llm.common import materialize, prepare
 
 WORD = r"[^\x20\x09-\x0D]+"
 KEY_BITS = 60                  # of the hash that shuffles a queue
-RANGE_ROWS = 500_000           # documents in a range of a queue or of virtual time, on the average
+RANGE_ROWS = 10_000           # documents in a range of a queue or of virtual time, on the average
 CHUNK = 4096                   # equal rows that are written out together
 
 
