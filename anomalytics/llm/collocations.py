@@ -26,6 +26,7 @@ from anomalytics.llm.common import materialize, prepare
 DEPTH = 4                      # words of the longest phrase
 BLOCK = 1 << 21                # words that a task sorts at a time, and entries routed together, on the average
 ROUTES = 64                    # routes at least
+GROUP = 10_000                 # candidates that are ranked together before all are, on the average
 SMALL = 1 << 15                # pointers of a part that one stable sort finishes
 FILTER_BITS = 1 << 28          # of the filter of frequent pairs, at most
 #: fixed values: what ends a piece (with \x0A-\x0D)
@@ -239,6 +240,11 @@ def _words(phrase: Column, start: Column, length: Column) -> Column:
     return F.array_join(F.slice(F.split(phrase, " "), start, length), " ")
 
 
+def _first(rows: DataFrame, group: list[str], top: int) -> DataFrame:
+    ranked = Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("a"), "phrase")
+    return rows.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= top)
+
+
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 30, top: int = 2000,
                  factor: int = 2_000_000, held_in: tuple[int, int] = (80, 100)) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``top`` phrases of 2 to 4 words, see the module.
@@ -284,9 +290,9 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
               .groupBy("lang", "phrase").agg(F.max("f").alias("longer")))
     share, of = held_in
     contained = F.col("longer").cast("decimal(20,0)") * of >= F.col("a").cast("decimal(20,0)") * share
-    ranked = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    return (
-        scored.join(longer, ["lang", "phrase"], "left").where(~F.coalesce(contained, F.lit(False)))
-        .select("lang", "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), F.col("best.score").alias("score"))
-        .withColumn("rank", F.row_number().over(ranked).cast("long")).where(F.col("rank") <= top)
-        .join(words, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score"))
+    judged = scored.join(longer, ["lang", "phrase"], "left").where(~F.coalesce(contained, F.lit(False))).select(
+        "lang", "phrase", "a", F.col("best.l").alias("l"), F.col("best.r").alias("r"), F.col("best.score").alias("score"))
+    groups = max(1, (n_pairs + second.count()) // GROUP)             # the first of each group, then the first of all
+    best = _first(judged.withColumn("group", F.pmod(F.xxhash64("phrase"), F.lit(groups))), ["lang", "group"], top)
+    return _first(best, ["lang"], top).join(words, "lang").select(
+        "lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
