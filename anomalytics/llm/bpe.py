@@ -277,6 +277,20 @@ def decode(vocabulary: list[bytes], ids, piece: int = 65_536):
         yield data, machine.feed(data, at + piece >= len(ids))
 
 
+def kept_in_worker(key: str, make):
+    """What ``make`` gives, made once in a Python worker: a worker runs many tasks, whose functions are unpickled anew.
+
+    Only the last key's value is kept, and its caches are bounded (see ``Encoder``).
+    """
+    import sys
+    import types
+
+    store = sys.modules.setdefault("_bpe_encoder_of_this_worker", types.ModuleType("_bpe_encoder_of_this_worker"))
+    if getattr(store, "key", None) != key:
+        store.key, store.value = key, make()
+    return store.value
+
+
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                outputs: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>][, decoded string]) of every whole text.
@@ -291,14 +305,19 @@ def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "do
     """
     spark = prepare(docs.sparkSession)
     with open(ranks_path, "rb") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        data = f.read()
+    shared = spark.sparkContext.broadcast(data)
+    key = hashlib.sha256(data + pattern.encode()).hexdigest()
 
-    def run(batches):
+    def make():
         ranks = parse_ranks(shared.value)
-        encoder = Encoder(ranks, pattern)
         vocabulary = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             vocabulary[rank] = token
+        return Encoder(ranks, pattern), vocabulary
+
+    def run(batches):
+        encoder, vocabulary = kept_in_worker(key, make)
 
         def rows(ids_column, texts):
             sizes, ids_hash, back_hash, packed_all, decoded = [0], [], [], [], []
