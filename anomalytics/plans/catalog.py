@@ -486,3 +486,15 @@ def amount_quantiles_approx(spark, sf_dir):
     return spark.createDataFrame(
         [(p, round(e, 6), ranks["n"], ranks[f"lt{i}"] - slack <= p * ranks["n"] <= ranks[f"le{i}"] + slack)
          for i, (p, e) in enumerate(zip(probs, exact))], "p double, exact double, n bigint, within_bound boolean")
+
+
+# ---- co-located order joins -----------------------------------------------------------------------------------
+
+from anomalytics.operators import enrich as _enrich  # noqa: E402
+from anomalytics.sources.bucketed import bucket_by_order  # noqa: E402
+
+
+@query("orders_enriched_bucketed")
+def orders_enriched_bucketed(spark, sf_dir):
+    """E1 over tables that were written bucketed by order: no exchange below the two order joins."""
+    return _d2d(_enrich.enriched_orders(bucket_by_order(Workspace.get(spark, sf_dir).tables)))

@@ -76,3 +76,31 @@ def test_per_order_aggregates_never_broadcast_under_aqe(spark):
         # the only broadcasts left are the dimension lookups (nation into customers, customers into orders)
         assert plan.count("BroadcastExchange") == (plan.count("BroadcastHashJoin [c_nationkey")
                                                    + plan.count("BroadcastHashJoin [customer_id"))
+
+
+def test_bucketed_order_joins_have_no_exchange_on_the_order(spark):
+    from anomalytics.operators import enrich
+    from anomalytics.plans.workspace import Workspace
+    from anomalytics.sources.bucketed import bucket_by_order
+
+    tables = Workspace(spark, "/root/testdata/sf0.001").tables
+    for adaptive in ("true", "false"):
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+        try:
+            enriched = enrich.enriched_orders(bucket_by_order(tables, buckets=5))
+            rows = sorted(map(str, enriched.collect()))
+            plan = _plan(enriched)
+        finally:
+            spark.conf.set("spark.sql.adaptive.enabled", "true")
+        assert "hashpartitioning(order_id" not in plan and "Bucketed: true" in plan
+        assert "BroadcastNestedLoop" not in plan and "CartesianProduct" not in plan
+        assert rows == sorted(map(str, enrich.enriched_orders(tables).collect()))
+
+
+def test_bucketed_copies_of_empty_and_odd_tables(spark):
+    from anomalytics.sources.bucketed import bucket_by_order
+
+    orders = spark.createDataFrame([("a", 1), (None, 2), ("a", 1)], "order_id string, n int")
+    got = bucket_by_order({"orders": orders, "order_items": orders.where("false"), "products": orders}, buckets=3)
+    assert sorted(map(str, got["orders"].collect())) == sorted(map(str, orders.collect()))
+    assert got["order_items"].count() == 0 and got["order_items"].dtypes == orders.dtypes and got["products"] is orders
