@@ -66,10 +66,10 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
-def zscore_bucket(z) -> Column:
-    """Seven z-score labels; a null z falls through to the top label like the reference's ELSE."""
+def zscore_bucket(z, null_bucket: str | None = None) -> Column:
+    """Seven z-score labels; a null z falls through to the top label, or gets ``null_bucket`` if that is given."""
     zc = _c(z)
-    expr = None
+    expr = None if null_bucket is None else F.when(zc.isNull(), F.lit(null_bucket))
     for bound, label in config.ZSCORE_BUCKETS:
         expr = F.when(zc < F.lit(bound), F.lit(label)) if expr is None else expr.when(zc < F.lit(bound), F.lit(label))
     return expr.otherwise(F.lit(config.ZSCORE_TOP_BUCKET))

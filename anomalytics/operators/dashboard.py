@@ -171,3 +171,30 @@ def flagged_detail(df: DataFrame, ml_col: str, score_col: str, k: int = config.D
         fixed_text(score_col, 4).alias(h[6]),
         F.col("anomaly_type").alias(h[7]),
     )
+
+
+MONTH = "purchase_month"
+
+
+def write_clustered(df: DataFrame, path: str, ts: str = "order_purchase_timestamp", per_file: int = 5_000_000) -> DataFrame:
+    """F6 on a kept table: ``df`` written in folders by purchase month, sorted by state, and read again.
+
+    A date filter then lists the folders it needs and reads no other file; a state filter is pushed to the scan, where
+    the bounds of sorted files and row groups let it skip most of them. Rows meet by (month, state) range before they
+    are written, ranges that hold a hot state are cut by the order's time, and a file has ``per_file`` rows at most.
+    Orders without a time have a folder of their own.
+    """
+    keyed = df.withColumn(MONTH, F.date_format(ts, "yyyy-MM"))
+    (keyed.repartitionByRange(MONTH, "customer_state", ts).sortWithinPartitions(MONTH, "customer_state", ts)
+     .write.option("maxRecordsPerFile", per_file).partitionBy(MONTH).parquet(path))
+    kinds = {f.name: f.dataType for f in keyed.schema}
+    found = df.sparkSession.read.schema(keyed.schema).parquet(path)
+    return found.select(*[F.col(c).cast(kinds[c]).alias(c) for c in keyed.columns])
+
+
+def filter_clustered(df: DataFrame, **filters) -> DataFrame:
+    """F6 over a table of ``write_clustered``: a date range also names its months, so that other folders are not read."""
+    dates = filters.get("dates")
+    if dates is not None:
+        df = df.where(F.col(MONTH).between(dates[0].strftime("%Y-%m"), dates[1].strftime("%Y-%m")))
+    return filter_orders(df, **filters).drop(MONTH)

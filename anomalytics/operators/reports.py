@@ -151,9 +151,10 @@ def payment_method_analysis(flags: DataFrame) -> DataFrame:
     )
 
 
-def zscore_buckets(flags: DataFrame) -> DataFrame:
-    """Seven z-score buckets, ordered by the smallest z in each."""
-    g = flags.groupBy(zscore_bucket("amount_zscore").alias("zscore_bucket")).agg(
+def zscore_buckets(flags: DataFrame, null_bucket: str | None = None) -> DataFrame:
+    """Seven z-score buckets, ordered by the smallest z in each. Rows without a z-score are in the top bucket, or
+    in one of their own, the last, if ``null_bucket`` names it."""
+    g = flags.groupBy(zscore_bucket("amount_zscore", null_bucket).alias("zscore_bucket")).agg(
         _n().alias("order_count"),
         F.sum("total_amount").alias("total_revenue"),
         mean_decimal("total_amount").alias("avg_order_value"),

@@ -498,3 +498,21 @@ from anomalytics.sources.bucketed import bucket_by_order  # noqa: E402
 def orders_enriched_bucketed(spark, sf_dir):
     """E1 over tables that were written bucketed by order: no exchange below the two order joins."""
     return _d2d(_enrich.enriched_orders(bucket_by_order(Workspace.get(spark, sf_dir).tables)))
+
+
+@query("zscore_buckets_null_apart")
+def zscore_buckets_null_apart(spark, sf_dir):
+    """G7 with the rows that have no z-score in a bucket of their own."""
+    return reports.zscore_buckets(Workspace.get(spark, sf_dir).flags, null_bucket="No z-score")
+
+
+@query("filtered_clustered_month")
+def filtered_clustered_month(spark, sf_dir):
+    """F6 over the kept detector rows clustered by month and state: one quarter, amounts up to 200,000."""
+    import datetime as dt
+
+    from anomalytics.session import scratch_path
+
+    kept = dashboard.write_clustered(Workspace.get(spark, sf_dir).features, scratch_path(spark, "clustered"))
+    found = dashboard.filter_clustered(kept, amount=(0.0, 200_000.0), dates=(dt.date(1995, 2, 10), dt.date(1995, 5, 3)))
+    return _d2d(found.select("order_id", "customer_state", "total_amount", "order_purchase_timestamp"))

@@ -104,3 +104,29 @@ def test_bucketed_copies_of_empty_and_odd_tables(spark):
     got = bucket_by_order({"orders": orders, "order_items": orders.where("false"), "products": orders}, buckets=3)
     assert sorted(map(str, got["orders"].collect())) == sorted(map(str, orders.collect()))
     assert got["order_items"].count() == 0 and got["order_items"].dtypes == orders.dtypes and got["products"] is orders
+
+
+def _files_read(df) -> int:
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().collectLeaves().apply(0).metrics().apply("numFiles").value()
+
+
+def test_a_month_filter_reads_its_files_only_and_the_state_is_pushed(spark, tmp_dir):
+    import datetime as dt
+
+    from anomalytics.operators import dashboard
+    from anomalytics.plans.workspace import Workspace
+
+    rows = Workspace(spark, "/root/testdata/sf0.001").features
+    kept = dashboard.write_clustered(rows, os.path.join(tmp_dir, "clustered"))
+    assert sorted(map(str, kept.drop(dashboard.MONTH).select(*rows.columns).collect())) == sorted(map(str, rows.collect()))
+    first = rows.where("customer_state IS NOT NULL").orderBy("order_purchase_timestamp").first()
+    day = first.order_purchase_timestamp.date()
+    span = (day.replace(day=1), day.replace(day=28))
+    for filters in ({"dates": span, "state": first.customer_state}, {"dates": span}, {"state": first.customer_state}):
+        asked = dashboard.filter_clustered(kept, **filters)
+        assert sorted(map(str, asked.select("order_id").collect())) == sorted(
+            map(str, dashboard.filter_orders(rows, **filters).select("order_id").collect()))
+    every, one = _files_read(kept), _files_read(dashboard.filter_clustered(kept, dates=span, state=first.customer_state))
+    assert 1 <= one <= 2 and every > 50
+    assert f"EqualTo(customer_state,{first.customer_state})" in _plan(dashboard.filter_clustered(kept, state=first.customer_state))
