@@ -92,6 +92,18 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+def file_system(spark: SparkSession, path: str):
+    """The Hadoop file system of ``path`` and the path as Hadoop has it (any scheme that Spark reads)."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def is_written(spark: SparkSession, path: str) -> bool:
+    """True if a write to ``path`` has been committed (Spark's _SUCCESS file is there)."""
+    store, jpath = file_system(spark, f"{path.rstrip('/')}/_SUCCESS")
+    return store.exists(jpath)
+
+
 @contextmanager
 def utc_session(spark: SparkSession):
     """Run a block with the session time zone set to UTC, then restore the caller's zone.

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from anomalytics import config
 from anomalytics.operators.stats import ColumnStats, column_stats, iqr_flag, unguarded_zscore
-from anomalytics.session import scratch_path, utc_session
+from anomalytics.session import file_system, scratch_path, utc_session
 
 HIGH_VALUE = "HIGH_VALUE"
 LOW_VALUE = "LOW_VALUE"
@@ -30,6 +30,7 @@ LOW_VALUE = "LOW_VALUE"
 class StreamRun:
     output: DataFrame
     path: str
+    checkpoint: str
 
 
 def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
@@ -39,8 +40,7 @@ def event_stream(spark: SparkSession, folder: str, name: str = "events.parquet",
     reader = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store, jpath = file_system(spark, path)
     if store.getFileStatus(jpath).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", name).parquet(folder)       # a single file: its folder, that name only
@@ -61,16 +61,19 @@ def flag_events(events: DataFrame, stats: ColumnStats) -> DataFrame:
 
 
 def _run(df: DataFrame, name: str, mode: str = "append") -> StreamRun:
-    spark = df.sparkSession
-    out = scratch_path(spark, f"{name}-out")
-    ckpt = scratch_path(spark, f"{name}-ckpt")
+    out = scratch_path(df.sparkSession, f"{name}-out")
+    return append_run(df, out, scratch_path(df.sparkSession, f"{name}-ckpt"), mode)
+
+
+def append_run(df: DataFrame, out: str, checkpoint: str, mode: str = "append") -> StreamRun:
+    """One availableNow run of a stream into parquet; goes on from the checkpoint if there is one."""
     q = (
         df.writeStream.format("parquet").outputMode(mode)
-        .option("path", out).option("checkpointLocation", ckpt)
+        .option("path", out).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     q.awaitTermination()
-    return StreamRun(spark.read.parquet(out), out)
+    return StreamRun(df.sparkSession.read.schema(df.schema).parquet(out), out, checkpoint)
 
 
 def stream_flags(spark: SparkSession, folder: str, stats: ColumnStats | None = None) -> StreamRun:
@@ -88,15 +91,23 @@ def windowed_rates(events: DataFrame, stats: ColumnStats, window: str = "1 day",
     Build it inside ``utc_session`` (as ``stream_window_rates`` does) so that
     windows are wall-clock days whatever the caller's session zone is.
     """
-    k = config.IQR_MULTIPLIER
+    is_outlier = F.coalesce(iqr_flag("value", stats.q1, stats.q3, config.IQR_MULTIPLIER), F.lit(False))
+    return flagged_rates(events.withColumn("is_outlier", is_outlier), window, delay)
+
+
+def flagged_rates(events: DataFrame, window: str = "1 day", delay: str = "1 hour") -> DataFrame:
+    """R3 logic over events that carry ``is_outlier``."""
     t = events.withColumn("event_time", F.col("ts").cast("timestamp"))
-    out = F.coalesce(iqr_flag("value", stats.q1, stats.q3, k), F.lit(False))
     g = (
         t.withWatermark("event_time", delay)
         .groupBy(F.window("event_time", window).alias("w"), "event_type")
-        .agg(F.count(F.lit(1)).alias("n_events"), F.count_if(out).cast("bigint").alias("n_outliers"))
+        .agg(F.count(F.lit(1)).alias("n_events"), F.sum(F.col("is_outlier").cast("bigint")).alias("n_outliers"))
     )
-    return g.select(
+    return _rate_columns(g)
+
+
+def _rate_columns(counts: DataFrame) -> DataFrame:
+    return counts.select(
         F.col("w.start").cast("timestamp_ntz").alias("window_start"),
         F.col("w.end").cast("timestamp_ntz").alias("window_end"),
         "event_type", "n_events", "n_outliers",
@@ -104,24 +115,37 @@ def windowed_rates(events: DataFrame, stats: ColumnStats, window: str = "1 day",
     )
 
 
+def open_windows(spark: SparkSession, checkpoint: str) -> DataFrame | None:
+    """Windows of a ``windowed_rates`` stream that its watermark has not closed, from the state the stream keeps.
+
+    None if the stream has had no batch yet. Call it inside ``utc_session`` and while the stream is not running; the
+    rows are those of the last committed batch when they are read.
+    """
+    store, commits = file_system(spark, f"{checkpoint}/commits")
+    if not store.exists(commits) or not store.listStatus(commits):
+        return None
+    state = spark.read.format("statestore").load(checkpoint)
+    window_field = state.schema["key"].dataType.fieldNames()[0]
+    return _rate_columns(state.select(
+        F.col("key").getField(window_field).alias("w"), F.col("key.event_type"),
+        F.col("value.count").alias("n_events"), F.col("value.sum").alias("n_outliers"),   # the buffers' names
+    ))
+
+
 def stream_window_rates(spark: SparkSession, folder: str, stats: ColumnStats | None = None,
                         window: str = "1 day", delay: str = "1 hour") -> StreamRun:
     """Every window of the finite input.
 
-    The stream (append mode) writes the windows that the watermark has closed. When the input ends, the windows that
-    are still open are read in batch, from their own events only, and added.
+    The stream (append mode) writes the windows that its watermark has closed. When the input ends, the windows that
+    are still open are taken from the stream's state; the events are read by the stream alone.
     """
-    batch = spark.read.parquet(f"{folder}/events.parquet")
     if stats is None:
-        stats = column_stats(batch, "value")
+        stats = column_stats(spark.read.parquet(f"{folder}/events.parquet"), "value")
     with utc_session(spark):   # windows are wall-clock days; see utc_session
         closed = _run(windowed_rates(event_stream(spark, folder), stats, window, delay), "stream-windows")
-        last = batch.agg(F.max("ts")).first()[0]
+        last = open_windows(spark, closed.checkpoint)
         if last is None:
             return closed
-        border = F.lit(last) - F.expr(f"INTERVAL {delay}")
-        late = batch.where(F.col("ts") > border - F.expr(f"INTERVAL {window}"))
-        still_open = windowed_rates(late, stats, window, delay).where(F.col("window_end") > border)
         path = scratch_path(spark, "open-windows")
-        still_open.write.parquet(path)
-    return StreamRun(closed.output.unionByName(spark.read.parquet(path)), closed.path)
+        last.write.parquet(path)
+    return StreamRun(closed.output.unionByName(spark.read.parquet(path)), closed.path, closed.checkpoint)
