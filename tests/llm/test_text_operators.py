@@ -1,6 +1,7 @@
 """Line dedup, secret scan, BPE, decontamination and language ID against brute force and on hard inputs."""
 
 import hashlib
+import random
 import re
 import struct
 import zlib
@@ -246,6 +247,37 @@ def test_language_id_accuracy_and_edges(spark):
     assert len(rows) == 7 and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_rare_letters_are_written_with_digits_of_their_own():
+    alphabet = [chr(0x4E00 + i) for i in range(5000)]
+    for count, digits in ((62, 0), (63, 2), (62 + 4096, 2), (5000, 3)):
+        own = alphabet[:count]
+        assert language_id.code_length(own, 62) == digits
+        first = language_id.symbol_count(own, 62) - language_id.DIGITS
+        table = language_id.symbol_table(own)
+        symbols, lengths = language_id.symbols_of([*own, "", "Q", own[0] + " !" + own[-1]], table, digits, first)
+        cuts = [0, *lengths.cumsum().tolist()]
+        codes = [bytes(symbols[a:b]) for a, b in zip(cuts, cuts[1:])]
+        assert len(set(codes[:count])) == count                            # no two letters share a code
+        assert codes[count:] == [b"", b"\0", codes[0] + b"\1" + codes[count - 1]]
+
+
+def test_language_id_of_many_scripts(spark):
+    rng = random.Random(5)
+    scripts = {"latin": "abcdefghijklmnopqrstuvwxyzäöüßéèêàçñõåøæ", "han1": [chr(0x4E00 + i) for i in range(200)],
+               "han2": [chr(0x5500 + i) for i in range(200)], "cyrillic": "абвгдежзиклмнопрстуфхцчшщ"}
+
+    def text(lang):
+        return " ".join("".join(rng.choice(scripts[lang]) for _ in range(5)) for _ in range(30))
+
+    rows = [(i, text(lang), lang) for i, lang in enumerate(sorted(scripts) * 40)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    asked = [(i, text(lang), lang) for i, lang in enumerate(sorted(scripts) * 20)]
+    asked.append((-1, "".join(chr(0xAC00 + i) for i in range(50)), "none"))           # a script that no sample holds
+    got = language_id.identify(spark.createDataFrame(asked, "doc_id bigint, text string, lang string"), model, keep=("lang",)).collect()
+    assert all(r.lang_pred == r.kept_lang for r in got if r.id >= 0)
+    assert [r.phrase_len for r in got if r.id < 0] == [1.0]
+
+
 def test_language_id_without_labels(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string, lang string")
     model = language_id.fit(empty)
