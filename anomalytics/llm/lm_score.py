@@ -13,7 +13,8 @@ one after the other until a probe fails; the last level that was found stands fo
   texts are kept in chunks, the distinct n-gram hashes of a chunk are sent to the slices of their parts, and the levels
   found there come back to the chunk. Both ways read the same bits and give the same scores.
 * The exact base score needs exact counts: the ``head_words`` commonest words are broadcast with theirs, the other
-  words of a document are joined with the counts table.
+  words of a document are joined with the counts table. ``score`` takes no count from there: every word's count is the
+  one that the filter stands for, whatever ``head_words`` is. Only the number of training texts is exact in it.
 """
 
 from __future__ import annotations
@@ -293,13 +294,13 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     Tokens are the words and one end. ``base_score`` is the sum of log10((c + 0.1) / (N + 0.1 (V + 1))) with exact
     counts of the rows where ``training`` holds. ``score`` is the model's log10 probability: for each token
     (b + weight * u) / (p + weight), with the filter's counts b of the bigram and p of the token before, and the
-    unigram probability u. ``weight`` is the strength of the smoothing. ``filter_bits`` is the size up to which the
-    filter is broadcast; it decides the cost only.
+    unigram probability u by the filter's count of the token. ``weight`` is the strength of the smoothing.
+    ``filter_bits`` is the size up to which the filter is broadcast; it and ``head_words`` decide the cost only.
 
     * A null or empty text is one token, its end. Without training rows every count is 0, and base_score and score
       both come from the smoothing alone (V = N = 0: every token has probability 1).
     * Rows are scored one by one: repeated rows and null ids stay, a row each. Other columns are not read. An empty
-      table gives an empty result.
+      table gives an empty result. Very long texts are scored whole, one at a time.
     """
     spark = prepare(docs.sparkSession)
     train = docs.where(training)
@@ -329,18 +330,20 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
         tokens = np.fromiter(map(known.__getitem__, flat), np.uint64, len(flat))
         before = np.concatenate([tokens[:1], tokens[:-1]])
         before[first] = START
-        missing = np.flatnonzero(exact == 0)
-        return sizes, first, flat, exact, missing, np.concatenate([_mix(tokens[missing]), bigram_hashes(before, tokens)])
+        distinct, place = np.unique(tokens, return_inverse=True)
+        return sizes, first, flat, exact, place, np.concatenate([_mix(distinct), bigram_hashes(before, tokens)])
 
     def score(laid, counted):
         """Rows of some texts from the counts that the filter stands for."""
-        sizes, first, flat, exact, missing, _ = laid
+        sizes, first, flat, exact, place, _ = laid
         owner = np.repeat(np.arange(len(sizes)), sizes)
-        uni = exact.copy()
-        uni[missing] = counted[:missing.size]
+        bigrams = len(counted) - len(flat)                      # the distinct tokens' counts come first
+        uni = counted[:bigrams][place]
+        uni[np.cumsum(sizes) - 1] = n_train
+        missing = np.flatnonzero(exact == 0)
         prior = np.concatenate([uni[:1], uni[:-1]])
         prior[first] = n_train
-        both = np.minimum(counted[missing.size:], np.minimum(uni, prior))
+        both = np.minimum(counted[bigrams:], np.minimum(uni, prior))
         share = (both + weight * (uni + 0.1) / below) / (prior + weight) if n_train else np.ones(len(exact))
         seen = exact > 0
         tails: list[dict[bytes, int]] = [{} for _ in sizes]

@@ -207,6 +207,42 @@ def test_lm_scores_are_the_same_in_slices(spark, monkeypatch):
     assert sliced == broadcast and len(sliced) == 42
 
 
+def brute_scores(texts, training, weight=10.0):
+    """The model by its definition: every word's and bigram's count is rounded as the filter rounds it."""
+    stands = lambda c: c if c < 2 else 1.5 * 2 ** (c.bit_length() - 1)
+    tokens = {i: [*(t or "").encode().lower().split(), None] for i, t in texts}
+    learned = [own for i, own in tokens.items() if training(i)]
+    words = Counter(w for own in learned for w in own)
+    pairs = Counter(p for own in learned for p in zip(["start", *own], own))
+    n, v = sum(words.values()), len(words)
+    below, count = n + 0.1 * (v + 1), lambda w: len(learned) if w in (None, "start") else stands(words[w])
+    out = {}
+    for i, own in tokens.items():
+        out[i] = 0.0
+        for before, w in zip(["start", *own], own):
+            both = min(stands(pairs[before, w]), count(w), count(before))
+            out[i] += math.log10(min(1.0, (both + weight * (count(w) + 0.1) / below) / (count(before) + weight)))
+    return out
+
+
+def test_lm_scores_equal_brute_force_at_every_size(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "CHUNK_CHARS", 500)
+    texts = [(i, " ".join(random.Random(i).choices([f"W{n}" for n in range(60)], weights=range(1, 61), k=3 * i))) for i in range(60)]
+    texts += [(61, None), (62, ""), (63, "nowhere W1 seen"), (64, "w59 " * 2_000)]
+    df = spark.createDataFrame(texts, "doc_id bigint, text string")
+    want = brute_scores(texts, lambda i: i % 3 > 0)
+    for head, bits in ((0, 1 << 28), (7, 1 << 28), (10_000, 1 << 28), (0, 1 << 10), (10_000, 1 << 10)):   # broadcast, slices
+        rows = lm_score.lm_score(df, F.col("doc_id") % 3 > 0, head_words=head, filter_bits=bits, bits_per_entry=4_000.0).collect()
+        got = {r.id: r.score for r in rows}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], rel=1e-9) for i in want), (head, bits)
+
+
+def test_lm_scores_do_not_depend_on_head_words(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    few, many = ({r.id: r.score for r in lm_score.lm_score(docs, F.col("doc_id") % 10 > 0, head_words=head).collect()} for head in (0, 200_000))
+    assert few == many
+
+
 def test_lm_slices_hold_every_counted_ngram(spark):
     texts = [" ".join(random.Random(i).choices([f"w{n}" for n in range(5_000)], k=300)) for i in range(40)]
     df = spark.createDataFrame([(t,) for t in texts], "text string")
