@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from anomalytics.operators import detector, enrich, flags as flags_op, stats as stats_op
 from pyspark.sql import functions as F
+from anomalytics.plans.kept import KeptTables
 from anomalytics.session import materialize
 from anomalytics.sources.adapters import read_raw, testdata_tables
 
@@ -27,13 +28,16 @@ class Workspace:
     detector for an hour), so the written enriched table, the statistics and
     the fitted forest are computed once and every report reuses them. The
     inputs are read-only; ``Workspace(spark, folder)`` always starts fresh.
+
+    With ``kept`` the enriched table is shared with other sessions, by the files of the input folder (``KeptTables``).
     """
 
     _kept: dict[tuple[str, int, str], tuple[float, "Workspace"]] = {}
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, sf_dir: str, kept: KeptTables | None = None):
         self.spark = spark
         self.sf_dir = sf_dir
+        self.kept = kept
 
     @classmethod
     def get(cls, spark: SparkSession, sf_dir: str, ttl: float = RESULT_TTL_SECONDS) -> "Workspace":
@@ -72,6 +76,8 @@ class Workspace:
         written table is cheaper than redoing the joins each time, and it
         survives a lost executor (lineage is cut at the checkpoint).
         """
+        if self.kept is not None:
+            return self.kept.get("enriched", [self.sf_dir], lambda: self.enriched)
         return materialize(self.enriched)
 
     @cached_property
