@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import corpus_pipeline
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, id string"
@@ -50,3 +52,27 @@ def test_texts_without_words_and_ids_stay(spark):
     left = corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()
     assert sorted((str(r.doc_id), str(r.text)) for r in left) == sorted((str(i), str(t)) for i, t in rows[:-1])
     assert corpus_pipeline.drop_near_duplicates(spark, docs.where("false"), "").count() == 0
+
+
+def test_language_stage_rejects_only_what_no_language_explains(spark):
+    rng = random.Random(2)
+    words = {lang: ["".join(rng.choices(letters, k=rng.randint(3, 7))) for _ in range(60)]
+             for lang, letters in (("aa", "abcdefghij"), ("zz", "klmnopqrst"))}
+    rows = [(i, " ".join(rng.choices(words[lang], k=40)), lang) for i, lang in enumerate(["aa", "zz"] * 40)]
+    clean = [*rows, (200, rows[0][1], None), (200, rows[0][1], None), (None, rows[1][1], "zz"), (201, rows[1][1] * 200, "zz")]
+    gone = [(300, None, "aa"), (301, "", "aa"), (302, "123 -- 456", "aa"), (303, "".join(chr(0xAC00 + i) for i in range(80)), None)]
+    docs = spark.createDataFrame([(i, t, lang, "s", len(t or ""), "clash") for i, t, lang in [*clean, *gone]], SCHEMA)
+    kept = corpus_pipeline.identify_language(spark, docs, "")
+    assert kept.columns == docs.columns
+    key = lambda r: (str(r[0]), r[1], str(r[2]))
+    assert sorted((tuple(r) for r in kept.collect()), key=key) == sorted(
+        ((i, t, lang, "s", len(t), "clash") for i, t, lang in clean), key=key)
+    assert corpus_pipeline.identify_language(spark, docs.limit(0), "").count() == 0
+
+
+def test_encode_stage_returns_every_document(spark):
+    docs = table(spark, [(1, "The cat sat."), (2, None), (3, ""), (None, "naïve 北京 🙂"), (1, "The cat sat.")])
+    got = corpus_pipeline.encode(spark, docs, "").collect()
+    assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "3", "None"]
+    by_id = {r.doc_id: r for r in got}
+    assert len(by_id[2].ids) == len(by_id[3].ids) == 0 < len(by_id[None].ids)
