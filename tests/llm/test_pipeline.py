@@ -76,3 +76,24 @@ def test_encode_stage_returns_every_document(spark):
     assert sorted(str(r.doc_id) for r in got) == ["1", "1", "2", "3", "None"]
     by_id = {r.doc_id: r for r in got}
     assert len(by_id[2].ids) == len(by_id[3].ids) == 0 < len(by_id[None].ids)
+
+
+def test_decontamination_stage_drops_planted_items_only(spark):
+    folder = "/root/testdata/sf0.001"
+    items = [r.text for r in spark.read.parquet(f"{folder}/benchmark.parquet").orderBy("item_id").limit(6).collect()]
+    own = lambda seed: " ".join(f"p{random.Random(seed).randrange(10 ** 6)}x{i}y" for i in range(80))
+    planted = [(i, f"{own(i)} {text} {own(-i)}") for i, text in enumerate(items)]
+    clean = [(100 + i, own(100 + i)) for i in range(6)] + [(200, None), (201, ""), (None, planted[0][1]), (100, own(100))]
+    docs = table(spark, [*planted, *clean])
+    kept = corpus_pipeline.drop_contaminated(spark, docs, folder)
+    assert kept.columns == docs.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in clean)
+
+
+def test_run_over_a_folder(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    ids = [r.doc_id for r in corpus_pipeline.run(spark, folder).select("doc_id").collect()]
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "bpe"]
+    known = {r.doc_id for r in docs.select("doc_id").collect()}
+    assert len(ids) == len(set(ids)) and 0 < len(ids) <= len(known) and set(ids) <= known
