@@ -27,6 +27,18 @@ def test_status_filter_pushed_to_scan_on_stored_columns(spark, tmp_dir):
     assert "EqualTo(order_status,delivered)" in plan
 
 
+def test_status_filter_pushed_to_scan_through_the_adapter(spark):
+    plan = _plan(enrich.enriched_orders(adapters.testdata_tables(spark, SF)))
+    assert "EqualNullSafe(o_orderstatus,F)" in plan
+
+
+def test_adapted_status_of_null_and_unknown_codes(spark):
+    orders = adapters.read_raw(spark, SF, "orders").limit(4)
+    codes = spark.createDataFrame([("F",), ("O",), ("P",), (None,)], "o_orderstatus string")
+    adapted = adapters.adapt_orders(codes.crossJoin(orders.drop("o_orderstatus").limit(1)))
+    assert sorted(r.order_status for r in adapted.select("order_status").collect()) == ["delivered", "processing", "processing", "shipped"]
+
+
 def test_flag_table_has_no_join_and_reports_no_cartesian(spark, tmp_dir):
     tables = _parquet_tables(spark, tmp_dir)
     e = enrich.enriched_orders(tables)
