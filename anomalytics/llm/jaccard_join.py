@@ -89,6 +89,12 @@ def prefix_of(hashes: np.ndarray, counters: np.ndarray, threshold: int) -> np.nd
     return hashes[np.argsort(seen, kind="stable")[:size]] if seen.any() else hashes[:size]
 
 
+def spread(hashes: np.ndarray) -> np.ndarray:
+    """The hashes mixed anew: a prefix holds the smallest ones, which would fill the first segments of a filter only."""
+    mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
+    return mixed ^ (mixed >> np.uint64(32)) ^ (mixed << np.uint64(32))
+
+
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, node, key, n, shingles, sketch): ``key`` is a 128-bit digest of the set and ``node`` its first 63 bits;
     the set itself is kept once per task."""
@@ -165,7 +171,7 @@ def cells(sets: DataFrame, filter_bits: int) -> DataFrame:
 
     def mark(batches):
         told = np.frombuffer(shared.value, np.uint32)
-        found = [prefix_of(x, told, threshold) for batch in batches for x in _sets(batch)]
+        found = [spread(prefix_of(x, told, threshold)) for batch in batches for x in _sets(batch)]
         yield from marks(np.concatenate(found) if found else np.empty(0, np.uint64), filter_bits)
 
     twice = spark.sparkContext.broadcast(collect_bits(fold(sets.select("shingles"), mark, filter_bits), filter_bits))
@@ -178,7 +184,7 @@ def cells(sets: DataFrame, filter_bits: int) -> DataFrame:
             s, node, n = [], [], []
             for found, own in zip(_sets(batch), batch.column("node").to_pylist(), strict=True):
                 prefix = prefix_of(found, told, threshold)
-                prefix = prefix[hits(prefix, seen, filter_bits)]
+                prefix = prefix[hits(spread(prefix), seen, filter_bits)]
                 s.append(prefix.view(np.int64))
                 node.append(np.full(len(prefix), own, np.int64))
                 n.append(np.full(len(prefix), len(found), np.int64))
