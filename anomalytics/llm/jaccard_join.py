@@ -37,6 +37,7 @@ WIDTH = 5
 NEAR = 75                      # per cent of the union
 COUNTERS = 1 << 20             # of the sketch that tells common shingles
 SKETCH_BITS = 1 << 16          # most bits of a set's parity sketch
+NODE_BITS = 63                 # of a set's number; sets that share one are told apart by their 128-bit keys
 
 
 class _Words(dict):
@@ -96,7 +97,7 @@ def spread(hashes: np.ndarray) -> np.ndarray:
 
 
 def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, key, n, shingles, sketch): ``key`` is a 128-bit digest of the set and ``node`` its first 63 bits;
+    """(id, node, key, n, shingles, sketch): ``key`` is a 128-bit digest of the set and ``node`` NODE_BITS bits of it;
     the set itself is kept once per task."""
     def run(batches):
         known, told = _Words(), set()
@@ -105,9 +106,9 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 found = shingle_set(text, known)
                 key = hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=16).digest()
-                node = int.from_bytes(key[:8], "little") >> 1
-                again = node in told or not len(found)
-                told.add(node)
+                node = int.from_bytes(key[:8], "little") >> (64 - NODE_BITS)
+                again = key in told or not len(found)
+                told.add(key)
                 out.append((node, key, len(found), None if again else found.astype("<u8").tobytes(),
                             None if again else parity_sketch(found)))
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
@@ -120,6 +121,19 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
         run, f"id {id_type}, node bigint, key binary, n bigint, shingles binary, sketch binary")
 
 
+def told_apart(rows: DataFrame) -> DataFrame:
+    """``rows`` in which sets that share a node number have numbers of their own, below zero (few, if any: about
+    n^2 / 2^64 of n sets, so the join with them is a broadcast by their written size)."""
+    shared = (rows.where("n > 0").groupBy("node").agg(F.min("key").alias("k1"), F.max("key").alias("k2"))
+              .where("k1 <> k2").select("node"))
+    shared = materialize(shared, "jaccard-shared")
+    if shared.isEmpty():
+        return rows
+    own = materialize(rows.join(shared, "node", "left_semi").where("n > 0").select("key").distinct()
+                      .withColumn("own", -1 - F.monotonically_increasing_id()), "jaccard-own")
+    return rows.join(own, "key", "left").withColumn("node", F.coalesce("own", "node")).drop("own")
+
+
 def _sets(batch) -> list[np.ndarray]:
     return [np.frombuffer(x, "<u8") for x in batch.column("shingles").to_pylist()]
 
@@ -279,10 +293,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = prepare(docs.sparkSession)
     rows = materialize(shingle_sets(docs, id_col, text_col), "jaccard-sets")
-    classes = rows.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id"), F.min("key").alias("k1"), F.max("key").alias("k2"))
-    classes = materialize(classes, "jaccard-classes")
-    if classes.where("k1 <> k2").limit(1).count():
-        raise ValueError("two sets share a 63-bit node number")
+    rows = told_apart(rows)
+    classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id")), "jaccard-classes")
     held = rows.where("shingles is not null")
     found = materialize(cells(held, filter_bits), "jaccard-cells")
     release(spark)

@@ -82,6 +82,20 @@ def test_jaccard_families_equal_brute_force(spark):
     assert joined(spark, texts, pivots=3) == brute_components(texts)
 
 
+def test_jaccard_sets_that_share_a_number(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "NODE_BITS", 2)                     # 14 different sets, four numbers
+    texts = [(i, " ".join(f"g{i % 7}w{j}" for j in range(40)) + " end" * (i % 2)) for i in range(30)]
+    assert joined(spark, texts) == brute_components(texts)
+
+
+def test_jaccard_filter_takes_prefixes_evenly():
+    """A prefix holds the smallest hashes of a set; the filter's segments go by the first bits of what it is given."""
+    rng = np.random.default_rng(2)
+    prefix = rng.integers(0, 1 << 62, 20_000, dtype=np.uint64)
+    segments = np.bincount((jaccard_join.spread(prefix) >> np.uint64(58)).astype(int), minlength=64)
+    assert len(np.unique(jaccard_join.spread(prefix))) == len(prefix) and segments.min() > 200
+
+
 def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n, m in ((5, 6), (100, 130), (3000, 2500)):
