@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from anomalytics.operators import detector, enrich, flags as flags_op, stats as stats_op
 from pyspark.sql import functions as F
 from anomalytics.plans.kept import KeptTables
-from anomalytics.session import materialize
+from anomalytics.session import bounded_tasks, materialize
 from anomalytics.sources.adapters import read_raw, testdata_tables
 
 
@@ -76,9 +76,10 @@ class Workspace:
         written table is cheaper than redoing the joins each time, and it
         survives a lost executor (lineage is cut at the checkpoint).
         """
-        if self.kept is not None:
-            return self.kept.get("enriched", [self.sf_dir], lambda: self.enriched)
-        return materialize(self.enriched)
+        with bounded_tasks(self.enriched):
+            if self.kept is not None:
+                return self.kept.get("enriched", [self.sf_dir], lambda: self.enriched)
+            return materialize(self.enriched)
 
     @cached_property
     def stats(self) -> stats_op.GlobalStats:

@@ -92,6 +92,41 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.parquet(path)
 
 
+TASK_BYTES = 16 << 20   # of input files or shuffled data in a task under ``bounded_tasks``
+
+
+@contextmanager
+def bounded_tasks(df: DataFrame):
+    """Run a block with tasks whose size does not grow with the inputs of ``df``.
+
+    Spark's defaults give a scan up to 128 MB of files a task, whatever part of the columns it reads, and a shuffle the
+    session's fixed number of partitions, so on larger inputs the aggregations and sorts of a task outgrow its memory
+    and spill. Inside the block a scan task reads ``TASK_BYTES`` of files at most, and the number of shuffle partitions
+    follows from the bytes that the plan's scans hold; AQE joins partitions that turn out to be smaller. The session's
+    settings are kept where they are finer, and are restored afterwards. Only task sizes change, no rows.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    wanted = -(-sum(n for n in sizes if n < 1 << 60) // TASK_BYTES)         # a table of unknown size counts as 2^63 - 1
+    fixed = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scan, target = "spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    first = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    before = {key: spark.conf.get(key, None) for key in (scan, target, first)}
+    to_bytes = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for key in (scan, target):
+        spark.conf.set(key, str(min(TASK_BYTES, to_bytes(spark.conf.get(key)))))
+    spark.conf.set(first, str(max(fixed, int(before[first] or 0), wanted)))
+    try:
+        yield df
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 def file_system(spark: SparkSession, path: str):
     """The Hadoop file system of ``path`` and the path as Hadoop has it (any scheme that Spark reads)."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

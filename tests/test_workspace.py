@@ -90,3 +90,22 @@ def test_amount_summary_matches_numpy(spark):
     want = [len(x), x.mean(), x.std(ddof=1), x.min(), x.max(), *np.percentile(x, [25, 50, 75, 99])]
     assert got[0] == len(x)
     assert np.allclose(list(got)[1:], want[1:], rtol=1e-12, atol=0)
+
+
+def test_enriched_table_is_written_by_tasks_of_bounded_size(spark, monkeypatch):
+    from anomalytics import session
+
+    settings = ["spark.sql.files.maxPartitionBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes",
+                "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "spark.sql.shuffle.partitions"]
+    before = [spark.conf.get(key, None) for key in settings]
+    plain = Workspace(spark, SF).enriched_table
+    monkeypatch.setattr(session, "TASK_BYTES", 8 << 10)
+    least = "spark.sql.adaptive.coalescePartitions.minPartitionSize"
+    spark.conf.set(least, "1k")         # AQE joins partitions under 1 MB otherwise, which all of these are
+    try:
+        bounded = Workspace(spark, SF).enriched_table
+    finally:
+        spark.conf.unset(least)
+    assert len(bounded.inputFiles()) > int(spark.conf.get("spark.sql.shuffle.partitions")) >= len(plain.inputFiles())
+    assert sorted(map(str, bounded.collect())) == sorted(map(str, plain.collect()))
+    assert [spark.conf.get(key, None) for key in settings] == before
