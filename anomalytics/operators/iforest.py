@@ -13,9 +13,9 @@
   threshold in (min, max]; the depth limit is ceil(log2 psi). The model is a
   node table of at most T (2 psi - 1) rows - its size bound is fixed by T and
   psi, not by the data.
-* D4 score: the node table is collected (bounded, see above) and becomes
-  literal arrays that expressions walk, so rows never leave the JVM. A leaf's
-  path length, its depth plus c(size), is counted in whole ``UNIT``s: sums are
+* D4 score: the node table is collected (bounded, see above) and becomes a
+  forest of spark.ml, whose compiled trees are walked for every row, so rows
+  never leave the JVM. A leaf's path length, its depth plus c(size), is counted in whole ``UNIT``s: sums are
   exact in any order. s = 2^(-E[h(x)] / c(psi)); higher = more anomalous. Rows
   are anomalies when s is above the exact (1 - contamination) quantile of s.
 
@@ -27,19 +27,23 @@ the raw features.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import math
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.ml.functions import array_to_vector
+from pyspark.ml.regression import RandomForestRegressionModel
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from anomalytics import config
 from anomalytics.operators.quantiles import exact_percentiles
-from anomalytics.session import materialize
+from anomalytics.session import materialize, scratch_path
 
 EULER_GAMMA = 0.5772156649015329
 UNIT = 1_000_000_000           # of a path length
@@ -208,20 +212,44 @@ def _literal(values: list, kind: str) -> Column:
     return Column(gateway.jvm.org.apache.spark.sql.functions.lit(array))
 
 
-def path_units(x: Column, nodes: list, n_trees: int) -> Column:
-    """Sum over the trees of the path length, in units, of the feature array ``x``.
+def ml_forest(spark: SparkSession, nodes: list, n_trees: int, n_features: int) -> RandomForestRegressionModel:
+    """The forest as a model of spark.ml whose prediction is the mean, over the trees, of the path length in units.
 
-    ``nodes`` are rows of the node table with ``units``, the path length of a leaf. They are numbered through in the
-    order of (tree, node), so that siblings are neighbours; a leaf has no left child (-1).
+    spark.ml walks its trees in compiled code, where expressions over the node table are interpreted at some 100 ns a
+    step. ``nodes`` are rows of the node table with ``units``, the path length of a leaf; they are written in spark.ml's
+    saved form and loaded. Its splits send x <= t left, ours x < t: t is the next double below.
     """
+    path = scratch_path(spark, "forest")
     nodes = sorted(nodes, key=lambda r: (r["tree"], r["node"]))
-    number = {(r["tree"], r["node"]): i for i, r in enumerate(nodes)}
-    arrays = {"left": [-1 if r["leaf"] else number[r["tree"], r["left"]] for r in nodes],
-              "feature": [r["feature"] for r in nodes], "threshold": [r["threshold"] for r in nodes]}
-    units = _literal([r["units"] for r in nodes], "bigint")
-    roots = _literal([number[t, 0] for t in range(n_trees)], "int")
-    levels = max(r["depth"] for r in nodes)
-    return F.aggregate(roots, F.lit(0).cast("bigint"), lambda total, root: total + F.get(units, _walk(x, root, arrays, levels)))
+    trees, rows = sorted({r["tree"] for r in nodes}), []
+    for tree, of_tree in itertools.groupby(nodes, key=lambda r: r["tree"]):
+        of_tree = list(of_tree)
+        number = {r["node"]: i for i, r in enumerate(of_tree)}                 # from 0, children behind their parents
+        for i, r in enumerate(of_tree):
+            leaf = r["leaf"]
+            split = {"featureIndex": -1 if leaf else r["feature"], "numCategories": -1,
+                     "leftCategoriesOrThreshold": [] if leaf else [math.nextafter(r["threshold"], -math.inf)]}
+            rows.append((trees.index(tree), {
+                "id": i, "prediction": float(r["units"]), "impurity": 0.0, "impurityStats": [0.0, 0.0, 0.0], "rawCount": r["size"],
+                "gain": -1.0 if leaf else 0.0, "leftChild": -1 if leaf else number[r["left"]],
+                "rightChild": -1 if leaf else number[r["right"]], "split": split}))
+    schema = pa.schema([("treeID", pa.int32()), ("nodeData", pa.struct([
+        ("id", pa.int32()), ("prediction", pa.float64()), ("impurity", pa.float64()), ("impurityStats", pa.list_(pa.float64())),
+        ("rawCount", pa.int64()), ("gain", pa.float64()), ("leftChild", pa.int32()), ("rightChild", pa.int32()),
+        ("split", pa.struct([("featureIndex", pa.int32()), ("leftCategoriesOrThreshold", pa.list_(pa.float64())),
+                             ("numCategories", pa.int32())]))]))])
+    columns = {f.name: pa.array(list(v), f.type) for f, v in zip(schema, zip(*rows))}
+    spark.createDataFrame(pa.table(columns, schema=schema)).write.parquet(f"{path}/data")
+
+    def metadata(name: str, params: dict, **more) -> str:
+        return json.dumps({"class": f"org.apache.spark.ml.regression.{name}", "timestamp": 0, "sparkVersion": spark.version,
+                           "uid": name, "paramMap": {"impurity": "variance", **params}, "defaultParamMap": {}, **more})
+
+    of_trees = [(t, metadata("DecisionTreeRegressionModel", {}, numFeatures=n_features), 1.0) for t in range(n_trees)]
+    spark.createDataFrame(of_trees, "_1 int, _2 string, _3 double").write.parquet(f"{path}/treesMetadata")
+    of_forest = metadata("RandomForestRegressionModel", {"numTrees": n_trees}, numFeatures=n_features, numTrees=n_trees)
+    spark.createDataFrame([(of_forest,)], "value string").coalesce(1).write.text(f"{path}/metadata")
+    return RandomForestRegressionModel.load(path)
 
 
 def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COLUMNS,
@@ -244,8 +272,14 @@ def score(df: DataFrame, model: DataFrame, psi: int, features=config.FEATURE_COL
     means, scales = (scaler.means, scaler.scales) if scaler else ([0.0] * len(features), [1.0] * len(features))
     raw = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features]
     inputs = [(x - F.lit(m)) / F.lit(s) if scaler else x for x, m, s in zip(raw, means, scales)]
-    total = F.get(F.transform(F.array(F.array(*inputs)), lambda x: path_units(x, nodes, len(trees))), 0)   # features once a row
-    return df.withColumn(out, F.pow(F.lit(2.0), -total / (F.lit(len(trees)) * F.greatest(average_path_units(F.lit(psi)), F.lit(1)))))
+    x, mean = "_forest_x", "_forest_mean"
+    while x in df.columns or mean in df.columns:
+        x, mean = x + "_", mean + "_"
+    walk = ml_forest(df.sparkSession, nodes, len(trees), len(features)).setFeaturesCol(x).setPredictionCol(mean)
+    walked = walk.transform(df.withColumn(x, array_to_vector(F.array(*inputs))))
+    total = F.round(F.col(mean) * len(trees)).cast("long")      # whole units, far under 2^53: the mean's rounding is undone
+    most = F.lit(len(trees)) * F.greatest(average_path_units(F.lit(psi)), F.lit(1))
+    return walked.withColumn(out, F.pow(F.lit(2.0), -total / most)).drop(x, mean)
 
 
 def label(scored: DataFrame, contamination: float = config.CONTAMINATION,

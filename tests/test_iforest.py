@@ -146,3 +146,21 @@ def test_oversized_model_is_refused(spark, planted):
     with pytest.raises(ValueError):   # a tree id beyond n_trees
         iforest.score(df, model.where("node = 0").selectExpr("1 AS tree", "node", "feature", "threshold", "left",
                                                              "right", "size", "depth", "leaf"), 2, FEATS, n_trees=1)
+
+
+def test_scores_of_odd_values_come_from_compiled_trees(spark, planted):
+    # NaN is the largest value, a value at a threshold goes right, -0.0 is 0.0; no lambda is interpreted row by row
+    df, _ = planted
+    nodes, _ = _fit_score(df, 2)
+    at = nodes[~nodes["leaf"]].iloc[:4]["threshold"].tolist()
+    values = [float("nan"), float("inf"), -float("inf"), -0.0, 0.0, *at]
+    rows = [(i, a, b) for i, (a, b) in enumerate((a, b) for a in values for b in values)]
+    model = spark.createDataFrame(nodes, iforest.NODE_SCHEMA)
+    got = iforest.score(spark.createDataFrame(rows, "order_id int, a double, b double"), model, 256, FEATS, n_trees=30)
+    assert got.columns == ["order_id", "a", "b", "anomaly_probability"]
+    assert "lambda" not in got._jdf.queryExecution().executedPlan().toString()
+    c = 2 * (math.log(255) + 0.5772156649015329) - 2 * 255 / 256
+    found = {r.order_id: r.anomaly_probability for r in got.collect()}
+    for i, a, b in rows[::5]:
+        x = [math.inf if math.isnan(v) else v for v in (a, b)]      # no threshold is beyond both
+        assert abs(found[i] - 2 ** (-np.mean([_walk(nodes, t, x) for t in range(30)]) / c)) < 1e-8
