@@ -20,7 +20,7 @@ import struct
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from anomalytics.llm.common import prepare
+from anomalytics.llm.common import kept_in_worker, prepare
 
 
 #: a transition is (state << 8 + TOKEN_BITS | token): without the token, the state is in place for the next byte
@@ -277,20 +277,6 @@ def decode(vocabulary: list[bytes], ids, piece: int = 65_536):
         yield data, machine.feed(data, at + piece >= len(ids))
 
 
-def kept_in_worker(key: str, make):
-    """What ``make`` gives, made once in a Python worker: a worker runs many tasks, whose functions are unpickled anew.
-
-    Only the last key's value is kept, and its caches are bounded (see ``Encoder``).
-    """
-    import sys
-    import types
-
-    store = sys.modules.setdefault("_bpe_encoder_of_this_worker", types.ModuleType("_bpe_encoder_of_this_worker"))
-    if getattr(store, "key", None) != key:
-        store.key, store.value = key, make()
-    return store.value
-
-
 def bpe_encode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                outputs: tuple[str, ...] = ()) -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256[, ids array<int>][, decoded string]) of every whole text.

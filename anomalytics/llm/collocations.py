@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import materialize, prepare
+from anomalytics.llm.common import free_worker, materialize, prepare
 
 DEPTH = 4                      # words of the longest phrase
 BLOCK = 1 << 21                # words that a task sorts at a time, and entries routed together, on the average
@@ -165,6 +165,7 @@ def counted(docs: DataFrame, depths: tuple[int, int], routes: int, pairs=None) -
             yield from _entries(lang, ids.words, hashes, [k[rows] for k in keys[:depth]], n, routes)
 
     def run(batches):
+        free_worker()
         ids, held, size = _Ids(), {}, 0
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import sys
+import types
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from anomalytics.session import ensure_checkpoint_dir, materialize, scratch_path, ship_package
 
-__all__ = ["ASCII_SPACE", "ensure_checkpoint_dir", "held_out", "lower_ascii", "materialize", "prepare",
+__all__ = ["ASCII_SPACE", "ensure_checkpoint_dir", "free_worker", "held_out", "kept_in_worker", "lower_ascii", "materialize", "prepare",
            "read_table", "release", "scratch_path"]
 
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024
@@ -41,6 +44,32 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+KEPT = "_kept_in_this_worker"
+
+
+def kept_in_worker(key: str, make):
+    """What ``make`` gives, made once in a Python worker: a worker runs many tasks, whose functions are unpickled anew.
+
+    Only the last key's value is kept. A worker outlives its query, so tasks of the other operators call ``free_worker``.
+    """
+    store = sys.modules.setdefault(KEPT, types.ModuleType(KEPT))
+    if getattr(store, "key", None) != key:
+        store.key, store.value = key, make()
+    return store.value
+
+
+def free_worker() -> None:
+    """Give back what tasks of an earlier step kept in this Python worker (an encoder with full caches is 230 MB)."""
+    store = sys.modules.pop(KEPT, None)
+    if store is not None:
+        store.__dict__.clear()
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):       # no glibc
+            pass
+
+
 def held_out(id_col: str | Column, folds: int) -> Column:
     """True where crc32 of the id as text leaves no remainder; a null id is never held out."""
     col = F.col(id_col) if isinstance(id_col, str) else id_col

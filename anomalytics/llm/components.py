@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import materialize
+from anomalytics.llm.common import free_worker, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -51,6 +51,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _block_forests(edges: DataFrame, block: int) -> DataFrame:
     """Edges (a, b) with a > b and the same components; a task holds ``block`` edges at a time."""
     def run(batches):
+        free_worker()
         held, size = [], 0
 
         def stars():

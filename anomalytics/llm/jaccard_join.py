@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import materialize, prepare, release
+from anomalytics.llm.common import free_worker, materialize, prepare, release
 from anomalytics.llm.components import components
 from anomalytics.llm.seen_twice import collect_bits, fold, hits, marks
 
@@ -100,6 +100,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, node, key, n, shingles, sketch): ``key`` is a 128-bit digest of the set and ``node`` NODE_BITS bits of it;
     the set itself is kept once per task."""
     def run(batches):
+        free_worker()
         known, told = _Words(), set()
         for batch in batches:
             out = []
@@ -144,6 +145,7 @@ def shingle_counters(sets: DataFrame, segments: int = 64) -> tuple[np.ndarray, i
     size = COUNTERS // segments
 
     def count(batches):
+        free_worker()
         total = np.zeros(COUNTERS, dtype=np.uint32)
         for batch in batches:
             for found in _sets(batch):
@@ -160,6 +162,7 @@ def shingle_counters(sets: DataFrame, segments: int = 64) -> tuple[np.ndarray, i
                     "n": pa.array([(part if dense else part[at]).astype(kind).tobytes()], pa.binary())})
 
     def add(batches):
+        free_worker()
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for s, kind, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -184,6 +187,7 @@ def cells(sets: DataFrame, filter_bits: int) -> DataFrame:
     shared = spark.sparkContext.broadcast(counters.tobytes())
 
     def mark(batches):
+        free_worker()
         told = np.frombuffer(shared.value, np.uint32)
         found = [spread(prefix_of(x, told, threshold)) for batch in batches for x in _sets(batch)]
         yield from marks(np.concatenate(found) if found else np.empty(0, np.uint64), filter_bits)
@@ -193,6 +197,7 @@ def cells(sets: DataFrame, filter_bits: int) -> DataFrame:
     release(spark)
 
     def probe(batches):
+        free_worker()
         told, seen = np.frombuffer(shared.value, np.uint32), np.frombuffer(twice.value, np.uint8)
         for batch in batches:
             s, node, n = [], [], []
@@ -216,6 +221,7 @@ def sizes_near(a: Column, b: Column) -> Column:
 def measured(pairs: DataFrame, sets: DataFrame, sketch: DataFrame) -> DataFrame:
     """(a, b): the components ``ca`` and ``cb`` of the pairs of ``pairs`` (a, an, ca, b, bn, cb) that link."""
     def bounded(batches):
+        free_worker()
         for batch in batches:
             keep = []
             for i, (an, bn, x, y) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("an", "bn", "x", "y")), strict=True)):
@@ -226,6 +232,7 @@ def measured(pairs: DataFrame, sets: DataFrame, sketch: DataFrame) -> DataFrame:
                                              names=["a", "b", "ca", "cb"])
 
     def exact(batches):
+        free_worker()
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
@@ -259,6 +266,7 @@ def _only_wanted(sets: DataFrame, nodes: DataFrame, bits: int = 1 << 24) -> Data
     shared = sets.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def run(batches):
+        free_worker()
         found = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             at = batch.column("node").to_numpy() % bits

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import prepare
+from anomalytics.llm.common import free_worker, prepare
 
 BLOCK = 2048
 LANES = 1 << 16
@@ -236,6 +236,7 @@ def identify(docs: DataFrame, model: dict, id_col: str = "doc_id", text_col: str
     bits = np.array(model["bits"])
 
     def run(batches):
+        free_worker()
         table = np.frombuffer(shared.value[0], dtype=np.int32)
         automata = [np.frombuffer(t, dtype=np.int32) for t in shared.value[1]]
         for batch in batches:

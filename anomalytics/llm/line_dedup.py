@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import ASCII_SPACE, lower_ascii, materialize, prepare
+from anomalytics.llm.common import ASCII_SPACE, free_worker, lower_ascii, materialize, prepare
 from anomalytics.llm.seen_twice import collect_bits, fold, hits, marks
 
 
@@ -39,6 +39,7 @@ def _hash64(keys: list[bytes]) -> np.ndarray:
 def twice_seen_filter(docs: DataFrame, text_col: str, min_chars: int, filter_bits: int) -> bytes:
     """The folded twice-seen filter of all line keys (``filter_bits / 8`` bytes)."""
     def mark(batches):
+        free_worker()
         found = [_hash64(list(keys)) for batch in batches for text in batch.column(0).to_pylist()
                  if (keys := set(_line_keys(text, min_chars)))]
         yield from marks(np.concatenate(found) if found else np.empty(0, np.uint64), filter_bits)
@@ -51,6 +52,7 @@ def suspected_lines(docs: DataFrame, id_col: str, text_col: str, min_chars: int,
     shared = docs.sparkSession.sparkContext.broadcast(twice_seen_filter(docs, text_col, min_chars, filter_bits))
 
     def probe(batches):
+        free_worker()
         seen = np.frombuffer(shared.value, dtype=np.uint8)
         for batch in batches:
             ids, out_row, out_key = batch.column(0), [], []

@@ -27,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import materialize, prepare, release
+from anomalytics.llm.common import free_worker, materialize, prepare, release
 
 PROBES = 4
 FLUSH_WORDS, FLUSH_TOKENS = 400_000, 2_000_000
@@ -68,6 +68,7 @@ class WordHashes(dict):
 def count_words(texts: DataFrame, text_col: str) -> DataFrame:
     """(word, n) over all texts; each task adds up its own words first."""
     def run(batches):
+        free_worker()
         from collections import Counter
 
         found: Counter = Counter()
@@ -114,6 +115,7 @@ def build_filter(texts: DataFrame, text_col: str, n_tokens: int, filter_bits: in
     shift = np.uint64(64 - part_bits)
 
     def count(batches):
+        free_worker()
         known, held, size = WordHashes(), [], 0
 
         def flush():
@@ -140,6 +142,7 @@ def build_filter(texts: DataFrame, text_col: str, n_tokens: int, filter_bits: in
             yield flush()
 
     def fill(batches):
+        free_worker()
         parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for batch in batches:
             for part, once, more, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -212,6 +215,7 @@ def probe_counts(model: dict, hashes: np.ndarray) -> np.ndarray:
 def _kept_chunks(docs: DataFrame, id_col: str, text_col: str, id_type: str) -> DataFrame:
     """(chunk, ids, texts): the texts in chunks of about CHUNK_CHARS, written once so that a chunk stays what it is."""
     def run(batches):
+        free_worker()
         from pyspark import TaskContext
 
         row = TaskContext.get().partitionId() << 36
@@ -239,6 +243,7 @@ def _chunks(texts: pa.Array) -> list[tuple[int, int]]:
 def _levels_in_slices(chunks: DataFrame, slices: DataFrame, part_bits: int, hashes_of) -> DataFrame:
     """(chunk, found: array of (part, levels)): the levels of the distinct hashes of a chunk, in their order by part."""
     def ask(batches):
+        free_worker()
         for batch in batches:
             for chunk, texts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 hashes = np.unique(hashes_of(texts.as_py()))
@@ -250,6 +255,7 @@ def _levels_in_slices(chunks: DataFrame, slices: DataFrame, part_bits: int, hash
                     "data": pa.array([h.tobytes() for h in np.split(hashes, starts[1:])], pa.binary())})
 
     def answer(batches):
+        free_worker()
         held, size, bits = -1, np.uint64(0), np.zeros(0, np.uint8)
         for batch in batches:
             chunks, parts, answers = [], [], []
@@ -362,6 +368,7 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
                                           names=["id", "row", "n_tokens", "known", "base", "score", "words", "times"])
 
     def run(batches):
+        free_worker()
         from pyspark import TaskContext
 
         filled, known = {**shape, "bits": np.frombuffer(bits.value, np.uint8)}, WordHashes()
@@ -373,6 +380,7 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
                 row += stop - start
 
     def run_answered(batches):
+        free_worker()
         known = WordHashes()
         for batch in batches:
             for chunk, ids, texts, found in zip(*batch.columns, strict=True):

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import prepare
+from anomalytics.llm.common import free_worker, prepare
 
 #: kind, pattern, case matters, group whose length counts, least length. The three base kinds first,
 #: then the spans the index adds at no extra scan (well-known public token formats).
@@ -124,6 +124,7 @@ def secret_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     vocabulary = sorted({t for *_, clauses in plan for options in clauses for o in options for t in o})
 
     def scan(batches):
+        free_worker()
         compiled = []
         for kind, pattern, cased, group, least, clauses in plan:
             run = re.fullmatch(r"(\[[^\]]+\])\+", pattern)      # a bare run: its least length can go into the regex

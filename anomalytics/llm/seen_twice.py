@@ -12,6 +12,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from anomalytics.llm.common import free_worker
+
 SEGMENTS = 64
 
 
@@ -63,6 +65,7 @@ def fold(rows: DataFrame, mark, filter_bits: int) -> DataFrame:
     segment_bits = filter_bits // SEGMENTS
 
     def run(batches):
+        free_worker()
         once, twice = {}, {}
         for batch in batches:
             for s, o, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):

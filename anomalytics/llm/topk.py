@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import materialize, prepare
+from anomalytics.llm.common import free_worker, materialize, prepare
 
 SHARD_ROWS, QUERY_ROWS, BLOCK_ROWS, PROBE_TERMS = 16_384, 2_048, 4_096, 8
 
@@ -123,6 +123,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         F.col("matrix").alias("q_matrix"), F.col("width").alias("q_width")))
 
     def search(batches):
+        free_worker()
         for batch in batches:
             for row in batch.to_pylist():
                 ids, q_ids = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["q_ids"], "<i8")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import materialize, prepare, scratch_path
+from anomalytics.llm.common import free_worker, materialize, prepare, scratch_path
 
 MIN_REVISIT = 100
 PIECE = 1 << 18
@@ -124,6 +124,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     store.create_dir(open_store(folder)[1], recursive=True)
 
     def write(batches):
+        free_worker()
         fs, base = open_store(folder)
         name, sink, deflate, size, n = "", None, None, 0, 0
         done: list[tuple[str, int]] = []
@@ -165,6 +166,7 @@ def normalise(archives: DataFrame, folder: str, level: int = 6) -> DataFrame:
     fs.create_dir(base, recursive=True)
 
     def rewrite(batches):
+        free_worker()
         fs, base = open_store(folder)
         for batch in batches:
             for path in batch.column(0).to_pylist():
@@ -203,6 +205,7 @@ def read_records(index: DataFrame, id_type: str = "bigint") -> DataFrame:
     kinds = [pa.string(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.binary()]
 
     def read(batches):
+        free_worker()
         open_path, handle = None, None
         for batch in batches:
             rows, size = [], 0

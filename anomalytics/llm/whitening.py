@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import prepare
+from anomalytics.llm.common import free_worker, prepare
 
 SCALE, OFFSET = 64, 1_000_000
 LARGEST = float(1 << 53)       # of a scaled entry that is still exact
@@ -75,6 +75,7 @@ def fit(rows: DataFrame, vector_col: str, components: int, scale: int = SCALE, o
     column = rows.select(vector_col)
 
     def add(batches):
+        free_worker()
         totals, n = None, 0
         for batch in batches:
             if len(batch):
@@ -91,6 +92,7 @@ def fit(rows: DataFrame, vector_col: str, components: int, scale: int = SCALE, o
     centre = np.array([s // n for s in sums], dtype=np.int64)
 
     def polarise(batches):
+        free_worker()
         single, pairs = [0] * d, [[0] * (d - 1 - a) for a in range(d)]
         for batch in batches:
             if len(batch):
@@ -148,6 +150,7 @@ def identity_error(rows: DataFrame, vector_col: str, model: Whitening, scale: in
     project, k = _projector(model, scale, offset), len(model.values)
 
     def run(batches):
+        free_worker()
         total, mean = np.zeros((k, k)), np.zeros(k)
         for batch in batches:
             if len(batch):
@@ -191,6 +194,7 @@ def whiten(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     error, project = identity_error(rows, "v", model, scale, offset), _projector(model, scale, offset)
 
     def run(batches):
+        free_worker()
         for batch in batches:
             if len(batch):
                 z, centred = project(batch.column(1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 
 import corpus_pipeline
 
@@ -97,3 +98,22 @@ def test_run_over_a_folder(spark):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "line_dedup", "near_duplicates", "decontamination", "bpe"]
     known = {r.doc_id for r in docs.select("doc_id").collect()}
     assert len(ids) == len(set(ids)) and 0 < len(ids) <= len(known) and set(ids) <= known
+
+
+def test_a_language_task_gives_back_the_encoder_that_its_worker_kept(spark, monkeypatch):
+    from anomalytics.llm import bpe, common, language_id
+
+    tasks = {}
+    kind = type(table(spark, []))
+    plain = kind.mapInArrow
+    for module in (bpe, language_id):
+        monkeypatch.setattr(kind, "mapInArrow", lambda df, run, schema, at=module: tasks.setdefault(at, run) and plain(df, run, schema))
+        if module is bpe:
+            corpus_pipeline.encode(spark, table(spark, [(1, "The cat sat.")]), "")
+        else:
+            language_id.identify(table(spark, [(1, "The cat sat.")]), {"langs": [], "alphabet": [], "singles": 62, "tables": [], "bits": []})
+    try:
+        assert list(tasks[bpe](iter([]))) == [] and hasattr(sys.modules[common.KEPT], "value")      # kept for its next task
+        assert list(tasks[language_id](iter([]))) == [] and common.KEPT not in sys.modules
+    finally:
+        sys.modules.pop(common.KEPT, None)
