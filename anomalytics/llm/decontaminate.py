@@ -13,6 +13,9 @@ value of the document, and the other way round. Inconsistent slots count as mism
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,27 +35,31 @@ BROADCAST_ROWS = 500_000
 
 
 def marked(text: Column) -> Column:
-    """Lower-cased text in which every slot is written as mark, value, end mark."""
-    out = F.regexp_replace(F.coalesce(text, F.lit("")), r"([0-9][0-9.,:/]*[0-9]|[0-9])", f" {NUMBER}$1{END} ")
+    """Lower-cased text in which every slot is written as mark, value, end mark. Marks that the text itself holds are
+    no letters, so they become spaces."""
+    marks = END + NUMBER + UNIT + NAME
+    held = functools.reduce(operator.or_, [F.contains(text, F.lit(m)) for m in marks])
+    out = F.when(held, F.translate(text, marks, " " * len(marks))).otherwise(F.coalesce(text, F.lit("")))
+    out = F.regexp_replace(out, r"([0-9](?:[0-9.,:/]*[0-9])?)", f" {NUMBER}$1{END} ")
     out = F.regexp_replace(out, rf"({END} )\s?((?i:{UNITS}))(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2{END} ")
     out = F.regexp_replace(out, r"(?=\p{Lu})(?:(?<=[\p{Ll},;] )|(?<=^|\n|[.!?:] |[.!?:][\"')] )"
                                 rf"(?!(?i:{OPENERS})(?![\p{{L}}\p{{N}}])))(\p{{Lu}}\p{{L}}+)", f" {NAME}$1{END} ")
     return F.lower(out)
 
 
-def slot_tokens(text: Column) -> Column:
-    """Tokens with the values of the slots: mark + value for a slot, the word otherwise."""
-    return F.regexp_extract_all(marked(text), F.lit(rf"[{NUMBER}{UNIT}{NAME}][^{END}]*|[\p{{L}}\p{{N}}]+"), F.lit(0))
+def slot_tokens(text_marked: Column) -> Column:
+    """Tokens of a marked text with the values of the slots: mark + value for a slot, the word otherwise."""
+    return F.regexp_extract_all(text_marked, F.lit(rf"[\p{{L}}\p{{N}}]++|[{NUMBER}{UNIT}{NAME}][^{END}]*+"), F.lit(0))
 
 
-def template_tokens(text: Column) -> Column:
+def template_tokens(text_marked: Column) -> Column:
     """Tokens of the template: a bare mark for a slot, the word otherwise."""
-    bare = F.regexp_replace(marked(text), rf"([{NUMBER}{UNIT}{NAME}])[^{END}]*{END}", "$1")
-    return F.filter(F.split(bare, rf"[^\p{{L}}\p{{N}}{NUMBER}{UNIT}{NAME}]+"), lambda t: t != "")
+    return F.transform(slot_tokens(text_marked), lambda t: F.when(is_slot(t), F.substring(t, 1, 1)).otherwise(t))
 
 
 def is_slot(token: Column) -> Column:
-    return F.substring(token, 1, 1).isin(NUMBER, UNIT, NAME)
+    """True for a token that begins with one of the marks, which are neighbours."""
+    return (token >= NUMBER) & (token < chr(ord(NAME) + 1))
 
 
 def keys(tokens: Column, width: int) -> Column:
@@ -78,7 +85,7 @@ def item_groups(items: DataFrame, id_col: str, text_col: str, min_run: int, min_
     with the fewest letters are left out: short words make the pairs that most documents hold. (Which ones go decides
     the cost only.)
     """
-    tokens = (items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), template_tokens(F.col(text_col)).alias("t"))
+    tokens = (items.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("item_id"), template_tokens(marked(F.col(text_col))).alias("t"))
               .where(F.size("t") > 0))
     by_pairs, by_ones = (needed_groups(F.size("t"), width, min_run, min_share) for width in (2, 1))
     found = tokens.withColumn("width", F.when(by_pairs >= 1, 2).otherwise(1)).withColumn(
@@ -127,7 +134,10 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     prepare(docs.sparkSession)
     index = materialize(item_groups(items, item_id_col, item_text_col, min_run, min_share), "benchmark-groups")
     n_groups = {row.width: row["count"] for row in index.groupBy("width").count().collect()}
-    tokens = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), template_tokens(F.col(text_col)).alias("t"))
+    # written once: the look-up and the alignment both need it, and its regular expressions are a good part of their time
+    texts = materialize(docs.where(F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("id"), marked(F.col(text_col)).alias("doc_text")), "marked-texts")
+    tokens = texts.select("id", template_tokens(F.col("doc_text")).alias("t"))
     shared = None
     for width in sorted(n_groups) or [2]:
         own = index.where(F.col("width") == width).drop("width")
@@ -140,8 +150,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
         shared.groupBy("id", "item_id", "offset").agg(F.count("*").alias("n"), F.max("needed").alias("needed"), F.max("n_tokens").alias("n_tokens"))
         .where(F.col("n") >= F.col("needed")).select("id", "item_id", "offset", "n_tokens"), "benchmark-candidates")
 
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("doc_text"))
-    item_texts = items.select(F.col(item_id_col).alias("item_id"), slot_tokens(F.col(item_text_col)).alias("item"))
+    item_texts = items.select(F.col(item_id_col).alias("item_id"), slot_tokens(marked(F.col(item_text_col))).alias("item"))
     asked = candidates.groupBy("id").agg(F.collect_list(F.struct("item_id", "offset", "n_tokens")).alias("all"))
     whole = asked.join(texts, "id").select("id", "all", slot_tokens(F.col("doc_text")).alias("doc"))     # once a document
     from_item, from_doc = (lambda c: F.greatest(-c, F.lit(0))), (lambda c: F.greatest(c, F.lit(0)))

@@ -283,3 +283,21 @@ def test_language_id_without_labels(spark):
     model = language_id.fit(empty)
     assert [r.lang_pred for r in language_id.identify(docs_of(spark, [(1, "words")]), model).collect()] == ["und"]
     assert language_id.identify(docs_of(spark, []), model).count() == 0
+
+
+def test_a_private_use_mark_in_a_text_hides_no_item(spark):
+    item = "gentle rivers carry silver stones toward quiet harbours beneath pale northern winter skies every evening"
+    own = " ".join(f"own{chr(97 + i)}" for i in range(20))
+    texts = [(i, f"{own}{mark}{own} {item} {own}") for i, mark in enumerate(("\ue000", "\ue001", " ", "\ue003"))]
+    docs = docs_of(spark, [*texts, (9, own)])
+    items = spark.createDataFrame([(7, item)], "item_id bigint, text string")
+    found = decontaminate.contaminated(docs, items).collect()
+    assert sorted((r.id, r.item_id, r.n_match, r.kind) for r in found) == [(i, 7, 15, "verbatim") for i in range(4)]
+
+
+def test_texts_are_marked_once_for_look_up_and_alignment(spark, monkeypatch):
+    calls = []
+    plain = decontaminate.marked
+    monkeypatch.setattr(decontaminate, "marked", lambda text: calls.append(1) or plain(text))
+    decontaminate.contaminated(docs_of(spark, [(1, "a b")]), spark.createDataFrame([(7, "a b")], "item_id bigint, text string"))
+    assert len(calls) == 3      # the documents, the items' groups, the items' tokens
