@@ -117,3 +117,12 @@ def test_a_language_task_gives_back_the_encoder_that_its_worker_kept(spark, monk
         assert list(tasks[language_id](iter([]))) == [] and common.KEPT not in sys.modules
     finally:
         sys.modules.pop(common.KEPT, None)
+
+
+def test_every_stage_releases_what_the_ones_before_left(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(corpus_pipeline, "release", calls.append)
+    docs = spark.createDataFrame([(1, "The cat sat.", "en", "s", 12, "clash")], SCHEMA)
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES, 1):
+        stage(spark, docs, "/root/testdata/sf0.001")
+        assert calls == [spark] * n
