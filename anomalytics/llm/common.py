@@ -10,9 +10,9 @@ import types
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from anomalytics.session import ensure_checkpoint_dir, materialize, scratch_path, ship_package
+from anomalytics.session import discard, ensure_checkpoint_dir, materialize, scratch_path, ship_package
 
-__all__ = ["ASCII_SPACE", "ensure_checkpoint_dir", "free_worker", "held_out", "kept_in_worker", "lower_ascii", "materialize", "prepare",
+__all__ = ["ASCII_SPACE", "discard", "ensure_checkpoint_dir", "free_worker", "held_out", "kept_in_worker", "lower_ascii", "materialize", "prepare",
            "read_table", "release", "scratch_path"]
 
 BATCH_SETTING, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1024

@@ -89,7 +89,17 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.parquet(path)
+    written = spark.read.parquet(path)
+    written._written_to = path
+    return written
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` once all that was to be read of them has been written elsewhere: a long job would
+    keep all its steps on the shared disk otherwise. What was derived from them and not written cannot be read any more."""
+    for table in tables:
+        store, path = file_system(table.sparkSession, table._written_to)
+        store.delete(path, True)
 
 
 TASK_BYTES = 16 << 20   # of input files or shuffled data in a task under ``bounded_tasks``

@@ -8,10 +8,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from anomalytics.llm import components, jaccard_join, lm_score, topk, url_filter, warc
+from anomalytics import session
+from anomalytics.llm import common, components, jaccard_join, lm_score, topk, url_filter, warc, words
 
 DOCS = "doc_id bigint, text string, node string"
 
@@ -270,6 +272,31 @@ def test_lm_slices_hold_every_counted_ngram(spark):
     assert small["slices"].agg(F.sum("size")).first()[0] == 8 * len(model["bits"]) > 1 << 14
 
 
+def test_lm_sliced_filter_is_filled_by_what_the_chunks_send(spark, monkeypatch):
+    def no_filter(*args):
+        raise AssertionError("the n-grams would be sent twice: to fill the slices and to be looked up")
+
+    monkeypatch.setattr(lm_score, "build_filter", no_filter)
+    monkeypatch.setattr(lm_score, "CHUNK_CHARS", 500)
+    written = []
+    monkeypatch.setattr(lm_score, "materialize", lambda df, name: written.append(common.materialize(df, name)) or written[-1])
+    df = spark.createDataFrame([(i, f"the cat W{i} sat") for i in range(300)], "doc_id bigint, text string")
+    rows = lm_score.lm_score(df, F.col("doc_id") % 3 > 0, filter_bits=1 << 10).collect()
+    assert len(rows) == 300 and all(r.n_known == 4 + (r.id % 3 > 0) for r in rows)          # the cat sat, the end, W{i} if it was learned
+    gone = [t._written_to.rsplit("/", 1)[1].rsplit("-", 1)[0] for t in written if not session.is_written(spark, t._written_to)]
+    assert gone == ["lm-chunks", "lm-answers"]
+
+
+def test_words_of_a_column_equal_bytes_split():
+    texts = [None, "", " ", " a", "Ab  aB\tab\x0bx", "é Éa\x85b", "x" * 70 + " " + "X" * 70, "ab", "cd ", *(f"W{i}é" * (i % 12) for i in range(99))]
+    for column in (pa.array(texts), pa.array(texts).slice(3), pa.array(texts, pa.large_string()), pa.array([], pa.string())):
+        found, want = words.words_in(column), [(t or "").encode().lower().split() for t in column.to_pylist()]
+        flat = [w for own in want for w in own]
+        assert found.counts.tolist() == [len(own) for own in want]
+        assert found.texts(np.arange(len(flat))).to_pylist() == [w.decode() for w in flat]
+        assert found.hashes.tolist() == [words.hash_word(w) for w in flat] and len({*found.hashes.tolist()}) == len({*flat})
+
+
 def test_lm_empty_and_untrained(spark):
     df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
     assert lm_score.lm_score(df.limit(0), F.lit(True), filter_bits=1 << 18).count() == 0
