@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import free_worker, materialize
+from anomalytics.llm.common import discard, free_worker, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -77,9 +77,11 @@ def components(edges: DataFrame, block: int = 1 << 20) -> DataFrame:
     edges = materialize(edges.select("a", "b").where("a <> b"), "edges")
     blocks = -(-edges.count() // block)
     now = materialize(_block_forests(edges.coalesce(max(1, blocks)), block), "edges")
+    discard(edges)
     state = None
     while blocks > 1:
-        now = materialize(_small_star(_large_star(now)), "edges")
+        before, now = now, materialize(_small_star(_large_star(now)), "edges")
+        discard(before)
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break

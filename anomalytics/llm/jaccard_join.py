@@ -17,6 +17,9 @@ The points are the distinct shingle sets, the metric is the Jaccard distance; tw
    space to which the symmetric difference only contracts. By the triangle inequality a pair whose bound is beyond the
    radius cannot link. Only the other pairs are measured on the full sets.
 
+The sets themselves, a multiple of the input, are never written: every step takes the sets that it needs from the texts
+anew, and only the prefixes and sketches are kept. Tables of a step are deleted once the next ones are written.
+
 Order, filters and sketches decide the cost only; every pair that could link is compared in full.
 """
 
@@ -29,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import free_worker, materialize, prepare, release
+from anomalytics.llm.common import discard, free_worker, materialize, prepare, release
 from anomalytics.llm.components import components
 from anomalytics.llm.seen_twice import collect_bits, fold, hits, marks
+from anomalytics.llm.words import words_in
 
 WIDTH = 5
 NEAR = 75                      # per cent of the union
@@ -40,28 +44,49 @@ SKETCH_BITS = 1 << 16          # most bits of a set's parity sketch
 NODE_BITS = 63                 # of a set's number; sets that share one are told apart by their 128-bit keys
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= 400_000:
-            self.clear()
-        self[word] = made = xxhash.xxh64_intdigest(word)
-        return made
-
-
-def shingle_set(text: str | None, known: dict, width: int = WIDTH) -> np.ndarray:
-    """Sorted hashes of the distinct shingles; with fewer words the whole sequence is one shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    if not words:
-        return np.empty(0, np.uint64)
-    tokens = np.array([known[w] for w in words], dtype=np.uint64)
-    size = min(width, len(words))
-    total = np.full(len(words) - size + 1, size, dtype=np.uint64)
-    for j in range(size):
-        total = (total ^ tokens[j:len(words) - size + 1 + j]) * np.uint64(0x9E3779B97F4A7C15)
+def _folded(tokens: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` tokens from every place on."""
+    total = np.full(max(0, len(tokens) - width + 1), width, dtype=np.uint64)
+    for j in range(width):
+        total = (total ^ tokens[j:j + len(total)]) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(32)
-    return np.unique(total)
+    return total
+
+
+def shingle_sets(texts: pa.Array, width: int = WIDTH) -> list[np.ndarray]:
+    """Of each text, the sorted hashes of its distinct shingles; with fewer words the whole sequence is one shingle."""
+    words = words_in(texts)
+    counts = words.counts
+    begin = np.cumsum(counts) - counts
+    sizes = np.where(counts >= width, counts - width + 1, np.minimum(counts, 1))
+    ends = np.cumsum(sizes)
+    inside = np.arange(len(words.hashes)) - np.repeat(begin, counts) + width <= np.repeat(counts, counts)
+    flat = np.empty(int(sizes.sum()), dtype=np.uint64)
+    folded = _folded(words.hashes, width)
+    flat[np.repeat(counts >= width, sizes)] = folded[inside[:len(folded)]]
+    for i in np.flatnonzero((counts > 0) & (counts < width)).tolist():
+        flat[ends[i] - 1] = _folded(words.hashes[begin[i]:begin[i] + counts[i]], int(counts[i]))[0]
+    out = []
+    for start, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        own = flat[start:end]
+        own.sort()
+        again = own[1:] == own[:-1]
+        out.append(np.concatenate([own[:1], own[1:][~again]]) if again.any() else own)
+    return out
+
+
+def sets_in(batches, own: dict[bytes, int]):
+    """Of every batch, and of each text in its first column: (node, key, set, whether this task has had the set).
+    ``key`` is a 128-bit digest of the set and ``node`` NODE_BITS bits of it, or the number that ``own`` has for the key."""
+    free_worker()
+    told = set()
+    for batch in batches:
+        out = []
+        for found in shingle_sets(batch.column(0)):
+            key = hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=16).digest()
+            out.append((own.get(key, int.from_bytes(key[:8], "little") >> (64 - NODE_BITS)), key, found, key in told))
+            told.add(key)
+        yield batch, out
 
 
 def parity_sketch(hashes: np.ndarray) -> bytes:
@@ -96,59 +121,52 @@ def spread(hashes: np.ndarray) -> np.ndarray:
     return mixed ^ (mixed >> np.uint64(32)) ^ (mixed << np.uint64(32))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, node, key, n, shingles, sketch): ``key`` is a 128-bit digest of the set and ``node`` NODE_BITS bits of it;
-    the set itself is kept once per task."""
+def prefixes(docs: DataFrame, id_col: str, text_col: str, counters: np.ndarray, threshold: int) -> DataFrame:
+    """(id, node, key, n, prefix, sketch) of every row; prefix and sketch of a set are kept once per task."""
+    shared = docs.sparkSession.sparkContext.broadcast(counters.tobytes())
+
     def run(batches):
-        free_worker()
-        known, told = _Words(), set()
-        for batch in batches:
-            out = []
-            for text in batch.column(1).to_pylist():
-                found = shingle_set(text, known)
-                key = hashlib.blake2b(found.astype("<u8").tobytes(), digest_size=16).digest()
-                node = int.from_bytes(key[:8], "little") >> (64 - NODE_BITS)
-                again = key in told or not len(found)
-                told.add(key)
-                out.append((node, key, len(found), None if again else found.astype("<u8").tobytes(),
-                            None if again else parity_sketch(found)))
+        counted = np.frombuffer(shared.value, np.uint32)
+        for batch, found in sets_in(batches, {}):
+            out = [(node, key, len(x), None if again or not len(x) else prefix_of(x, counted, threshold).astype("<u8").tobytes(),
+                    None if again or not len(x) else parity_sketch(x)) for node, key, x, again in found]
             kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
             columns = zip(*out, strict=True) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                                             names=["id", "node", "key", "n", "shingles", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                                             names=["id", "node", "key", "n", "prefix", "sketch"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(
-        run, f"id {id_type}, node bigint, key binary, n bigint, shingles binary, sketch binary")
+    return docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id")).mapInArrow(
+        run, f"id {id_type}, node bigint, key binary, n bigint, prefix binary, sketch binary")
 
 
-def told_apart(rows: DataFrame) -> DataFrame:
-    """``rows`` in which sets that share a node number have numbers of their own, below zero (few, if any: about
-    n^2 / 2^64 of n sets, so the join with them is a broadcast by their written size)."""
+def told_apart(rows: DataFrame) -> dict[bytes, int]:
+    """Numbers below zero, by key, for sets that share a node number (few, if any: about n^2 / 2^64 of n sets)."""
     shared = (rows.where("n > 0").groupBy("node").agg(F.min("key").alias("k1"), F.max("key").alias("k2"))
               .where("k1 <> k2").select("node"))
     shared = materialize(shared, "jaccard-shared")
     if shared.isEmpty():
-        return rows
-    own = materialize(rows.join(shared, "node", "left_semi").where("n > 0").select("key").distinct()
-                      .withColumn("own", -1 - F.monotonically_increasing_id()), "jaccard-own")
-    return rows.join(own, "key", "left").withColumn("node", F.coalesce("own", "node")).drop("own")
+        return {}
+    keys = rows.join(shared, "node", "left_semi").where("n > 0").select("key").distinct().collect()
+    return {bytes(row.key): -1 - i for i, row in enumerate(sorted(keys))}
 
 
-def _sets(batch) -> list[np.ndarray]:
-    return [np.frombuffer(x, "<u8") for x in batch.column("shingles").to_pylist()]
+def _numbered(rows: DataFrame, own: dict[bytes, int]) -> DataFrame:
+    if not own:
+        return rows
+    numbers = rows.sparkSession.createDataFrame([(bytearray(k), n) for k, n in own.items()], "key binary, own bigint")
+    return rows.join(F.broadcast(numbers), "key", "left").withColumn("node", F.coalesce("own", "node")).drop("own")
 
 
-def shingle_counters(sets: DataFrame, segments: int = 64) -> tuple[np.ndarray, int]:
+def shingle_counters(texts: DataFrame, segments: int = 64) -> tuple[np.ndarray, int]:
     """(counters, threshold): how often the shingles of each counter occur in all sets, and the count beyond which a
     counter stands out of what its other shingles add up to."""
     size = COUNTERS // segments
 
     def count(batches):
-        free_worker()
         total = np.zeros(COUNTERS, dtype=np.uint32)
-        for batch in batches:
-            for found in _sets(batch):
+        for _, sets in sets_in(batches, {}):
+            for found in (x for *_, x, again in sets if not again):
                 at, n = np.unique((found & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
                 total[at] += n.astype(np.uint32)
         for s in range(segments):
@@ -171,7 +189,7 @@ def shingle_counters(sets: DataFrame, segments: int = 64) -> tuple[np.ndarray, i
         for s, part in total.items():
             yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "n": pa.array([part.tobytes()], pa.binary())})
 
-    parts = sets.select("shingles").mapInArrow(count, "seg int, kind string, at binary, n binary")
+    parts = texts.mapInArrow(count, "seg int, kind string, at binary, n binary")
     out = np.zeros(COUNTERS, dtype=np.uint64)
     for row in parts.repartition(segments, "seg").mapInArrow(add, "seg int, n binary").collect():   # 8 * COUNTERS bytes
         out[row.seg * size:(row.seg + 1) * size] = np.frombuffer(bytes(row.n), np.uint64)
@@ -180,37 +198,33 @@ def shingle_counters(sets: DataFrame, segments: int = 64) -> tuple[np.ndarray, i
 
 
 def cells(sets: DataFrame, filter_bits: int) -> DataFrame:
-    """(s, node, n): the cells of every set that may hold another set as well (two Bloom filters leave most out)."""
-    counters, threshold = shingle_counters(sets)
+    """(s, node, n): the cells of every set (node, n, prefix) that may hold another set as well (two Bloom filters leave
+    most out)."""
     spark = sets.sparkSession
-    release(spark)
-    shared = spark.sparkContext.broadcast(counters.tobytes())
 
     def mark(batches):
         free_worker()
-        told = np.frombuffer(shared.value, np.uint32)
-        found = [spread(prefix_of(x, told, threshold)) for batch in batches for x in _sets(batch)]
+        found = [spread(np.frombuffer(x, "<u8")) for batch in batches for x in batch.column(0).to_pylist()]
         yield from marks(np.concatenate(found) if found else np.empty(0, np.uint64), filter_bits)
 
-    twice = spark.sparkContext.broadcast(collect_bits(fold(sets.select("shingles"), mark, filter_bits), filter_bits))
-
+    twice = spark.sparkContext.broadcast(collect_bits(fold(sets.select("prefix"), mark, filter_bits), filter_bits))
     release(spark)
 
     def probe(batches):
         free_worker()
-        told, seen = np.frombuffer(shared.value, np.uint32), np.frombuffer(twice.value, np.uint8)
+        seen = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
             s, node, n = [], [], []
-            for found, own in zip(_sets(batch), batch.column("node").to_pylist(), strict=True):
-                prefix = prefix_of(found, told, threshold)
+            for prefix, own, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                prefix = np.frombuffer(prefix, "<u8")
                 prefix = prefix[hits(spread(prefix), seen, filter_bits)]
                 s.append(prefix.view(np.int64))
                 node.append(np.full(len(prefix), own, np.int64))
-                n.append(np.full(len(prefix), len(found), np.int64))
+                n.append(np.full(len(prefix), size, np.int64))
             yield pa.RecordBatch.from_pydict({k: np.concatenate(v) if v else np.empty(0, np.int64)
                                               for k, v in (("s", s), ("node", node), ("n", n))})
 
-    held = sets.select("node", "shingles").mapInArrow(probe, "s bigint, node bigint, n bigint")
+    held = sets.select("prefix", "node", "n").mapInArrow(probe, "s bigint, node bigint, n bigint")
     return held.groupBy("s", "node").agg(F.first("n").alias("n"))
 
 
@@ -218,8 +232,9 @@ def sizes_near(a: Column, b: Column) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * NEAR
 
 
-def measured(pairs: DataFrame, sets: DataFrame, sketch: DataFrame) -> DataFrame:
-    """(a, b): the components ``ca`` and ``cb`` of the pairs of ``pairs`` (a, an, ca, b, bn, cb) that link."""
+def measured(pairs: DataFrame, texts: DataFrame, own: dict[bytes, int], sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b): the components ``ca`` and ``cb`` of the pairs of ``pairs`` (a, an, ca, b, bn, cb) that link, and the
+    written table that this reads."""
     def bounded(batches):
         free_worker()
         for batch in batches:
@@ -247,33 +262,36 @@ def measured(pairs: DataFrame, sets: DataFrame, sketch: DataFrame) -> DataFrame:
         .join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
         .select("a", "b", "ca", "cb", "an", "bn", "x", "y")
         .mapInArrow(bounded, "a bigint, b bigint, ca bigint, cb bigint"), "jaccard-pairs")
-    wanted = _only_wanted(sets.select("node", "shingles"), left.select(F.explode(F.array("a", "b")).alias("node")))
+    wanted = _only_wanted(texts, own, left.select(F.explode(F.array("a", "b")).alias("node")))
     wanted = wanted.groupBy("node").agg(F.first("shingles").alias("shingles"))         # several tasks may have kept it
-    return (
+    links = (
         left.join(wanted.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .join(wanted.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
         .select("ca", "cb", "x", "y").mapInArrow(exact, "a bigint, b bigint"))
+    return links, left
 
 
-def _only_wanted(sets: DataFrame, nodes: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """Leaves out sets whose node is surely not in ``nodes``, by a bitmap of fixed size, so that few are shuffled."""
+def _only_wanted(texts: DataFrame, own: dict[bytes, int], nodes: DataFrame, bits: int = 1 << 24) -> DataFrame:
+    """(node, shingles) of the texts' sets but for those whose node is surely not in ``nodes``, which a bitmap of fixed
+    size tells, so that few are shuffled."""
     bit = F.pmod(F.col("node"), F.lit(bits))
     rows = (nodes.groupBy(F.bitmap_bucket_number(bit).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap")).collect())     # bits / 8 bytes
     bitmap = np.zeros(((bits >> 15) + 1, 4096), dtype=np.uint8)
     for row in rows:
         bitmap[row.bucket] = np.frombuffer(bytes(row.bitmap), np.uint8)
-    shared = sets.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap.tobytes())
 
     def run(batches):
-        free_worker()
         found = np.frombuffer(shared.value, np.uint8)
-        for batch in batches:
-            at = batch.column("node").to_numpy() % bits
-            bucket, place = _bucket_of(at)
-            yield batch.filter(pa.array((found[bucket * 4096 + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1))
+        for _, sets in sets_in(batches, own):
+            sets = [(node, x) for node, _, x, again in sets if len(x) and not again]
+            bucket, place = _bucket_of(np.array([node for node, _ in sets], dtype=np.int64) % bits)
+            keep = np.flatnonzero((found[bucket * 4096 + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1).tolist()
+            yield pa.RecordBatch.from_pydict({"node": pa.array([sets[i][0] for i in keep], pa.int64()),
+                                              "shingles": pa.array([sets[i][1].astype("<u8").tobytes() for i in keep], pa.binary())})
 
-    return sets.mapInArrow(run, sets.schema)
+    return texts.mapInArrow(run, "node bigint, shingles binary")
 
 
 def _bucket_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -298,17 +316,23 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     * Rows with equal sets are one point and share a component; so do rows that repeat an id only if their sets link.
     * Rows with a null id are points too; a component without any id has a null component_id.
     * Very long texts are compared as whole sets. Other columns are not read. An empty table gives an empty result.
+    * The texts are read once a step, so ``docs`` must give the same rows each time.
     """
     spark = prepare(docs.sparkSession)
-    rows = materialize(shingle_sets(docs, id_col, text_col), "jaccard-sets")
-    rows = told_apart(rows)
+    texts = docs.select(text_col)
+    counters, threshold = shingle_counters(texts)
+    release(spark)
+    kept = materialize(prefixes(docs, id_col, text_col, counters, threshold), "jaccard-prefixes")
+    own = told_apart(kept)
+    rows = materialize(_numbered(kept, own).select("id", "node", "n"), "jaccard-rows")
     classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id")), "jaccard-classes")
-    held = rows.where("shingles is not null")
+    held = _numbered(kept.where("prefix is not null"), own)
     found = materialize(cells(held, filter_bits), "jaccard-cells")
     release(spark)
     sketches = materialize(held.groupBy("node").agg(F.first("sketch").alias("sketch")), "jaccard-sketches")
+    discard(kept)
 
-    regions = found.withColumn("comp", F.col("node"))
+    regions, spent = found.withColumn("comp", F.col("node")), [found]
     merged = []                                       # of each round: the components before -> after
     while True:
         # sets outside the largest component of their cell are still to be compared with the rest of the cell
@@ -324,6 +348,8 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         if open_cells.isEmpty():
             break
         regions = materialize(regions.join(open_cells, "s"), "jaccard-regions")
+        discard(open_cells, *spent)
+        spent = [regions]
         del largest, open_cells
         release(spark)
         asked = (regions.groupBy("node", "n", "comp").agg(F.collect_set("pivots").alias("all"))      # at most its own cells
@@ -334,16 +360,21 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                          F.when(F.col("node") < F.col("p.p"), F.col("p.pn")).otherwise(F.col("n")).alias("bn"),
                          F.when(F.col("node") < F.col("p.p"), F.col("comp")).otherwise(F.col("p.pc")).alias("ca"),
                          F.when(F.col("node") < F.col("p.p"), F.col("p.pc")).otherwise(F.col("comp")).alias("cb")).distinct())
-        links = measured(materialize(pairs, "jaccard-asked"), held, sketches)
+        pairs = materialize(pairs, "jaccard-asked")
+        links, left = measured(pairs, texts, own, sketches)
         merged.append(materialize(components(links), "jaccard-labels"))
-        del asked, pairs, links
+        discard(pairs, left)
+        del asked, pairs, links, left
         release(spark)
         # settled pivots leave their cell; the others take their new component
         regions = materialize(
             _relabelled(regions.where(~F.exists("pivots", lambda p: p["p"] == F.col("node"))).select("s", "node", "n", "comp"),
                         merged[-1]), "jaccard-regions")
+        discard(*spent)
+        spent = [regions]
         pivots *= 8
 
+    discard(open_cells, sketches, *spent)
     named = classes.select("node", "first_id", F.col("node").alias("comp"))
     for step in merged:
         named = _relabelled(named, step)

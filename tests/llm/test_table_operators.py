@@ -90,6 +90,16 @@ def test_jaccard_sets_that_share_a_number(spark, monkeypatch):
     assert joined(spark, texts) == brute_components(texts)
 
 
+def test_jaccard_writes_no_whole_sets_and_deletes_its_steps(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(jaccard_join, "materialize", lambda df, name: written.append(common.materialize(df, name)) or written[-1])
+    texts = [(i, " ".join(f"g{i % 7}w{j}" for j in range(40)) + " end" * (i % 2)) for i in range(30)]
+    assert joined(spark, texts) == brute_components(texts)
+    assert not any("shingles" in t.columns for t in written)
+    kept = {t._written_to.rsplit("/", 1)[1].rsplit("-", 1)[0] for t in written if session.is_written(spark, t._written_to)}
+    assert kept == {f"jaccard-{k}" for k in ("shared", "rows", "classes", "labels", "named", "components", "names")}
+
+
 def test_jaccard_filter_takes_prefixes_evenly():
     """A prefix holds the smallest hashes of a set; the filter's segments go by the first bits of what it is given."""
     rng = np.random.default_rng(2)
