@@ -2,25 +2,30 @@
 
 The points are the distinct shingle sets, the metric is the Jaccard distance; two sets link within ``radius`` = 1/4.
 
+0. A shingle that no other set holds is in no intersection. The shingles of all sets are dealt to slices by their hashes
+   and counted there, which tells every set how many of its shingles some other set may hold too. A set with fewer than
+   3/4 of such shingles links with nothing and takes no part below. The sets that are left, each of them once, are counted
+   anew among themselves, and the numbers of two sets bound their intersection.
 1. First-level pivots are the shingles themselves: the set {s} is a point, at distance 1 - 1/|x| from every x that
    holds s and at distance 1 from all others. Under one order of the shingles (commonest last) a set lies in the cell
    of its first shingle, and a set within the radius of it holds one of its first |x| - ceil(3/4 |x|) + 1 shingles; a
    boundary set is replicated to the cells of all of these. So any two linked sets meet in a cell. (Random texts share
    no shingle and are at distance 1 from each other, so document pivots alone would leave them in one region.)
 2. Inside a cell, documents are pivots. Each round takes up to ``pivots`` sets per cell (eight times as many the next
-   round), measures their distance from the other sets of the cell, links those within the radius, and settles the
+   round), those with the fewest shingles of their own first, as they lie amid their near copies, measures their distance from the other sets of the cell, links those within the radius, and settles the
    pivots. The sets that a pivot reaches are one component, so pairs inside a component are not looked at again; cells
    whose sets are all of one component are finished, and the others go into the next round. Few pivots are enough for
    a group of near copies; cells that stay open hold many sets apart. The links of a round are links between the
    components of the rounds before, so that only these are merged.
-3. A distance is bounded from below first: by the sizes, and by the parity sketch of a set, a fixed point of a Hamming
+3. A distance is bounded from below first: by the numbers of step 0, and by the parity sketch of a set, a fixed point of a Hamming
    space to which the symmetric difference only contracts. By the triangle inequality a pair whose bound is beyond the
    radius cannot link. Only the other pairs are measured on the full sets.
 
 The sets themselves, a multiple of the input, are never written: every step takes the sets that it needs from the texts
-anew, and only the prefixes and sketches are kept. Tables of a step are deleted once the next ones are written.
+anew, and only the prefixes and sketches of sets that may link are kept. Tables of a step are deleted once the next
+ones are written.
 
-Order, filters and sketches decide the cost only; every pair that could link is compared in full.
+Order, slices and sketches decide the cost only; every pair that could link is compared in full.
 """
 
 from __future__ import annotations
@@ -29,17 +34,21 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from anomalytics.llm.common import discard, free_worker, materialize, prepare, release
 from anomalytics.llm.components import components
-from anomalytics.llm.seen_twice import collect_bits, fold, hits, marks
 from anomalytics.llm.words import words_in
 
 WIDTH = 5
 NEAR = 75                      # per cent of the union
-COUNTERS = 1 << 20             # of the sketch that tells common shingles
+SLICES = 64                    # at least, of the shingles' hashes
+SLICE_SHINGLES = 1 << 21       # of a slice, about
+BLOCK_SHINGLES = 1 << 20       # of the sets that a task deals to the slices at once
+COMMON = 1 << 20               # most shingles that are told to be common, each of them in COMMON_FROM sets or more
+COMMON_FROM = 8
 SKETCH_BITS = 1 << 16          # most bits of a set's parity sketch
 NODE_BITS = 63                 # of a set's number; sets that share one are told apart by their 128-bit keys
 
@@ -106,38 +115,158 @@ def least_difference(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def prefix_of(hashes: np.ndarray, counters: np.ndarray, threshold: int) -> np.ndarray:
-    """The first |x| - ceil(NEAR |x|) + 1 shingles; those over the threshold come last, commonest at the end."""
+def prefix_of(hashes: np.ndarray, codes: np.ndarray, counts: np.ndarray, slices: int) -> np.ndarray:
+    """The first |x| - ceil(NEAR |x|) + 1 shingles; common ones (``counts`` by the sorted ``codes``) come last, commonest
+    at the end."""
     n = len(hashes)
     size = n - -(-NEAR * n // 100) + 1
-    seen = counters[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    seen = np.where(seen > threshold, seen, 0)
-    return hashes[np.argsort(seen, kind="stable")[:size]] if seen.any() else hashes[:size]
+    if not len(codes):
+        return hashes[:size]
+    own = codes_of(hashes, slices)
+    at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
+    return hashes[np.argsort(np.where(codes[at] == own, counts[at], 0), kind="stable")[:size]]
 
 
 def spread(hashes: np.ndarray) -> np.ndarray:
-    """The hashes mixed anew: a prefix holds the smallest ones, which would fill the first segments of a filter only."""
+    """The hashes mixed anew: 32 bits, twice."""
     mixed = hashes * np.uint64(0xD6E8FEB86659FD93)
     return mixed ^ (mixed >> np.uint64(32)) ^ (mixed << np.uint64(32))
 
 
-def prefixes(docs: DataFrame, id_col: str, text_col: str, counters: np.ndarray, threshold: int) -> DataFrame:
-    """(id, node, key, n, prefix, sketch) of every row; prefix and sketch of a set are kept once per task."""
-    shared = docs.sparkSession.sparkContext.broadcast(counters.tobytes())
+def slices_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+    return ((spread(hashes) >> np.uint64(32)) * np.uint64(slices)) >> np.uint64(32)
 
+
+def codes_of(hashes: np.ndarray, slices: int) -> np.ndarray:
+    """What slices know a shingle by: their number and 32 bits of the hash."""
+    return (slices_of(hashes, slices) << np.uint64(32)) | (hashes & np.uint64(0xFFFFFFFF))
+
+
+def numbered_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, node, key, n) of every row."""
     def run(batches):
-        counted = np.frombuffer(shared.value, np.uint32)
         for batch, found in sets_in(batches, {}):
-            out = [(node, key, len(x), None if again or not len(x) else prefix_of(x, counted, threshold).astype("<u8").tobytes(),
-                    None if again or not len(x) else parity_sketch(x)) for node, key, x, again in found]
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.binary()]
-            columns = zip(*out, strict=True) if out else [()] * len(kinds)
-            yield pa.RecordBatch.from_arrays([batch.column(1), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                                             names=["id", "node", "key", "n", "prefix", "sketch"])
+            columns = zip(*((node, key, len(x)) for node, key, x, _ in found), strict=True) if found else [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(1), *(pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int64()), strict=True))],
+                names=["id", "node", "key", "n"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id")).mapInArrow(
-        run, f"id {id_type}, node bigint, key binary, n bigint, prefix binary, sketch binary")
+        run, f"id {id_type}, node bigint, key binary, n bigint")
+
+
+def lone_shingles(rows: DataFrame, sets, slices: int) -> DataFrame:
+    """What the slices tell of the blocks of sets: (block, nodes, docs, n). ``sets`` gives (node, set) of a task's batches.
+
+    Of every block there is a row with its ``nodes`` and their sizes ``n``, and a row from each slice with the places
+    ``docs`` of sets and the numbers ``n`` of their shingles in it that occur once in all sets. Rows without a block hold
+    codes (``nodes``) and counts (``n``) of common shingles. A set that comes again counts as another, and shingles of
+    the same code count as one: fewer shingles are told to be alone then, never more.
+    """
+    def deal(batches):
+        free_worker()
+        first = TaskContext.get().partitionId() << 32
+        blocks, held, size = 0, [], 0
+
+        def block():
+            number = first + blocks
+            sizes = np.array([len(x) for _, x in held], np.int64)
+            flat, docs = np.concatenate([x for _, x in held]), np.repeat(np.arange(len(held), dtype=np.uint16), sizes)
+            at = slices_of(flat, slices).astype(np.uint32)
+            order = np.argsort(at, kind="stable")
+            ends = np.cumsum(np.bincount(at, minlength=slices))
+            flat, docs = flat[order].astype("<u4"), docs[order].astype("<u2")          # the lower 32 bits
+            some = [(s, a, b) for s, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist())) if b > a]
+            return pa.RecordBatch.from_pydict({
+                "slice": pa.array([-1 - number, *(s for s, _, _ in some)], pa.int64()),
+                "block": pa.array([number] * (len(some) + 1), pa.int64()),
+                "rests": pa.array([np.array([node for node, _ in held], "<i8").tobytes(), *(flat[a:b].tobytes() for _, a, b in some)], pa.binary()),
+                "docs": pa.array([sizes.astype("<i8").tobytes(), *(docs[a:b].tobytes() for _, a, b in some)], pa.binary())})
+
+        for node, found in sets(batches):
+            if held and (size + len(found) > BLOCK_SHINGLES or len(held) == 1 << 16):
+                yield block()
+                blocks, held, size = blocks + 1, [], 0
+            held.append((node, found))
+            size += len(found)
+        if held:
+            yield block()
+
+    def count(dealt: pa.Table) -> pa.Table:
+        free_worker()
+        number = dealt.column("slice")[0].as_py()
+        out = {"block": [], "nodes": [], "docs": [], "n": []}
+        if number < 0:
+            out = {"block": dealt.column("block"), "nodes": dealt.column("rests"), "docs": [b""] * dealt.num_rows, "n": dealt.column("docs")}
+        else:
+            rests = [np.frombuffer(x, "<u4") for x in dealt.column("rests").to_pylist()]
+            found, at, counts = np.unique(np.concatenate(rests), return_inverse=True, return_counts=True)
+            alone = np.split(counts[at] == 1, np.cumsum([len(x) for x in rests])[:-1])
+            for block, docs, mine in zip(dealt.column("block").to_pylist(), dealt.column("docs").to_pylist(), alone, strict=True):
+                n = np.bincount(np.frombuffer(docs, "<u2")[mine])
+                some = np.flatnonzero(n)
+                for key, value in (("block", block), ("nodes", b""), ("docs", some.astype("<u2").tobytes()), ("n", n[some].astype("<u4").tobytes())):
+                    out[key].append(value)
+            most = np.argsort(-counts, kind="stable")[:max(1, COMMON // slices)]
+            most = most[counts[most] >= COMMON_FROM]
+            codes = (np.uint64(number) << np.uint64(32)) | found[most].astype(np.uint64)
+            for key, value in (("block", None), ("nodes", codes.astype("<u8").tobytes()), ("docs", b""), ("n", counts[most].astype("<u4").tobytes())):
+                out[key].append(value)
+        return pa.table(out, schema=pa.schema([("block", pa.int64()), ("nodes", pa.binary()), ("docs", pa.binary()), ("n", pa.binary())]))
+
+    return (rows.mapInArrow(deal, "slice bigint, block bigint, rests binary, docs binary")
+            .groupBy("slice").applyInArrow(count, "block bigint, nodes binary, docs binary, n binary"))
+
+
+def sets_of_texts(own: dict[bytes, int]):
+    """Reads (node, set) from texts; a task gives a set once."""
+    return lambda batches: ((node, x) for _, sets in sets_in(batches, own) for node, _, x, again in sets if len(x) and not again)
+
+
+def sets_of_rows(batches):
+    """Reads (node, set) from rows (node, shingles)."""
+    for batch in batches:
+        for node, x in zip(batch.column("node").to_pylist(), batch.column("shingles").to_pylist(), strict=True):
+            yield node, np.frombuffer(x, "<u8")
+
+
+def may_link(told: DataFrame) -> DataFrame:
+    """(node, n, u) of the sets that may link with another, from ``lone_shingles``; u: shingles not known to be alone."""
+    def total(block: pa.Table) -> pa.Table:
+        free_worker()
+        rows = list(zip(*(block.column(c).to_pylist() for c in ("nodes", "docs", "n")), strict=True))
+        nodes, sizes = next((np.frombuffer(x, "<i8"), np.frombuffer(n, "<i8")) for x, _, n in rows if x)
+        shared = sizes.copy()
+        for _, docs, n in (r for r in rows if not r[0]):
+            shared[np.frombuffer(docs, "<u2")] -= np.frombuffer(n, "<u4")
+        keep = 100 * shared >= NEAR * sizes
+        return pa.table({"node": nodes[keep], "n": sizes[keep], "u": shared[keep]})
+
+    return (told.where("block is not null").groupBy("block").applyInArrow(total, "node bigint, n bigint, u bigint")
+            .groupBy("node").agg(F.first("n").alias("n"), F.min("u").alias("u")))
+
+
+def common_shingles(told: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of at most COMMON shingles, by code."""
+    rows = told.where("block is null").select("nodes", "n").collect()           # 12 bytes a shingle
+    codes = np.frombuffer(b"".join(bytes(r.nodes) for r in rows), "<u8")
+    order = np.argsort(codes)
+    return codes[order], np.frombuffer(b"".join(bytes(r.n) for r in rows), "<u4")[order]
+
+
+def prefixes(texts: DataFrame, own: dict[bytes, int], linkable: DataFrame, codes: np.ndarray, counts: np.ndarray, slices: int) -> DataFrame:
+    """(node, n, u, prefix, sketch) of the sets of ``linkable``."""
+    shared = texts.sparkSession.sparkContext.broadcast((codes.tobytes(), counts.tobytes()))
+
+    def made(found: np.ndarray) -> tuple[bytes, bytes]:
+        codes, counts = shared.value
+        prefix = prefix_of(found, np.frombuffer(codes, "<u8"), np.frombuffer(counts, "<u4"), slices)
+        return prefix.astype("<u8").tobytes(), parity_sketch(found)
+
+    rows = _only_wanted(texts, own, linkable.select("node"), made, ("prefix", "sketch"))
+    return (rows.groupBy("node").agg(F.first(F.struct("prefix", "sketch")).alias("of")).join(linkable, "node")
+            .select("node", "n", "u", "of.prefix", "of.sketch"))
 
 
 def told_apart(rows: DataFrame) -> dict[bytes, int]:
@@ -158,78 +287,23 @@ def _numbered(rows: DataFrame, own: dict[bytes, int]) -> DataFrame:
     return rows.join(F.broadcast(numbers), "key", "left").withColumn("node", F.coalesce("own", "node")).drop("own")
 
 
-def shingle_counters(texts: DataFrame, segments: int = 64) -> tuple[np.ndarray, int]:
-    """(counters, threshold): how often the shingles of each counter occur in all sets, and the count beyond which a
-    counter stands out of what its other shingles add up to."""
-    size = COUNTERS // segments
-
-    def count(batches):
-        total = np.zeros(COUNTERS, dtype=np.uint32)
-        for _, sets in sets_in(batches, {}):
-            for found in (x for *_, x, again in sets if not again):
-                at, n = np.unique((found & np.uint64(COUNTERS - 1)).astype(np.int64), return_counts=True)
-                total[at] += n.astype(np.uint32)
-        for s in range(segments):
-            part = total[s * size:(s + 1) * size]
-            at = np.flatnonzero(part)
-            if at.size:
-                dense, kind = at.size * 4 > size, "<u2" if part.max() < 1 << 16 else "<u4"
-                yield pa.RecordBatch.from_pydict({
-                    "seg": pa.array([s], pa.int32()), "kind": pa.array([kind], pa.string()),
-                    "at": pa.array([b"" if dense else at.astype("<u4").tobytes()], pa.binary()),
-                    "n": pa.array([(part if dense else part[at]).astype(kind).tobytes()], pa.binary())})
-
-    def add(batches):
-        free_worker()
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for s, kind, at, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                part = total.setdefault(s, np.zeros(size, dtype=np.uint64))
-                part[np.frombuffer(at, "<u4") if at else slice(None)] += np.frombuffer(n, kind)
-        for s, part in total.items():
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([s], pa.int32()), "n": pa.array([part.tobytes()], pa.binary())})
-
-    parts = texts.mapInArrow(count, "seg int, kind string, at binary, n binary")
-    out = np.zeros(COUNTERS, dtype=np.uint64)
-    for row in parts.repartition(segments, "seg").mapInArrow(add, "seg int, n binary").collect():   # 8 * COUNTERS bytes
-        out[row.seg * size:(row.seg + 1) * size] = np.frombuffer(bytes(row.n), np.uint64)
-    mean = float(out.mean())
-    return np.minimum(out, 0xFFFFFFFF).astype(np.uint32), int(mean + 8 * mean ** 0.5 + 16)
-
-
-def cells(sets: DataFrame, filter_bits: int) -> DataFrame:
-    """(s, node, n): the cells of every set (node, n, prefix) that may hold another set as well (two Bloom filters leave
-    most out)."""
-    spark = sets.sparkSession
-
-    def mark(batches):
-        free_worker()
-        found = [spread(np.frombuffer(x, "<u8")) for batch in batches for x in batch.column(0).to_pylist()]
-        yield from marks(np.concatenate(found) if found else np.empty(0, np.uint64), filter_bits)
-
-    twice = spark.sparkContext.broadcast(collect_bits(fold(sets.select("prefix"), mark, filter_bits), filter_bits))
-    release(spark)
-
-    def probe(batches):
+def cells(sets: DataFrame) -> DataFrame:
+    """(s, node, n, u): the cells of every set (node, n, u, prefix)."""
+    def run(batches):
         free_worker()
-        seen = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
-            s, node, n = [], [], []
-            for prefix, own, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                prefix = np.frombuffer(prefix, "<u8")
-                prefix = prefix[hits(spread(prefix), seen, filter_bits)]
-                s.append(prefix.view(np.int64))
-                node.append(np.full(len(prefix), own, np.int64))
-                n.append(np.full(len(prefix), size, np.int64))
-            yield pa.RecordBatch.from_pydict({k: np.concatenate(v) if v else np.empty(0, np.int64)
-                                              for k, v in (("s", s), ("node", node), ("n", n))})
+            prefix = [np.frombuffer(x, "<i8") for x in batch.column("prefix").to_pylist()]
+            sizes = [len(x) for x in prefix]
+            out = {"s": np.concatenate(prefix) if prefix else np.empty(0, np.int64)}
+            yield pa.RecordBatch.from_pydict(out | {k: np.repeat(batch.column(k).to_numpy(), sizes) for k in ("node", "n", "u")})
 
-    held = sets.select("prefix", "node", "n").mapInArrow(probe, "s bigint, node bigint, n bigint")
-    return held.groupBy("s", "node").agg(F.first("n").alias("n"))
+    return sets.select("node", "n", "u", "prefix").mapInArrow(run, "s bigint, node bigint, n bigint, u bigint")
 
 
-def sizes_near(a: Column, b: Column) -> Column:
-    return F.least(a, b) * 100 >= F.greatest(a, b) * NEAR
+def near_enough(an: Column, au: Column, bn: Column, bu: Column) -> Column:
+    """False where sets of ``an`` and ``bn`` shingles, of which ``au`` and ``bu`` may be in other sets, cannot link: the
+    intersection has least(au, bu) shingles at most. As u <= n, it holds for sizes far apart too."""
+    return F.least(au, bu) * (100 + NEAR) >= (an + bn) * NEAR
 
 
 def measured(pairs: DataFrame, texts: DataFrame, own: dict[bytes, int], sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -262,8 +336,7 @@ def measured(pairs: DataFrame, texts: DataFrame, own: dict[bytes, int], sketch:
         .join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("y")), "b")
         .select("a", "b", "ca", "cb", "an", "bn", "x", "y")
         .mapInArrow(bounded, "a bigint, b bigint, ca bigint, cb bigint"), "jaccard-pairs")
-    wanted = _only_wanted(texts, own, left.select(F.explode(F.array("a", "b")).alias("node")))
-    wanted = wanted.groupBy("node").agg(F.first("shingles").alias("shingles"))         # several tasks may have kept it
+    wanted = whole_sets(texts, own, left.select(F.explode(F.array("a", "b")).alias("node")))
     links = (
         left.join(wanted.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
         .join(wanted.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a")
@@ -271,9 +344,15 @@ def measured(pairs: DataFrame, texts: DataFrame, own: dict[bytes, int], sketch:
     return links, left
 
 
-def _only_wanted(texts: DataFrame, own: dict[bytes, int], nodes: DataFrame, bits: int = 1 << 24) -> DataFrame:
-    """(node, shingles) of the texts' sets but for those whose node is surely not in ``nodes``, which a bitmap of fixed
-    size tells, so that few are shuffled."""
+def whole_sets(texts: DataFrame, own: dict[bytes, int], nodes: DataFrame) -> DataFrame:
+    """(node, shingles) of the sets of ``nodes`` (and of some others), each once."""
+    rows = _only_wanted(texts, own, nodes, lambda found: (found.astype("<u8").tobytes(),), ("shingles",))
+    return rows.groupBy("node").agg(F.first("shingles").alias("shingles"))             # several tasks may have kept it
+
+
+def _only_wanted(texts: DataFrame, own: dict[bytes, int], nodes: DataFrame, made, names: tuple[str, ...], bits: int = 1 << 24) -> DataFrame:
+    """(node, ``names``) of the texts' sets but for those whose node is surely not in ``nodes``, which a bitmap of fixed
+    size tells, so that few are shuffled. ``made`` gives the binary columns ``names`` of a set."""
     bit = F.pmod(F.col("node"), F.lit(bits))
     rows = (nodes.groupBy(F.bitmap_bucket_number(bit).alias("bucket"))
             .agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bitmap")).collect())     # bits / 8 bytes
@@ -288,10 +367,11 @@ def _only_wanted(texts: DataFrame, own: dict[bytes, int], nodes: DataFrame, bits
             sets = [(node, x) for node, _, x, again in sets if len(x) and not again]
             bucket, place = _bucket_of(np.array([node for node, _ in sets], dtype=np.int64) % bits)
             keep = np.flatnonzero((found[bucket * 4096 + (place >> 3)] >> (place & 7).astype(np.uint8)) & 1 == 1).tolist()
-            yield pa.RecordBatch.from_pydict({"node": pa.array([sets[i][0] for i in keep], pa.int64()),
-                                              "shingles": pa.array([sets[i][1].astype("<u8").tobytes() for i in keep], pa.binary())})
+            columns = zip(*(made(sets[i][1]) for i in keep), strict=True) if keep else [()] * len(names)
+            yield pa.RecordBatch.from_pydict({"node": pa.array([sets[i][0] for i in keep], pa.int64())}
+                                             | {k: pa.array(c, pa.binary()) for k, c in zip(names, columns, strict=True)})
 
-    return texts.mapInArrow(run, "node bigint, shingles binary")
+    return texts.mapInArrow(run, ", ".join(["node bigint", *(f"{k} binary" for k in names)]))
 
 
 def _bucket_of(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -305,8 +385,7 @@ def _relabelled(rows: DataFrame, merged: DataFrame) -> DataFrame:
     return rows.join(found, "comp", "left").withColumn("comp", F.coalesce("component", "comp")).drop("component")
 
 
-def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pivots: int = 16,
-                 filter_bits: int = 1 << 28) -> DataFrame:
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pivots: int = 16) -> DataFrame:
     """(id, n_shingles, component_id) of every row: the least id that is reachable over links, its own included.
 
     A text's set holds its distinct shingles of five words (ASCII white space between words, A-Z in lower case); with
@@ -320,17 +399,26 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = prepare(docs.sparkSession)
     texts = docs.select(text_col)
-    counters, threshold = shingle_counters(texts)
-    release(spark)
-    kept = materialize(prefixes(docs, id_col, text_col, counters, threshold), "jaccard-prefixes")
+    kept = materialize(numbered_sets(docs, id_col, text_col), "jaccard-keys")
     own = told_apart(kept)
     rows = materialize(_numbered(kept, own).select("id", "node", "n"), "jaccard-rows")
     classes = materialize(rows.where("n > 0").groupBy("node").agg(F.min("id").alias("first_id")), "jaccard-classes")
-    held = _numbered(kept.where("prefix is not null"), own)
-    found = materialize(cells(held, filter_bits), "jaccard-cells")
-    release(spark)
-    sketches = materialize(held.groupBy("node").agg(F.first("sketch").alias("sketch")), "jaccard-sketches")
     discard(kept)
+    slices = max(SLICES, (rows.agg(F.sum("n")).first()[0] or 0) // SLICE_SHINGLES)
+    told = materialize(lone_shingles(texts, sets_of_texts(own), slices), "jaccard-told")
+    release(spark)
+    linkable = materialize(may_link(told), "jaccard-linkable")
+    discard(told)
+    slices = max(SLICES, (linkable.agg(F.sum("n")).first()[0] or 0) // SLICE_SHINGLES)
+    told = materialize(lone_shingles(whole_sets(texts, own, linkable.select("node")), sets_of_rows, slices), "jaccard-told")
+    discard(linkable)
+    release(spark)
+    linkable = materialize(may_link(told), "jaccard-linkable")
+    codes, counts = common_shingles(told)
+    sketches = materialize(prefixes(texts, own, linkable, codes, counts, slices), "jaccard-prefixes")
+    found = materialize(cells(sketches), "jaccard-cells")
+    discard(told, linkable)
+    release(spark)
 
     regions, spent = found.withColumn("comp", F.col("node")), [found]
     merged = []                                       # of each round: the components before -> after
@@ -339,11 +427,11 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         largest = (regions.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s")
                    .agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("n_comps"))
                    .where("n_comps > 1").select("s", F.col("top.comp").alias("main")))
-        order = Window.partitionBy("s").orderBy("node")
+        order = Window.partitionBy("s").orderBy(F.col("n") - F.col("u"), "node")
         open_cells = materialize(
             regions.join(largest, "s").where("comp <> main").withColumn("place", F.row_number().over(order))
             .where(F.col("place") <= pivots).groupBy("s")
-            .agg(F.collect_list(F.struct(F.col("node").alias("p"), F.col("n").alias("pn"), F.col("comp").alias("pc"))).alias("pivots")),
+            .agg(F.collect_list(F.struct(F.col("node").alias("p"), F.col("n").alias("pn"), F.col("u").alias("pu"), F.col("comp").alias("pc"))).alias("pivots")),
             "jaccard-pivots")
         if open_cells.isEmpty():
             break
@@ -352,9 +440,9 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         spent = [regions]
         del largest, open_cells
         release(spark)
-        asked = (regions.groupBy("node", "n", "comp").agg(F.collect_set("pivots").alias("all"))      # at most its own cells
-                 .select("node", "n", "comp", F.explode(F.array_distinct(F.flatten("all"))).alias("p")))
-        pairs = (asked.where((F.col("comp") != F.col("p.pc")) & sizes_near(F.col("n"), F.col("p.pn")))
+        asked = (regions.groupBy("node", "n", "u", "comp").agg(F.collect_set("pivots").alias("all"))      # at most its own cells
+                 .select("node", "n", "u", "comp", F.explode(F.array_distinct(F.flatten("all"))).alias("p")))
+        pairs = (asked.where((F.col("comp") != F.col("p.pc")) & near_enough(F.col("n"), F.col("u"), F.col("p.pn"), F.col("p.pu")))
                  .select(F.least("node", "p.p").alias("a"), F.greatest("node", "p.p").alias("b"),
                          F.when(F.col("node") < F.col("p.p"), F.col("n")).otherwise(F.col("p.pn")).alias("an"),
                          F.when(F.col("node") < F.col("p.p"), F.col("p.pn")).otherwise(F.col("n")).alias("bn"),
@@ -362,21 +450,20 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                          F.when(F.col("node") < F.col("p.p"), F.col("p.pc")).otherwise(F.col("comp")).alias("cb")).distinct())
         pairs = materialize(pairs, "jaccard-asked")
         links, left = measured(pairs, texts, own, sketches)
-        merged.append(materialize(components(links), "jaccard-labels"))
+        merged.append(materialize(components(links), "jaccard-labels") if not left.isEmpty() else None)
         discard(pairs, left)
         del asked, pairs, links, left
         release(spark)
         # settled pivots leave their cell; the others take their new component
-        regions = materialize(
-            _relabelled(regions.where(~F.exists("pivots", lambda p: p["p"] == F.col("node"))).select("s", "node", "n", "comp"),
-                        merged[-1]), "jaccard-regions")
+        rest = regions.where(~F.exists("pivots", lambda p: p["p"] == F.col("node"))).select("s", "node", "n", "u", "comp")
+        regions = materialize(rest if merged[-1] is None else _relabelled(rest, merged[-1]), "jaccard-regions")
         discard(*spent)
         spent = [regions]
         pivots *= 8
 
     discard(open_cells, sketches, *spent)
     named = classes.select("node", "first_id", F.col("node").alias("comp"))
-    for step in merged:
+    for step in (m for m in merged if m is not None):
         named = _relabelled(named, step)
     named = materialize(named, "jaccard-named")
     least = materialize(named.groupBy("comp").agg(F.min("first_id").alias("component_id")), "jaccard-components")

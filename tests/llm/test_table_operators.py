@@ -108,6 +108,25 @@ def test_jaccard_filter_takes_prefixes_evenly():
     assert len(np.unique(jaccard_join.spread(prefix))) == len(prefix) and segments.min() > 200
 
 
+def test_jaccard_asks_no_pairs_of_sets_that_cannot_link(spark, monkeypatch):
+    """Sets whose shingles are mostly their own meet in the cells of a passage; they are not compared with each other."""
+    asked = []
+
+    def count(df, name):
+        table = common.materialize(df, name)
+        if name == "jaccard-asked":
+            asked.append(table.count())
+        return table
+
+    monkeypatch.setattr(jaccard_join, "materialize", count)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 100)              # several blocks a task
+    passage = " ".join(f"p{i}" for i in range(40))
+    texts = [(i, f"{passage} " + " ".join(f"own{i}w{j}" for j in range(20))) for i in range(30)]
+    texts += [(100 + i, f"{passage} " + " ".join(f"both{i // 2}w{j}" for j in range(20)) + " end" * (i % 2)) for i in range(6)]
+    assert joined(spark, texts) == brute_components(texts)
+    assert 3 <= sum(asked) <= 15                                          # sets 100 to 105; 30 more shared cells with them
+
+
 def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n, m in ((5, 6), (100, 130), (3000, 2500)):
