@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from anomalytics.llm.common import discard, free_worker, materialize, prepare, release
+from anomalytics.llm.common import discard, free_worker, long_rows, materialize, prepare, release
 from anomalytics.llm.words import Words, hash_word, words_in
 from anomalytics.llm.words import mix as _mix
 
@@ -464,10 +464,12 @@ def lm_score(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col
     else:
         chunks = _kept_chunks(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(training, F.lit(False)).alias("train")), id_type)
         release(spark)
-        answers = materialize(_levels_in_slices(chunks, part_bits, bits_per_entry), "lm-answers")
+        with long_rows(spark):
+            answers = materialize(_levels_in_slices(chunks, part_bits, bits_per_entry), "lm-answers")
         release(spark)
         found, kept = chunks.join(answers, "chunk").mapInArrow(run_answered, result), [chunks, answers]
-    scored = materialize(found, "lm-scored")
+    with long_rows(spark):
+        scored = materialize(found, "lm-scored")
     discard(*kept)
     c = F.coalesce("n", F.lit(0))
     rest = (
