@@ -9,8 +9,10 @@ The points are the distinct shingle sets, the metric is the Jaccard distance; tw
 1. First-level pivots are the shingles themselves: the set {s} is a point, at distance 1 - 1/|x| from every x that
    holds s and at distance 1 from all others. Under one order of the shingles (commonest last) a set lies in the cell
    of its first shingle, and a set within the radius of it holds one of its first |x| - ceil(3/4 |x|) + 1 shingles; a
-   boundary set is replicated to the cells of all of these. So any two linked sets meet in a cell. (Random texts share
-   no shingle and are at distance 1 from each other, so document pivots alone would leave them in one region.)
+   boundary set is replicated to the cells of all of these. So any two linked sets meet in the cell of the first shingle
+   that they share, where their intersection holds no shingle before it: a set's place in the cell bounds the
+   intersection, and sets that no size in the cell can link with leave it. (Random texts share no shingle and are at
+   distance 1 from each other, so document pivots alone would leave them in one region.)
 2. Inside a cell, documents are pivots. Each round takes up to ``pivots`` sets per cell (eight times as many the next
    round), those with the fewest shingles of their own first, as they lie amid their near copies, measures their distance from the other sets of the cell, links those within the radius, and settles the
    pivots. The sets that a pivot reaches are one component, so pairs inside a component are not looked at again; cells
@@ -288,22 +290,25 @@ def _numbered(rows: DataFrame, own: dict[bytes, int]) -> DataFrame:
 
 
 def cells(sets: DataFrame) -> DataFrame:
-    """(s, node, n, u): the cells of every set (node, n, u, prefix)."""
+    """(s, node, n, u, r): the cells of every set (node, n, u, prefix). ``r`` bounds the intersection with a set whose first
+    shared shingle is s: the shingles from s on in the order, and no more than ``u``."""
     def run(batches):
         free_worker()
         for batch in batches:
             prefix = [np.frombuffer(x, "<i8") for x in batch.column("prefix").to_pylist()]
             sizes = [len(x) for x in prefix]
             out = {"s": np.concatenate(prefix) if prefix else np.empty(0, np.int64)}
-            yield pa.RecordBatch.from_pydict(out | {k: np.repeat(batch.column(k).to_numpy(), sizes) for k in ("node", "n", "u")})
+            out |= {k: np.repeat(batch.column(k).to_numpy(), sizes) for k in ("node", "n", "u")}
+            place = np.arange(len(out["s"])) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_pydict(out | {"r": np.minimum(out["u"], out["n"] - place)})
 
-    return sets.select("node", "n", "u", "prefix").mapInArrow(run, "s bigint, node bigint, n bigint, u bigint")
+    return sets.select("node", "n", "u", "prefix").mapInArrow(run, "s bigint, node bigint, n bigint, u bigint, r bigint")
 
 
-def near_enough(an: Column, au: Column, bn: Column, bu: Column) -> Column:
-    """False where sets of ``an`` and ``bn`` shingles, of which ``au`` and ``bu`` may be in other sets, cannot link: the
-    intersection has least(au, bu) shingles at most. As u <= n, it holds for sizes far apart too."""
-    return F.least(au, bu) * (100 + NEAR) >= (an + bn) * NEAR
+def near_enough(shared: Column, an: Column, bn: Column) -> Column:
+    """False where sets of ``an`` and ``bn`` shingles cannot link as their intersection has ``shared`` of them at most. As
+    that is no more than an or bn, it holds for sizes far apart too."""
+    return shared * (100 + NEAR) >= (an + bn) * NEAR
 
 
 def measured(pairs: DataFrame, texts: DataFrame, own: dict[bytes, int], sketch: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -423,26 +428,32 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     regions, spent = found.withColumn("comp", F.col("node")), [found]
     merged = []                                       # of each round: the components before -> after
     while True:
-        # sets outside the largest component of their cell are still to be compared with the rest of the cell
-        largest = (regions.groupBy("s", "comp").agg(F.count("*").alias("c")).groupBy("s")
-                   .agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("n_comps"))
-                   .where("n_comps > 1").select("s", F.col("top.comp").alias("main")))
+        # sets outside the largest component of their cell are still to be compared with the rest of the cell, those that
+        # may link with its least size if with any
+        largest = (regions.groupBy("s", "comp").agg(F.count("*").alias("c"), F.min("n").alias("least")).groupBy("s")
+                   .agg(F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("n_comps"), F.min("least").alias("least"))
+                   .where("n_comps > 1").select("s", "least", F.col("top.comp").alias("main")))
+        fits = near_enough(F.col("r"), F.col("n"), F.col("least"))
         order = Window.partitionBy("s").orderBy(F.col("n") - F.col("u"), "node")
         open_cells = materialize(
-            regions.join(largest, "s").where("comp <> main").withColumn("place", F.row_number().over(order))
+            regions.join(largest, "s").where(fits & (F.col("comp") != F.col("main"))).withColumn("place", F.row_number().over(order))
             .where(F.col("place") <= pivots).groupBy("s")
-            .agg(F.collect_list(F.struct(F.col("node").alias("p"), F.col("n").alias("pn"), F.col("u").alias("pu"), F.col("comp").alias("pc"))).alias("pivots")),
+            .agg(F.first("least").alias("least"),
+                 F.collect_list(F.struct(F.col("node").alias("p"), F.col("n").alias("pn"), F.col("r").alias("pr"), F.col("comp").alias("pc"))).alias("pivots")),
             "jaccard-pivots")
         if open_cells.isEmpty():
             break
-        regions = materialize(regions.join(open_cells, "s"), "jaccard-regions")
+        regions = materialize(regions.join(open_cells, "s").where(fits).drop("least"), "jaccard-regions")
         discard(open_cells, *spent)
         spent = [regions]
-        del largest, open_cells
+        del largest, fits, open_cells
         release(spark)
-        asked = (regions.groupBy("node", "n", "u", "comp").agg(F.collect_set("pivots").alias("all"))      # at most its own cells
-                 .select("node", "n", "u", "comp", F.explode(F.array_distinct(F.flatten("all"))).alias("p")))
-        pairs = (asked.where((F.col("comp") != F.col("p.pc")) & near_enough(F.col("n"), F.col("u"), F.col("p.pn"), F.col("p.pu")))
+        # of every set, the pivots that it may link with in any of its cells, each once
+        near = F.filter("pivots", lambda p: (p["pc"] != F.col("comp")) & near_enough(F.least("r", p["pr"]), F.col("n"), p["pn"]))
+        asked = (regions.select("node", "n", "comp", F.transform(near, lambda p: p.dropFields("pr")).alias("near"))
+                 .where(F.size("near") > 0).groupBy("node", "n", "comp").agg(F.collect_set("near").alias("all"))     # at most its own cells
+                 .select("node", "n", "comp", F.explode(F.array_distinct(F.flatten("all"))).alias("p")))
+        pairs = (asked
                  .select(F.least("node", "p.p").alias("a"), F.greatest("node", "p.p").alias("b"),
                          F.when(F.col("node") < F.col("p.p"), F.col("n")).otherwise(F.col("p.pn")).alias("an"),
                          F.when(F.col("node") < F.col("p.p"), F.col("p.pn")).otherwise(F.col("n")).alias("bn"),
@@ -452,10 +463,10 @@ def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         links, left = measured(pairs, texts, own, sketches)
         merged.append(materialize(components(links), "jaccard-labels") if not left.isEmpty() else None)
         discard(pairs, left)
-        del asked, pairs, links, left
+        del near, asked, pairs, links, left
         release(spark)
         # settled pivots leave their cell; the others take their new component
-        rest = regions.where(~F.exists("pivots", lambda p: p["p"] == F.col("node"))).select("s", "node", "n", "u", "comp")
+        rest = regions.where(~F.exists("pivots", lambda p: p["p"] == F.col("node"))).select("s", "node", "n", "u", "r", "comp")
         regions = materialize(rest if merged[-1] is None else _relabelled(rest, merged[-1]), "jaccard-regions")
         discard(*spent)
         spent = [regions]

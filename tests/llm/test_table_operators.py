@@ -127,6 +127,29 @@ def test_jaccard_asks_no_pairs_of_sets_that_cannot_link(spark, monkeypatch):
     assert 3 <= sum(asked) <= 15                                          # sets 100 to 105; 30 more shared cells with them
 
 
+def test_jaccard_group_of_near_copies_asks_few_pairs(spark, monkeypatch):
+    """Pairs of texts that link with each other only, each 30 shingles of 146 apart from a group of near copies: the places
+    of the shingles that they share with the group rule it out, so that they are not compared with all of it."""
+    asked = []
+
+    def count(df, name):
+        table = common.materialize(df, name)
+        if name == "jaccard-asked":
+            asked.append(table.count())
+        return table
+
+    monkeypatch.setattr(jaccard_join, "materialize", count)
+    rng = random.Random(8)
+    words, texts = [f"w{i}" for i in range(150)], []
+    for doc in range(300):
+        own = list(words)
+        for at in rng.sample(range(8, 140, 6), 6 if doc % 6 == 0 else doc % 3):
+            own[at] = f"own{doc}x{at}"
+        texts += [(doc, " ".join(own)), (1000 + doc, " ".join(own + ["end"]))][:1 + (doc % 6 == 0)]
+    assert joined(spark, texts) == brute_components(texts)
+    assert sum(asked) <= 20 * len(texts)
+
+
 def test_sketch_is_a_lower_bound():
     rng = np.random.default_rng(1)
     for n, m in ((5, 6), (100, 130), (3000, 2500)):
