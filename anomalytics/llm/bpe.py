@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
+from array import array
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -67,7 +68,8 @@ class Transducer:
     """Lazily determinised BPE transducer; ``encode`` takes the bytes of one pre-token.
 
     A hypothesis is (last token, node of the prefix tree). Those of a state are kept longest node first; the one at
-    the root comes last, and there is always exactly one, as every text has one encoding.
+    the root comes last, and there is always exactly one, as every text has one encoding. A state is kept as bytes, eight
+    a hypothesis ((last token + 1) << 32 | node): a worker holds up to ``max_states``.
     """
 
     def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
@@ -93,7 +95,7 @@ class Transducer:
         self._restart()
 
     def _restart(self) -> None:
-        self.states = [((-1, 0),)]
+        self.states = [bytes(8)]
         self.ids = {self.states[0]: 0}
         self.next = _Steps(self._step)             # state * 256 + byte -> (next state * 256, token that ends there)
         self.pairs: dict[int, bool] = {}
@@ -133,12 +135,13 @@ class Transducer:
     def _step(self, state: int, byte: int) -> int:
         live, border = [], -1
         child, grows, rank_at, pairs = self.child, self.grows, self.rank_at, self.pairs
-        for last, node in self.states[state]:
-            at = child.get(node << 8 | byte)
+        for held in memoryview(self.states[state]).cast("Q"):
+            at = child.get((held & 0xFFFFFFFF) << 8 | byte)
             if at is None:
                 continue
+            last = (held >> 32) - 1
             if grows[at]:
-                live.append((last, at))
+                live.append(last + 1 << 32 | at)
             if border < 0:
                 token = rank_at[at]
                 if token >= 0:
@@ -148,8 +151,8 @@ class Transducer:
                         fits = pairs[key] = self._reachable(token) and (last < 0 or self._may_follow(last, token))
                     if fits:
                         border = token
-        live.append((border, 0))
-        reached = tuple(live)
+        live.append(border + 1 << 32)
+        reached = array("Q", live).tobytes()
         target = self.ids.get(reached)
         if target is None:
             target = self.ids[reached] = len(self.states)
@@ -167,7 +170,7 @@ class Transducer:
             borders += [step := following[step >> TOKEN_BITS | byte] for byte in data[at:at + LOOKAHEAD]]
             if len(data) > LOOKAHEAD:
                 sure = len(borders)
-                while sure and len(self.states[borders[sure - 1] >> 8 + TOKEN_BITS]) > 1:
+                while sure and len(self.states[borders[sure - 1] >> 8 + TOKEN_BITS]) > 8:
                     sure -= 1
                 out += self._settled(borders[:sure])
                 del borders[:sure]
@@ -230,13 +233,17 @@ class Encoder:
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _slow(self, text: str) -> bytes:
-        matches = self.matches
-        return b"".join([matches[m] for m in self.findall(text)])
+        matches, pieces = self.matches, self.pieces
+        # a space and letters are kept once, as the piece that they are elsewhere
+        return b"".join([pieces[m[1:]] if m[0] == " " and self._letters(m[1:]) else matches[m] for m in self.findall(text)])
+
+    def _letters(self, piece: str) -> bool:
+        """Letters that all Unicode versions agree on, which are one match with the space before them."""
+        return self.letters_join and piece.isalpha() and max(piece) < "\u0250"
 
     def _piece(self, piece: str) -> bytes:
-        """A space and what follows it. Letters are one match; only those that all Unicode versions agree on are taken
-        without asking the pattern."""
-        if piece.isalpha() and max(piece) < "\u0250" and self.letters_join:
+        """A space and what follows it. Letters are one match and are taken without asking the pattern."""
+        if self._letters(piece):
             return self._match(" " + piece)
         return self._slow(" " + piece)
 

@@ -118,6 +118,14 @@ def test_encoder_equals_library(reference):
         assert list(memoryview(encoder.encode(text)).cast("I")) == library(text), text
 
 
+def test_bpe_worker_keeps_words_once_and_states_as_bytes(reference):
+    _, pattern, ranks, _ = reference
+    encoder = bpe.Encoder(ranks, pattern)
+    encoder.encode("see qwertzuiopish words, qwertzuiopish, and (qwertzuiopish) qwertzuiopish")
+    assert "qwertzuiopish" in encoder.pieces and " qwertzuiopish" not in encoder.matches
+    assert all(isinstance(state, bytes) and len(state) % 8 == 0 for state in encoder.transducer.states)
+
+
 def test_utf8_machine_never_splits_a_character():
     data = "aé中😀".encode() * 3
     for size in (1, 2, 3, 5):
